@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, materialise, shared_dir, text_or_empty
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a store is closed after each batch, so idle stores hold no local files.
+_STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -71,7 +75,7 @@ def stream_state(log: DataFrame, path: str, checkpoint: str) -> DataFrame:
             F.min(F.struct(*preference(F.col("n_points"), F.col("doc_id")), "locator")).alias("stays"),
         )
     )
-    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB}):
+    with _settings(spark, _STATE_SETTINGS):
         query = (
             keyed.writeStream.format("noop")
             .outputMode("update")
