@@ -31,11 +31,15 @@ from .common import materialise
 
 SAMPLE_PER_LANGUAGE = 1500
 ROUNDS = 2
+#: Up to this many labels their counts are broadcast.
+MANY_LANGUAGES = 10_000
 MAX_PIECE = 8
 #: Longer words are scored in parts of this many letters.
 MAX_WORD = 40
 #: Words a worker keeps scores of.
 CACHE = 1 << 20
+#: Characters of the texts whose new words are scored together.
+CHUNK = 2_000_000
 _SMOOTHING = 0.05
 _UNKNOWN = 1e-7
 _LETTERS = regex.compile(r"\p{L}+")
@@ -123,7 +127,7 @@ class Model:
         if len(self.row) + len(new) > CACHE and self.row:
             self._clear()
             new = list(dict.fromkeys(words))
-        if not new:
+        if not new or not self.languages:
             return
         at = len(self.row)
         if at + len(new) > len(self.scores):
@@ -133,11 +137,22 @@ class Model:
             self.scores[at + np.array(part)] = np.log(forward(ids, self.p)[:, -1])
         self.row.update(zip(new, range(at, at + len(new))))
 
-    def posterior(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
+    def posteriors(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """Language and its probability for every text; new words are scored a chunk of texts at a time."""
+        at = 0
+        while at < len(texts):
+            chunk, chars = [], 0
+            while at < len(texts) and chars < CHUNK:
+                chunk.append(words_of(texts[at]))
+                chars += len(texts[at] or "")
+                at += 1
+            self.learn_words([w for words in chunk for w in words])
+            for words in chunk:
+                yield self._posterior(words)
+
+    def _posterior(self, words: list[str]) -> tuple[str, float]:
         if not words or not self.languages:
             return "und", 0.0
-        self.learn_words(words)
         total = self.scores[np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
         chances = np.exp(total - total.max())
         best = int(chances.argmax())
@@ -171,6 +186,8 @@ def train(docs: DataFrame, model_file: str, sample_per_language: int = SAMPLE_PE
     rows = rows.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     share = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / (1 << 30)
+    if sizes.count() <= MANY_LANGUAGES:  # a row a label: the texts stay where they are
+        sizes = F.broadcast(sizes)
     sample = rows.join(sizes, "lang").where(share * F.col("rows") < sample_per_language).select("lang", "text")
     counts = materialise(sample.mapInPandas(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").toLocalIterator()]
@@ -210,7 +227,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            found = [m.posterior(t.as_py()) for t in b.column(2)]
+            found = list(m.posteriors(b.column(2).to_pylist()))
             langs, scores = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), langs, scores], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -224,6 +241,6 @@ def identified_only(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def has_language(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shared.value.posterior(t)[0] != "und").astype(bool)
+        return pd.Series([lang != "und" for lang, _ in shared.value.posteriors(texts.tolist())], dtype=bool)
 
     return docs.where(has_language(F.col("text").cast("string")))
