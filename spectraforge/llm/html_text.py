@@ -221,7 +221,8 @@ def main_paths(wrapper: Block) -> list[list[str]]:
             if p[: len(at)] == at and len(p) > len(at):
                 below[p[: len(at) + 1]] = below.get(p[: len(at) + 1], 0) + n
         top = max(below, key=below.get, default=None)
-        if top is None or below[top] < 0.7 * total:
+        # stop above a block that only holds text: its neighbours belong to it
+        if top is None or below[top] < 0.7 * total or not any(p[: len(top)] == top and len(p) > len(top) for p, _ in varying):
             return sorted({tuple(p) for p, _ in varying if p[: len(at)] == at}, key=list)
         at = top
 

@@ -48,7 +48,7 @@ EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "clown car",
 
 _LOOKALIKE = re.compile("[" + "".join(LOOKALIKES) + "]")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-_SUBSTITUTE = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[013457@$](?=[^\W\d_]{2})")
+_SUBSTITUTE = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[013457@$](?=[^\W\d_])")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
