@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectraforge.plans import encoding, layout, validation
+from spectraforge.plans import encoding, files, layout, validation
 
-_MODULES = (layout, encoding, validation)
+_MODULES = (layout, encoding, validation, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1 @@
+"""Sources and sinks: flat dumps of spectra and mzML documents."""
