@@ -92,7 +92,7 @@ def _data(values: str, accession: str, name: str) -> Column:
 
 
 def write_mzml(df: DataFrame, path: str) -> None:
-    """One ``spectrum`` element a row below a ``spectrumList``, one document a partition, into a new folder.
+    """One ``spectrum`` element a row below a ``spectrumList``, one document a range of scan numbers, into a new folder.
 
     Level 1 gives its time in minutes, other levels in seconds. Peaks stay in the order they have.
     """
@@ -101,7 +101,8 @@ def write_mzml(df: DataFrame, path: str) -> None:
     ion = F.struct(F.array(_cv(SELECTED_MZ, "selected ion m/z", F.col("precursor_mz"))).alias("cvParam"))
     precursor = F.struct(F.struct(F.array(ion).alias("selectedIon")).alias("selectedIonList"))
     arrays = F.array(_data("mz", MZ_ARRAY, "m/z array"), _data("intensity", INTENSITY_ARRAY, "intensity array"))
-    elements = df.select(
+    ordered = df.repartitionByRange("scan_id").sortWithinPartitions("scan_id")
+    elements = ordered.select(
         F.concat(F.lit("scan="), F.col("scan_id")).alias("_id"),
         F.array(_cv(MS_LEVEL, "ms level", F.col("ms_level"))).alias("cvParam"),
         F.struct(F.array(F.struct(F.array(time).alias("cvParam"))).alias("scan")).alias("scanList"),
