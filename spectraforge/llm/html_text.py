@@ -10,6 +10,10 @@ notices, adverts and the like are not. Every page is then read with its host's w
 Wrappers are merged in each task first and then in rounds of salted groups, so that no group
 gathers the pages of a host; pages meet their wrapper in a salted join.
 
+A wrapper is bounded whatever the pages hold: nesting below ``MAX_DEPTH`` belongs to the block at
+that depth, and of the blocks of one parent ``MAX_BLOCKS`` are kept apart, all others go to the
+block of their label or else to a general one of their tag.
+
 Defined results
     Null html: empty text. Null url: pages without a host share a wrapper. Null ``page_id``: a
     row like any other. Repeated rows: one row each. Empty table: empty result. Extra columns:
@@ -21,6 +25,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,8 +41,10 @@ ROUNDS = (512, 16, 1)
 PARTS = 16
 #: Pages that must share a text before it counts as the host's template.
 TEMPLATE_PAGES = 3
-#: Distinct blocks of one parent that a wrapper keeps apart; further ones of a known label fold together.
+#: Blocks of one parent that a wrapper keeps apart; further ones fold by label, or by tag if the label is new.
 MAX_BLOCKS = 64
+#: Nesting that is kept apart; below it only what is marked as no main text gets a block of its own.
+MAX_DEPTH = 128
 
 # Tags by their part in a page.
 _RAW = "script|style|noscript|template|iframe|svg|textarea|select|object|math"
@@ -49,10 +56,10 @@ _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer for
 # Words in class or id that mark what is not main text.
 _MARKS = re.compile(
     r"(?:^|[\W_])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|rail|widget|footer|masthead|topbar|"
-    r"cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comments?|replies|discussion|disqus)(?:$|[\W_])"
+    r"cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comments?|replies|discussion|disqus|complementary|contentinfo|dialog)(?:$|[\W_])"
 )
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])[^>]*/>|<({_RAW})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
     re.S | re.I,
 )
 _MARKED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -87,16 +94,25 @@ def _label(tag: str, attributes: str) -> str:
 def parse(source: str | None) -> tuple[list[tuple[tuple[str, ...], str]], Block]:
     """Text blocks of a page with their paths of labels, and the page as a tree."""
     root = Block("#page")
-    stack, texts, held = [root], [], []
+    # open blocks with their tags and paths; a tag nested too deep stands for the block above it
+    stack: list[tuple[str, Block, tuple[str, ...]]] = [("#page", root, ("#page",))]
+    opened: Counter[str] = Counter()
+    texts, held = [], []
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            texts.append((tuple(b.label for b in stack), text))
+            _, block, path = stack[-1]
+            texts.append((path, text))
             slot = Block("#text")
             slot.chars, slot.same = len(text), text[:80]
-            stack[-1].kids.append(slot)
+            block.kids.append(slot)
+
+    def close() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
 
     for m in _TOKEN.finditer(source or ""):
         tag = (m[3] or m[6] or "").lower()
@@ -112,31 +128,56 @@ def parse(source: str | None) -> tuple[list[tuple[tuple[str, ...], str]], Block]
             held.append(" ")
             continue
         flush()
-        open_tags = [b.label.split(" ", 1)[0] for b in stack]
         if m[2] or m[5]:
-            if tag in open_tags:
-                del stack[len(open_tags) - 1 - open_tags[::-1].index(tag) :]
+            while opened[tag] and close() != tag:
+                pass
             continue
         closes = _SELF_CLOSING.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-        while len(stack) > 1 and stack[-1].label.split(" ", 1)[0] in closes:
-            stack.pop()
-        block = Block(_label(tag, m[4] or m[7] or ""))
-        stack[-1].kids.append(block)
-        stack.append(block)
+        while stack[-1][0] in closes:
+            close()
+        _, block, path = stack[-1]
+        label = _label(tag, m[4] or m[7] or "")
+        if len(path) < MAX_DEPTH or len(path) == MAX_DEPTH and _marked_off(label, True):
+            block.kids.append(kid := Block(label))
+            block, path = kid, (*path, label)
+        stack.append((tag, block, path))
+        opened[tag] += 1
     flush()
     return texts, root
 
 
+def general(label: str) -> str:
+    """The label that stands for new ones of its tag once a parent is full."""
+    tag = label.split(" ", 1)[0]
+    kept = tag if tag in _ENDS_P or tag in _NOT_MAIN or tag in _SELF_CLOSING else "div"
+    return f"{kept} class=ad *" if _marked_off(label, True) else f"{kept} *"
+
+
+def _place(kids: list[Block], at: dict[str, int], kid: Block, one_page: bool) -> None:
+    """Put a block behind ``kids``, or into a known one if these are full (``at``: last place of a label)."""
+    if len(kids) >= MAX_BLOCKS:
+        if kid.label not in at and kid.label != "#text":
+            kid.label = general(kid.label)
+        if kid.label in at:
+            joined = merge(kids[at[kid.label]], kid)
+            joined.n, joined.repeated = 1 if one_page else joined.n, True
+            kids[at[kid.label]] = joined
+            return
+    at[kid.label] = len(kids)
+    kids.append(kid)
+
+
 def fold_repeats(block: Block) -> Block:
     """Fold neighbouring blocks of one label into a repeated group, from the leaves up."""
     kids: list[Block] = []
+    at: dict[str, int] = {}
     for kid in map(fold_repeats, block.kids):
         if kids and kids[-1].label == kid.label:
             joined = merge(kids[-1], kid)
             joined.n, joined.repeated = 1, True
             kids[-1] = joined
         else:
-            kids.append(kid)
+            _place(kids, at, kid, True)
     block.kids = kids
     return block
 
@@ -169,18 +210,11 @@ def merge(a: Block, b: Block) -> Block:
     out.n, out.chars = a.n + b.n, a.chars + b.chars
     out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
     out.same = a.same if a.same == b.same else None
-    seen: dict[str, Block] = {}
+    at: dict[str, int] = {}
     for x, y in _aligned(a.kids, b.kids):
         kid = merge(x, y) if x and y else x or y
         kid.optional = kid.optional or not (x and y)
-        if len(out.kids) >= MAX_BLOCKS and kid.label in seen:
-            known = seen[kid.label]
-            joined = merge(known, kid)
-            joined.repeated = True
-            out.kids[next(i for i, k in enumerate(out.kids) if k is known)] = seen[kid.label] = joined
-            continue
-        seen[kid.label] = kid
-        out.kids.append(kid)
+        _place(out.kids, at, kid, False)
     return out
 
 
@@ -227,6 +261,34 @@ def main_paths(wrapper: Block) -> list[list[str]]:
         at = top
 
 
+def block_paths(wrapper: Block) -> list[list[str]]:
+    """Paths of all blocks of a wrapper but those that cannot hold main text."""
+    found = []
+
+    def walk(block: Block, path: tuple[str, ...]) -> None:
+        found.append(list(path))
+        for k in block.kids:
+            if k.label != "#text" and not _marked_off(k.label, True):
+                walk(k, (*path, k.label))
+
+    walk(wrapper, (wrapper.label,))
+    return found
+
+
+class _Main(dict):
+    """Whether a page's path leads to main text, followed from the root by its labels or general ones."""
+
+    def __init__(self, blocks: set[tuple[str, ...]], main: set[tuple[str, ...]]):
+        self.blocks, self.main = blocks, main
+
+    def __missing__(self, path: tuple[str, ...]) -> bool:
+        at: tuple[str, ...] = ()
+        for label in path:
+            at = (*at, label) if (*at, label) in self.blocks else (*at, general(label))
+        self[path] = at in self.main
+        return self[path]
+
+
 def _wrappers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         found: dict[str, Block] = {}
@@ -264,18 +326,19 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            paths = [json.dumps(main_paths(Block.load(json.loads(w))), ensure_ascii=False) for w in b["wrapper"]]
+            whole = [Block.load(json.loads(w)) for w in b["wrapper"]]
+            paths = [json.dumps([block_paths(w), main_paths(w)], ensure_ascii=False) for w in whole]
             yield pd.DataFrame({"host": b["host"], "paths": paths})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known: dict[str, set[tuple[str, ...]]] = {}
+            known: dict[str, _Main] = {}
             blocks = []
             for source, paths in zip(b.column(2), b.column(3)):
                 paths = paths.as_py()
                 if paths not in known:
-                    known[paths] = {tuple(p) for p in json.loads(paths)}
-                blocks.append([t for p, t in parse(source.as_py())[0] if p in known[paths]])
+                    known[paths] = _Main(*({tuple(p) for p in x} for x in json.loads(paths)))
+                blocks.append([t for p, t in parse(source.as_py())[0] if known[paths][p]])
             texts = [" ".join(x) for x in blocks]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(blocks, pa.list_(pa.string()))],
@@ -284,6 +347,6 @@ def extract(pages: DataFrame) -> DataFrame:
 
     judged = found.mapInPandas(judge, "host string, paths string").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     rows = with_host(pages).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int"))
-    return rows.join(judged, ["host", "part"], "left").select("page_id", "url", "html", F.coalesce("paths", F.lit("[]")).alias("paths")).mapInArrow(
+    return rows.join(judged, ["host", "part"], "left").select("page_id", "url", "html", F.coalesce("paths", F.lit("[[], []]")).alias("paths")).mapInArrow(
         read, "page_id long, url string, text string, n_chars long, blocks array<string>"
     )

@@ -213,6 +213,34 @@ def test_html_text_without_an_article_tag(spark):
     assert got[8] == "" and got[9] == "Only text"
 
 
+def read_page(source, others=()):
+    """Main text of a page under the wrapper of itself and ``others``, and that wrapper."""
+    wrapper = html_text.fold_repeats(html_text.parse(source)[1])
+    for other in others:
+        wrapper = html_text.merge(wrapper, html_text.fold_repeats(html_text.parse(other)[1]))
+    main = html_text._Main(*({tuple(p) for p in x} for x in (html_text.block_paths(wrapper), html_text.main_paths(wrapper))))
+    return [t for p, t in html_text.parse(source)[0] if main[p]], wrapper
+
+
+def test_html_deep_pages():
+    deep = "<article>" + "<div>" * 20_000 + "x<nav>menu</nav>y" + "</div>" * 20_000 + "<p>z</p></article>"
+    assert read_page(deep, [deep])[0] == ["x", "y", "z"]
+
+
+def test_html_wide_pages_keep_a_bounded_wrapper():
+    wide = "<article>" + "".join(f"<h2>a{i}</h2><p>b{i}</p>" for i in range(2000)) + "</article>"
+    text, wrapper = read_page(wide, [wide + "<i>x</i>"])
+    assert len(text) == 4000 and len(wrapper.kids[0].kids) <= html_text.MAX_BLOCKS
+    names = [a + b for a in "qwertyuiop" for b in "asdfghjklz"]
+    odd = [f"<article>{''.join(f'<div id={n}{m}>t</div><div class=ad-{n}{m}>no</div>' for m in names[:50])}</article>" for n in names[:6]]
+    text, wrapper = read_page(odd[0], odd[1:])
+    assert text == ["t"] * 50 and len(wrapper.kids[0].kids) <= html_text.MAX_BLOCKS + 2
+
+
+def test_html_custom_and_self_closing_tags():
+    assert read_page("<p>a</p><template-x>b</template-x><svg width=1/><p>c</p><svg><path d=1/>no</svg><p>d")[0] == ["a", "b", "c", "d"]
+
+
 def test_html_query_takes_articles_only(spark, sf_dir):
     rows = queries.op2_html_extraction(spark, sf_dir).collect()
     assert len(rows) == 50 and all(r.n_chars == len(r.text) and "&copy;" not in r.text and "\n" not in r.text for r in rows)
