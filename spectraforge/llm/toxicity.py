@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -89,7 +91,11 @@ def matches(folded: str, automaton: ahocorasick.Automaton) -> dict[int, float]:
             spared.append((at, end))
         elif weight > found.get(at, 0.0):
             found[at] = weight
-    return {at: w for at, w in found.items() if not any(a <= at < z for a, z in spared)}
+    if not spared:
+        return found
+    spared.sort()
+    starts, reach = [a for a, _ in spared], list(accumulate((z for _, z in spared), max))
+    return {at: w for at, w in found.items() if not (i := bisect_right(starts, at)) or at >= reach[i - 1]}
 
 
 def features(folded: str, automaton: ahocorasick.Automaton) -> tuple[float, float]:

@@ -174,6 +174,8 @@ def test_toxicity_learns_words_and_folds(spark, sf_dir):
     a = model.automaton()
     assert len(toxicity.matches(toxicity.fold("1d10t! mоr0n, trash$$$"), a)) == 3
     assert not toxicity.matches(toxicity.fold("the trash can, idiotic"), a)
+    many = toxicity.fold("trash can idiot " * 100_000)
+    assert len(toxicity.matches(many, a)) == 100_000
     rows = queries.op9_toxicity(spark, sf_dir).collect()
     assert len(rows) == 200 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
