@@ -109,21 +109,32 @@ class Tree:
                 i += 1
         return i - self.size, start
 
-    def edit(self, text: str, start: int, stop: int, put: str, c: Counter) -> str:
-        """Replace text[start:stop] by ``put``; returns the new text and updates the sums."""
+    def open(self, text: str) -> Tree:
+        """Deal the tree's text to its leaves, for :meth:`replace`."""
+        at = np.cumsum([0, *self.chars]).tolist()
+        self.texts = [text[a:z] for a, z in zip(at, at[1:])]
+        return self
+
+    def replace(self, start: int, stop: int, put: str, c: Counter) -> None:
+        """Put ``put`` in place of [start, stop) of an opened tree; only leaves near the edit are read."""
         first, at = self.find(max(start - 1, 0))
-        last, last_at = self.find(stop)
-        end = last_at + self.chars[last]
+        last, _ = self.find(stop)
         # a leaf starts at a safe boundary only while the characters around it stay: hence the leaf
         # of the character before the edit and that of the one behind it
-        new = text[:start] + put + text[stop:]
-        region = new[at : end + len(put) - (stop - start)]
+        region = "".join(self.texts[first : last + 1])
+        region = region[: start - at] + put + region[stop - at :]
         self.work += len(region)
         # the first touched leaf takes the region's count, the others become empty
         for leaf in range(first + 1, last + 1):
+            self.texts[leaf] = ""
             self._set(leaf, 0, 0)
+        self.texts[first] = region
         self._set(first, len(region), c.count(region))
-        return new
+
+    def edit(self, text: str, start: int, stop: int, put: str, c: Counter) -> str:
+        """Replace text[start:stop] by ``put``; returns the new text and updates the sums."""
+        self.open(text).replace(start, stop, put, c)
+        return "".join(self.texts)
 
 
 def _tree_columns(batches: Iterator[pa.RecordBatch], path: str, pattern: str, leaf: int) -> Iterator[pa.RecordBatch]:
@@ -154,17 +165,17 @@ def recount(trees: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for text, chars, tokens, edits in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
-                text, tree, done, skipped = text or "", Tree(chars, tokens), 0, 0
-                before, upto = tree.total, len(text) + 1
+                text, tree, done, skipped = text or "", Tree(chars, tokens).open(text or ""), 0, 0
+                before, upto = tree.total, len(text)
                 for e in sorted(edits or [], key=lambda e: (e["start"], e["stop"]), reverse=True):
                     start = min(max(e["start"], 0), len(text))
                     stop = min(max(e["stop"], start), len(text))
                     if stop > upto:
                         skipped += 1
                         continue
-                    text = tree.edit(text, start, stop, e["put"] or "", c)
+                    tree.replace(start, stop, e["put"] or "", c)
                     upto, done = start, done + 1
-                out.append((text, before, len(chars), done, skipped, tree.total, tree.work))
+                out.append(("".join(tree.texts), before, len(chars), done, skipped, tree.total, tree.work))
             names = ["new_text", "n_tokens", "n_leaves", "n_edits", "n_skipped", "n_tokens_after", "n_chars_encoded"]
             kinds = [pa.string()] + [pa.int64()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
