@@ -193,16 +193,6 @@ def test_token_counts_after_edits(spark):
         assert tree.total == c.count(text) and sum(tree.chars) == len(text)
 
 
-def test_overlapping_edits_are_left_out(spark):
-    from pyspark.sql import functions as F
-
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    trees = token_counts.count(documents(spark, [(1, "abcdefghij"), (2, None)]), path, public_tokenizers.PATTERN)
-    edits = F.expr("array(struct(8 as start, 10 as stop, '' as put), struct(7 as start, 9 as stop, 'no' as put), struct(0 as start, 1 as stop, 'X' as put))")
-    got = {r.doc_id: r for r in token_counts.recount(trees.withColumn("edits", edits), path, public_tokenizers.PATTERN).collect()}
-    assert (got[1].new_text, got[1].n_edits, got[1].n_skipped) == ("Xbcdefgh", 2, 1)
-
-
 def test_token_count_query_against_full_recount(spark, sf_dir):
     import regex
 
