@@ -7,6 +7,10 @@ slot, equal ones stay template text. The result is a regular expression without
 host's wrapper. Its slots are judged once: those of the article are main text, those of menus,
 notices, adverts and the like are not. Every page is then read with its host's wrapper.
 
+A host has a wrapper for each of two layouts: pages with text in an article element, and pages
+without. Only the latter are judged by where their text varies. A page without text in any main
+slot of its host (another template, or no host at all) is judged by itself.
+
 Wrappers are merged in each task first and then in rounds of salted groups, so that no group
 gathers the pages of a host; pages meet their wrapper in a salted join.
 
@@ -27,6 +31,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -150,6 +155,8 @@ def general(label: str) -> str:
     """The label that stands for new ones of its tag once a parent is full."""
     tag = label.split(" ", 1)[0]
     kept = tag if tag in _ENDS_P or tag in _NOT_MAIN or tag in _SELF_CLOSING else "div"
+    if _is_article(label) and not _marked_off(label, True):
+        return f"{kept} role=main *"
     return f"{kept} class=ad *" if _marked_off(label, True) else f"{kept} *"
 
 
@@ -218,6 +225,7 @@ def merge(a: Block, b: Block) -> Block:
     return out
 
 
+@lru_cache(1 << 16)
 def _marked_off(label: str, inside_article: bool) -> bool:
     tag, _, marks = label.partition(" ")
     if tag in _NOT_MAIN or tag == "header" and not inside_article:
@@ -229,6 +237,24 @@ def _is_article(label: str) -> bool:
     return label.split(" ", 1)[0] in ("article", "main") or "role=main" in label
 
 
+def main_slots(wrapper: Block) -> _Main:
+    return _Main(set(map(tuple, block_paths(wrapper))), set(map(tuple, main_paths(wrapper))))
+
+
+def has_article(page: Block) -> bool:
+    """Whether a page has text in an article element that is not marked off."""
+    stack = [(page, False)]
+    while stack:
+        block, article = stack.pop()
+        if block.label == "#text":
+            if article:
+                return True
+        elif not _marked_off(block.label, article):
+            article = article or _is_article(block.label)
+            stack += [(k, article) for k in block.kids]
+    return False
+
+
 def main_paths(wrapper: Block) -> list[list[str]]:
     """Paths of the text slots that hold main text."""
     slots: list[tuple[tuple[str, ...], int, bool, bool]] = []
@@ -289,21 +315,58 @@ class _Main(dict):
         return self[path]
 
 
+#: A host's wrappers: of pages without an article and of pages with one.
+Layouts = list[Block | None]
+
+
+def _joined(a: Layouts, b: Layouts) -> Layouts:
+    return [merge(x, y) if x and y else x or y for x, y in zip(a, b)]
+
+
+def _dump(layouts: Layouts) -> str:
+    return json.dumps([w and w.dump() for w in layouts], ensure_ascii=False)
+
+
+def _load(x: str) -> Layouts:
+    return [w and Block.load(w) for w in json.loads(x)]
+
+
 def _wrappers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        found: dict[str, Block] = {}
+        found: dict[str, Layouts] = {}
         for host, source in zip(b["host"], b["html"]):
-            page = fold_repeats(parse(source)[1])
-            found[host] = merge(found[host], page) if host in found else page
-        yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w.dump(), ensure_ascii=False) for w in found.values()]})
+            root = parse(source)[1]
+            article = has_article(root)
+            page = fold_repeats(root)
+            layouts = [None, page] if article else [page, None]
+            found[host] = _joined(found[host], layouts) if host in found else layouts
+        yield pd.DataFrame({"host": list(found), "wrapper": [_dump(w) for w in found.values()]})
 
 
 def _merge_wrappers(key: tuple, rows: pa.Table) -> pa.Table:
-    whole = None
+    whole: Layouts = [None, None]
     for x in sorted(rows.column("wrapper").to_pylist()):
-        one = Block.load(json.loads(x))
-        whole = one if whole is None else merge(whole, one)
-    return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(whole.dump(), ensure_ascii=False)]})
+        whole = _joined(whole, _load(x))
+    return pa.table({"host": [key[0].as_py()], "wrapper": [_dump(whole)]})
+
+
+class Reader:
+    """Reads pages with the judged wrappers of their host."""
+
+    def __init__(self, judged: str):
+        self.mains = [_Main(*({tuple(p) for p in x} for x in one)) for one in json.loads(judged)]
+
+    @staticmethod
+    def judge(layouts: Layouts) -> str:
+        return json.dumps([[block_paths(w), main_paths(w)] if w else [[], []] for w in layouts], ensure_ascii=False)
+
+    def read(self, source: str | None) -> list[str]:
+        """Texts of the main part of a page."""
+        texts, root = parse(source)
+        main = self.mains[has_article(root)]
+        if not any(main[p] for p, _ in texts):
+            main = main_slots(fold_repeats(root))
+        return [t for p, t in texts if main[p]]
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -312,7 +375,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON): one regular expression without unions for each host."""
+    """host, wrapper (JSON): one regular expression without unions for each layout of a host."""
     found = with_host(pages).select("host", "html").mapInPandas(_wrappers, "host string, wrapper string")
     for salts in ROUNDS:
         salt = F.pmod(F.xxhash64("wrapper"), F.lit(salts))
@@ -326,27 +389,24 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            whole = [Block.load(json.loads(w)) for w in b["wrapper"]]
-            paths = [json.dumps([block_paths(w), main_paths(w)], ensure_ascii=False) for w in whole]
-            yield pd.DataFrame({"host": b["host"], "paths": paths})
+            yield pd.DataFrame({"host": b["host"], "judged": [Reader.judge(_load(w)) for w in b["wrapper"]]})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known: dict[str, _Main] = {}
+            known: dict[str, Reader] = {}
             blocks = []
-            for source, paths in zip(b.column(2), b.column(3)):
-                paths = paths.as_py()
-                if paths not in known:
-                    known[paths] = _Main(*({tuple(p) for p in x} for x in json.loads(paths)))
-                blocks.append([t for p, t in parse(source.as_py())[0] if known[paths][p]])
+            for source, judged in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if judged not in known:
+                    known[judged] = Reader(judged)
+                blocks.append(known[judged].read(source))
             texts = [" ".join(x) for x in blocks]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(blocks, pa.list_(pa.string()))],
                 names=["page_id", "url", "text", "n_chars", "blocks"],
             )
 
-    judged = found.mapInPandas(judge, "host string, paths string").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    judged = found.mapInPandas(judge, "host string, judged string").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     rows = with_host(pages).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int"))
-    return rows.join(judged, ["host", "part"], "left").select("page_id", "url", "html", F.coalesce("paths", F.lit("[[], []]")).alias("paths")).mapInArrow(
+    return rows.join(judged, ["host", "part"], "left").select("page_id", "url", "html", F.coalesce("judged", F.lit("[[[], []], [[], []]]")).alias("judged")).mapInArrow(
         read, "page_id long, url string, text string, n_chars long, blocks array<string>"
     )

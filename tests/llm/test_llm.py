@@ -243,6 +243,19 @@ def test_html_custom_and_self_closing_tags():
     assert read_page("<p>a</p><template-x>b</template-x><svg width=1/><p>c</p><svg><path d=1/>no</svg><p>d")[0] == ["a", "b", "c", "d"]
 
 
+def extracted(spark, pages):
+    """page_id: blocks of main text of (page_id, url, html) rows."""
+    return {r.page_id: r.blocks for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_html_host_with_and_without_articles(spark):
+    old = [(i, None, PAGE.format(i)) for i in range(4)]
+    new = [(4, None, "<main><p>Home</p></main><div>after</div>"), (5, "no scheme", "<div role=main><p>Five</p></div>"), (6, None, "<main><nav>menu</nav></main><div><p>six</p></div>")]
+    got = extracted(spark, old + new)
+    assert all(got[i][0] == f"Head {i}" and len(got[i]) == 3 for i in range(4))
+    assert (got[4], got[5], got[6]) == (["Home"], ["Five"], ["six"])
+
+
 def test_html_query_takes_articles_only(spark, sf_dir):
     rows = queries.op2_html_extraction(spark, sf_dir).collect()
     assert len(rows) == 50 and all(r.n_chars == len(r.text) and "&copy;" not in r.text and "\n" not in r.text for r in rows)
