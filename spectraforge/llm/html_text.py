@@ -3,7 +3,8 @@
 A page's token stream (tags and texts) nests into blocks. Neighbouring blocks of the same shape
 fold into one repeated group. The streams of a host are aligned one after another: blocks found
 in both go together, a block found in one only becomes optional, differing texts become a text
-slot, equal ones stay template text. The result is a regular expression without unions, the
+slot, equal ones stay template text once pages of ``TEMPLATE_PAGES`` different contents hold them
+(copies of a page count once, texts are compared as a whole). The result is a regular expression without unions, the
 host's wrapper. Its slots are judged once: those of the article are main text, those of menus,
 notices, adverts and the like are not. Every page is then read with its host's wrapper.
 
@@ -26,6 +27,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -44,7 +46,7 @@ from .common import materialise
 ROUNDS = (512, 16, 1)
 #: Parts a host's pages are dealt to when they meet their wrapper.
 PARTS = 16
-#: Pages that must share a text before it counts as the host's template.
+#: Different pages that must share a text before it counts as the host's template.
 TEMPLATE_PAGES = 3
 #: Blocks of one parent that a wrapper keeps apart; further ones fold by label, or by tag if the label is new.
 MAX_BLOCKS = 64
@@ -73,24 +75,33 @@ _MARKED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 class Block:
     """A node of a page or wrapper: label, blocks and texts in order."""
 
-    __slots__ = ("label", "kids", "n", "optional", "repeated", "chars", "same")
+    __slots__ = ("label", "kids", "optional", "repeated", "chars", "pages", "same", "varies")
 
     def __init__(self, label: str):
         self.label, self.kids = label, []
-        self.n, self.optional, self.repeated = 1, False, False
-        self.chars, self.same = 0, None
+        self.optional, self.repeated = False, False
+        # of a text slot: characters, least digests of up to TEMPLATE_PAGES pages, digests of the texts all pages hold, whether some hold others
+        self.chars, self.pages, self.same, self.varies = 0, frozenset(), frozenset(), False
+
+    @property
+    def template(self) -> bool:
+        return not self.varies and len(self.pages) >= TEMPLATE_PAGES
 
     def dump(self) -> list:
-        return [self.label, self.n, int(self.optional), int(self.repeated), self.chars, self.same, [k.dump() for k in self.kids]]
+        return [self.label, int(self.optional), int(self.repeated), self.chars, sorted(self.pages), sorted(self.same), int(self.varies), [k.dump() for k in self.kids]]
 
     @classmethod
     def load(cls, x: list) -> Block:
         b = cls(x[0])
-        b.n, b.optional, b.repeated, b.chars, b.same = x[1], bool(x[2]), bool(x[3]), x[4], x[5]
-        b.kids = [cls.load(k) for k in x[6]]
+        b.optional, b.repeated, b.chars, b.pages, b.same, b.varies = bool(x[1]), bool(x[2]), x[3], frozenset(x[4]), frozenset(x[5]), bool(x[6])
+        b.kids = [cls.load(k) for k in x[7]]
         return b
 
 
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _label(tag: str, attributes: str) -> str:
     marks = sorted(f"{m[1].lower()}={re.sub(r'[0-9]+', '0', (m[2] or m[3] or m[4] or '').lower())}" for m in _MARKED.finditer(attributes)) if attributes else []
     return " ".join([tag, *marks])[:200]
@@ -102,7 +113,7 @@ def parse(source: str | None) -> tuple[list[tuple[tuple[str, ...], str]], Block]
     # open blocks with their tags and paths; a tag nested too deep stands for the block above it
     stack: list[tuple[str, Block, tuple[str, ...]]] = [("#page", root, ("#page",))]
     opened: Counter[str] = Counter()
-    texts, held = [], []
+    texts, slots, held = [], [], []
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
@@ -111,8 +122,9 @@ def parse(source: str | None) -> tuple[list[tuple[tuple[str, ...], str]], Block]
             _, block, path = stack[-1]
             texts.append((path, text))
             slot = Block("#text")
-            slot.chars, slot.same = len(text), text[:80]
+            slot.chars, slot.same = len(text), frozenset([digest(text)])
             block.kids.append(slot)
+            slots.append(slot)
 
     def close() -> str:
         tag = stack.pop()[0]
@@ -148,6 +160,14 @@ def parse(source: str | None) -> tuple[list[tuple[tuple[str, ...], str]], Block]
         stack.append((tag, block, path))
         opened[tag] += 1
     flush()
+    # two pages are different if what is not marked off is
+    paths: dict[tuple[str, ...], bool] = {}
+    for path, _ in texts:
+        if path not in paths:
+            paths[path] = _unmarked(path)
+    page = frozenset([digest("\n".join(text for path, text in texts if paths[path]))])
+    for slot in slots:
+        slot.pages = page
     return texts, root
 
 
@@ -166,8 +186,8 @@ def _place(kids: list[Block], at: dict[str, int], kid: Block, one_page: bool) ->
         if kid.label not in at and kid.label != "#text":
             kid.label = general(kid.label)
         if kid.label in at:
-            joined = merge(kids[at[kid.label]], kid)
-            joined.n, joined.repeated = 1 if one_page else joined.n, True
+            joined = merge(kids[at[kid.label]], kid, one_page)
+            joined.repeated = True
             kids[at[kid.label]] = joined
             return
     at[kid.label] = len(kids)
@@ -180,8 +200,8 @@ def fold_repeats(block: Block) -> Block:
     at: dict[str, int] = {}
     for kid in map(fold_repeats, block.kids):
         if kids and kids[-1].label == kid.label:
-            joined = merge(kids[-1], kid)
-            joined.n, joined.repeated = 1, True
+            joined = merge(kids[-1], kid, True)
+            joined.repeated = True
             kids[-1] = joined
         else:
             _place(kids, at, kid, True)
@@ -211,17 +231,19 @@ def _aligned(a: list[Block], b: list[Block]) -> list[tuple[Block | None, Block |
     return out
 
 
-def merge(a: Block, b: Block) -> Block:
-    """Align two streams of one label; the result accepts both."""
+def merge(a: Block, b: Block, one_page: bool = False) -> Block:
+    """Align two streams of one label, of two sets of pages or of ``one_page``; the result accepts both."""
     out = Block(a.label)
-    out.n, out.chars = a.n + b.n, a.chars + b.chars
+    out.chars = a.chars + b.chars
     out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
-    out.same = a.same if a.same == b.same else None
+    out.pages = a.pages if a.pages == b.pages else frozenset(sorted(a.pages | b.pages)[:TEMPLATE_PAGES])
+    out.same = a.same | b.same if one_page else a.same & b.same
+    out.varies = a.varies or b.varies or not one_page and a.same != b.same
     at: dict[str, int] = {}
     for x, y in _aligned(a.kids, b.kids):
-        kid = merge(x, y) if x and y else x or y
+        kid = merge(x, y, one_page) if x and y else x or y
         kid.optional = kid.optional or not (x and y)
-        _place(out.kids, at, kid, False)
+        _place(out.kids, at, kid, one_page)
     return out
 
 
@@ -233,6 +255,15 @@ def _marked_off(label: str, inside_article: bool) -> bool:
     return tag not in ("html", "body", "article", "main") and bool(_MARKS.search(marks.replace("class=", " ").replace("id=", " ")))
 
 
+def _unmarked(path: tuple[str, ...]) -> bool:
+    article = False
+    for label in path:
+        if _marked_off(label, article):
+            return False
+        article = article or _is_article(label)
+    return True
+
+
 def _is_article(label: str) -> bool:
     return label.split(" ", 1)[0] in ("article", "main") or "role=main" in label
 
@@ -261,8 +292,7 @@ def main_paths(wrapper: Block) -> list[list[str]]:
 
     def walk(block: Block, path: tuple[str, ...], article: bool) -> None:
         if block.label == "#text":
-            template = block.same is not None and block.n >= TEMPLATE_PAGES
-            slots.append((path, block.chars, article, template))
+            slots.append((path, block.chars, article, block.template))
         elif not _marked_off(block.label, article):
             for k in block.kids:
                 walk(k, path if k.label == "#text" else (*path, k.label), article or _is_article(k.label))
@@ -273,6 +303,8 @@ def main_paths(wrapper: Block) -> list[list[str]]:
         return sorted(map(list, inside))
     # no article: go down to the block that still holds most of the text that varies
     varying = [(p, n) for p, n, _, template in slots if not template]
+    if not varying:
+        return sorted({p for p, *_ in slots}, key=list)
     at: tuple[str, ...] = (wrapper.label,)
     while True:
         total = sum(n for p, n in varying if p[: len(at)] == at)

@@ -256,6 +256,17 @@ def test_html_host_with_and_without_articles(spark):
     assert (got[4], got[5], got[6]) == (["Home"], ["Five"], ["six"])
 
 
+def test_html_template_texts_are_whole_and_on_different_pages():
+    lead = "BERLIN, from our correspondent who reports every day on the matters of the town and its people: "
+    news = [f"<div id=x><h1>{lead}{i}</h1><pre>{lead}body {i}</pre></div><div id=y>About us</div>" for i in range(5)]
+    assert read_page(news[1], news)[0] == [lead + "1", lead + "body 1"]
+    copy = "<div><h1>Head</h1><pre>Body</pre></div><div class=menu>Menu {}</div>"
+    assert read_page(copy.format(0), [copy.format(i) for i in range(5)])[0] == ["Head", "Body"]
+    parts = ["<div id=a>One</div>", "<pre>Two</pre>", "<section>Three</section>", "<h2>Four</h2>"]
+    few = ["".join(p for j, p in enumerate(parts) if j != i) for i in range(4)]
+    assert read_page(few[3], few)[0] == ["One", "Two", "Three"]
+
+
 def test_html_query_takes_articles_only(spark, sf_dir):
     rows = queries.op2_html_extraction(spark, sf_dir).collect()
     assert len(rows) == 50 and all(r.n_chars == len(r.text) and "&copy;" not in r.text and "\n" not in r.text for r in rows)
