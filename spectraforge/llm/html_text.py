@@ -6,7 +6,9 @@ in both go together, a block found in one only becomes optional, differing texts
 slot, equal ones stay template text once pages of ``TEMPLATE_PAGES`` different contents hold them
 (copies of a page count once, texts are compared as a whole). The result is a regular expression without unions, the
 host's wrapper. Its slots are judged once: those of the article are main text, those of menus,
-notices, adverts and the like are not. Every page is then read with its host's wrapper.
+notices, adverts and the like are not. Every page is then aligned with its host's wrapper, which
+gives each of its texts a slot: what is read are the texts in main slots that are not the slot's
+template. Of a repeated group the texts that all pages hold in it are template.
 
 A host has a wrapper for each of two layouts: pages with text in an article element, and pages
 without. Only the latter are judged by where their text varies. A page without text in any main
@@ -75,13 +77,15 @@ _MARKED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 class Block:
     """A node of a page or wrapper: label, blocks and texts in order."""
 
-    __slots__ = ("label", "kids", "optional", "repeated", "chars", "pages", "same", "varies")
+    __slots__ = ("label", "kids", "optional", "repeated", "chars", "pages", "same", "varies", "held")
 
     def __init__(self, label: str):
         self.label, self.kids = label, []
         self.optional, self.repeated = False, False
         # of a text slot: characters, least digests of up to TEMPLATE_PAGES pages, digests of the texts all pages hold, whether some hold others
         self.chars, self.pages, self.same, self.varies = 0, frozenset(), frozenset(), False
+        # of a text slot of one page: numbers and digests of its texts
+        self.held: tuple[tuple[int, str], ...] = ()
 
     @property
     def template(self) -> bool:
@@ -120,9 +124,10 @@ def parse(source: str | None) -> tuple[list[tuple[tuple[str, ...], str]], Block]
         held.clear()
         if text:
             _, block, path = stack[-1]
-            texts.append((path, text))
             slot = Block("#text")
-            slot.chars, slot.same = len(text), frozenset([digest(text)])
+            slot.held = ((len(texts), digest(text)),)
+            slot.chars, slot.same = len(text), frozenset([slot.held[0][1]])
+            texts.append((path, text))
             block.kids.append(slot)
             slots.append(slot)
 
@@ -237,6 +242,8 @@ def merge(a: Block, b: Block, one_page: bool = False) -> Block:
     out.chars = a.chars + b.chars
     out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
     out.pages = a.pages if a.pages == b.pages else frozenset(sorted(a.pages | b.pages)[:TEMPLATE_PAGES])
+    if one_page:
+        out.held = a.held + b.held
     out.same = a.same | b.same if one_page else a.same & b.same
     out.varies = a.varies or b.varies or not one_page and a.same != b.same
     at: dict[str, int] = {}
@@ -286,18 +293,48 @@ def has_article(page: Block) -> bool:
     return False
 
 
-def main_paths(wrapper: Block) -> list[list[str]]:
-    """Paths of the text slots that hold main text."""
-    slots: list[tuple[tuple[str, ...], int, bool, bool]] = []
+def open_slots(wrapper: Block) -> list[tuple[tuple[str, ...], Block, bool]]:
+    """Path and block of the text slots that are not marked off, and whether an article holds them."""
+    slots = []
 
     def walk(block: Block, path: tuple[str, ...], article: bool) -> None:
         if block.label == "#text":
-            slots.append((path, block.chars, article, block.template))
+            slots.append((path, block, article))
         elif not _marked_off(block.label, article):
             for k in block.kids:
                 walk(k, path if k.label == "#text" else (*path, k.label), article or _is_article(k.label))
 
     walk(wrapper, (wrapper.label,), False)
+    return slots
+
+
+def keep_templates(wrapper: Block) -> bool:
+    """Leave only template texts in a wrapper's slots; false if it has none, or if no slot of main text varies."""
+    slots = open_slots(wrapper)
+    main = [x for _, x, article in slots if article] or [x for _, x, _ in slots]
+    if all(x.template for x in main):
+        return False
+    for _, x, _ in slots:
+        x.same = x.same if len(x.pages) >= TEMPLATE_PAGES else frozenset()
+    return any(x.same for _, x, _ in slots)
+
+
+def template_texts(page: Block, wrapper: Block) -> Iterator[int]:
+    """Numbers of a folded page's texts that are template of the slots they are aligned with."""
+    if page.label == "#text":
+        yield from (i for i, d in page.held if d in wrapper.same)
+        return
+    last = {k.label: k for k in wrapper.kids}
+    for x, y in _aligned(page.kids, wrapper.kids):
+        # what finds no place in order went to the block of its label when its parent was full
+        y = y or x and (last.get(x.label) or last.get(general(x.label)))
+        if x and y:
+            yield from template_texts(x, y)
+
+
+def main_paths(wrapper: Block) -> list[list[str]]:
+    """Paths of the text slots that hold main text."""
+    slots = [(p, x.chars, article, x.template) for p, x, article in open_slots(wrapper)]
     inside = {p for p, _, article, _ in slots if article}
     if inside:
         return sorted(map(list, inside))
@@ -386,19 +423,24 @@ class Reader:
     """Reads pages with the judged wrappers of their host."""
 
     def __init__(self, judged: str):
-        self.mains = [_Main(*({tuple(p) for p in x} for x in one)) for one in json.loads(judged)]
+        found = json.loads(judged)
+        self.mains = [_Main(*({tuple(p) for p in x} for x in one[:2])) for one in found]
+        self.templates = [one[2] and Block.load(one[2]) for one in found]
 
     @staticmethod
     def judge(layouts: Layouts) -> str:
-        return json.dumps([[block_paths(w), main_paths(w)] if w else [[], []] for w in layouts], ensure_ascii=False)
+        return json.dumps([[block_paths(w), main_paths(w), w.dump() if keep_templates(w) else None] if w else [[], [], None] for w in layouts], ensure_ascii=False)
 
     def read(self, source: str | None) -> list[str]:
         """Texts of the main part of a page."""
         texts, root = parse(source)
-        main = self.mains[has_article(root)]
+        layout = has_article(root)
+        main, templates = self.mains[layout], self.templates[layout]
+        page = None
         if not any(main[p] for p, _ in texts):
-            main = main_slots(fold_repeats(root))
-        return [t for p, t in texts if main[p]]
+            main = main_slots(page := fold_repeats(root))
+        left_out = set(template_texts(page or fold_repeats(root), templates)) if templates else ()
+        return [t for i, (p, t) in enumerate(texts) if main[p] and i not in left_out]
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -439,6 +481,6 @@ def extract(pages: DataFrame) -> DataFrame:
 
     judged = found.mapInPandas(judge, "host string, judged string").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     rows = with_host(pages).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int"))
-    return rows.join(judged, ["host", "part"], "left").select("page_id", "url", "html", F.coalesce("judged", F.lit("[[[], []], [[], []]]")).alias("judged")).mapInArrow(
+    return rows.join(judged, ["host", "part"], "left").select("page_id", "url", "html", F.coalesce("judged", F.lit("[[[], [], null], [[], [], null]]")).alias("judged")).mapInArrow(
         read, "page_id long, url string, text string, n_chars long, blocks array<string>"
     )

@@ -267,6 +267,14 @@ def test_html_template_texts_are_whole_and_on_different_pages():
     assert read_page(few[3], few)[0] == ["One", "Two", "Three"]
 
 
+def test_html_template_inside_articles(spark):
+    page = "<article><h1>News</h1>{}<p>Share this with your friends</p>{}</article><div>after</div>"
+    lines = [page.format("".join(f"<p>line {i} {j}</p>" for j in range(i % 3 + 1)), "<div>Offer of the day</div>" * (i % 2)) for i in range(6)]
+    got = extracted(spark, [(i, "http://a.org/x", p) for i, p in enumerate(lines)] + [(i, "http://b.org/x", lines[1]) for i in range(10, 14)])
+    assert all(got[i] == [f"line {i} {j}" for j in range(i % 3 + 1)] for i in range(6))
+    assert all(got[i] == ["News", "line 1 0", "line 1 1", "Share this with your friends", "Offer of the day"] for i in range(10, 14))
+
+
 def test_html_query_takes_articles_only(spark, sf_dir):
     rows = queries.op2_html_extraction(spark, sf_dir).collect()
     assert len(rows) == 50 and all(r.n_chars == len(r.text) and "&copy;" not in r.text and "\n" not in r.text for r in rows)
