@@ -2,7 +2,8 @@
 
 A text is cut into sentences twice: at sentence ends and line breaks, and at sentence ends only
 (licence texts are often wrapped). Normalised sentences (a-z, 0-9 and single spaces) that are
-known become identifiers, all others drop out. A rule is a sequence of identifiers; it matches
+known become identifiers, as do those that a pattern with the holder's name matches; all others
+drop out. A rule is a sequence of identifiers; it matches
 where these stand in a row in one of the two sequences. The first matching rule names the licence.
 
 Defined results
@@ -34,6 +35,42 @@ SENTENCES = {
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "gpl-program": "this program is free software",
+    "gpl-library": "this library is free software",
+    "redistribute-gpl": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "redistribute-gpl-3-later": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "redistribute-gpl-3": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3",
+    "redistribute-gpl-2-later": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "redistribute-gpl-2": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "redistribute-lgpl": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "redistribute-lgpl-3-later": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "redistribute-lgpl-2.1-later": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "redistribute-agpl": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "redistribute-agpl-3-later": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "redistribute-agpl-3-later-2": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version of the license",
+    "version-2": "version 2",
+    "version-2-of": "version 2 of the license",
+    "version-2.1-of": "version 2 1 of the license",
+    "version-3-of": "version 3 of the license",
+    "version-2-later": "either version 2 of the license or at your option any later version",
+    "version-2.1-later": "either version 2 1 of the license or at your option any later version",
+    "version-3-later": "either version 3 of the license or at your option any later version",
+    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "mpl-subject": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl2-subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl2-copy-2": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant-2": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "boost-line": "distributed under the boost software license version 1 0",
+    "zlib-origin": "the origin of this software must not be misrepresented",
+    "zlib-altered": "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    "bsd-no-name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-advertise": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
     "cc-by-nc-line": "licensed under cc by nc 4 0",
     "cc-by-line": "licensed under cc by 4 0",
     "cc-by-sa-line": "licensed under cc by sa 4 0",
@@ -41,12 +78,50 @@ SENTENCES = {
     "reserved": "all rights reserved",
 }
 
+# Sentences with a holder's name, normalised; the first words of each keep other sentences from the pattern.
+PATTERNS = {
+    "bsd-no-name": ("neither the name", r"^neither the names? of [a-z0-9 ]{1,300} nor the names of [a-z0-9 ]{1,100} may be used to endorse or promote products derived from this software without specific prior written permission$"),
+}
+
 # Rules in order of precedence; longer sequences of a licence stand before shorter ones.
 RULES = (
     ("Apache-2.0", ("apache-head", "apache-comply", "apache-basis", "apache-see")),
     ("Apache-2.0", ("apache-head", "apache-comply")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details")),
+    ("GPL-3.0-or-later", ("redistribute-gpl-3-later",)),
+    ("GPL-3.0-or-later", ("redistribute-gpl", "version-3-later")),
+    ("GPL-3.0-or-later", ("gpl-free",)),
+    ("GPL-3.0-only", ("redistribute-gpl-3",)),
+    ("GPL-3.0-only", ("redistribute-gpl", "version-3-of")),
+    ("GPL-2.0-or-later", ("redistribute-gpl-2-later",)),
+    ("GPL-2.0-or-later", ("redistribute-gpl", "version-2-later")),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("GPL-2.0-only", ("redistribute-gpl-2",)),
+    ("GPL-2.0-only", ("redistribute-gpl", "version-2-of")),
+    ("GPL-2.0-only", ("redistribute-gpl", "version-2")),
+    ("AGPL-3.0-or-later", ("redistribute-agpl-3-later",)),
+    ("AGPL-3.0-or-later", ("redistribute-agpl-3-later-2",)),
+    ("AGPL-3.0-or-later", ("redistribute-agpl", "version-3-later")),
+    ("AGPL-3.0-only", ("redistribute-agpl", "version-3-of")),
+    ("LGPL-3.0-or-later", ("redistribute-lgpl-3-later",)),
+    ("LGPL-3.0-or-later", ("redistribute-lgpl", "version-3-later")),
+    ("LGPL-3.0-only", ("redistribute-lgpl", "version-3-of")),
+    ("LGPL-2.1-or-later", ("redistribute-lgpl-2.1-later",)),
+    ("LGPL-2.1-or-later", ("redistribute-lgpl", "version-2.1-later")),
+    ("LGPL-2.1-only", ("redistribute-lgpl", "version-2.1-of")),
+    ("MPL-2.0", ("mpl2-subject",)),
+    ("MPL-2.0", ("mpl-subject", "mpl2-copy")),
+    ("MPL-2.0", ("mpl-subject", "mpl2-copy-2")),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-grant-2",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-line",)),
+    ("Zlib", ("zlib-origin", "zlib-altered")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertise")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-no-name")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("Apache-2.0", ("apache-line",)),
     ("MIT", ("mit-line",)),
@@ -71,7 +146,12 @@ def identifiers(text: Column, lines: bool) -> Column:
     keep, cut = (r"[^a-z0-9\x01\n]+", r"[\x01\n]") if lines else (r"[^a-z0-9\x01]+", r"\x01")
     sentences = F.split(F.regexp_replace(_ended(text), keep, " "), cut)
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    return F.filter(F.transform(sentences, lambda s: F.try_element_at(known, F.trim(s))), lambda i: i.isNotNull())
+
+    def identifier(sentence: Column) -> Column:
+        named = [F.when(F.startswith(sentence, F.lit(start)) & F.rlike(sentence, F.lit(pattern)), F.lit(i)) for i, (start, pattern) in PATTERNS.items()]
+        return F.coalesce(F.try_element_at(known, sentence), *named)
+
+    return F.filter(F.transform(F.transform(sentences, lambda s: F.trim(s)), identifier), lambda i: i.isNotNull())
 
 
 def _has(sequence: Column, rule: tuple[str, ...]) -> Column:

@@ -287,6 +287,43 @@ def test_licences(spark):
     assert got == {1: ("MIT", "MIT"), 2: ("Apache-2.0", "Apache-2.0"), 3: ("CC-BY-NC-4.0", "CC-BY-NC-4.0,proprietary"), 4: ("none", ""), 5: ("none", "")}
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution.
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"."""
+NO_NAME = "3. Neither the name of {} nor the names of its contributors may be used to endorse\nor promote products derived from this software without specific prior written permission.\n"
+GNU = """ * This {} is free software{} you can redistribute it and/or modify
+ * it under the terms of the GNU {}General Public License as published by
+ * the Free Software Foundation{} {}
+ *
+ * This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."""
+LATER = "either version {} of the License, or\n * (at your option) any later version."
+FEE = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"
+STANDARD = {
+    "BSD-2-Clause": [BSD.format("")],
+    "BSD-3-Clause": [BSD.format(NO_NAME.format(n)) for n in ("the copyright holder", "Example & Sons, Inc", "the University nor Example Labs")],
+    "GPL-2.0-or-later": [GNU.format("program", ";", "", ";", LATER.format(2))],
+    "GPL-2.0-only": [GNU.format("program", ";", "", ";", "version 2 of the License."), "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    "GPL-3.0-or-later": [GNU.format("program", ":", "", ",", LATER.format(3)), GNU.format("program", ";", "", ";", LATER.format(3))],
+    "LGPL-2.1-or-later": [GNU.format("library", ";", "Lesser ", ";", LATER.format("2.1"))],
+    "LGPL-3.0-or-later": [GNU.format("library", ":", "Lesser ", ",", LATER.format(3))],
+    "AGPL-3.0-or-later": [GNU.format("program", ":", "Affero ", ",", LATER.format(3))],
+    "MPL-2.0": ["/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"],
+    "ISC": [FEE + ", provided that the above\ncopyright notice and this permission notice appear in all copies."],
+    "0BSD": [FEE + "."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.\n\nAnyone is free to"],
+    "Zlib": ["1. The origin of this software must not be misrepresented; you must not\n   claim\n2. Altered source versions must be plainly marked as such, and must not be\n   misrepresented as being the original software."],
+}
+
+
+def test_standard_licence_texts(spark):
+    texts = [(name, text) for name, all_of in STANDARD.items() for text in all_of]
+    got = {r.doc_id: r.licence for r in licenses.scan(documents(spark, [(i, "Some code.\n" + text) for i, (_, text) in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+
+
 def test_odd_rows_do_not_break_an_operator(spark, odd):
     path, ranks = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     labels = spark.createDataFrame([(1, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
