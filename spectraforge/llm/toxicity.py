@@ -35,11 +35,10 @@ from .common import materialise
 
 SAMPLE_TOXIC = 4000
 SAMPLE_CLEAN = 8000
-LEXICON = 400
 #: Lengths of the word beginnings that can enter the lexicon.
 STEMS = range(4, 9)
-#: An entry needs this share of the sampled toxic rows (and at least three of them), and this weight.
-MIN_SUPPORT = 0.004
+#: An entry needs so many of the sampled toxic rows and this weight; all that have both enter the lexicon.
+MIN_SUPPORT = 3
 MIN_WEIGHT = 3.5
 
 # Letters that look like Latin ones, and digits and signs used for letters.
@@ -139,7 +138,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tu
     return tuple(map(float, b))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, lexicon: int = LEXICON, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Learn from labelled rows that are not held out."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     sizes = {r[0]: r[1] for r in marked.groupBy("toxic").count().toLocalIterator()}
@@ -156,8 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
         return Model({}, (), exceptions)
     weight = F.log((F.col("t") + 0.5) / (seen[1] + 1)) - F.log((F.col("c") + 0.5) / (seen[0] + 1))
     counts = sample.mapInPandas(_entry_counts, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    best = counts.where(F.col("t") >= max(3, MIN_SUPPORT * seen[1])).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
-    entries = best.orderBy(F.desc("weight"), "entry").limit(lexicon).select("entry", "weight").collect()
+    best = counts.where(F.col("t") >= MIN_SUPPORT).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
+    entries = best.select("entry", "weight").collect()  # the sample bounds them
     model = Model({r[0]: r[1] for r in entries}, (), exceptions)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

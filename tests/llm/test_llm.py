@@ -1,6 +1,7 @@
 """The ten operators against brute force, SQL and planted cases on small tables."""
 
 import hashlib
+import zlib
 from pathlib import Path
 
 import duckdb
@@ -180,6 +181,18 @@ def test_toxicity_learns_words_and_folds(spark, sf_dir):
     assert len(rows) == 200 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def test_toxicity_keeps_every_entry_over_the_threshold(spark):
+    ids = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 5][:5010]
+    words = [f"x{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"][:450]
+    texts = ["calm"] * 810
+    for k, w in enumerate(words):
+        for i in range(3):
+            texts[(3 * k + i) % 810] += " " + w
+    docs = documents(spark, list(zip(ids, texts + ["calm sea"] * 4200)))
+    labels = spark.createDataFrame([(i, 1, int(k < 810)) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    assert set(toxicity.train(docs, labels).weights) == {f" {w} " for w in words}
+
+
 def test_token_counts_after_edits(spark):
     c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rng = np.random.default_rng(2)
