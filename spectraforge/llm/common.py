@@ -15,13 +15,14 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only where it is unset (single-machine tests) a
-    temporary folder is made and set.
+    The setting is read from the session. Where it is unset, a temporary folder is made and set if
+    the session runs on this machine alone; on a cluster that would lose rows, so it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not root:
-        known = spark.sparkContext.getCheckpointDir()
-        root = known or tempfile.mkdtemp(prefix="spark-checkpoint-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
@@ -35,5 +36,16 @@ def materialise(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return spark.read.schema(out.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Like :func:`materialise`, bucketed by ``keys``: joins on them do not shuffle these rows again."""
+    spark = df.sparkSession
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    name = f"llm_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", shared_dir(spark)).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay
+    return found
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

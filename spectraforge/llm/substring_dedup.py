@@ -4,13 +4,19 @@ Token k-mers are the graph's edges; of the k-mers of every ``window`` consecutiv
 one with the least hash is kept (its minimiser), so equal windows keep the same k-mer. An
 occurrence of an edge carries a digest of its context: all words of the windows that chose it.
 
-* Edges seen in one context only lie on nonbranching paths. They compact through a join on
-  (edge, context) into one class whose source coordinates name the smallest document: every
-  window of the class in a larger document is a repeat.
-* Where an edge branches into several contexts, one representative of each context goes back to
-  its source coordinates, and its windows are compared one by one under 128-bit digests.
-
-So the windows of a class are expanded once, not once per copy, and no pairs are made.
+1. Edges that occur once lead nowhere and are left out by a join on the edge.
+2. Occurrences of an edge in one context are the same step of a path. A join on (edge, context)
+   leads each to its source, the occurrence in the smallest document.
+3. Where an edge branches into several contexts, the windows of the sources themselves are looked
+   up one by one, and a join on (edge, window) leads them to a still smaller document.
+4. Steps of one document that lead to neighbouring places of one source are compacted into one
+   path, whatever its length.
+5. The words at the source's coordinates are fetched, in blocks of ``BLOCK`` words, each block of
+   a source once, and joined to the paths that lead to it. A window is only removed if all of its
+   words equal those of its source: hashes choose what is compared, never what is removed.
+
+No pairs are made: every step has one source. Texts are written once, bucketed by document, so
+the three joins with them move none again.
 
 Defined results
     Null text: no words. Null ``doc_id``: neither a source nor changed. Rows that share a
@@ -22,175 +28,191 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bucketed, materialise
 
 WINDOW = 50
 K = 10
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_2 = np.uint64(0xD1342543DE82EF95)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spread 64-bit values (shift and multiply twice)."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as needed."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def reach(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-
-
-_POWERS = {int(b): _Powers(b) for b in (_BASE, _BASE_2)}
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` of UTF-8 text."""
-    if not raw:
-        return np.zeros(0, dtype=np.uint64)
-    data = np.frombuffer(raw, dtype=np.uint8)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    lengths = stops - starts
-    powers = _POWERS[int(_BASE)]
-    powers.reach(int(lengths.max()) + 1)
-    letters = data[inside].astype(np.uint64) + np.uint64(1)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    within = np.arange(len(letters)) - np.repeat(first, lengths)
-    return _mix(np.add.reduceat(letters * powers.up[within], first) + lengths.astype(np.uint64))
-
-
-def span_hashes(words: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
-    """Hashes of the word spans [start, stop), equal for equal word sequences."""
-    powers = _POWERS[int(base)]
-    powers.reach(len(words) + 1)
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * powers.up[: len(words)], out=sums[1:])
-    return _mix((sums[stops] - sums[starts]) * powers.down[starts] + (stops - starts).astype(np.uint64))
-
-
-def edges(words: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position of the k-mer, first window, last window) for the runs of windows with one minimiser."""
-    n = len(words) - window + 1
+#: Words of a source that are fetched together.
+BLOCK = 64
+#: Words a worker keeps hashes of.
+CACHE = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+
+
+class WordHashes(dict):
+    """XXH64 of words, remembered for the last ``CACHE`` different ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def kmer_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every ``k`` consecutive words, equal for equal words."""
+    n = len(hashes) - k + 1
+    found = np.zeros(max(n, 0), dtype=np.uint64)
+    for i in range(k):
+        found = (found ^ (found >> np.uint64(29))) * np.uint64(_BASE) + hashes[i : i + n]
+    return (found ^ (found >> np.uint64(32))) * np.uint64(_BASE)
+
+
+def edges(hashes: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the k-mer, first window, number of windows) for the runs of windows with one minimiser."""
+    n = len(hashes) - window + 1
     if n < 1:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    at = np.arange(len(words) - k + 1)
-    kmers = span_hashes(words, at, at + k)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    kmers = kmer_hashes(hashes, k)
     chosen = np.lib.stride_tricks.sliding_window_view(kmers, window - k + 1).argmin(axis=1) + np.arange(n)
-    cuts = np.flatnonzero(np.diff(chosen)) + 1
-    first = np.concatenate([[0], cuts])
-    return chosen[first], first, np.concatenate([cuts, [n]]) - 1
+    first = np.concatenate([[0], np.flatnonzero(np.diff(chosen)) + 1])
+    return kmers[chosen[first]], first, np.diff(first, append=n)
+
+
+def digest(words: bytes) -> int:
+    """64 bits of BLAKE2b, signed."""
+    return int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
+
+
+class Joined:
+    """Words of a text joined by single spaces, and where each begins."""
+
+    def __init__(self, words: list[bytes]):
+        self.text = b" ".join(words)
+        self.at = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
+
+    def span(self, first: int, n: int) -> bytes:
+        return self.text[self.at[first] : self.at[first + n] - 1]
+
+
+def words_of(text: pa.Scalar) -> list[bytes]:
+    return (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+
 
+_EDGES = "doc_id long, body long, edge long, context long, first int, run int"
 
-def _occurrences(window: int, k: int):
+
+def _occurrences(window: int, k: int, key: Callable[[bytes], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for b in batches:
-            parts: dict[str, list[np.ndarray]] = defaultdict(list)
+            parts: dict[str, list] = defaultdict(list)
             for row, text in enumerate(b.column(2)):
-                words = word_hashes((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                at, first, last = edges(words, window, k)
-                if not len(at):
+                words = words_of(text)
+                edge, first, n = edges(known.of(words), window, k)
+                if not len(edge):
                     continue
-                context = span_hashes(words, first, last + window, _BASE_2)
-                shape = ((at - first) << 32 | (last - first)).astype(np.uint64)
-                parts["row"].append(np.full(len(at), row))
-                parts["edge"].append(span_hashes(words, at, at + k))
-                parts["context"].append(_mix(context + shape * _BASE))
+                joined = Joined(words)
+                parts["row"].append(np.full(len(edge), row))
+                parts["edge"].append(edge)
+                parts["context"] += [key(joined.span(a, m + window - 1)) for a, m in zip(first.tolist(), n.tolist())]
                 parts["first"].append(first)
-                parts["run"].append(last - first + 1)
+                parts["run"].append(n)
             if not parts:
                 continue
-            p = {n: np.concatenate(v) for n, v in parts.items()}
-            rows = pa.array(p["row"])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(rows), b.column(1).take(rows), pa.array(p["edge"].view(np.int64)), pa.array(p["context"].view(np.int64)), pa.array(p["first"].astype(np.int32)), pa.array(p["run"].astype(np.int32))],
-                names=["doc_id", "body", "edge", "context", "first", "run"],
-            )
+            rows = pa.array(np.concatenate(parts["row"]))
+            numbers = [pa.array(np.concatenate(parts["edge"]).view(np.int64)), pa.array(parts["context"], pa.int64()), *(pa.array(np.concatenate(parts[c]).astype(np.int32)) for c in ("first", "run"))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *numbers], names=["doc_id", "body", "edge", "context", "first", "run"])
 
     return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as zstd frames: whole texts are shuffled twice, and each packs better than a mixed shuffle block."""
+    """Words of each text, joined by spaces, as a zstd frame."""
     pack = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
-        texts = [None if t is None else pack(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
+        texts = [pack(b" ".join(words_of(t))) for t in b.column(2)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], names=["doc_id", "body", "packed"])
 
 
-def _unpacked(frames: pa.Array) -> Iterator[bytes]:
-    """UTF-8 of each text, one at a time; nulls as empty."""
+def _unpacked(frames: pa.Array) -> Iterator[list[bytes]]:
+    """Words of each text, one text at a time."""
     unpack = zstandard.ZstdDecompressor().decompress
-    return (unpack(f.as_py()) if f.is_valid else b"" for f in frames)
+    return (unpack(f.as_py()).split() for f in frames)
 
 
-def _expand(window: int):
-    """128-bit digests of the windows that representatives of branching edges ask for."""
+def _windows(window: int, key: Callable[[bytes], int]):
+    """The windows of the sources of branching edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list[np.ndarray]] = defaultdict(list)
-            for doc, text, asked in zip(b.column(0), _unpacked(b.column(1)), b.column(2)):
-                if not asked.is_valid:
-                    continue
-                words = word_hashes(text)
+            for doc, body, words, asked in zip(b.column(0), b.column(1), _unpacked(b.column(2)), b.column(3)):
+                joined = Joined(words)
                 asked = asked.values
-                first, run_ = asked.field("first").to_numpy().astype(np.int64), asked.field("run").to_numpy().astype(np.int64)
-                offset = np.arange(run_.sum()) - np.repeat(np.cumsum(run_) - run_, run_)
-                at = np.repeat(first, run_) + offset
-                out["h1"].append(span_hashes(words, at, at + window).view(np.int64))
-                out["h2"].append(span_hashes(words, at, at + window, _BASE_2).view(np.int64))
-                out["doc_id"].append(np.full(len(at), doc.as_py()))
-                for name in ("edge", "context"):
-                    out[name].append(np.repeat(asked.field(name).to_numpy(), run_))
-                out["offset"].append(offset.astype(np.int32))
-            if out:
-                yield pa.RecordBatch.from_pydict({n: np.concatenate(v) for n, v in out.items()})
+                first, n = asked.field("first").to_numpy().astype(np.int64), asked.field("run").to_numpy()
+                at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                keys = [key(joined.span(a, window)) for a in at.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), doc.as_py())), pa.array(np.full(len(at), body.as_py())), pa.array(np.repeat(asked.field("edge").to_numpy(), n)), pa.array(keys, pa.int64()), pa.array(at.astype(np.int32))],
+                    names=["doc_id", "body", "edge", "context", "first"],
+                )
+
+    return run
+
+
+def _blocks(block: int):
+    """The asked blocks of each source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, body, words, asked in zip(b.column(0), b.column(1), _unpacked(b.column(2)), b.column(3)):
+                numbers = asked.as_py()
+                texts = [b" ".join(words[n * block : (n + 1) * block]) for n in numbers]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc.as_py()] * len(numbers), pa.int64()), pa.array([body.as_py()] * len(numbers), pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.binary())],
+                    names=["source", "source_body", "block", "words"],
+                )
 
     return run
 
 
-def _removed(window: int):
+def verified(words: list[bytes], pieces: list[dict], window: int, block: int) -> np.ndarray:
+    """Which words are covered by windows that equal their source, word for word.
+
+    A piece holds the number and the words of a source's block, the part [lo, hi) of the source that
+    a path takes of it, the path's shift from the source to this text, and the source.
+    """
+    paths: dict[tuple, list[dict]] = defaultdict(list)
+    for p in pieces:
+        paths[p["source"], p["source_body"], p["shift"]].append(p)
+    gone = np.zeros(len(words) + 1, dtype=np.int64)
+    for (_, _, shift), path in paths.items():
+        low = min(p["lo"] for p in path) + shift
+        equal = np.zeros(max(p["hi"] for p in path) + shift - low, dtype=np.int8)
+        for p in path:
+            theirs = p["words"].split()[p["lo"] - p["block"] * block : p["hi"] - p["block"] * block]
+            at = p["lo"] + shift
+            own = words[at : at + len(theirs)]
+            equal[at - low : at - low + len(theirs)] |= 1 if own == theirs else np.array([x == y for x, y in zip(own, theirs)], dtype=np.int8)
+        edge = np.flatnonzero(np.diff(equal, prepend=0, append=0))
+        for a, z in zip((edge[::2] + low).tolist(), (edge[1::2] + low).tolist()):
+            if z - a >= window:
+                gone[a] += 1
+                gone[z] -= 1
+    return np.cumsum(gone)[:-1] > 0
+
+
+def _removed(window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = defaultdict(list)
-            for text, spans in zip(_unpacked(b.column(1)), b.column(2)):
-                words = text.split()
+            for words, pieces in zip(_unpacked(b.column(1)), b.column(2)):
                 found: list[dict] = []
                 keep = words
-                if spans.is_valid and len(spans):
-                    first = spans.values.field("first").to_numpy().astype(np.int64)
-                    mask = spans.values.field("mask").to_numpy()
-                    gone = np.zeros(len(words) + 1, dtype=np.int64)
-                    for bit in range(window):  # bit i: the window i words after the run's first
-                        at = first[(mask >> np.int64(bit)) & 1 == 1] + bit
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + window, -1)
-                    gone = np.cumsum(gone)[:-1] > 0
+                if pieces.is_valid:
+                    gone = verified(words, pieces.as_py(), window, block)
                     keep = [w for w, g in zip(words, gone.tolist()) if not g]
                     edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
                     found = [{"first": int(a), "after": int(z)} for a, z in zip(edge[::2], edge[1::2])]
@@ -204,50 +226,53 @@ def _removed(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, removed (word spans [first, after) of the original)."""
-    if not k < window <= k + 62:
-        raise ValueError("the windows of an edge must fit the bits of a long: k < window <= k + 62")
+def paths(steps: DataFrame) -> DataFrame:
+    """Steps that lead to overlapping or touching parts of one source with one shift, as one path each."""
+    line = ["doc_id", "body", "source", "source_body", "shift"]
+    before = Window.partitionBy(*line).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*line).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    marked = steps.withColumn("starts", (F.col("lo") > F.coalesce(F.max("hi").over(before), F.lit(-1))).cast("int"))
+    return marked.withColumn("path", F.sum("starts").over(upto)).groupBy(*line, "path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("path")
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, block: int = BLOCK, key: Callable[[bytes], int] = digest) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, removed (word spans [first, after) of the original).
+
+    ``key`` digests contexts and windows; whatever it is, nothing is removed that is not repeated.
+    """
+    if not k < window:
+        raise ValueError("a window must be longer than a k-mer")
     # body tells rows apart that share a doc_id but not their text
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("body", F.xxhash64("text"))
-    found = materialise(
-        rows.where("doc_id is not null")
-        .select("doc_id", "body", "text")
-        .mapInArrow(_occurrences(window, k), "doc_id long, body long, edge long, context long, first int, run int")
-    )
-    # compaction: all occurrences of an edge in one context become one class, named by its smallest source
-    classes = materialise(
-        found.groupBy("edge", "context").agg(F.min(F.struct("doc_id", "body", "first", "run")).alias("source"), F.count(F.lit(1)).alias("n"))
-    )
-    branching = classes.groupBy("edge").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("edge")
-    asked = (
-        classes.join(branching, "edge", "left_semi")
-        .groupBy("source.doc_id", "source.body")
-        .agg(F.collect_list(F.struct("edge", "context", "source.first", "source.run")).alias("asked"))
-    )
-    texts = rows.select("doc_id", "body", "text").mapInArrow(_packed, "doc_id long, body long, packed binary")
-    windows = (
-        texts.join(asked, ["doc_id", "body"])
-        .select("doc_id", "packed", "asked")
-        .mapInArrow(_expand(window), "h1 long, h2 long, doc_id long, edge long, context long, offset int")
-    )
-    windows = materialise(windows)
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    masks = (
-        windows.join(least, ["h1", "h2"])
-        .where("doc_id > least")
-        .groupBy("edge", "context")
-        .agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask"))
-    )
-    judged = classes.where("n > 1").select("edge", "context", F.col("source.doc_id").alias("least")).join(masks, ["edge", "context"], "full_outer")
-    whole = F.expr("shiftleft(1L, run) - 1")
-    spans = (
-        found.join(judged, ["edge", "context"])
-        .withColumn("mask", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.coalesce("mask", F.lit(0).cast("long"))))
-        .where("mask <> 0")
-        .groupBy("doc_id", "body")
-        .agg(F.collect_list(F.struct("first", "mask")).alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("body", F.xxhash64("text")).select("doc_id", "body", "text")
+    texts = bucketed(rows.mapInArrow(_packed, "doc_id long, body long, packed binary"), ["doc_id", "body"])
+    found = materialise(rows.where("doc_id is not null").mapInArrow(_occurrences(window, k, key), _EDGES))
+    repeated = found.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge")
+    crossings = materialise(found.join(repeated, "edge", "left_semi"))
+
+    sources = crossings.groupBy("edge", "context").agg(F.min(F.struct("doc_id", "body", "first")).alias("source"))
+    sources = materialise(sources.select("edge", "context", F.col("source.doc_id").alias("source"), F.col("source.body").alias("source_body"), F.col("source.first").alias("source_first")))
+    led = materialise(crossings.join(sources, ["edge", "context"]).drop("context"))
+    branching = sources.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge")
+    asked = led.where("doc_id = source").join(branching, "edge", "left_semi").groupBy("doc_id", "body").agg(F.collect_set(F.struct("edge", "first", "run")).alias("asked"))
+    windows = materialise(texts.join(asked, ["doc_id", "body"]).select("doc_id", "body", "packed", "asked").mapInArrow(_windows(window, key), "doc_id long, body long, edge long, context long, first int"))
+    shared = windows.groupBy("edge", "context").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most")).where("source < most").drop("most")
+    shared = materialise(windows.join(shared, ["edge", "context"]))
+    places = shared.where("doc_id = source").groupBy("edge", "context").agg(F.min(F.struct("body", "first")).alias("place"))
+    places = places.select("edge", "context", F.col("place.body").alias("source_body"), F.col("place.first").alias("source_first"))
+    single = shared.where("doc_id > source").join(places, ["edge", "context"]).withColumn("run", F.lit(1))
+
+    line = ["doc_id", "body", "source", "source_body", (F.col("first") - F.col("source_first")).alias("shift"), F.col("source_first").alias("lo"), (F.col("source_first") + F.col("run") + window - 1).alias("hi")]
+    found_paths = paths(led.where("doc_id > source").select(*line).unionByName(single.select(*line)))
+    numbers = F.sequence(F.floor(F.col("lo") / block).cast("int"), F.floor((F.col("hi") - 1) / block).cast("int"))
+    need = materialise(
+        found_paths.withColumn("block", F.explode(numbers))
+        .withColumn("lo", F.greatest("lo", F.col("block") * block))
+        .withColumn("hi", F.least("hi", (F.col("block") + 1) * block))
     )
-    return texts.join(spans, ["doc_id", "body"], "left").select("doc_id", "packed", "spans").mapInArrow(
-        _removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,after:int>>"
+    wanted = need.groupBy(F.col("source").alias("doc_id"), F.col("source_body").alias("body")).agg(F.collect_set("block").alias("blocks"))
+    words = texts.join(wanted, ["doc_id", "body"]).select("doc_id", "body", "packed", "blocks").mapInArrow(_blocks(block), "source long, source_body long, block int, words binary")
+    words = materialise(words).groupBy("source", "source_body", "block").agg(F.first("words").alias("words"))  # repeated rows have one text
+    pieces = need.join(words, ["source", "source_body", "block"]).groupBy("doc_id", "body").agg(F.collect_list(F.struct("source", "source_body", "shift", "block", "lo", "hi", "words")).alias("pieces"))
+    return texts.join(pieces, ["doc_id", "body"], "left").select("doc_id", "packed", "pieces").mapInArrow(
+        _removed(window, block), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,after:int>>"
     )

@@ -166,10 +166,32 @@ def test_substring_dedup_against_brute_force(spark):
     passages = [" ".join(rng.choice(list("abcdefgh"), 14)) for _ in range(4)]
     rows = [(i, " ".join(str(rng.choice(passages)) if rng.random() < 0.5 else " ".join(rng.choice(list("abcd"), rng.integers(1, 9))) for _ in range(rng.integers(1, 9)))) for i in range(60)]
     rows += [(60, "a " * 80), (61, "a " * 90), (62, None), (63, "")]
-    got = {r.doc_id: r.kept_sha256 for r in substring_dedup.substring_dedup(documents(spark, rows), window=8, k=3).collect()}
+    got = {r.doc_id: r.kept_sha256 for r in substring_dedup.substring_dedup(documents(spark, rows), window=8, k=3, block=5).collect()}
     assert got == brute_substring(rows, 8)
 
 
+def test_substring_dedup_compares_the_words(spark):
+    tm = [bin(i).count("1") % 2 for i in range(2048)]  # collides under sums of powers modulo 2**64
+    word = ["".join("ab"[b ^ flip] for b in tm) for flip in (0, 1)]
+    head = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{head} {word[0]}"), (2, f"{head} {word[1]}"), (3, " ".join("xy"[b] for b in tm)), (4, " ".join("yx"[b] for b in tm)), (5, f"{head} {word[0]} end"), (6, f"start {head}\t{word[1]}")]
+    for t in (2, 3, 5):  # two rows of one doc_id, and a repeated row
+        rows.append((7, rows[t][1] + " more"))
+    rows.append(rows[-1])
+    got = substring_dedup.substring_dedup(documents(spark, rows)).collect()
+    assert {r.doc_id: r.n_removed for r in got if r.doc_id in (1, 2, 5)} == {1: 0, 2: 0, 5: 50}
+    expected = brute_substring(rows[:6], 50)
+    assert {r.doc_id: r.kept_sha256 for r in got if r.doc_id < 7} == expected
+    assert sorted(r.n_removed for r in got if r.doc_id == 7) == [51, 51, 2048, 2048]
+
+
+def test_substring_dedup_under_colliding_digests(spark):
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{j}" for j in range(12)) + " p q r s t u v w x y z " + str(i)) for i in range(9)]
+    got = substring_dedup.substring_dedup(documents(spark, rows), window=8, k=3, key=lambda words: 7).collect()
+    exact = {r.doc_id: {p for s in r.removed for p in range(s["first"], s["after"])} for r in substring_dedup.substring_dedup(documents(spark, rows), window=8, k=3).collect()}
+    assert all({p for s in r.removed for p in range(s["first"], s["after"])} <= exact[r.doc_id] for r in got) and exact[3]
+
+
 def test_toxicity_learns_words_and_folds(spark, sf_dir):
     model = toxicity.Model({" idiot ": 5.0, " trash ": 5.0, " moron ": 5.0}, (-3.0, 1.0, 5.0))
     a = model.automaton()
