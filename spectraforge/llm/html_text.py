@@ -4,18 +4,23 @@ A page's token stream (tags and texts) nests into blocks. Neighbouring blocks of
 fold into one repeated group. The streams of a host are aligned one after another: blocks found
 in both go together, a block found in one only becomes optional, differing texts become a text
 slot, equal ones stay template text once pages of ``TEMPLATE_PAGES`` different contents hold them
-(copies of a page count once, texts are compared as a whole). The result is a regular expression without unions, the
-host's wrapper. Its slots are judged once: those of the article are main text, those of menus,
-notices, adverts and the like are not. Every page is then aligned with its host's wrapper, which
-gives each of its texts a slot: what is read are the texts in main slots that are not the slot's
-template. Of a repeated group the texts that all pages hold in it are template.
+(copies of a page count once, texts are compared as a whole). The result is a regular expression
+without unions, the host's wrapper (:func:`expression` writes it out).
+
+The wrapper decides. Its slots are judged once, by where they stand, what they vary in and how
+much they hold: slots of the article are main text, those of menus, notices, adverts and the like
+are not. Every page is then matched with its host's wrapper, which gives each of its texts a slot;
+what is read are the texts in main slots that are not the slot's template. Of a repeated group
+the texts that all pages hold in it are template. A page that its wrapper does not match, or that
+has no text in any main slot of its host, is judged by its own wrapper.
 
 A host has a wrapper for each of two layouts: pages with text in an article element, and pages
-without. Only the latter are judged by where their text varies. A page without text in any main
-slot of its host (another template, or no host at all) is judged by itself.
+without. Only the latter are judged by where their text varies.
 
-Wrappers are merged in each task first and then in rounds of salted groups, so that no group
-gathers the pages of a host; pages meet their wrapper in a salted join.
+Pages of one skeleton (labels, groups and slots without texts) are put together first: that is a
+sum, whatever the order. The skeletons of a host are then aligned in rounds of groups, in sorted
+order, so the result does not depend on how the pages were dealt to tasks, and no group gathers
+the pages of a host.
 
 A wrapper is bounded whatever the pages hold: nesting below ``MAX_DEPTH`` belongs to the block at
 that depth, and of the blocks of one parent ``MAX_BLOCKS`` are kept apart, all others go to the
@@ -36,22 +41,22 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Salts of the rounds that merge the wrappers of a host.
-ROUNDS = (512, 16, 1)
-#: Parts a host's pages are dealt to when they meet their wrapper.
-PARTS = 16
+#: Groups of the rounds that put pages of one skeleton together, and of those that align the skeletons of a host.
+SUMS, ROUNDS = (512, 1), (64, 8, 1)
 #: Different pages that must share a text before it counts as the host's template.
 TEMPLATE_PAGES = 3
 #: Blocks of one parent that a wrapper keeps apart; further ones fold by label, or by tag if the label is new.
 MAX_BLOCKS = 64
+#: Characters of a label; a digest with what it marks stands for a longer one.
+MAX_LABEL = 200
 #: Nesting that is kept apart; below it only what is marked as no main text gets a block of its own.
 MAX_DEPTH = 128
 
@@ -62,11 +67,18 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _NOT_MAIN = frozenset("head title nav footer aside form button fieldset dialog menu".split())
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
-# Words in class or id that mark what is not main text.
-_MARKS = re.compile(
-    r"(?:^|[\W_])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|rail|widget|footer|masthead|topbar|"
-    r"cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comments?|replies|discussion|disqus|complementary|contentinfo|dialog)(?:$|[\W_])"
+# Names in class, id or role that mark what is not main text, and words that may stand beside one in a name.
+_MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion banner menu menus nav navbar navigation breadcrumb breadcrumbs "
+    "sidebar rail widget widgets footer masthead topbar cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login search share sharing social "
+    "comment comments replies disqus complementary contentinfo dialog".split()
+)
+_LEADING = frozenset("ad ads advert advertisement sponsored promo cookie cookies gdpr newsletter comment comments sidebar footer nav navbar menu breadcrumb breadcrumbs widget disqus".split())
+_BESIDE = frozenset(
+    "a area bar bottom box block button buttons container content desktop field form global google group head header icons inline inner item items left link links list main mobile outer page panel "
+    "post posts primary reader region right secondary section site slot text the thread top unit user users view wrap wrapper 0".split()
 )
+_OF_OTHERS = re.compile(r"(?:related|recommended|popular|more|read)[-_]?(?:articles|content|items|links|news|pages|posts|reading|stories)")
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])[^>]*/>|<({_RAW})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
     re.S | re.I,
@@ -77,13 +89,15 @@ _MARKED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 class Block:
     """A node of a page or wrapper: label, blocks and texts in order."""
 
-    __slots__ = ("label", "kids", "optional", "repeated", "chars", "pages", "same", "varies", "held")
+    __slots__ = ("label", "kids", "optional", "repeated", "chars", "pages", "same", "varies", "main", "held")
 
     def __init__(self, label: str):
         self.label, self.kids = label, []
         self.optional, self.repeated = False, False
         # of a text slot: characters, least digests of up to TEMPLATE_PAGES pages, digests of the texts all pages hold, whether some hold others
         self.chars, self.pages, self.same, self.varies = 0, frozenset(), frozenset(), False
+        # of a text slot of a judged wrapper: whether it holds main text
+        self.main = False
         # of a text slot of one page: numbers and digests of its texts
         self.held: tuple[tuple[int, str], ...] = ()
 
@@ -92,13 +106,13 @@ class Block:
         return not self.varies and len(self.pages) >= TEMPLATE_PAGES
 
     def dump(self) -> list:
-        return [self.label, int(self.optional), int(self.repeated), self.chars, sorted(self.pages), sorted(self.same), int(self.varies), [k.dump() for k in self.kids]]
+        return [self.label, int(self.optional), int(self.repeated), self.chars, sorted(self.pages), sorted(self.same), int(self.varies), int(self.main), [k.dump() for k in self.kids]]
 
     @classmethod
     def load(cls, x: list) -> Block:
         b = cls(x[0])
-        b.optional, b.repeated, b.chars, b.pages, b.same, b.varies = bool(x[1]), bool(x[2]), x[3], frozenset(x[4]), frozenset(x[5]), bool(x[6])
-        b.kids = [cls.load(k) for k in x[7]]
+        b.optional, b.repeated, b.chars, b.pages, b.same, b.varies, b.main = bool(x[1]), bool(x[2]), x[3], frozenset(x[4]), frozenset(x[5]), bool(x[6]), bool(x[7])
+        b.kids = [cls.load(k) for k in x[8]]
         return b
 
 
@@ -108,7 +122,11 @@ def digest(text: str) -> str:
 
 def _label(tag: str, attributes: str) -> str:
     marks = sorted(f"{m[1].lower()}={re.sub(r'[0-9]+', '0', (m[2] or m[3] or m[4] or '').lower())}" for m in _MARKED.finditer(attributes)) if attributes else []
-    return " ".join([tag, *marks])[:200]
+    label = " ".join([tag, *marks])
+    if len(label) <= MAX_LABEL:
+        return label
+    kind = "class=ad" if _marked_off(label, True) else "role=main" if _is_article(label) else "class=long"
+    return f"{tag} {kind} id={digest(label)}"
 
 
 def parse(source: str | None) -> tuple[list[tuple[tuple[str, ...], str]], Block]:
@@ -254,12 +272,18 @@ def merge(a: Block, b: Block, one_page: bool = False) -> Block:
     return out
 
 
+def _is_mark(name: str) -> bool:
+    """Whether a name begins with a word that marks what is not main text, or is made of such words and words that may stand beside them."""
+    words = [w for w in re.split(r"[\W_]+", name) if w]
+    return bool(words) and words[0] in _LEADING or bool(_OF_OTHERS.fullmatch(name)) or any(w in _MARKS for w in words) and all(w in _MARKS or w in _BESIDE for w in words)
+
+
 @lru_cache(1 << 16)
 def _marked_off(label: str, inside_article: bool) -> bool:
-    tag, _, marks = label.partition(" ")
+    tag, *names = re.split(r" (?:(?:class|id|role)=)?|=", label)
     if tag in _NOT_MAIN or tag == "header" and not inside_article:
         return True
-    return tag not in ("html", "body", "article", "main") and bool(_MARKS.search(marks.replace("class=", " ").replace("id=", " ")))
+    return tag not in ("html", "body", "article", "main") and any(map(_is_mark, names))
 
 
 def _unmarked(path: tuple[str, ...]) -> bool:
@@ -275,10 +299,6 @@ def _is_article(label: str) -> bool:
     return label.split(" ", 1)[0] in ("article", "main") or "role=main" in label
 
 
-def main_slots(wrapper: Block) -> _Main:
-    return _Main(set(map(tuple, block_paths(wrapper))), set(map(tuple, main_paths(wrapper))))
-
-
 def has_article(page: Block) -> bool:
     """Whether a page has text in an article element that is not marked off."""
     stack = [(page, False)]
@@ -308,80 +328,71 @@ def open_slots(wrapper: Block) -> list[tuple[tuple[str, ...], Block, bool]]:
     return slots
 
 
-def keep_templates(wrapper: Block) -> bool:
-    """Leave only template texts in a wrapper's slots; false if it has none, or if no slot of main text varies."""
-    slots = open_slots(wrapper)
-    main = [x for _, x, article in slots if article] or [x for _, x, _ in slots]
-    if all(x.template for x in main):
-        return False
-    for _, x, _ in slots:
-        x.same = x.same if len(x.pages) >= TEMPLATE_PAGES else frozenset()
-    return any(x.same for _, x, _ in slots)
+def expression(block: Block) -> str:
+    """The wrapper as a regular expression over tags and text slots."""
+    inside = " ".join(map(expression, block.kids))
+    body = "#text" if block.label == "#text" else f"<{block.label}>{inside}</>"
+    mark = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[block.optional, block.repeated]
+    return f"({body}){mark}" if mark else body
 
 
-def template_texts(page: Block, wrapper: Block) -> Iterator[int]:
-    """Numbers of a folded page's texts that are template of the slots they are aligned with."""
-    if page.label == "#text":
-        yield from (i for i, d in page.held if d in wrapper.same)
-        return
-    last = {k.label: k for k in wrapper.kids}
-    for x, y in _aligned(page.kids, wrapper.kids):
-        # what finds no place in order went to the block of its label when its parent was full
-        y = y or x and (last.get(x.label) or last.get(general(x.label)))
-        if x and y:
-            yield from template_texts(x, y)
-
-
-def main_paths(wrapper: Block) -> list[list[str]]:
-    """Paths of the text slots that hold main text."""
-    slots = [(p, x.chars, article, x.template) for p, x, article in open_slots(wrapper)]
-    inside = {p for p, _, article, _ in slots if article}
-    if inside:
-        return sorted(map(list, inside))
-    # no article: go down to the block that still holds most of the text that varies
-    varying = [(p, n) for p, n, _, template in slots if not template]
+def judge(wrapper: Block) -> Block:
+    """Mark a wrapper's slots of main text, and leave only template texts in them."""
+    slots = open_slots(wrapper)
+    for _, slot, _ in slots:
+        slot.main = False
+    inside = [slot for _, slot, article in slots if article]
+    for slot in inside or _varying_main(wrapper, [(path, slot) for path, slot, _ in slots]):
+        slot.main = True
+    main = [slot for _, slot, _ in slots if slot.main]
+    known = any(not slot.template for slot in main)  # else nothing tells text from template
+    for slot in main:
+        slot.same = slot.same if known and len(slot.pages) >= TEMPLATE_PAGES else frozenset()
+    return wrapper
+
+
+def _varying_main(wrapper: Block, slots: list[tuple[tuple[str, ...], Block]]) -> list[Block]:
+    """Without an article: the slots below the deepest block that still holds most of the text that varies."""
+    varying = [(path, slot) for path, slot in slots if not slot.template]
     if not varying:
-        return sorted({p for p, *_ in slots}, key=list)
+        return [slot for _, slot in slots]
     at: tuple[str, ...] = (wrapper.label,)
     while True:
-        total = sum(n for p, n in varying if p[: len(at)] == at)
-        below: dict[tuple[str, ...], int] = {}
-        for p, n in varying:
-            if p[: len(at)] == at and len(p) > len(at):
-                below[p[: len(at) + 1]] = below.get(p[: len(at) + 1], 0) + n
-        top = max(below, key=below.get, default=None)
+        total = sum(slot.chars for path, slot in varying if path[: len(at)] == at)
+        below: Counter[tuple[str, ...]] = Counter()
+        for path, slot in varying:
+            if path[: len(at)] == at and len(path) > len(at):
+                below[path[: len(at) + 1]] += slot.chars
+        top = max(sorted(below), key=below.get, default=None)
         # stop above a block that only holds text: its neighbours belong to it
-        if top is None or below[top] < 0.7 * total or not any(p[: len(top)] == top and len(p) > len(top) for p, _ in varying):
-            return sorted({tuple(p) for p, _ in varying if p[: len(at)] == at}, key=list)
+        if top is None or below[top] < 0.7 * total or not any(path[: len(top)] == top and len(path) > len(top) for path, _ in varying):
+            paths = {path for path, _ in varying if path[: len(at)] == at}
+            return [slot for path, slot in slots if path in paths]
         at = top
 
 
-def block_paths(wrapper: Block) -> list[list[str]]:
-    """Paths of all blocks of a wrapper but those that cannot hold main text."""
-    found = []
-
-    def walk(block: Block, path: tuple[str, ...]) -> None:
-        found.append(list(path))
-        for k in block.kids:
-            if k.label != "#text" and not _marked_off(k.label, True):
-                walk(k, (*path, k.label))
-
-    walk(wrapper, (wrapper.label,))
-    return found
-
-
-class _Main(dict):
-    """Whether a page's path leads to main text, followed from the root by its labels or general ones."""
-
-    def __init__(self, blocks: set[tuple[str, ...]], main: set[tuple[str, ...]]):
-        self.blocks, self.main = blocks, main
-
-    def __missing__(self, path: tuple[str, ...]) -> bool:
-        at: tuple[str, ...] = ()
-        for label in path:
-            at = (*at, label) if (*at, label) in self.blocks else (*at, general(label))
-        self[path] = at in self.main
-        return self[path]
+def match(page: Block, wrapper: Block) -> Iterator[tuple[Block, Block]] | None:
+    """Slots of a folded page, each with the wrapper's slot that it fills; null if the expression does not accept the page."""
+    if page.label == "#text":
+        return iter([(page, wrapper)])
+    found: list[Iterator] = []
+    last = {k.label: k for k in wrapper.kids}
+    for x, y in _aligned(page.kids, wrapper.kids):
+        if x is None:
+            if not y.optional:
+                return None
+            continue
+        # what finds no place in order went to the block of its label when its parent was full
+        y = y or last.get(x.label) or last.get(general(x.label))
+        if y is None or x.repeated and not y.repeated:
+            return None
+        if _marked_off(x.label, True):
+            continue
+        inner = match(x, y)
+        if inner is None:
+            return None
+        found.append(inner)
+    return chain.from_iterable(found)
 
 
 #: A host's wrappers: of pages without an article and of pages with one.
@@ -400,47 +411,70 @@ def _load(x: str) -> Layouts:
     return [w and Block.load(w) for w in json.loads(x)]
 
 
-def _wrappers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def skeleton(layouts: Layouts) -> str:
+    """Digest of the labels, groups and slots of a page, without its texts."""
+
+    def shape(b: Block) -> list:
+        return [b.label, int(b.repeated), *map(shape, b.kids)]
+
+    return digest(json.dumps([w and shape(w) for w in layouts]))
+
+
+def page_layouts(root: Block) -> Layouts:
+    article = has_article(root)
+    page = fold_repeats(root)
+    return [None, page] if article else [page, None]
+
+
+def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a host and skeleton of each batch."""
     for b in batches:
-        found: dict[str, Layouts] = {}
-        for host, source in zip(b["host"], b["html"]):
-            root = parse(source)[1]
-            article = has_article(root)
-            page = fold_repeats(root)
-            layouts = [None, page] if article else [page, None]
-            found[host] = _joined(found[host], layouts) if host in found else layouts
-        yield pd.DataFrame({"host": list(found), "wrapper": [_dump(w) for w in found.values()]})
+        found: dict[tuple[str, str], Layouts] = {}
+        for host, source in zip(b.column(0).to_pylist(), b.column(1)):
+            layouts = page_layouts(parse(source.as_py())[1])
+            key = host, skeleton(layouts)
+            found[key] = _joined(found[key], layouts) if key in found else layouts
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], pa.string()) for i in (0, 1)] + [pa.array(map(_dump, found.values()), pa.string())], names=["host", "skeleton", "wrapper"])
 
 
-def _merge_wrappers(key: tuple, rows: pa.Table) -> pa.Table:
+def _merge_wrappers(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrappers of one group as one; each row is let go once it is merged."""
     whole: Layouts = [None, None]
-    for x in sorted(rows.column("wrapper").to_pylist()):
+    for b in rows:
+        for x in b.column("wrapper"):
+            whole = _joined(whole, _load(x.as_py()))
+    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.string()) for k in key[:2]] + [pa.array([_dump(whole)], pa.string())], names=["host", "skeleton", "wrapper"])
+
+
+def _align_wrappers(key: tuple, rows: pa.Table) -> pa.Table:
+    whole: Layouts = [None, None]
+    for x in rows.sort_by("skeleton").column("wrapper").to_pylist():
         whole = _joined(whole, _load(x))
-    return pa.table({"host": [key[0].as_py()], "wrapper": [_dump(whole)]})
+    return pa.table({"host": [key[0].as_py()], "skeleton": [skeleton(whole)], "wrapper": [_dump(whole)]})
 
 
 class Reader:
     """Reads pages with the judged wrappers of their host."""
 
     def __init__(self, judged: str):
-        found = json.loads(judged)
-        self.mains = [_Main(*({tuple(p) for p in x} for x in one[:2])) for one in found]
-        self.templates = [one[2] and Block.load(one[2]) for one in found]
-
-    @staticmethod
-    def judge(layouts: Layouts) -> str:
-        return json.dumps([[block_paths(w), main_paths(w), w.dump() if keep_templates(w) else None] if w else [[], [], None] for w in layouts], ensure_ascii=False)
+        self.layouts = _load(judged)
 
     def read(self, source: str | None) -> list[str]:
         """Texts of the main part of a page."""
         texts, root = parse(source)
-        layout = has_article(root)
-        main, templates = self.mains[layout], self.templates[layout]
-        page = None
-        if not any(main[p] for p, _ in texts):
-            main = main_slots(page := fold_repeats(root))
-        left_out = set(template_texts(page or fold_repeats(root), templates)) if templates else ()
-        return [t for i, (p, t) in enumerate(texts) if main[p] and i not in left_out]
+        layouts = page_layouts(root)
+        which = int(layouts[1] is not None)
+        page = layouts[which]
+        return self._taken(texts, page, self.layouts[which]) or self._taken(texts, page, judge(Block.load(page.dump())))
+
+    @staticmethod
+    def _taken(texts: list[tuple], page: Block, wrapper: Block | None) -> list[str]:
+        slots = wrapper and match(page, wrapper)
+        if not slots:
+            return []
+        main = [(own, slot) for own, slot in slots if slot.main]
+        taken = sorted(i for own, slot in main for i, d in own.held if d not in slot.same)
+        return [texts[i][1] for i in taken]
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -448,12 +482,16 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
 
 
+_WRAPPERS = "host string, skeleton string, wrapper string"
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON): one regular expression without unions for each layout of a host."""
-    found = with_host(pages).select("host", "html").mapInPandas(_wrappers, "host string, wrapper string")
-    for salts in ROUNDS:
-        salt = F.pmod(F.xxhash64("wrapper"), F.lit(salts))
-        found = found.withColumn("salt", salt).groupBy("host", "salt").applyInArrow(_merge_wrappers, "host string, wrapper string")
+    """host, skeleton (digest), wrapper (JSON): one regular expression without unions for each layout of a host."""
+    found = with_host(pages).select("host", "html").mapInArrow(_wrappers, _WRAPPERS)
+    for groups in SUMS:
+        found = found.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(groups))).groupBy("host", "skeleton", "salt").applyInArrow(_merge_wrappers, _WRAPPERS)
+    for groups in ROUNDS:
+        found = found.withColumn("salt", F.pmod(F.xxhash64("skeleton"), F.lit(groups))).groupBy("host", "salt").applyInArrow(_align_wrappers, _WRAPPERS)
     return found
 
 
@@ -461,26 +499,27 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and the blocks of main text of every page."""
     found = materialise(wrappers(pages))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"host": b["host"], "judged": [Reader.judge(_load(w)) for w in b["wrapper"]]})
+            told = [_dump([w and judge(w) for w in _load(x.as_py())]) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(told, pa.string())], names=["host", "judged"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known: dict[str, Reader] = {}
             blocks = []
-            for source, judged in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if judged not in known:
-                    known[judged] = Reader(judged)
-                blocks.append(known[judged].read(source))
+            for source, told in zip(b.column(2), b.column(3)):
+                if (told := told.as_py()) not in known:
+                    known[told] = Reader(told)
+                blocks.append(known[told].read(source.as_py()))
             texts = [" ".join(x) for x in blocks]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(blocks, pa.list_(pa.string()))],
                 names=["page_id", "url", "text", "n_chars", "blocks"],
             )
 
-    judged = found.mapInPandas(judge, "host string, judged string").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    rows = with_host(pages).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int"))
-    return rows.join(judged, ["host", "part"], "left").select("page_id", "url", "html", F.coalesce("judged", F.lit("[[[], [], null], [[], [], null]]")).alias("judged")).mapInArrow(
+    told = materialise(found.select("host", "wrapper").mapInArrow(judged, "host string, judged string"))
+    # a broadcast while the wrappers are small, else a join in which Spark splits the pages of a large host
+    return with_host(pages).join(told, "host", "left").select("page_id", "url", "html", F.coalesce("judged", F.lit("[null, null]")).alias("judged")).mapInArrow(
         read, "page_id long, url string, text string, n_chars long, blocks array<string>"
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from html.parser import HTMLParser
 from pathlib import Path
 
 import duckdb
@@ -252,11 +253,11 @@ def test_html_text_without_an_article_tag(spark):
 
 def read_page(source, others=()):
     """Main text of a page under the wrapper of itself and ``others``, and that wrapper."""
-    wrapper = html_text.fold_repeats(html_text.parse(source)[1])
-    for other in others:
-        wrapper = html_text.merge(wrapper, html_text.fold_repeats(html_text.parse(other)[1]))
-    main = html_text._Main(*({tuple(p) for p in x} for x in (html_text.block_paths(wrapper), html_text.main_paths(wrapper))))
-    return [t for p, t in html_text.parse(source)[0] if main[p]], wrapper
+    whole = [None, None]
+    for page in (source, *others):
+        whole = html_text._joined(whole, html_text.page_layouts(html_text.parse(page)[1]))
+    reader = html_text.Reader(html_text._dump([w and html_text.judge(w) for w in whole]))
+    return reader.read(source), whole[1] or whole[0]
 
 
 def test_html_deep_pages():
@@ -310,6 +311,68 @@ def test_html_template_inside_articles(spark):
     assert all(got[i] == ["News", "line 1 0", "line 1 1", "Share this with your friends", "Offer of the day"] for i in range(10, 14))
 
 
+def test_html_wrapper_not_tag_separates_text_and_template(spark):
+    page = "<div><div>Hello reader</div><div>Story {0} begins</div><div>{1}</div><div>and ends {0}</div><div>Call us any time</div></div>"
+    pages = [(i, "http://n.org/", page.format(i, "Sale today" if i % 2 else f"own line {i}")) for i in range(8)]
+    assert extracted(spark, pages)[2] == ["Story 2 begins", "own line 2", "and ends 2"]
+    # each page under a wrapper of its own cannot tell them apart
+    assert len(read_page(pages[2][2])[0]) == 5
+
+
+def test_html_names_are_read_whole(spark):
+    long = "x" * 300
+    page = f"<article><p>a</p><div class='{long} comments'><p>reader</p></div><div class='{long}'><p>b</p></div><section id=discussion><p>c</p></section><div class='related work'><p>d</p></div><div class='market-share'><p>e</p></div><div class='reader-comments box'><p>no</p></div><div class=related-posts>no</div></article>"
+    assert read_page(page)[0] == ["a", "b", "c", "d", "e"]
+
+
+def test_html_wrapper_does_not_depend_on_the_order_of_pages(spark):
+    rng = np.random.default_rng(9)
+    kinds = ["<h2>h</h2>", "<div id=a>a</div>", "<pre>p</pre>", "<section>s</section>", "<table><tr><td>t</td></tr></table>"]
+    pages = [(i, "http://h.org/", "<main>" + "".join(kinds[j] for j in rng.permutation(5)[: rng.integers(1, 6)]) + f"{i}</main>") for i in range(60)]
+    frames = [spark.createDataFrame([pages[i] for i in rng.permutation(60)], "page_id long, url string, html string").repartition(n) for n in (1, 3, 7)]
+    found = [sorted(map(tuple, html_text.wrappers(f).select("host", "wrapper").collect())) for f in frames]
+    assert found[0] == found[1] == found[2] and "(" in html_text.expression(html_text._load(found[0][0][1])[1])
+
+
+def test_html_odd_tables(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "http://a.org", "<p>x</p>"), (1, "http://a.org", "<p>x</p>"), (None, None, None), (2, "http://b.org", ""), (3, "::", "<p>" + "y " * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("host", "wrapper", "judged", "salt", "skeleton", "text", "blocks")})
+    assert sorted((str(r.page_id), r.n_chars) for r in html_text.extract(df).collect()) == [("1", 1), ("1", 1), ("2", 0), ("3", 99_999), ("None", 0)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+class ArticleText(HTMLParser):
+    """Plain second reading of the given pages: what stands in their article element."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts = False, []
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag not in ("b", "i", "a"):
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag not in ("b", "i", "a"):
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+def test_html_query_against_another_parser(spark, sf_dir):
+    html = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()}
+    for r in queries.op2_html_extraction(spark, sf_dir).collect():
+        assert r.text == " ".join("".join(ArticleText(html[r.page_id]).parts).split())
+
+
 def test_html_query_takes_articles_only(spark, sf_dir):
     rows = queries.op2_html_extraction(spark, sf_dir).collect()
     assert len(rows) == 50 and all(r.n_chars == len(r.text) and "&copy;" not in r.text and "\n" not in r.text for r in rows)
