@@ -1,9 +1,12 @@
 """Edit-aware token counts: a segment tree over runs of pre-tokens is kept for every document.
 
-The leaves of a tree are runs of pre-tokens that start at a space after a character that is no
-white space: there a pre-token starts whatever stands around it. Inner nodes hold sums. An edit
-encodes again only the leaves that it touches and one safe boundary on either side, and updates
-the sums above them; counts stay equal to those of the edited text encoded as a whole.
+Leaves of a tree meet at safe boundaries: at a space after a character that is no white space,
+where a pre-token starts whatever stands around it; and, in long runs of letters (scripts without
+spaces), between letters that no token of the vocabulary can span. Inner nodes hold sums. The
+edits of a document are clipped to the old text first. Those that touch neighbouring leaves form
+a region, which grows over a boundary only if the edited text makes that boundary unsafe; the
+region alone is encoded again, cut into new leaves, and the sums above it are updated. Counts stay
+equal to those of the edited text encoded as a whole.
 
 ``count`` builds the trees, ``recount`` applies edits to documents with their trees.
 
@@ -11,8 +14,9 @@ Defined results
     Null text: as the empty text: no tokens, one empty leaf. Null ``doc_id``: counted; edits
     never refer to it. Edits outside the text are cut to it; edits of a document are applied from
     its end to its start, and an edit that overlaps a later one is left out and counted in
-    ``n_skipped``. Repeated rows: each row gets every edit of its ``doc_id``. Empty table: empty
-    result. Extra columns: not read.
+    ``n_skipped``; null places count as 0. A run of letters without a safe boundary is one leaf, whatever its length.
+    Repeated rows: each row gets every edit of its ``doc_id``. Empty table: empty result. Extra
+    columns: not read.
 """
 
 from __future__ import annotations
@@ -29,7 +33,11 @@ from pyspark.sql import functions as F
 
 #: Characters of a leaf, at least; it ends at the next safe boundary.
 LEAF = 512
-_SAFE = regex.compile(r"(?<=\S) ")
+#: Characters of the texts of one output batch.
+OUTPUT = 4_000_000
+_SPACE = regex.compile(r"(?<=\S) ")
+#: Letters that stand before and behind a boundary without a space: no pre-token ends near it.
+_LETTERS = regex.compile(r"\p{L}{5}")
 
 
 class Counter:
@@ -41,6 +49,19 @@ class Counter:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.longest = max(map(len, ranks))
+        self.beginnings = {t[:n] for t in ranks for n in range(2, len(t) + 1)}
+
+    def safe(self, text: str, at: int) -> bool:
+        """Whether the parts of the text before and from ``at`` can be encoded apart."""
+        if not 0 < at < len(text):
+            return True
+        if text[at] == " ":
+            return not text[at - 1].isspace()
+        if not _LETTERS.match(text, at - 4) if at >= 4 else True:
+            return False
+        before, behind = text[max(0, at - self.longest) : at].encode()[1 - self.longest :], text[at].encode()[:1]
+        return not any(before[-n:] + behind in self.beginnings for n in range(1, len(before) + 1))
 
     def count(self, text: str) -> int:
         return len(self.encoding.encode_ordinary(text))
@@ -51,87 +72,138 @@ def counter(path: str, pattern: str) -> Counter:
     return Counter(path, pattern)
 
 
-def boundaries(text: str, leaf: int = LEAF) -> list[int]:
+def boundaries(text: str, c: Counter, leaf: int = LEAF) -> list[int]:
     """Starts of the leaves, and the length of the text."""
     starts, at = [0], 0
-    while (m := _SAFE.search(text, at + leaf)) is not None:
-        at = m.start()
+    while len(text) - at > leaf:
+        space = _SPACE.search(text, at + leaf)
+        end = space.start() if space else len(text)
+        if end - at > 2 * leaf:
+            end = next((p for p in range(at + leaf, end) if c.safe(text, p)), end)
+        if end == len(text):
+            break
+        at = end
         starts.append(at)
     return [*starts, len(text)]
 
 
 class Tree:
-    """Leaves (characters, tokens) below sums of both; ``work`` counts the characters encoded."""
+    """Leaves (characters, tokens) below sums of both; ``work`` counts the characters encoded.
+
+    A slot below the sums holds one leaf at first, and those that an edit made of it later.
+    """
 
     def __init__(self, chars: list[int], tokens: list[int]):
-        self.chars, self.tokens, self.work = list(chars), list(tokens), 0
-        self._sum()
-
-    def _sum(self) -> None:
-        n = 1
-        while n < len(self.chars):
-            n *= 2
-        self.size = n
-        self.char_sums = np.zeros(2 * n, dtype=np.int64)
-        self.token_sums = np.zeros(2 * n, dtype=np.int64)
-        self.char_sums[n : n + len(self.chars)] = self.chars
-        self.token_sums[n : n + len(self.tokens)] = self.tokens
+        self.slots = [[(n, t)] for n, t in zip(chars, tokens)]
+        self.work = 0
+        self.size = 1 << max(0, len(chars) - 1).bit_length()
+        self.sums = np.zeros((2 * self.size, 2), dtype=np.int64)
+        self.sums[self.size : self.size + len(chars)] = np.column_stack([chars, tokens])
+        n = self.size
         while n > 1:
-            for sums in (self.char_sums, self.token_sums):
-                sums[n // 2 : n] = sums[n : 2 * n : 2] + sums[n + 1 : 2 * n : 2]
+            self.sums[n // 2 : n] = self.sums[n : 2 * n : 2] + self.sums[n + 1 : 2 * n : 2]
             n //= 2
 
     @classmethod
     def build(cls, text: str, c: Counter, leaf: int = LEAF) -> Tree:
-        at = boundaries(text, leaf)
+        at = boundaries(text, c, leaf)
         return cls(np.diff(at).tolist(), [c.count(text[a:b]) for a, b in zip(at, at[1:])])
 
     @property
     def total(self) -> int:
-        return int(self.token_sums[1])
+        return int(self.sums[1, 1])
+
+    @property
+    def leaves(self) -> list[tuple[int, int]]:
+        return [leaf for slot in self.slots for leaf in slot]
 
-    def _set(self, leaf: int, chars: int, tokens: int) -> None:
-        self.chars[leaf], self.tokens[leaf] = chars, tokens
-        i = leaf + self.size
-        d_chars, d_tokens = chars - self.char_sums[i], tokens - self.token_sums[i]
+    def _put(self, slot: int, leaves: list[tuple[int, int]]) -> None:
+        change = np.sum([*leaves, (0, 0)], axis=0) - np.sum([*self.slots[slot], (0, 0)], axis=0)
+        self.slots[slot] = leaves
+        i = slot + self.size
         while i:
-            self.char_sums[i] += d_chars
-            self.token_sums[i] += d_tokens
+            self.sums[i] += change
             i //= 2
 
     def find(self, position: int) -> tuple[int, int]:
-        """(leaf that holds the character, its start); the last leaf for the end of the text."""
+        """(slot that holds the character, its start); the last slot with characters for the end of the text."""
         i, start = 1, 0
         while i < self.size:
             i *= 2
-            if position >= start + self.char_sums[i] and self.char_sums[i + 1] > 0:
-                start += int(self.char_sums[i])
+            if position >= start + self.sums[i, 0] and self.sums[i + 1, 0] > 0:
+                start += int(self.sums[i, 0])
                 i += 1
         return i - self.size, start
 
-    def edit(self, text: str, start: int, stop: int, put: str, c: Counter) -> str:
-        """Replace text[start:stop] by ``put``; returns the new text and updates the sums."""
-        first, at = self.find(max(start - 1, 0))
-        last, last_at = self.find(stop)
-        end = last_at + self.chars[last]
-        # a leaf starts at a safe boundary only while the characters around it stay: hence the leaf
-        # of the character before the edit and that of the one behind it
-        new = text[:start] + put + text[stop:]
-        region = new[at : end + len(put) - (stop - start)]
-        self.work += len(region)
-        # the first touched leaf takes the region's count, the others become empty
-        for leaf in range(first + 1, last + 1):
-            self._set(leaf, 0, 0)
-        self._set(first, len(region), c.count(region))
+    def _end(self, slot: int, start: int) -> int:
+        return start + int(self.sums[slot + self.size, 0])
+
+    def edit(self, text: str, edits: list[tuple[int, int, str]], c: Counter, leaf: int = LEAF) -> str:
+        """Apply edits (start, stop, put) in order, which lie inside ``text`` and do not overlap; returns the new text."""
+        parts, upto = [], 0
+        for start, stop, put in edits:
+            parts += [text[upto:start], put]
+            upto = stop
+        new = "".join([*parts, text[upto:]])
+        # regions: first and last slot with their old places, and how far the new text is shifted at either end
+        regions: list[list[int]] = []
+        shift = 0
+        for start, stop, put in edits:
+            first, at = self.find(max(start - 1, 0))
+            last, last_at = self.find(stop)
+            after = shift + len(put) - (stop - start)
+            regions.append([first, last, at, self._end(last, last_at), shift, after])
+            shift = after
+        for first, last, at, end, before, after in self._settled(regions, new, c):
+            region = new[at + before : end + after]
+            cut = boundaries(region, c, leaf)
+            self.work += len(region)
+            for slot in range(first + 1, last + 1):
+                self._put(slot, [])
+            self._put(first, [(z - a, c.count(region[a:z])) for a, z in zip(cut, cut[1:])])
         return new
 
+    def _settled(self, regions: list[list[int]], new: str, c: Counter) -> list[list[int]]:
+        """Regions whose ends are safe boundaries of the new text; those that meet are one."""
+        done: list[list[int]] = []
+        for region in regions:
+            while region[0] > 0 and not c.safe(new, region[2] + region[4]) and not (done and region[0] <= done[-1][1]):
+                region[0] -= 1
+                region[2] -= int(self.sums[region[0] + self.size, 0])
+            while done and region[0] <= done[-1][1]:
+                held = done.pop()
+                region = [held[0], max(region[1], held[1]), held[2], max(region[3], held[3]), held[4], region[5]]
+            while region[1] + 1 < len(self.slots) and not c.safe(new, region[3] + region[5]):
+                region[1] += 1
+                region[3] = self._end(region[1], region[3])
+            done.append(region)
+        return done
+
+
+def settled_edits(edits: list[dict] | None, length: int) -> tuple[list[tuple[int, int, str]], int]:
+    """Edits clipped to the old text, in order, and the number of those left out as they overlap a later one."""
+    clipped = []
+    for e in edits or []:
+        start = min(max(e["start"] or 0, 0), length)
+        clipped.append((start, min(max(e["stop"] or 0, start), length), e["put"] or ""))
+    kept: list[tuple[int, int, str]] = []
+    for e in sorted(clipped, key=lambda e: e[:2], reverse=True):
+        if not kept or e[1] <= kept[-1][0]:
+            kept.append(e)
+    return kept[::-1], len(clipped) - len(kept)
+
 
 def _tree_columns(batches: Iterator[pa.RecordBatch], path: str, pattern: str, leaf: int) -> Iterator[pa.RecordBatch]:
     c = counter(path, pattern)
     for b in batches:
-        trees = [Tree.build(t.as_py() or "", c, leaf) for t in b.column(1)]
+        totals, chars, tokens = [], [], []
+        for text in b.column(1):
+            leaves = Tree.build(text.as_py() or "", c, leaf).leaves
+            totals.append(sum(t for _, t in leaves))
+            chars.append([n for n, _ in leaves])
+            tokens.append([t for _, t in leaves])
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([t.total for t in trees], pa.int64()), pa.array([t.chars for t in trees], pa.list_(pa.int32())), pa.array([t.tokens for t in trees], pa.list_(pa.int32()))],
+            [b.column(0), b.column(1), pa.array(totals, pa.int64()), pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))],
             names=["doc_id", "text", "n_tokens", "leaf_chars", "leaf_tokens"],
         )
 
@@ -149,25 +221,25 @@ def count(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF) -> DataFra
 def recount(trees: DataFrame, path: str, pattern: str) -> DataFrame:
     """Apply the column ``edits`` (start, stop, put; places in the old text) to rows of :func:`count`."""
 
+    names = ["new_text", "n_tokens", "n_leaves", "n_edits", "n_skipped", "n_tokens_after", "n_chars_encoded"]
+    kinds = [pa.string()] + [pa.int64()] * 6
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path, pattern)
         for b in batches:
             out: list[tuple] = []
-            for text, chars, tokens, edits in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
-                text, tree, done, skipped = text or "", Tree(chars, tokens), 0, 0
-                before, upto = tree.total, len(text) + 1
-                for e in sorted(edits or [], key=lambda e: (e["start"], e["stop"]), reverse=True):
-                    start = min(max(e["start"], 0), len(text))
-                    stop = min(max(e["stop"], start), len(text))
-                    if stop > upto:
-                        skipped += 1
-                        continue
-                    text = tree.edit(text, start, stop, e["put"] or "", c)
-                    upto, done = start, done + 1
-                out.append((text, before, len(chars), done, skipped, tree.total, tree.work))
-            names = ["new_text", "n_tokens", "n_leaves", "n_edits", "n_skipped", "n_tokens_after", "n_chars_encoded"]
-            kinds = [pa.string()] + [pa.int64()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
+            held = begun = 0
+            for i in range(b.num_rows):
+                text, chars, tokens, edits = (b.column(k)[i].as_py() for k in range(1, 5))
+                text, tree = text or "", Tree(chars, tokens)
+                before = tree.total
+                kept, skipped = settled_edits(edits, len(text))
+                new = tree.edit(text, kept, c)
+                out.append((new, before, len(chars), len(kept), skipped, tree.total, tree.work))
+                held += len(new)
+                if held > OUTPUT or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0)[begun : i + 1], *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], names=["doc_id", *names])
+                    out, held, begun = [], 0, i + 1
 
     rows = trees.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits")
     return rows.mapInArrow(run, "doc_id long, new_text string, n_tokens long, n_leaves long, n_edits long, n_skipped long, n_tokens_after long, n_chars_encoded long")

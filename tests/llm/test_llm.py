@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from spectraforge.llm import bpe, decontaminate, exact_dedup, html_text, language_id, licenses, queries, simhash, substring_dedup, token_counts, toxicity
@@ -216,17 +217,63 @@ def test_toxicity_keeps_every_entry_over_the_threshold(spark):
     assert set(toxicity.train(docs, labels).weights) == {f" {w} " for w in words}
 
 
-def test_token_counts_after_edits(spark):
-    c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+@pytest.fixture(scope="module")
+def tokens():
+    return token_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def test_token_counts_after_edits(tokens):
     rng = np.random.default_rng(2)
-    text = " ".join(rng.choice(["it's", "the", "12", "  ", "é", "...", "\n\n", "word"], 900))
-    tree = token_counts.Tree.build(text, c, leaf=16)
-    assert tree.total == c.count(text)
-    for _ in range(120):
-        a = int(rng.integers(0, len(text) + 1))
-        b = min(len(text), a + int(rng.integers(0, 60)))
-        text = tree.edit(text, a, b, str(rng.choice(["", " ", "x", " new text ", "'s"])), c)
-        assert tree.total == c.count(text) and sum(tree.chars) == len(text)
+    text = " ".join(rng.choice(["it's", "the", "12", "  ", "é", "...", "\n\n", "word", "漢字ドラゴンの覚醒裏", "日本語テキスト" * 20], 900))
+    tree = token_counts.Tree.build(text, tokens, leaf=16)
+    assert tree.total == tokens.count(text)
+    for _ in range(150):
+        kept = []
+        for a in sorted(rng.integers(0, len(text) + 1, rng.integers(1, 5)).tolist()):
+            b = min(len(text), a + int(rng.integers(0, 60)))
+            if not kept or a >= kept[-1][1]:
+                kept.append((a, b, str(rng.choice(["", " ", "x", " new text ", "'s", "ゴ", "\n"]))))
+        text = tree.edit(text, kept, tokens, leaf=16)
+        assert tree.total == tokens.count(text) and sum(n for n, _ in tree.leaves) == len(text)
+        assert tree.sums[1, 0] == len(text)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab 's1漢字ゴドの裏é\n", max_size=300), st.lists(st.tuples(st.integers(-3, 310), st.integers(-3, 310), st.text(alphabet="a 'l漢ゴ\n", max_size=6)), max_size=6), st.integers(1, 40))
+def test_any_edits_give_the_count_of_the_new_text(text, edits, leaf):
+    c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    kept, skipped = token_counts.settled_edits([{"start": a, "stop": b, "put": p} for a, b, p in edits], len(text))
+    expected = text
+    for a, b, p in reversed(kept):
+        expected = expected[:a] + p + expected[b:]
+    tree = token_counts.Tree.build(text, c, leaf)
+    assert tree.edit(text, kept, c, leaf) == expected and tree.total == c.count(expected) and len(kept) + skipped == len(edits)
+
+
+def recounted(spark, rows):
+    df = spark.createDataFrame(rows, f"doc_id long, text string, edits {token_counts.EDITS}, n_tokens int, leaf int")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    trees = token_counts.count(df, path, public_tokenizers.PATTERN).join(df.select(F.col("doc_id").alias("d"), "edits"), F.expr("doc_id <=> d"))
+    return {r.doc_id: r for r in token_counts.recount(trees, path, public_tokenizers.PATTERN).collect()}
+
+
+def test_token_counts_of_overlapping_edits_and_odd_rows(spark, tokens):
+    got = recounted(spark, [(1, "0123456789", [(5, 10, ""), (3, 8, "X")], 0, 0), (2, None, [(0, 4, "new")], 0, 0), (None, "a b", None, 0, 0), (3, "word " * 40_000, [(-5, 3, "x"), (10**6, 10**7, "end"), (7, 2, None)], 0, 0), (4, "", [], 0, 0)])
+    assert (got[1].new_text, got[1].n_skipped, got[1].n_edits) == ("01234", 1, 1)
+    assert (got[2].new_text, got[None].new_text, got[4].n_tokens_after) == ("new", "a b", 0)
+    assert got[3].new_text == "xd " + "word " * 39_999 + "end" and got[3].n_edits == 3
+    assert all(r.n_tokens_after == tokens.count(r.new_text) for r in got.values())
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert token_counts.count(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_token_counts_of_a_text_without_spaces(tokens):
+    text = "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(100_000))
+    tree = token_counts.Tree.build(text, tokens)
+    new = tree.edit(text, [(50_000, 50_003, "字")], tokens)
+    assert len(tree.leaves) > 100 and tree.work < 3000 and tree.total == tokens.count(new)
+    grown = tree.edit(new, [(10, 10, new[:9000])], tokens)
+    assert tree.total == tokens.count(grown) and max(n for n, _ in tree.leaves) < 3000
 
 
 def test_token_count_query_against_full_recount(spark, sf_dir):
