@@ -1,5 +1,6 @@
 """The ten operators against brute force, SQL and planted cases on small tables."""
 
+import functools
 import hashlib
 import zlib
 from html.parser import HTMLParser
@@ -8,6 +9,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,12 +133,67 @@ def test_language_held_out_accuracy(spark, sf_dir):
 
 
 def test_forward_sums_all_segmentations():
-    numbers = {"a": 2, "b": 3, "ab": 4, "ba": 5, "aba": 6}
+    vocabulary = language_id.Pieces(["a", "b", "ab", "ba", "aba"])
     p = np.array([[0.0], [1e-7], [0.1], [0.2], [0.3], [0.15], [0.25]])
     by_hand = 0.1 * 0.2 * 0.1 + 0.3 * 0.1 + 0.1 * 0.15 + 0.25
-    assert np.isclose(language_id.forward(language_id.cuts(["aba"], numbers), p)[0, -1, 0], by_hand)
+    with np.errstate(divide="ignore"):
+        assert np.isclose(np.exp(language_id.log_probability(["aba"], vocabulary, np.log(p)))[0, 0], by_hand)
 
 
+def brute_log_probability(word, p):
+    """All segmentations, one letter after another; ``p``: probability by piece."""
+    longest = max(map(len, p))
+    alpha = [1.0] + [0.0] * len(word)
+    for j in range(1, len(word) + 1):
+        alpha[j] = sum(alpha[i] * p.get(word[i:j], 1e-7 if j - i == 1 else 0.0) for i in range(max(0, j - longest), j))
+    return np.log(alpha[-1])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcé", min_size=1, max_size=7), min_size=1, unique=True), st.text(alphabet="abcéx", min_size=1, max_size=40))
+def test_forward_against_brute_force(texts, word):
+    vocabulary = language_id.Pieces(texts)
+    p = np.concatenate([[0.0, 1e-7], np.linspace(0.1, 0.9, len(texts))])[:, None]
+    with np.errstate(divide="ignore"):
+        got = language_id.log_probability([word], vocabulary, np.log(p))[0, 0]
+    assert np.isclose(got, brute_log_probability(word, dict(zip(texts, p[2:, 0]))))
+
+
+def test_expected_uses_sum_up(spark):
+    vocabulary = language_id.Pieces(["a", "b", "ab", "ba", "aba"])
+    with np.errstate(divide="ignore"):
+        log_p = np.log(np.array([0.0, 1e-7, 0.1, 0.2, 0.3, 0.15, 0.25]))
+    used = language_id.expected(["aba", "bab"], vocabulary, log_p, np.array([2.0, 1.0]))
+    assert np.isclose(sum(n * len(t) for n, t in zip(used[2:], vocabulary.texts)), 9.0)
+
+
+def test_language_of_long_words_and_long_pieces():
+    vocabulary = language_id.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    assert vocabulary.width == 16 and len(vocabulary) == 20_231
+    assert language_id.words_of("Aa" * 50 + " b1c") == ["aa" * 50, "b", "c"]
+    p = np.full((len(vocabulary) + 2, 2), 0.5 / len(vocabulary))
+    p[0], p[1] = 0.0, 1e-7
+    longest = next(t for t in vocabulary.texts if len(t) == 16)
+    p[2 + vocabulary.texts.index(longest), 1] = 0.5
+    model = language_id.Model(["x", "y"], vocabulary, p)
+    texts = [longest, longest * 3, longest * 5000, "q" * 100_000, "1 2", None, longest + " " + longest * 90]
+    got = list(model.posteriors(texts))
+    assert [lang for lang, _ in got] == ["y", "y", "y", "x", "und", "und", "y"]  # equal chances: the first language
+    assert all(0 <= s <= 1 for _, s in got) and got[3][1] == 0.5
+
+
+def test_language_learns_nothing_from_held_out_rows(spark):
+    rows = [(i, ("der die das und" if i % 2 else "the and of with") + f" {'abcdefgh'[i % 8] * 3}") for i in range(400)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    docs = documents(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "de").otherwise("en"))
+    wrong = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit("xx")).otherwise(F.col("lang")))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    a, b = language_id.train(docs, path), language_id.train(wrong, path)
+    assert held and a.languages == b.languages == ["de", "en"] and np.allclose(a.p, b.p)
+    found = {r.doc_id: r for r in language_id.identify(docs, a).collect()}
+    assert all(found[i].held_out and found[i].lang_pred == ("de" if i % 2 else "en") for i in held)
+    assert {r.doc_id % 2 for r in language_id.identified_only(docs, a, ["de"], 0.5).collect()} == {1}
+
 def test_decontamination_finds_short_items_and_places(spark):
     bench = spark.createDataFrame([(1, "one two three"), (2, "A b c d e f g h i j k l"), (3, None), (None, "zz"), (4, "...")], "item_id long, text string")
     docs = documents(spark, [(1, "x One, TWO; three!"), (2, "b c d e f g h i j k"), (3, "zz"), (4, None)])
@@ -277,8 +334,6 @@ def test_token_counts_of_a_text_without_spaces(tokens):
 
 
 def test_token_count_query_against_full_recount(spark, sf_dir):
-    import regex
-
     c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     for r in queries.op10_token_counts(spark, sf_dir).collect():
@@ -489,7 +544,19 @@ def test_pipeline_against_its_operators(spark, sf_dir):
 
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
     docs = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    stays = [(i, t) for i, t in docs if any(c.isalpha() for c in t or "")]
+    model = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+    chances = [dict(zip(model.vocabulary.texts, column)) for column in model.p[2:].T.tolist()]
+    logs = functools.cache(lambda word: np.array([brute_log_probability(word, p) for p in chances]))
+
+    def identified(text):
+        words = regex.findall(r"\p{L}+", (text or "").lower())
+        if not words:
+            return False
+        total = sum(logs(w) for w in words)
+        best = int(np.argmax(total))
+        return model.languages[best] in corpus_pipeline.LANGUAGES and 1 / np.exp(total - total[best]).sum() >= corpus_pipeline.MIN_SCORE
+
+    stays = [(i, t) for i, t in docs if identified(t)]
     best = {}
     for i, t in stays:
         key = "".join((t or "").split(" ")).translate({c: None for c in range(9, 14)})
