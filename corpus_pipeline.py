@@ -1,6 +1,7 @@
 """A training-data pipeline over ``documents`` of the ``llm`` operators; every stage rereads the last one's table.
 
-Stages: language identification (texts without a language go), exact deduplication, SimHash
+Stages: language identification (texts that are not in one of ``LANGUAGES`` go, and those of which
+the model is less sure than ``MIN_SCORE``), exact deduplication, SimHash
 near-deduplication (the smallest doc_id of each component stays), benchmark decontamination
 (documents with a hit word go), and BPE encoding. All but the last return the columns they got.
 
@@ -18,6 +19,11 @@ from spectraforge.llm.common import materialise
 from spectraforge.llm.queries import vocabulary
 
 
+#: Languages of the corpus, and the least probability of the predicted one.
+LANGUAGES = ("de", "en", "es", "fr")
+MIN_SCORE = 0.5
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a doc_id in ``ids``, whole and with their own columns only."""
     stays = ids.select(F.col("doc_id").alias("__stays")).distinct()
@@ -25,7 +31,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.identified_only(docs, language_id.train(docs, vocabulary("piece_bpe_32k.model")))
+    return language_id.identified_only(docs, language_id.train(docs, vocabulary("piece_bpe_32k.model")), LANGUAGES, MIN_SCORE)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
