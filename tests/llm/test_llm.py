@@ -53,6 +53,29 @@ def test_exact_dedup_odd_rows(spark, odd):
     assert sorted(rows, key=str) == sorted(expected, key=str)
 
 
+def test_exact_dedup_compares_bytes_where_digests_collide(spark, odd):
+    weak = lambda text: F.unhex(F.lpad((F.length(text) % 3).cast("string"), 2, "0"))
+    rows = [tuple(r)[:4] for r in exact_dedup.exact_dedup(odd, weak).collect()]
+    assert sorted(rows, key=str) == sorted([tuple(r)[:4] for r in exact_dedup.exact_dedup(odd).collect()], key=str)
+
+
+def test_exact_dedup_names_the_place_of_the_row_that_stays(spark, tmp_path):
+    documents(spark, [(1, "a"), (2, "a b"), (3, "ab  ")]).coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: (r.keep_id, r.keep_place.row, r.keep_place.file.endswith(".parquet")) for r in exact_dedup.exact_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == {1: (1, 0, True), 2: (3, 2, True), 3: (3, 2, True)}
+
+
+def test_exact_dedup_state_goes_on_with_new_files(spark, tmp_path):
+    log, checkpoint = str(tmp_path / "log"), str(tmp_path / "state")
+    before = dict(spark.conf.getAll)
+    for rows in ([(1, "a"), (2, "b")], [(3, "a "), (4, "c")], []):
+        exact_dedup.digest_log(documents(spark, rows)).write.mode("append").parquet(log)
+        state = {r.digest.hex()[:6]: (r.group_size, r.keep_id) for r in exact_dedup.stream_state(spark, log, checkpoint).collect()}
+    name = lambda t: hashlib.sha256(t).hexdigest()[:6]
+    assert state == {name(b"a"): (2, 3), name(b"b"): (1, 2), name(b"c"): (1, 4)}
+    assert dict(spark.conf.getAll) == before
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
