@@ -1,7 +1,8 @@
 """Licence recognition: sentences to known identifiers, identifier sequences to ordered rules.
 
 A text is cut into sentences twice: at sentence ends and line breaks, and at sentence ends only
-(licence texts are often wrapped). Normalised sentences (a-z, 0-9 and single spaces) that are
+(licence texts are often wrapped). Lines without a letter or digit (blank ones, comment frames)
+and copyright statements end a sentence in both. Normalised sentences (a-z, 0-9 and single spaces) that are
 known become identifiers, as do those that a pattern with the holder's name matches; all others
 drop out. A rule is a sequence of identifiers; it matches
 where these stand in a row in one of the two sequences. The first matching rule names the licence.
@@ -13,6 +14,8 @@ Defined results
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +74,14 @@ SENTENCES = {
     "zlib-altered": "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
     "bsd-no-name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-advertise": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "mit-line-3": "this project is licensed under the mit license",
+    "mit-line-4": "this project is licensed under the mit license see the license file for details",
+    "mit-line-5": "licensed under the mit license see the license file for details",
+    "mpl2-form": "this source code form is subject to the terms of the mozilla public license version 2 0",
+    "epl1-available": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+    "epl2-available": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl2-available-2": "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at https www eclipse org legal epl 2 0",
+    "spdx": "spdx license identifier",
     "cc-by-nc-line": "licensed under cc by nc 4 0",
     "cc-by-line": "licensed under cc by 4 0",
     "cc-by-sa-line": "licensed under cc by sa 4 0",
@@ -111,6 +122,10 @@ RULES = (
     ("LGPL-2.1-or-later", ("redistribute-lgpl", "version-2.1-later")),
     ("LGPL-2.1-only", ("redistribute-lgpl", "version-2.1-of")),
     ("MPL-2.0", ("mpl2-subject",)),
+    ("MPL-2.0", ("mpl2-form",)),
+    ("EPL-1.0", ("epl1-available",)),
+    ("EPL-2.0", ("epl2-available",)),
+    ("EPL-2.0", ("epl2-available-2",)),
     ("MPL-2.0", ("mpl-subject", "mpl2-copy")),
     ("MPL-2.0", ("mpl-subject", "mpl2-copy-2")),
     ("ISC", ("isc-grant",)),
@@ -126,6 +141,9 @@ RULES = (
     ("Apache-2.0", ("apache-line",)),
     ("MIT", ("mit-line",)),
     ("MIT", ("mit-line-2",)),
+    ("MIT", ("mit-line-3",)),
+    ("MIT", ("mit-line-4",)),
+    ("MIT", ("mit-line-5",)),
     ("GPL-3.0-only", ("gpl3-line",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-line",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-line",)),
@@ -134,11 +152,18 @@ RULES = (
     ("proprietary", ("reserved",)),
 )
 
+# A tag names one of the licences above: the tag's words are a sentence, the licence's name behind the colon is the next.
+_NAMES = [name for name in dict.fromkeys(name for name, _ in RULES) if name != "proprietary"]
+SENTENCES |= {f"spdx-{name}": re.sub(r"[^a-z0-9]+", " ", name.lower()) for name in _NAMES}
+RULES = (*((name, ("spdx", f"spdx-{name}")) for name in _NAMES), *RULES)
+
 _END = "\x01"
+#: What ends a sentence: its marks before white space, a copyright statement, a line without a letter or digit.
+ENDS = r"[.!?;:]+([ \t\n\r]|$)|copyright (\(c\)|©|[0-9])[^\n.!?;:]*|\n[^a-z0-9\n]*\n"
 
 
 def _ended(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"[.!?;:]+([ \t\n\r]|$)", _END)
+    return F.regexp_replace(F.lower(text), ENDS, _END)
 
 
 def identifiers(text: Column, lines: bool) -> Column:

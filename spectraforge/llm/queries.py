@@ -102,7 +102,7 @@ def _op3_sql() -> str:
     kept = ", ".join(f"CASE WHEN list_contains(found, '{n}') THEN '{n}' END" for n in names)
     sequence = lambda s, cut: f"list_filter(list_transform(string_split_regex({s}, '{cut}'), lambda x: CASE trim(x) {ids} END), lambda x: x IS NOT NULL)"
     return rf"""
-WITH t AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[.!?;:]+([ \t\n\r]|$)', chr(1), 'g') AS s FROM documents),
+WITH t AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '{licenses.ENDS}', chr(1), 'g') AS s FROM documents),
 n AS (SELECT doc_id, regexp_replace(s, '[^a-z0-9\x01\n]+', ' ', 'g') AS by_line, regexp_replace(s, '[^a-z0-9\x01]+', ' ', 'g') AS by_end FROM t),
 i AS (SELECT doc_id, {sequence('by_line', r'[\x01\n]')} AS x, {sequence('by_end', r'\x01')} AS y FROM n),
 j AS (SELECT doc_id, CASE WHEN len(y) > len(x) THEN y ELSE x END AS ids,

@@ -541,9 +541,49 @@ STANDARD = {
 }
 
 
-def test_standard_licence_texts(spark):
+MIT = """MIT License
+
+Copyright (c) 2024 Example & Sons, Inc.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+APACHE = """Copyright {} The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+STANDARD |= {
+    "MIT": [MIT, MIT.replace("\n\nPermission", "\nPermission"), MIT.replace("\n", "\r\n"), "SPDX-License-Identifier: MIT"],
+    "Apache-2.0": [APACHE.format(2020), APACHE.format("(c) 2020-2024"), APACHE.format("© 2020").replace("\n\nLicensed", "\nLicensed"), "// SPDX-License-Identifier: Apache-2.0\nint x;"],
+    "EPL-2.0": ["This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n\nSPDX-License-Identifier: EPL-2.0"],
+}
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_standard_licence_texts(spark, prefix):
     texts = [(name, text) for name, all_of in STANDARD.items() for text in all_of]
-    got = {r.doc_id: r.licence for r in licenses.scan(documents(spark, [(i, "Some code.\n" + text) for i, (_, text) in enumerate(texts)])).collect()}
+    shown = ["Some code.\n" + "\n".join(prefix + line for line in text.split("\n")) for _, text in texts]
+    got = {r.doc_id: r.licence for r in licenses.scan(documents(spark, list(enumerate(shown)))).collect()}
     assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
 
 
