@@ -2,9 +2,10 @@
 
 The automaton's symbols are words: every window of ``window`` consecutive words of a benchmark
 item (an item of fewer words is one window) is a key, and a document's word sequence is scanned
-once. Word numbers map back to character offsets of the original text. The keys of one automaton
-are bounded by ``block_words``; a larger benchmark is dealt to several automata that scan the
-same row one after another and add to the same set of hit words.
+once. Word numbers map back to character offsets of the original text. Spark makes the distinct
+(window, item) pairs. One automaton holds about ``block_words`` words and item ids; a larger
+benchmark is dealt by hash to several, which scan the rows one after another, each table written
+before the next, and add to the same set of hit words: so one automaton is held at a time.
 
 Defined results
     Null text: no words. Null item text: no windows. Null ``item_id``: its windows hit words but
@@ -26,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WINDOW = 10
-#: Most words in the keys of one automaton, and so in one broadcast.
+#: Words of the keys and item ids of one automaton, and so of one broadcast.
 BLOCK_WORDS = 4_000_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: For UTF-8 bytes: A-Z to a-z, and all that stands between words to a space.
@@ -66,19 +69,25 @@ class WindowAutomaton:
             yield end + 1 - n, end + 1, items
 
 
+def _pairs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Windows (their words joined by spaces) of each item."""
+    for b in batches:
+        for item, text in zip(b.column(0), b.column(1)):
+            keys = [b" ".join(k) for k in item_windows(text.as_py(), window)]
+            yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array([k.count(b" ") + 2 for k in keys], pa.int32())], names=["item", "key", "size"])
+
+
 def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
-    """Windows in blocks of bounded size; the driver holds one block at a time."""
-    block: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
-    held = 0
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        for key in item_windows(row[1], window):
-            if key not in block:
-                held += len(key)
-            block[key].append(row[0])
-        if held >= block_words:
-            yield dict(block)
-            block, held = defaultdict(list), 0
-    yield dict(block)
+    """Windows in blocks of about ``block_words`` words and item ids; the driver holds one block at a time."""
+    texts = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    pairs = materialise(texts.mapInArrow(lambda batches: _pairs(batches, window), "item string, key binary, size int").distinct())
+    blocks = -(-(pairs.agg(F.sum("size")).first()[0] or 0) // block_words)
+    for number in range(max(1, blocks)):
+        block: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
+        own = pairs.where(F.pmod(F.xxhash64("key", "item"), F.lit(max(1, blocks))) == number)
+        for item, key in own.select("item", "key").toLocalIterator():
+            block[tuple(bytes(key).split(b" "))].append(item)
+        yield dict(block)
 
 
 _LOADED: dict[str, WindowAutomaton] = {}
@@ -160,8 +169,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         F.expr("cast(array() as array<struct<first:int,after:int>>)").alias("spans"),
         F.expr("cast(array() as array<string>)").alias("items"),
     )
+    held = None
     for windows in _blocks(benchmark, window, block_words):
-        rows = rows.mapInArrow(_scanner(_Keyed(spark.sparkContext.broadcast(windows))), _STATE)
+        if held is not None:
+            rows = materialise(rows)
+            held.unpersist()
+        held = spark.sparkContext.broadcast(windows)
+        rows = rows.mapInArrow(_scanner(_Keyed(held)), _STATE)
     return rows.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, items array<string>, hit_spans array<struct<start:int,stop:int>>")
 
 
@@ -177,7 +191,6 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-
 def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window occurs; no shuffle."""
 
@@ -189,6 +202,11 @@ def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
 
         return check
 
+    held = None
     for windows in _blocks(benchmark, window, block_words):
-        docs = docs.where(clean(_Keyed(docs.sparkSession.sparkContext.broadcast(windows)))(F.col("text").cast("string")))
+        if held is not None:
+            docs = materialise(docs)
+            held.unpersist()
+        held = docs.sparkSession.sparkContext.broadcast(windows)
+        docs = docs.where(clean(_Keyed(held))(F.col("text").cast("string")))
     return docs

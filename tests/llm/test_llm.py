@@ -227,6 +227,18 @@ def test_decontamination_finds_short_items_and_places(spark):
         assert {r.doc_id for r in decontaminate.clean_only(docs, bench, block_words=block_words).collect()} == {4}
 
 
+@pytest.mark.parametrize("block_words", [5, 10**6])
+def test_decontamination_scans_odd_rows(spark, odd, block_words):
+    bench = spark.createDataFrame([("p", "a b"), ("q", "word " * 12), ("p", "a b"), (None, "x" * 50_000), ("r", "never there")], "item_id string, text string")
+    rows = decontaminate.digest(decontaminate.contamination(odd, bench, block_words=block_words)).collect()
+    assert sorted(((str(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in rows)) == sorted(
+        [("1", 0, 0, 0), ("2", 0, 0, 0), ("3", 2, 2, 1), ("4", 2, 2, 1), ("4", 2, 2, 1), ("None", 2, 2, 1), ("5", 40_000, 40_000, 1), ("6", 0, 0, 0), ("7", 1, 1, 0)]
+    )
+    clean = decontaminate.clean_only(odd, bench, block_words=block_words)
+    assert clean.columns == odd.columns and sorted(r.doc_id for r in clean.collect()) == [1, 2, 6]
+    assert decontaminate.contamination(odd.limit(0), bench, block_words=block_words).count() == 0
+
+
 def brute_substring(rows, window):
     words = {i: (t or "").split() for i, t in rows}
     starts = {}
