@@ -3,7 +3,9 @@
 Texts are folded first: lower case, look-alike letters of other scripts, digits and signs that
 stand for letters inside words, and everything that is no letter to one space. The lexicon holds
 whole words and word beginnings with weights; phrases of the exception list take the words inside
-them out. A text's weight is related to its length and turned into a probability.
+them out: a few fixed ones, and the pairs of words round a lexicon word that the clean rows of the
+sample hold and the toxic ones do not. A text's weight is related to its length and turned into a
+probability.
 
 Weights and the two coefficients of the probability are learnt from a bounded sample of labelled
 rows: about ``sample_toxic`` and ``sample_clean`` rows, chosen by a hash of ``doc_id``.
@@ -40,6 +42,8 @@ STEMS = range(4, 9)
 #: An entry needs so many of the sampled toxic rows and this weight; all that have both enter the lexicon.
 MIN_SUPPORT = 3
 MIN_WEIGHT = 3.5
+#: Clean rows that must hold a pair of words, and toxic rows that may, for it to be an exception.
+MIN_SPARED, MAX_SPARED_TOXIC = 3, 0
 
 # Letters that look like Latin ones, and digits and signs used for letters.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһіӏոսαορνυικτ", "aeopcyxijsdhilnuaopvuikt"))
@@ -127,6 +131,31 @@ def _entry_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(e, *n) for e, n in seen.items()], columns=["entry", "clean", "toxic"])
 
 
+def _pairs_at_matches(model: Model):
+    """Documents with each pair of words round a word of the lexicon, by label."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a = model.automaton()
+        for b in batches:
+            seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            for text, toxic in zip(b["text"], b["toxic"]):
+                folded = fold(text)
+                for pair in {p for at in (matches(folded, a) if len(a) else ()) for p in _pairs_round(folded, at)}:
+                    seen[pair][int(toxic)] += 1
+            yield pd.DataFrame([(p, *n) for p, n in seen.items()], columns=["pair", "clean", "toxic"])
+
+    return run
+
+
+def _pairs_round(folded: str, at: int) -> Iterator[str]:
+    """The word at a space with the one before it, and with the one behind it."""
+    end = folded.index(" ", at + 1)
+    if at:
+        yield folded[folded.rindex(" ", 0, at) : end].strip()
+    if end + 1 < len(folded):
+        yield folded[at : folded.index(" ", end + 1)].strip()
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[float, ...]:
     """Logistic regression by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -158,6 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     best = counts.where(F.col("t") >= MIN_SUPPORT).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
     entries = best.select("entry", "weight").collect()  # the sample bounds them
     model = Model({r[0]: r[1] for r in entries}, (), exceptions)
+    pairs = sample.mapInPandas(_pairs_at_matches(model), "pair string, clean long, toxic long").groupBy("pair").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    spared = pairs.where((F.col("c") >= MIN_SPARED) & (F.col("t") <= MAX_SPARED_TOXIC)).select("pair").collect()  # the sample bounds them
+    model.exceptions = (*exceptions, *sorted(r[0] for r in spared))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = model.automaton()

@@ -297,6 +297,64 @@ def test_toxicity_learns_words_and_folds(spark, sf_dir):
     assert len(rows) == 200 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def brute_matches(folded, model):
+    """Every entry and exception tried at every space."""
+    found, spared = {}, set()
+    for at in (i for i, c in enumerate(folded) if c == " "):
+        for phrase in model.exceptions:
+            if folded.startswith(f" {phrase} ", at):
+                spared |= set(range(at, at + len(phrase) + 1))
+        for entry, weight in model.weights.items():
+            if folded.startswith(entry, at):
+                found[at] = max(weight, found.get(at, 0))
+    return {at: w for at, w in found.items() if at not in spared}
+
+
+WORDS = ["trash", "can", "idiot", "idiots", "trasher", "the", "clown", "fish", "m0ron", "proof", "!", "7"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(WORDS), max_size=40))
+def test_toxicity_matches_against_brute_force(words):
+    model = toxicity.Model({" idiot ": 5.0, " idio": 4.0, " trash ": 5.0, " tras": 3.6, " clown ": 4.0, " moron ": 6.0}, (-3.0, 1.0, 5.0))
+    folded = toxicity.fold(" ".join(words))
+    assert toxicity.matches(folded, model.automaton()) == brute_matches(folded, model)
+
+
+def test_toxicity_query_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(docs, labels)
+    texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
+    assert model.weights
+    for r in queries.op9_toxicity(spark, "/root/testdata/sf0.01").collect():
+        folded = toxicity.fold(texts[r.doc_id])
+        total = sum(brute_matches(folded, model).values()) if any(e in folded for e in model.weights) else 0.0
+        x = (np.log1p(total), np.log1p(total / np.sqrt(max(folded.count(" ") - 1, 1))))
+        z = model.coefficients[0] + model.coefficients[1] * x[0] + model.coefficients[2] * x[1]
+        assert np.isclose(r.score, 1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
+
+
+def test_toxicity_held_out_quality(spark):
+    labels = {r[0]: r[1] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic").collect()}
+    rows = [(r.score, labels[r.doc_id]) for r in queries.op9_toxicity(spark, "/root/testdata/sf0.1").collect() if r.held_out and labels.get(r.doc_id) is not None]
+    toxic, clean = ([s for s, t in rows if t == k] for k in (1, 0))
+    assert len(toxic) > 20 and np.mean([(a > b) + (a == b) / 2 for a in toxic for b in clean]) > 0.95
+
+
+def test_toxicity_learns_exceptions_and_ties(spark):
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5][:1200]
+    texts = [f"you grubby person {i % 7}" if i % 2 else ("a grubby apron" if i % 100 == 0 else f"calm sea {i % 5}") for i in range(1200)]
+    docs = documents(spark, list(zip(ids, texts)) + [(5001, "one grubby apron"), (5002, "so grubby"), (5003, "so grubby"), (5004, None), (None, "grubby")])
+    labels = spark.createDataFrame([(i, 1, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    assert "grubby apron" in model.exceptions and " grubby " in model.weights
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert got[5001].predicted == 0 and got[5002].predicted == 1 and got[5002].score == got[5003].score and got[5004].predicted == 0 and not got[None].held_out
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
+
+
 def test_toxicity_keeps_every_entry_over_the_threshold(spark):
     ids = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 5][:5010]
     words = [f"x{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"][:450]
