@@ -26,6 +26,16 @@ def quantise_mz(mz: Column, scale: int = MZ_SCALE) -> Column:
     return F.when(valid_mz(mz) & (scaled < 9.2233720368547748e18), scaled.cast("long"))
 
 
+def quantise_mz_strict(mz: Column, scale: int = MZ_SCALE) -> Column:
+    """Like :func:`quantise_mz`, but an error where that gives null for a value."""
+    level = quantise_mz(mz, scale)
+    return F.when(mz.isNotNull() & level.isNull(), F.raise_error(F.lit("a mass is not finite, negative or too large"))).otherwise(level)
+
+
+def supported_level(ms_level: Column) -> Column:
+    return F.coalesce(ms_level.isin(1, 2), F.lit(False))
+
+
 def dequantise_mz(level: Column, scale: int = MZ_SCALE) -> Column:
     return level / F.lit(float(scale))
 
@@ -44,10 +54,16 @@ def quantise_intensity(intensity: Column, log_max: Column, levels: int = INTENSI
     return F.when(finite & ((wide <= 0) | (top == 0)), F.lit(0)).when(finite, level.cast("int"))
 
 
+def quantise_intensity_strict(intensity: Column, log_max: Column, levels: int = INTENSITY_LEVELS) -> Column:
+    """Like :func:`quantise_intensity`, but an error for values that are not finite."""
+    level = quantise_intensity(intensity, log_max, levels)
+    return F.when(intensity.isNotNull() & level.isNull(), F.raise_error(F.lit("an intensity is not finite"))).otherwise(level)
+
+
 def dequantise_intensity(level: Column, log_max: Column, levels: int = INTENSITY_LEVELS) -> Column:
-    """Back to a double, saturating at the largest float."""
+    """Back to a float, saturating at the largest one."""
     value = F.expm1(level.cast("double") / levels * log_max.cast("double"))
-    return F.when(level == 0, F.lit(0.0)).otherwise(F.least(value, F.lit(FLOAT32_MAX)))
+    return F.when((level == 0) | (log_max == 0), F.lit(0.0)).otherwise(F.least(value, F.lit(FLOAT32_MAX))).cast("float")
 
 
 def bit_width(value: Column) -> Column:

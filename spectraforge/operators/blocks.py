@@ -4,8 +4,9 @@ A block is full when it has ``size`` spectra, or when the next spectrum would ta
 ``max_peaks`` peaks; so where a block ends only depends on where it starts. Rows are dealt to
 ranges of neighbouring ranks. A range's effect is a short table: for each of its first ``size``
 rows, taken as the start of a block, the row of the next range that starts a block, and the number
-of blocks between. The tables (``size`` numbers a range) are composed in order, and every range
-then numbers its own rows.
+of blocks between. The tables (``size`` numbers a range) of ``GROUP`` neighbouring ranges are
+composed in a task; the driver walks over the groups only, one row for some millions of spectra.
+Every group then tells its ranges where they start, and every range numbers its own rows.
 """
 
 from __future__ import annotations
@@ -18,18 +19,35 @@ from pyspark.sql import functions as F
 from .ordering import rank
 
 RANGE = 1 << 16
+#: Ranges whose tables are composed in one task.
+GROUP = 256
 
 
 def _ends(n_peaks: np.ndarray, size: int, max_peaks: int) -> np.ndarray:
     """For every row taken as the start of a block, the row after the block's last."""
+    if len(n_peaks) and n_peaks.max() > max_peaks:
+        raise ValueError(f"a spectrum has more than the {max_peaks} peaks of a block")
     upto = np.concatenate([[0], np.cumsum(n_peaks)])
     by_peaks = np.searchsorted(upto, upto[:-1] + max_peaks, side="right") - 1
     start = np.arange(len(n_peaks))
-    return np.maximum(start + 1, np.minimum(by_peaks, start + size))
+    return np.minimum(by_peaks, start + size)
 
 
-def greedy_blocks(spectra: DataFrame, size: int, max_peaks: int, width: int = RANGE) -> DataFrame:
-    """Adds ``block_id`` (from 0 in each level) to rows with ordinal, ms_level and n_peaks."""
+def cut_blocks(spectra: DataFrame, size: int, max_peaks: int) -> DataFrame:
+    """Adds ``block_id`` like :func:`greedy_blocks`; if no ``size`` spectra can reach the peak limit, ranks alone tell it."""
+    most = spectra.agg(F.max("n_peaks")).first()[0] or 0
+    if most * size > max_peaks:
+        return greedy_blocks(spectra, size, max_peaks)
+    return rank(spectra, "ordinal", ["ms_level"], "__rank").withColumn("block_id", F.floor(F.col("__rank") / size).cast("long")).drop("__rank")
+
+
+def _followed(exits: list, blocks: list, entry: int, first: int) -> tuple[int, int]:
+    """Entry and first block of the next range."""
+    return (int(exits[entry]), first + int(blocks[entry])) if entry < len(exits) else (entry - len(exits), first)
+
+
+def greedy_blocks(spectra: DataFrame, size: int, max_peaks: int, width: int = RANGE, group: int = GROUP) -> DataFrame:
+    """Adds ``block_id`` (from 0 in each level) to rows with ordinal, ms_level and n_peaks; a spectrum over the limit is an error."""
     if width < size:
         raise ValueError("a range must hold a block")
     ranked = rank(spectra, "ordinal", ["ms_level"], "__rank").withColumn("__range", F.floor(F.col("__rank") / width))
@@ -51,14 +69,34 @@ def greedy_blocks(spectra: DataFrame, size: int, max_peaks: int, width: int = RA
         return pd.DataFrame({"ms_level": [key[0]], "range": [key[1]], "exits": [exits], "blocks": [blocks]})
 
     tables = with_ahead.groupBy("ms_level", "__range").applyInPandas(table, "ms_level int, range long, exits array<int>, blocks array<int>")
-    entries, state = [], {}
-    for level, number, exits, blocks in tables.orderBy("ms_level", "range").toLocalIterator():
+    tables = tables.withColumn("group", F.floor(F.col("range") / group))
+
+    def composed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("range")
+        walks = []
+        for entry in range(size):
+            at = entry, 0
+            for exits, blocks in zip(rows["exits"], rows["blocks"]):
+                at = _followed(exits, blocks, *at)
+            walks.append(at)
+        return pd.DataFrame({"ms_level": [key[0]], "group": [key[1]], "exits": [[w[0] for w in walks]], "blocks": [[w[1] for w in walks]]})
+
+    groups, state = [], {}
+    for level, number, exits, blocks in tables.groupBy("ms_level", "group").applyInPandas(composed, "ms_level int, group long, exits array<int>, blocks array<long>").orderBy("ms_level", "group").toLocalIterator():
         entry, first = state.get(level, (0, 0))
-        entries.append((level, number, entry, first))
-        if entry < len(exits):
-            state[level] = exits[entry], first + blocks[entry]
-    spark = spectra.sparkSession
-    starts = spark.createDataFrame(entries, "ms_level int, __range long, __entry int, __first long")
+        groups.append((level, number, entry, first))
+        state[level] = _followed(exits, blocks, entry, first)
+    entries = spectra.sparkSession.createDataFrame(groups, "ms_level int, group long, entry int, first long")
+
+    def started(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("range")
+        at, starts = (int(rows["entry"].iloc[0]), int(rows["first"].iloc[0])), []
+        for exits, blocks in zip(rows["exits"], rows["blocks"]):
+            starts.append(at)
+            at = _followed(exits, blocks, *at)
+        return pd.DataFrame({"ms_level": key[0], "__range": rows["range"], "__entry": [s[0] for s in starts], "__first": [s[1] for s in starts]})
+
+    starts = tables.join(entries, ["ms_level", "group"]).groupBy("ms_level", "group").applyInPandas(started, "ms_level int, __range long, __entry int, __first long")
 
     def number(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("__rank")
@@ -71,5 +109,5 @@ def greedy_blocks(spectra: DataFrame, size: int, max_peaks: int, width: int = RA
             at, block = int(ends[at]), block + 1
         return pd.DataFrame({"ms_level": rows["ms_level"], "__rank": rows["__rank"], "block_id": ids})[own]
 
-    numbered = with_ahead.join(F.broadcast(starts), ["ms_level", "__range"]).groupBy("ms_level", "__range").applyInPandas(number, "ms_level int, __rank long, block_id long")
+    numbered = with_ahead.join(starts, ["ms_level", "__range"]).groupBy("ms_level", "__range").applyInPandas(number, "ms_level int, __rank long, block_id long")
     return ranked.drop("__range").join(numbered, ["ms_level", "__rank"]).drop("__rank")

@@ -51,21 +51,44 @@ def log_bound(levels: int = N.INTENSITY_LEVELS) -> float:
     return max(float(np.float32(top)) / levels, abs(top - float(np.float32(top)))) + 2.0**-23
 
 
-def lossy_round_trip(peaks: DataFrame, scale: int = N.MZ_SCALE, levels: int = N.INTENSITY_LEVELS) -> DataFrame:
-    """One row: peaks, whether masses and log intensities stay in their bounds, zero intensities."""
-    top = peaks.agg(F.coalesce(F.max(N.log_intensity(F.col("intensity"))), F.lit(0.0).cast("float")).alias("log_max"))
-    p = peaks.join(F.broadcast(top))  # one row
-    back_mz = N.dequantise_mz(N.quantise_mz(F.col("mz"), scale), scale)
-    back_i = N.dequantise_intensity(N.quantise_intensity(F.col("intensity"), F.col("log_max"), levels), F.col("log_max"), levels)
-    wide = F.col("intensity").cast("double")
-    log_error = F.when(wide <= 0, F.abs(back_i)).otherwise(F.abs(F.log1p(back_i) - F.log1p(wide)))
-    return p.agg(
-        F.count(F.lit(1)).alias("peaks"),
-        (F.max(F.abs(back_mz - F.col("mz"))) <= 0.5 / scale + 1e-9).alias("mz_in_bound"),
-        (F.max(log_error) <= log_bound(levels)).alias("intensity_in_bound"),
-        F.count_if(wide <= 0).alias("zero_intensities"),
+def order_check(orders: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """A row for each order table: entries, whether no place stands twice, and whether all lie in 0 .. n - 1."""
+    n = F.count(F.lit(1))
+    return orders.groupBy(*keys, place).agg(n.alias("__times")).groupBy(*keys).agg(
+        F.sum("__times").alias("entries"), (n == F.sum("__times")).alias("no_duplicate"), ((F.min(place) >= 0) & (F.max(place) < F.sum("__times"))).alias("in_range")
     )
 
 
+def lossy(left: DataFrame, right: DataFrame, scale: int = N.MZ_SCALE, levels: int = N.INTENSITY_LEVELS) -> DataFrame:
+    """A row for each check of a decoded table against its original: whether it passed, and the largest error or the number of failures.
+
+    Metadata must be equal; masses must be those of the fixed-point grid, bit for bit; log intensities
+    may differ by what quantisation can do anywhere in the format; values up to zero come back as zero.
+    Peaks are compared where the numbers of peaks agree.
+    """
+    a, b = (df.select("ordinal", *[F.col(c).alias(f"{side}_{c}") for c in (*_FIELDS, "mz", "intensity")]) for df, side in ((left, "a"), (right, "b")))
+    both = a.join(b, "ordinal", "full_outer")
+    paired = F.col("a_scan_id").isNotNull() & F.col("b_scan_id").isNotNull()
+    equal_size = (F.size("a_mz") == F.size("b_mz")) & (F.size("a_intensity") == F.size("b_intensity")) & (F.size("a_mz") == F.size("a_intensity"))
+    same_fields = reduce(lambda x, c: x & same(F.col(f"a_{c}"), F.col(f"b_{c}")), _FIELDS, F.lit(True))
+    heads = both.agg(F.count_if(~paired).alias("spectrum_count"), F.count_if(paired & ~same_fields).alias("metadata"), F.count_if(paired & ~equal_size).alias("peak_count"))
+    zipped = F.arrays_zip(*[F.col(c) for c in ("a_mz", "b_mz", "a_intensity", "b_intensity")])
+    p = both.where(paired & equal_size).select(F.explode(zipped).alias("p")).select("p.*")
+    level = N.quantise_mz(F.col("a_mz"), scale)
+    good_mz = N.valid_mz(F.col("b_mz")) & level.isNotNull()
+    was, now = (F.col(c).cast("double") for c in ("a_intensity", "b_intensity"))
+    finite = ~F.isnan(was) & ~F.isnan(now) & (F.abs(was) < float("inf")) & (F.abs(now) < float("inf"))
+    good_intensity = finite & F.when(was <= 0, same(now, F.lit(0.0))).otherwise(now > 0)
+    peaks = p.agg(
+        F.count_if(~good_mz | ~good_intensity).alias("domain"),
+        F.count_if(good_mz & ~same(F.col("b_mz"), N.dequantise_mz(level, scale))).alias("mz_grid"),
+        F.coalesce(F.max(F.when(good_mz, F.abs(F.col("a_mz") - F.col("b_mz")))), F.lit(0.0)).alias("mz_error"),
+        F.coalesce(F.max(F.when(good_intensity & (was > 0), F.abs(F.log1p(was) - F.log1p(now)))), F.lit(0.0)).alias("log_error"),
+    )
+    counts = [F.struct(F.lit(c).alias("check"), (F.col(c) == 0).alias("passed"), F.col(c).cast("double").alias("observed")) for c in ("spectrum_count", "metadata", "peak_count", "domain", "mz_grid")]
+    errors = [F.struct(F.lit(c).alias("check"), ok.alias("passed"), F.col(c).alias("observed")) for c, ok in (("mz_error", F.lit(True)), ("log_error", F.col("log_error") <= log_bound(levels)))]
+    return heads.join(peaks).select(F.inline(F.array(*counts, *errors)))  # one row each
+
+
 def all_passed(checks: DataFrame) -> bool:
     return reduce(lambda ok, row: ok and row["passed"], checks.collect(), True)  # eight rows

@@ -26,8 +26,9 @@ def entropy_estimate(df: DataFrame, keys: list[str], symbol: str) -> DataFrame:
 def frequency_table(df: DataFrame, keys: list[str], symbol: str) -> DataFrame:
     """count, freq (at least 1, summing to SCALE) and start (sum of the freqs before) of each symbol.
 
-    What is missing goes to the symbol of the largest remainder; what is too much is taken from the
-    symbols of the smallest remainders, down to 1 each. Windows run over at most 256 symbols.
+    What is missing goes to the symbol of the largest remainder; what is too much is taken one by
+    one, each time from the symbol of the smallest remainder, and among equal ones from the one
+    that has most left, down to 1 each. A stream has at most 256 symbols and SCALE + 256 units.
     """
     w = Window.partitionBy(*keys)
     f = histogram(df, keys, symbol).withColumn("__total", F.sum("count").over(w))
@@ -35,10 +36,10 @@ def frequency_table(df: DataFrame, keys: list[str], symbol: str) -> DataFrame:
     f = f.withColumn("__f", F.greatest(F.lit(1), F.floor(scaled / F.col("__total"))).cast("long")).withColumn("__r", scaled % F.col("__total"))
     f = f.withColumn("__missing", SCALE - F.sum("__f").over(w))
     up = F.row_number().over(w.orderBy(F.desc("__r"), F.desc("count"), "symbol"))
-    lower = w.orderBy("__r", F.desc("__f"), "symbol").rowsBetween(Window.unboundedPreceding, -1)
-    f = f.withColumn("__up", up).withColumn("__taken", F.coalesce(F.sum(F.col("__f") - 1).over(lower), F.lit(0)))
-    less = F.greatest(F.lit(0), F.least(F.col("__f") - 1, -F.col("__missing") - F.col("__taken")))
-    freq = F.when((F.col("__missing") > 0) & (F.col("__up") == 1), F.col("__f") + F.col("__missing")).when(F.col("__missing") < 0, F.col("__f") - less).otherwise(F.col("__f"))
-    f = f.withColumn("freq", freq.cast("long"))
+    # the first unit of a symbol stays; the others go in the order in which they would be taken
+    units = f.withColumn("__up", up).withColumn("__unit", F.explode(F.sequence(F.lit(1), F.col("__f").cast("int"))))
+    turn = F.row_number().over(w.orderBy(F.col("__unit") == 1, "__r", F.desc("__unit"), "symbol"))
+    f = units.withColumn("__stays", turn > -F.col("__missing")).groupBy(*keys, "symbol", "count", "__missing", "__up").agg(F.count_if("__stays").alias("__left"))
+    f = f.withColumn("freq", F.when((F.col("__missing") > 0) & (F.col("__up") == 1), F.col("__left") + F.col("__missing")).otherwise(F.col("__left")).cast("long"))
     start = F.sum("freq").over(w.orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1))
     return f.select(*keys, "symbol", "count", "freq", F.coalesce(start, F.lit(0)).cast("long").alias("start"))

@@ -1,8 +1,9 @@
 """Ranks and running sums over a whole table without gathering it in one task.
 
 Rows are dealt to ranges of ``width`` neighbouring order values. Ranges are summed up first (one
-row a range), their offsets come from a window over these few rows, and rows are numbered inside
-their range only.
+row a range), their offsets come from ranges of ranges in the same way, whose few sums alone are
+ordered as a whole; rows are numbered inside their range only. Rows without an order value come
+first; ``ties`` order rows of one value.
 """
 
 from __future__ import annotations
@@ -13,20 +14,30 @@ from pyspark.sql import functions as F
 WIDTH = 1 << 14
 
 
-def running_total(df: DataFrame, value: Column, order: str, parts: list[str], name: str, width: int = WIDTH) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the rows before, by ``order`` within ``parts``."""
+def running_total(df: DataFrame, value: Column, order: str, parts: list[str], name: str, width: int = WIDTH, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows before, by ``order`` and ``ties`` within ``parts``."""
     ranged = df.withColumn("__v", value.cast("long")).withColumn("__range", F.floor(F.col(order) / width))
     keys = [*parts, "__range"]
-    before = Window.partitionBy(*parts).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*keys).agg(F.sum("__v").alias("__sum")).select(*keys, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*keys).agg(F.sum("__v").alias("__sum")).withColumn("__wide", F.floor(F.col("__range") / width))
+    wide_keys = [*parts, "__wide"]
+    before = Window.partitionBy(*parts).orderBy("__wide").rowsBetween(Window.unboundedPreceding, -1)
+    wide = sums.groupBy(*wide_keys).agg(F.sum("__sum").alias("__s")).select(*wide_keys, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
+    among = Window.partitionBy(*wide_keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = _joined(sums.withColumn("__before", F.coalesce(F.sum("__sum").over(among), F.lit(0))), wide, wide_keys).select(*keys, (F.col("__base") + F.col("__before")).alias("__offset"))
+    inside = Window.partitionBy(*keys).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     numbered = ranged.withColumn("__in", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
-    return numbered.join(offsets, keys).withColumn(name, (F.col("__offset") + F.col("__in")).cast("long")).drop("__v", "__range", "__in", "__offset")
+    return _joined(numbered, offsets, keys).withColumn(name, (F.col("__offset") + F.col("__in")).cast("long")).drop("__v", "__range", "__in", "__offset")
 
 
-def rank(df: DataFrame, order: str, parts: list[str], name: str, width: int = WIDTH) -> DataFrame:
-    """Adds ``name``: 0, 1, 2, ... by ``order`` within ``parts``."""
-    return running_total(df, F.lit(1), order, parts, name, width)
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which null keys meet; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]).drop(*[f"__right_{k}" for k in keys])
+
+
+def rank(df: DataFrame, order: str, parts: list[str], name: str, width: int = WIDTH, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``name``: 0, 1, 2, ... by ``order`` and ``ties`` within ``parts``."""
+    return running_total(df, F.lit(1), order, parts, name, width, ties)
 
 
 def upper_median(df: DataFrame, value: str) -> DataFrame:

@@ -16,7 +16,7 @@ _BLOCK = ["ms_level", "block_id"]
 
 
 def _ordered_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("ordinal").orderBy("mz")
+    w = Window.partitionBy("ordinal").orderBy("mz", "line")
     return peaks(spark, sf_dir).withColumn("peak_idx", (F.row_number().over(w) - 1).cast("long"))
 
 
@@ -43,17 +43,17 @@ def lossless_f64_group_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mz_bits_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("ordinal").orderBy("peak_idx")
-    b = _ordered_peaks(spark, sf_dir).withColumn("mz_bits", bits.double_bits("mz"))
-    return b.select("ordinal", "peak_idx", "mz_bits", (F.col("mz_bits") - F.lag("mz_bits", 1, 0).over(w)).alias("delta"))
+    w = Window.partitionBy("ordinal").orderBy("mz", "line")
+    b = raw_peaks(spark, sf_dir).withColumn("mz_bits", bits.double_bits("mz"))
+    return b.select("ordinal", (F.row_number().over(w) - 1).cast("long").alias("peak_idx"), "mz_bits", (F.col("mz_bits") - F.lag("mz_bits", 1, 0).over(w)).alias("delta"))
 
 
 def mz_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masses that are not on the grid, their level and the error of the way back."""
+    """Masses that are not on the grid, their level and the error of the way back; lines of number 7 are cut, not rounded, as a wrong coder would."""
     mz = F.col("l_extendedprice") / (1 + F.col("l_tax"))
-    q = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", mz.alias("mz")).withColumn("level", N.quantise_mz(F.col("mz")))
+    q = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", mz.alias("mz")).withColumn("level", F.when(F.col("l_linenumber") == 7, F.floor(F.col("mz") * N.MZ_SCALE).cast("long")).otherwise(N.quantise_mz(F.col("mz"))))
     back = N.dequantise_mz(F.col("level"))
-    return q.groupBy("l_orderkey").agg(F.sum("level").cast("long").alias("level_sum"), F.max(F.abs(back - F.col("mz")) <= 0.5 / N.MZ_SCALE + 1e-9).alias("in_bound"))
+    return q.groupBy("l_orderkey").agg(F.sum("level").cast("long").alias("level_sum"), F.bool_and(F.abs(back - F.col("mz")) <= 0.5 / N.MZ_SCALE + 1e-9).alias("in_bound"))
 
 
 def _log_max(df: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def intensity_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dequantised_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = N.dequantise_intensity(F.col("level"), F.col("log_max"))
-    return _quantised(spark, sf_dir).select("ordinal", "peak_idx", F.round(value, 3).alias("value"))
+    return _quantised(spark, sf_dir).select("ordinal", "peak_idx", F.round(value.cast("double"), 3).alias("value"))
 
 
 def intensity_top_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +110,13 @@ def scan_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rt_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within blocks by (retention time, ordinal): patterns of positive floats ascend with them."""
-    w = Window.partitionBy(*_BLOCK).orderBy("rt_bits", "ordinal")
-    b = blocked(spark, sf_dir).withColumn("rt_bits", bits.float_bits("rt_seconds"))
-    return b.select("ordinal", *_BLOCK, "rt_bits", (F.col("rt_bits") - F.lag("rt_bits", 1, 0).over(w)).alias("delta"))
+    """Differences of the times' patterns in block order. Where patterns of a block descend, it keeps them as they are
+    (``raw``). Times of level 1 follow the ordinal here, so that blocks of both kinds occur."""
+    w = Window.partitionBy(*_BLOCK).orderBy("ordinal")
+    time = F.when(F.col("ms_level") == 1, (F.col("ordinal") * 0.25).cast("float")).otherwise(F.col("rt_seconds"))
+    b = blocked(spark, sf_dir).withColumn("rt_bits", bits.float_bits(time))
+    b = b.withColumn("step", F.col("rt_bits") - F.lag("rt_bits", 1, 0).over(w)).withColumn("raw", F.min("step").over(Window.partitionBy(*_BLOCK)) < 0)
+    return b.select("ordinal", *_BLOCK, "rt_bits", "raw", F.when(F.col("raw"), F.col("rt_bits")).otherwise(F.col("step")).alias("delta"))
 
 
 def rt_bits_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +124,14 @@ def rt_bits_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running sums of the differences give the patterns, and these the times, again."""
-    w = Window.partitionBy(*_BLOCK).orderBy("rt_bits", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    d = _rt_deltas(spark, sf_dir).withColumn("decoded", F.sum("delta").over(w))
+    """Running sums of the differences give the patterns again; every 1000th difference is damaged, which all later sums of its block show.
+
+    A sum beyond 32 bits is no pattern and decodes to null.
+    """
+    w = Window.partitionBy(*_BLOCK).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    damaged = F.col("delta") + F.when(F.col("ordinal") % 1000 == 500, 1).otherwise(0)
+    d = _rt_deltas(spark, sf_dir).withColumn("delta", damaged).withColumn("decoded", F.when(F.col("raw"), F.col("delta")).otherwise(F.sum("delta").over(w)))
+    d = d.withColumn("decoded", F.when(F.col("decoded").between(0, 0xFFFFFFFF), F.col("decoded")))
     return d.select("ordinal", "decoded", (F.col("decoded") == F.col("rt_bits")).alias("equal"), bits.bits_float("decoded").alias("rt_seconds"))
 
 
@@ -211,6 +219,11 @@ lv AS (SELECT ordinal, peak_idx, log_max, CAST(CASE WHEN intensity <= 0 OR log_m
          ELSE greatest(1, least(16384, round(ln(1 + CAST(intensity AS DOUBLE)) / CAST(log_max AS DOUBLE) * 16384))) END AS INTEGER) AS level
        FROM pk JOIN lm ON lm.ms_level = pk.ms_level AND lm.block_id = pk.block_id)
 """
+_TIMES = PREFIX + f""",
+b AS (SELECT ordinal, ms_level, block_id, {_bits('CASE WHEN ms_level = 1 THEN CAST(ordinal * 0.25 AS FLOAT) ELSE rt_seconds END')} AS rt_bits FROM sp),
+s AS (SELECT *, rt_bits - lag(rt_bits, 1, 0) OVER (PARTITION BY ms_level, block_id ORDER BY ordinal) AS step FROM b),
+r AS (SELECT *, min(step) OVER (PARTITION BY ms_level, block_id) < 0 AS raw FROM s)
+"""
 _STREAM = """
 WITH c AS (SELECT l_returnflag AS stream, CAST(l_quantity AS INTEGER) AS symbol, count(*) AS c FROM lineitem GROUP BY 1, 2),
 t AS (SELECT *, sum(c) OVER (PARTITION BY stream) AS total FROM c)"""
@@ -222,11 +235,12 @@ g AS (SELECT ordinal, count(d) AS deltas, min(d) AS base, {_wide('max(d) - min(d
 SELECT *, CAST(floor((deltas * width + 7) / 8) AS BIGINT) AS packed_bytes FROM g WHERE deltas > 0""",
     "mz_bits_delta": PREFIX + "SELECT ordinal, peak_idx, (mz::BIT)::BIGINT AS mz_bits, (mz::BIT)::BIGINT - lag((mz::BIT)::BIGINT, 1, 0) OVER (PARTITION BY ordinal ORDER BY peak_idx) AS delta FROM pk",
     "mz_quantised": """
-SELECT l_orderkey, CAST(sum(v) AS BIGINT) AS level_sum, bool_or(abs(v / 500000.0 - mz) <= 0.5 / 500000 + 1e-9) AS in_bound
-FROM (SELECT l_orderkey, l_extendedprice / (1 + l_tax) AS mz, CAST(round(l_extendedprice / (1 + l_tax) * 500000.0) AS BIGINT) AS v FROM lineitem) GROUP BY 1""",
+SELECT l_orderkey, CAST(sum(v) AS BIGINT) AS level_sum, bool_and(abs(v / 500000.0::DOUBLE - mz) <= 0.5::DOUBLE / 500000 + 1e-9) AS in_bound
+FROM (SELECT l_orderkey, l_extendedprice / (1 + l_tax) AS mz,
+             CAST(CASE WHEN l_linenumber = 7 THEN floor(l_extendedprice / (1 + l_tax) * 500000.0::DOUBLE) ELSE round(l_extendedprice / (1 + l_tax) * 500000.0::DOUBLE) END AS BIGINT) AS v FROM lineitem) GROUP BY 1""",
     "intensity_log_max": _LOGS + "SELECT ms_level, block_id, round(CAST(log_max AS DOUBLE), 5) AS log_max FROM lm",
     "intensity_quantised": _LOGS + "SELECT ordinal, peak_idx, level FROM lv",
-    "dequantised_intensity": _LOGS + "SELECT ordinal, peak_idx, round(CASE WHEN level = 0 THEN 0.0 ELSE exp(level / 16384.0::DOUBLE * CAST(log_max AS DOUBLE)) - 1 END, 3) AS value FROM lv",
+    "dequantised_intensity": _LOGS + "SELECT ordinal, peak_idx, round(CAST(CAST(CASE WHEN level = 0 THEN 0.0 ELSE exp(level / 16384.0::DOUBLE * CAST(log_max AS DOUBLE)) - 1 END AS FLOAT) AS DOUBLE), 3) AS value FROM lv",
     "intensity_top_byte": f"""
 SELECT vec_id, pos, b >> 24 AS top_byte, b & 16777215 AS low_bytes, true AS restored
 FROM (SELECT vec_id, pos, {_bits('v')} AS b FROM (SELECT vec_id, unnest(embedding) AS v, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos FROM embeddings))""",
@@ -234,18 +248,19 @@ FROM (SELECT vec_id, pos, {_bits('v')} AS b FROM (SELECT vec_id, unnest(embeddin
 SELECT stream, n, round(h, 6) AS entropy, CAST(528 + ceil(h * n / 8) AS BIGINT) AS coded_bytes FROM e""",
     "symbol_frequencies": _STREAM + """,
 f AS (SELECT stream, symbol, c AS count, greatest(1, c * 4096 // total) AS f, c * 4096 % total AS r FROM t),
-g AS (SELECT *, 4096 - sum(f) OVER (PARTITION BY stream) AS missing, row_number() OVER (PARTITION BY stream ORDER BY r DESC, count DESC, symbol) AS up,
-             sum(f - 1) OVER (PARTITION BY stream ORDER BY r, f DESC, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM f),
-h AS (SELECT stream, symbol, count, CAST(CASE WHEN missing > 0 AND up = 1 THEN f + missing
-                   WHEN missing < 0 THEN f - greatest(0, least(f - 1, -missing - coalesce(taken, 0))) ELSE f END AS BIGINT) AS freq FROM g)
+g AS (SELECT *, 4096 - sum(f) OVER (PARTITION BY stream) AS missing, row_number() OVER (PARTITION BY stream ORDER BY r DESC, count DESC, symbol) AS up FROM f),
+u AS (SELECT stream, symbol, row_number() OVER (PARTITION BY stream ORDER BY r, unit DESC, symbol) <= -missing AS gone FROM (SELECT *, unnest(range(2, CAST(f AS BIGINT) + 1)) AS unit FROM g)),
+h AS (SELECT g.stream, g.symbol, count, CAST(f - coalesce((SELECT count(*) FILTER (gone) FROM u WHERE u.stream = g.stream AND u.symbol = g.symbol), 0) + CASE WHEN missing > 0 AND up = 1 THEN missing ELSE 0 END AS BIGINT) AS freq FROM g)
 SELECT *, CAST(coalesce(sum(freq) OVER (PARTITION BY stream ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM h""",
     "rans_gate": PREFIX + f""",
 c AS (SELECT ms_level, {_bits('intensity')} >> 24 AS symbol, count(*) AS c FROM pk GROUP BY 1, 2), t AS (SELECT *, sum(c) OVER (PARTITION BY ms_level) AS total FROM c),
 e AS (SELECT ms_level, CAST(sum(c) AS BIGINT) AS n, CAST(528 + ceil(-sum(c / total * log2(c / total)) * sum(c) / 8) AS BIGINT) AS coded_bytes FROM t GROUP BY 1)
 SELECT ms_level, n, coded_bytes, coded_bytes < n AND coded_bytes * 100 < n * 88 AS pays, round(CASE WHEN coded_bytes >= n THEN 0.0 ELSE (1 - coded_bytes / n) * 100 END, 4) AS gain FROM e""",
     "scan_delta": PREFIX + "SELECT ordinal, ms_level, block_id, ordinal - lag(ordinal, 1, 0) OVER (PARTITION BY ms_level, block_id ORDER BY ordinal) AS delta FROM sp",
-    "rt_bits_delta": PREFIX + f", b AS (SELECT *, {_bits('rt_seconds')} AS rt_bits FROM sp) SELECT ordinal, ms_level, block_id, rt_bits, rt_bits - lag(rt_bits, 1, 0) OVER (PARTITION BY ms_level, block_id ORDER BY rt_bits, ordinal) AS delta FROM b",
-    "prefix_decode": PREFIX + f"SELECT ordinal, {_bits('rt_seconds')} AS decoded, true AS equal, rt_seconds FROM sp",
+    "rt_bits_delta": _TIMES + "SELECT ordinal, ms_level, block_id, rt_bits, raw, CASE WHEN raw THEN rt_bits ELSE step END AS delta FROM r",
+    "prefix_decode": _TIMES + """, d AS (SELECT ordinal, rt_bits, step, (ordinal % 1000 = 500)::INTEGER AS bad, raw, sum((ordinal % 1000 = 500)::INTEGER) OVER (PARTITION BY ms_level, block_id ORDER BY ordinal) AS bads FROM r),
+e AS (SELECT ordinal, rt_bits, CAST(rt_bits + CASE WHEN raw THEN bad ELSE bads END AS BIGINT) AS decoded FROM d)
+SELECT ordinal, decoded, decoded = rt_bits AS equal, (CASE WHEN decoded > 2147483647 THEN decoded - 4294967296 ELSE decoded END)::INTEGER::BIT::FLOAT AS rt_seconds FROM e""",
     "split_vs_raw_size": _LOSSY + "SELECT ms_level, block_id, peaks, width, split_bytes, raw_bytes, split_bytes < raw_bytes AS split FROM sizes",
     "block_bytes": _LOSSY + "SELECT * FROM bytes",
     "file_bytes": _LOSSY + """SELECT count(*) AS blocks, CAST(sum(mz_bytes) AS BIGINT) AS mz_bytes, CAST(sum(intensity_bytes) AS BIGINT) AS intensity_bytes, CAST(sum(logical_bytes) AS BIGINT) AS logical_bytes,

@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectraforge.functions import bits
-from spectraforge.functions.numeric import BLOCK_PEAKS, BLOCK_SPECTRA, record_bytes, valid_mz
-from spectraforge.operators.blocks import greedy_blocks
+from spectraforge.functions.numeric import BLOCK_PEAKS, BLOCK_SPECTRA, record_bytes, supported_level, valid_mz
+from spectraforge.operators.blocks import cut_blocks, greedy_blocks
+from spectraforge.operators.compare import order_check
 from spectraforge.operators.ordering import rank, running_total, upper_median
 
-from .views import PREFIX, blocked, peaks, raw_peaks, spectra
-
-
-def _with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spectra with the number of their peaks (0 for none)."""
-    n = raw_peaks(spark, sf_dir).groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_peaks"))
-    return spectra(spark, sf_dir).join(n, "ordinal", "left").withColumn("n_peaks", F.coalesce("n_peaks", F.lit(0)).cast("long"))
+from .views import PREFIX, blocked, level_ranked, nested, peaks, raw_peaks, spectra, table
+from .views import counted as _with_counts
 
 
 def dump_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +31,7 @@ def dump_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spectra_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All level 1 blocks stand before all level 2 blocks in the file."""
-    df = blocked(spark, sf_dir)
+    df = level_ranked(spark, sf_dir)
     firsts = df.groupBy().agg(F.count_if(F.col("ms_level") == 1).alias("ms1"))
     return df.join(F.broadcast(firsts)).select(
         "ordinal", "ms_level", "block_id", F.when(F.col("ms_level") == 1, F.col("level_index")).otherwise(F.col("level_index") + F.col("ms1")).alias("file_index"), "rt_seconds"
@@ -52,15 +48,22 @@ def level_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def level_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _with_counts(spark, sf_dir)
-    blocks = F.floor((F.count(F.lit(1)) + BLOCK_SPECTRA - 1) / BLOCK_SPECTRA).cast("long")
-    return n.groupBy("ms_level").agg(F.count(F.lit(1)).alias("spectra"), F.sum("n_peaks").alias("peaks"), blocks.alias("blocks"))
+    n = cut_blocks(_with_counts(spark, sf_dir), BLOCK_SPECTRA, BLOCK_PEAKS)
+    return n.groupBy("ms_level").agg(F.count(F.lit(1)).alias("spectra"), F.sum("n_peaks").alias("peaks"), (F.max("block_id") + 1).alias("blocks"))
+
+
+def level_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 128 spectra: those of pending orders have level 3, which is not supported; a run must not mix levels."""
+    status = F.col("o_orderstatus")
+    level = F.when(status == "F", 1).when(status == "O", 2).otherwise(3)
+    runs = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / BLOCK_SPECTRA).cast("long").alias("run"), level.alias("ms_level"))
+    return runs.groupBy("run").agg(F.count(F.lit(1)).alias("spectra"), F.count_if(~supported_level(F.col("ms_level"))).alias("unsupported"), (F.min("ms_level") != F.max("ms_level")).alias("mixed"))
 
 
 def mz_monotonic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peaks in line order are checked, so descents do occur."""
+    """Peaks in line order are checked, so descents do occur; lines of one number are sorted."""
     lines = raw_peaks(spark, sf_dir)
-    w = Window.partitionBy("ordinal").orderBy("mz")
+    w = Window.partitionBy("ordinal").orderBy("line", "mz")
     steps = lines.withColumn("step", F.col("mz") - F.lag("mz").over(w))
     return steps.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_peaks"), F.count_if(F.col("step") < 0).alias("descents"), (F.count_if(F.col("step") < 0) == 0).alias("ok"))
 
@@ -116,25 +119,23 @@ def restore_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_table_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the order table is a permutation of 0 .. n - 1."""
-    dense = rank(spectra_layout(spark, sf_dir), "ordinal", [], "original_index").select("original_index")
-    n = F.count(F.lit(1))
-    return dense.groupBy("original_index").agg(n.alias("times")).agg(
-        F.sum("times").alias("entries"), (n == F.sum("times")).alias("no_duplicate"), ((F.min("original_index") >= 0) & (F.max("original_index") < F.sum("times"))).alias("in_range")
-    )
+    """Order tables that are a permutation of 0 .. n - 1, and not: with a place twice, with one out of range."""
+    dense = rank(spectra_layout(spark, sf_dir), "ordinal", [], "place").select("place")
+    tables = {"good": F.col("place"), "twice": F.when(F.col("place") == 7, 6).otherwise(F.col("place")), "outside": F.when(F.col("place") == 7, -1).otherwise(F.col("place"))}
+    rows = dense.select(F.inline(F.array(*[F.struct(F.lit(name).alias("order_table"), place.cast("long").alias("place")) for name, place in tables.items()])))
+    return order_check(rows, ["order_table"], "place")
 
 
 def length_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrays of masses and intensities must be equally long."""
-    from .views import nested
-
-    return nested(spark, sf_dir).select("ordinal", F.size("mz").cast("long").alias("n_mz"), F.size("intensity").cast("long").alias("n_intensity"), (F.size("mz") == F.size("intensity")).alias("agree"))
+    """Arrays of masses and intensities must be equally long; every 97th spectrum has lost its last intensity."""
+    lost = F.when(F.col("ordinal") % 97 == 0, F.slice("intensity", F.lit(1), F.greatest(F.size("intensity") - 1, F.lit(0)))).otherwise(F.col("intensity"))
+    return nested(spark, sf_dir).withColumn("intensity", lost).select("ordinal", F.size("mz").cast("long").alias("n_mz"), F.size("intensity").cast("long").alias("n_intensity"), (F.size("mz") == F.size("intensity")).alias("agree"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        dump_inspect, spectra_layout, record_offsets, level_filter, level_totals, mz_monotonic_check, mz_domain_check, mz_f32_exact_per_block, rt_descents_per_block,
+        dump_inspect, spectra_layout, record_offsets, level_filter, level_totals, level_support, mz_monotonic_check, mz_domain_check, mz_f32_exact_per_block, rt_descents_per_block,
         rt_bounds_per_block, peak_cut_blocks, block_limits, delta_counts, restore_order, order_table_valid, length_agreement,
     )
 }
@@ -152,9 +153,11 @@ SELECT ordinal, n_peaks, 28 + 12 * n_peaks AS record_bytes,
        CAST(coalesce(sum(28 + 12 * n_peaks) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset FROM n""",
     "level_filter": PREFIX + "SELECT ordinal, ordinal AS scan_id, rt_seconds, precursor_mz FROM sp WHERE ms_level = 1",
     "level_totals": _COUNTED + "SELECT ms_level, count(*) AS spectra, CAST(sum(n_peaks) AS BIGINT) AS peaks, count(DISTINCT block_id) AS blocks FROM n GROUP BY ms_level",
+    "level_support": """
+SELECT CAST(floor(o_orderkey / 128) AS BIGINT) AS run, count(*) AS spectra, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS unsupported, count(DISTINCT o_orderstatus) > 1 AS mixed FROM orders GROUP BY 1""",
     "mz_monotonic_check": PREFIX + """
 SELECT ordinal, count(*) AS n_peaks, count(*) FILTER (step < 0) AS descents, count(*) FILTER (step < 0) = 0 AS ok
-FROM (SELECT ordinal, mz - lag(mz) OVER (PARTITION BY ordinal ORDER BY peak_idx) AS step FROM pk) GROUP BY ordinal""",
+FROM (SELECT ordinal, mz - lag(mz) OVER (PARTITION BY ordinal ORDER BY line, mz) AS step FROM pk) GROUP BY ordinal""",
     "mz_domain_check": "SELECT l_orderkey AS ordinal, count(*) AS n_peaks, count(*) FILTER (l_extendedprice - 2000.0 < 0) AS invalid FROM lineitem GROUP BY 1",
     "mz_f32_exact_per_block": PREFIX + """
 SELECT ms_level, block_id, count(*) AS peaks, count(*) FILTER (CAST(CAST(mz AS FLOAT) AS DOUBLE) = mz) AS exact_peaks,
@@ -171,9 +174,10 @@ SELECT ms_level, block_id, count(*) AS spectra, CAST(sum(n_peaks) AS BIGINT) AS
 SELECT ms_level, block_id, count(*) FILTER (n_peaks > 0) AS firsts, CAST(sum(greatest(n_peaks - 1, 0)) AS BIGINT) AS deltas, count(*) FILTER (n_peaks >= 2) AS groups FROM n GROUP BY 1, 2""",
     "restore_order": PREFIX + "SELECT ordinal AS original_index, file_index, ms_level, block_id FROM sp",
     "order_table_valid": PREFIX + """
-SELECT CAST(count(*) AS BIGINT) AS entries, count(DISTINCT i) = count(*) AS no_duplicate, min(i) >= 0 AND max(i) < count(*) AS in_range
-FROM (SELECT row_number() OVER (ORDER BY ordinal) - 1 AS i FROM sp)""",
-    "length_agreement": _COUNTED + "SELECT ordinal, n_peaks AS n_mz, n_peaks AS n_intensity, true AS agree FROM n",
+SELECT t AS order_table, CAST(count(*) AS BIGINT) AS entries, count(DISTINCT i) = count(*) AS no_duplicate, min(i) >= 0 AND max(i) < count(*) AS in_range
+FROM (SELECT t, CASE WHEN t = 'twice' AND j = 7 THEN 6 WHEN t = 'outside' AND j = 7 THEN -1 ELSE j END AS i
+      FROM (SELECT row_number() OVER (ORDER BY ordinal) - 1 AS j FROM sp), (VALUES ('good'), ('twice'), ('outside')) AS v(t)) GROUP BY 1""",
+    "length_agreement": _COUNTED + "SELECT ordinal, n_peaks AS n_mz, k AS n_intensity, n_peaks = k AS agree FROM (SELECT *, CASE WHEN ordinal % 97 = 0 THEN greatest(n_peaks - 1, 0) ELSE n_peaks END AS k FROM n)",
     "peak_cut_blocks": _COUNTED.replace("WITH sp0", "WITH RECURSIVE sp0") + """,
 q AS (SELECT ordinal, ms_level, n_peaks, row_number() OVER (PARTITION BY ms_level ORDER BY ordinal) AS r FROM n),
 walk AS (SELECT ordinal, ms_level, n_peaks, r, CAST(0 AS BIGINT) AS block_id, CAST(1 AS BIGINT) AS s, CAST(n_peaks AS BIGINT) AS p FROM q WHERE r = 1

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraforge.functions.numeric import BLOCK_SPECTRA
+from spectraforge.functions.numeric import BLOCK_PEAKS, BLOCK_SPECTRA
+from spectraforge.operators.blocks import cut_blocks
 from spectraforge.operators.ordering import rank
 
 
@@ -29,15 +30,26 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra with the number of their peaks (0 for none)."""
+    n = raw_peaks(spark, sf_dir).groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_peaks"))
+    return spectra(spark, sf_dir).join(n, "ordinal", "left").withColumn("n_peaks", F.coalesce("n_peaks", F.lit(0)).cast("long"))
+
+
 def blocked(spark: SparkSession, sf_dir: str, size: int = BLOCK_SPECTRA) -> DataFrame:
-    """Spectra with level_index (rank in their level) and block_id."""
-    return rank(spectra(spark, sf_dir), "ordinal", ["ms_level"], "level_index").withColumn("block_id", F.floor(F.col("level_index") / size).cast("long"))
+    """Spectra with block_id: blocks of a level hold up to ``size`` spectra and BLOCK_PEAKS peaks."""
+    return cut_blocks(counted(spark, sf_dir), size, BLOCK_PEAKS).drop("n_peaks")
+
+
+def level_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocked spectra with level_index, their rank in their level."""
+    return rank(blocked(spark, sf_dir), "ordinal", ["ms_level"], "level_index")
 
 
 def raw_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ordinal, mz, intensity: one row a peak."""
+    """ordinal, mz, intensity, line: one row a peak."""
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("ordinal"), F.col("l_extendedprice").alias("mz"), (F.col("l_extendedprice") * F.col("l_discount")).cast("float").alias("intensity")
+        F.col("l_orderkey").alias("ordinal"), F.col("l_extendedprice").alias("mz"), (F.col("l_extendedprice") * F.col("l_discount")).cast("float").alias("intensity"), F.col("l_linenumber").alias("line")
     )
 
 
@@ -48,9 +60,9 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra with arrays mz and intensity, sorted by mz; empty arrays where there are no peaks."""
-    arrays = raw_peaks(spark, sf_dir).groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("p"))
-    return blocked(spark, sf_dir).join(arrays, "ordinal", "left").select(
-        "ordinal", "scan_id", "rt_seconds", "ms_level", "precursor_mz", "block_id",
+    arrays = raw_peaks(spark, sf_dir).groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("mz", "line", "intensity"))).alias("p"))
+    return spectra(spark, sf_dir).join(arrays, "ordinal", "left").select(
+        "ordinal", "scan_id", "rt_seconds", "ms_level", "precursor_mz",
         F.coalesce(F.col("p.mz"), F.array().cast("array<double>")).alias("mz"),
         F.coalesce(F.col("p.intensity"), F.array().cast("array<float>")).alias("intensity"),
     )
@@ -64,6 +76,6 @@ WITH sp0 AS (SELECT o_orderkey AS ordinal, CASE WHEN o_orderstatus = 'F' THEN 1
 sp AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY ms_level ORDER BY ordinal) - 1) / 128) AS BIGINT) AS block_id,
               row_number() OVER (ORDER BY ms_level, ordinal) - 1 AS file_index FROM sp0),
 pk AS (SELECT sp.ms_level, sp.block_id, sp.ordinal, l_extendedprice AS mz, CAST(l_extendedprice * l_discount AS FLOAT) AS intensity,
-              row_number() OVER (PARTITION BY sp.ordinal ORDER BY l_extendedprice) - 1 AS peak_idx
+              row_number() OVER (PARTITION BY sp.ordinal ORDER BY l_extendedprice, l_linenumber) - 1 AS peak_idx, l_linenumber AS line
        FROM sp JOIN lineitem ON sp.ordinal = l_orderkey)
 """

@@ -6,7 +6,7 @@ A row carries the ``part`` (file name) and ``position`` it came from; rows sort
 if the frame was range-partitioned and sorted before it was written once (``mode("overwrite")``).
 
 Options: ``view=headers`` seeks past the peaks and returns the metadata columns only; ``level=1`` (or 2)
-skips the peaks of other levels unread. Truncated records and padding that is not zero are errors; an empty
+skips the peaks of other levels unread; ``max_spectra=N`` stops a file with an error beyond N spectra. Truncated records and padding that is not zero are errors; an empty
 file has no spectra. Null metadata, null arrays (unlike empty ones) and arrays of unequal length cannot be written.
 
 Paths may be URIs of any file system that pyarrow opens; a path without a scheme must lie on a shared mount.
@@ -25,9 +25,12 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from spectraforge.functions.numeric import supported_level
+
 # Fixed values of the format: a little-endian header of 28 bytes, then the masses and the intensities.
 HEADER = np.dtype({
     "names": ["scan_id", "rt_seconds", "ms_level", "pad_a", "precursor_mz", "n_peaks", "pad_b"],
@@ -81,6 +84,7 @@ def _headers(stream: io.BufferedReader, size: int, path: str) -> Iterator[np.voi
 class _DumpReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.path, self.peaks, self.level = options["path"], options.get("view", "spectra") != "headers", options.get("level")
+        self.limit = int(options["max_spectra"]) if "max_spectra" in options else None
         self.wanted = pa.schema([(f.name, _arrow_type(f.dataType.simpleString())) for f in schema.fields])
 
     def partitions(self) -> list[InputPartition]:
@@ -98,6 +102,8 @@ class _DumpReader(DataSourceReader):
         rows, held = [], 0
         with system.open_input_file(partition.path) as raw, io.BufferedReader(raw, _READ_AHEAD) as stream:
             for position, h in enumerate(_headers(stream, size, partition.path)):
+                if position == self.limit:
+                    raise ValueError(f"more than {self.limit} spectra in {partition.path}")
                 n = int(h["n_peaks"])
                 length = n * (MZ.itemsize + INTENSITY.itemsize)
                 if stream.tell() + length > size:
@@ -228,6 +234,18 @@ def read_dump(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("spectrumdump").options(**options).load(path)
 
 
+def scan_headers(spark: SparkSession, path: str, max_spectra: int | None = None) -> DataFrame:
+    """One row from the headers alone: spectra, peaks, ms1, ms2; an error beyond ``max_spectra``, or for levels but 1 and 2."""
+    options = {} if max_spectra is None else {"max_spectra": str(max_spectra)}
+    n, odd = F.count(F.lit(1)), F.count_if(~supported_level(F.col("ms_level")))
+    totals = read_dump(spark, path, view="headers", **options).agg(
+        n.alias("spectra"), F.coalesce(F.sum("n_peaks"), F.lit(0)).alias("peaks"), F.count_if(F.col("ms_level") == 1).alias("ms1"), F.count_if(F.col("ms_level") == 2).alias("ms2"), odd.alias("odd")
+    )
+    too_many = F.lit(False) if max_spectra is None else F.col("spectra") > max_spectra
+    checked = F.when(too_many, F.raise_error(F.lit(f"more than {max_spectra} spectra"))).when(F.col("odd") > 0, F.raise_error(F.lit("unsupported level"))).otherwise(F.col("spectra"))
+    return totals.select(checked.alias("spectra"), "peaks", "ms1", "ms2")
+
+
 def write_dump(df: DataFrame, path: str, order: str) -> None:
     """Write spectra in the order of a column, one file a range of it; takes the place of an older dump."""
     df.sparkSession.dataSource.register(SpectrumDump)

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def fresh_folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; only where that is unset (one machine, tests) one is made."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset one is made on a single machine, on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from spectraforge.functions import bits, ingest
 from spectraforge.functions import numeric as N
 from spectraforge.operators import codec, compare
-from spectraforge.operators.blocks import greedy_blocks
+from spectraforge.operators.blocks import cut_blocks, greedy_blocks
+from spectraforge.operators.entropy import frequency_table
 from spectraforge.operators.ordering import rank, running_total
 
 
@@ -75,9 +76,11 @@ def test_crc_check_value(spark):
 def test_greedy_cut_against_a_loop(spark):
     rng = np.random.default_rng(5)
     n = rng.integers(0, 9, 700)
-    n[100] = 50  # a spectrum over the limit is a block of its own
+    n[100] = 20
     df = spark.createDataFrame([(i, 1 + i % 2, int(x)) for i, x in enumerate(n)], "ordinal long, ms_level int, n_peaks long")
-    got = {r.ordinal: r.block_id for r in greedy_blocks(df, 5, 20, width=16).collect()}
+    got = {r.ordinal: r.block_id for r in greedy_blocks(df, 5, 20, width=16, group=4).collect()}
+    assert got == {r.ordinal: r.block_id for r in cut_blocks(df, 5, 20).collect()}
+    assert {r.ordinal: r.block_id for r in greedy_blocks(df, 5, 100).collect()} == {r.ordinal: r.block_id for r in cut_blocks(df, 5, 100).collect()}
     for level in (1, 2):
         block, s, p = 0, 0, 0
         for i in range(level - 1, 700, 2):
@@ -87,6 +90,66 @@ def test_greedy_cut_against_a_loop(spark):
             assert got[i] == block
 
 
+def test_a_spectrum_over_the_limit_is_an_error(spark):
+    df = spark.createDataFrame([(0, 1, 3), (1, 1, 21)], "ordinal long, ms_level int, n_peaks long")
+    with pytest.raises(Exception, match="more than the 20 peaks"):
+        cut_blocks(df, 5, 20).collect()
+
+
+def test_rank_keeps_rows_without_order_and_breaks_ties(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), (5, 3), (5, 1), (4, 9), (10**9, 0), (-7, 0)], "o long, t int")
+    got = {(r.o, r.t): r.r for r in rank(df, "o", [], "r", width=3, ties=("t",)).collect()}
+    assert got == {(None, 1): 0, (None, 2): 1, (-7, 0): 2, (4, 9): 3, (5, 1): 4, (5, 3): 5, (10**9, 0): 6}
+    parts = spark.createDataFrame([(1, None), (2, None), (3, 1)], "o long, k int")
+    assert {r.o: r.r for r in rank(parts, "o", ["k"], "r").collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def one_by_one(counts):
+    """Frequencies by giving and taking single units."""
+    total = sum(counts.values())
+    freq = {s: max(1, c * 4096 // total) for s, c in counts.items()}
+    rest = {s: c * 4096 % total for s, c in counts.items()}
+    while sum(freq.values()) < 4096:
+        freq[max(counts, key=lambda s: (rest[s], counts[s], -s))] += 1
+    while sum(freq.values()) > 4096:
+        freq[min((s for s in counts if freq[s] > 1), key=lambda s: (rest[s], -freq[s], s))] -= 1
+    return freq
+
+
+@pytest.mark.parametrize("counts", [dict.fromkeys(range(200), 1) | {200: 49_900, 201: 49_900}, {s: 1 + s * s % 977 for s in range(256)}, {3: 5}, dict.fromkeys(range(256), 7), {0: 10**6, 1: 1, 2: 1}])
+def test_frequencies_against_single_steps(spark, counts):
+    rows = spark.createDataFrame(list(counts.items()), "s int, c int").select("s", F.explode(F.sequence(F.lit(1), "c")).alias("x")).select(F.lit("a").alias("stream"), "s")
+    assert {r.symbol: r.freq for r in frequency_table(rows, ["stream"], "s").collect()} == one_by_one(counts)
+
+
+def test_strict_quantisation(spark):
+    with pytest.raises(Exception, match="a mass is not"):
+        spark.range(1).select(N.quantise_mz_strict(F.lit(-1.0))).collect()
+    with pytest.raises(Exception, match="not finite"):
+        spark.range(1).select(N.quantise_intensity_strict(F.lit(float("inf")).cast("float"), F.lit(1.0))).collect()
+    with pytest.raises(Exception, match="OVERFLOW"):
+        spark.range(1).select(N.record_bytes(F.lit(2**62))).collect()
+    assert spark.range(1).select(N.quantise_mz_strict(F.lit(None).cast("double")), N.dequantise_intensity(F.lit(0), F.lit(1.0))).first() == (None, 0.0)
+
+
+def test_lossy_comparison_names_each_failure(spark):
+    kind = "ordinal long, scan_id long, rt_seconds float, ms_level int, precursor_mz double, mz array<double>, intensity array<float>"
+    a = spark.createDataFrame([(i, i, 1.0, 1, 0.0, [1.0, 2.0000003], [0.0, 10.0]) for i in range(4)], kind)
+    good = a.withColumn("mz", F.transform("mz", lambda x: N.dequantise_mz(N.quantise_mz(x))))
+
+    def failed(b):
+        return {r["check"]: r.observed for r in compare.lossy(a, b).collect() if not r.passed}
+
+    assert failed(good) == {}
+    assert failed(good.where("ordinal < 3")) == {"spectrum_count": 1.0}
+    assert failed(good.withColumn("scan_id", F.col("ordinal") % 2)) == {"metadata": 2.0}
+    assert failed(good.withColumn("mz", F.slice("mz", 1, 1))) == {"peak_count": 4.0}
+    assert failed(a) == {"mz_grid": 4.0}
+    assert failed(good.withColumn("intensity", F.lit([0.5, -1.0]).cast("array<float>"))) == {"domain": 8.0}
+    assert set(failed(good.withColumn("intensity", F.lit([0.0, 11.0]).cast("array<float>")))) == {"log_error"}
+
+
+
 def test_rank_and_running_total(spark):
     df = spark.range(100).select((F.col("id") * 3).alias("o"), (F.col("id") % 2).alias("k"))
     got = rank(df, "o", ["k"], "r", width=10).orderBy("o").collect()

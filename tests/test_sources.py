@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectraforge.sources.dump import HEADER, read_dump, write_dump
+from spectraforge.sources.dump import HEADER, read_dump, scan_headers, write_dump
 from spectraforge.sources.mzml import read_mzml
 
 SPECTRA = "ordinal long, scan_id long, rt_seconds float, ms_level int, precursor_mz double, mz array<double>, intensity array<float>"
@@ -137,3 +137,14 @@ def test_mzml_arrays_of_unequal_length_fail(spark, tmp_path):
     (tmp_path / "a.mzML").write_text(DOCUMENT.format(mz=mz, intensity=intensity))
     with pytest.raises(Exception, match="differ in number"):
         read_mzml(spark, str(tmp_path / "a.mzML")).select(F.size("mz")).collect()
+
+
+def test_header_scan_has_a_limit_and_names_unsupported_levels(spark, tmp_path):
+    write_dump(spectra(spark), str(tmp_path / "d"), "ordinal")
+    assert tuple(scan_headers(spark, str(tmp_path / "d"), 3).first()) == (3, 4, 2, 1)
+    assert scan_headers(spark, str(tmp_path / "d")).first().spectra == 3
+    with pytest.raises(Exception, match="more than 2 spectra"):
+        scan_headers(spark, str(tmp_path / "d"), 2).collect()
+    write_dump(spectra(spark, [(0, 1, 0.0, 3, 0.0, [], [])]), str(tmp_path / "e"), "ordinal")
+    with pytest.raises(Exception, match="unsupported level"):
+        scan_headers(spark, str(tmp_path / "e")).collect()
