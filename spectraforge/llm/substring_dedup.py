@@ -246,13 +246,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, block: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("body", F.xxhash64("text")).select("doc_id", "body", "text")
     texts = bucketed(rows.mapInArrow(_packed, "doc_id long, body long, packed binary"), ["doc_id", "body"])
     found = materialise(rows.where("doc_id is not null").mapInArrow(_occurrences(window, k, key), _EDGES))
-    repeated = found.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge")
+    # written first, so that Spark can split a very common edge in the joins
+    repeated = materialise(found.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge"))
     crossings = materialise(found.join(repeated, "edge", "left_semi"))
 
     sources = crossings.groupBy("edge", "context").agg(F.min(F.struct("doc_id", "body", "first")).alias("source"))
     sources = materialise(sources.select("edge", "context", F.col("source.doc_id").alias("source"), F.col("source.body").alias("source_body"), F.col("source.first").alias("source_first")))
     led = materialise(crossings.join(sources, ["edge", "context"]).drop("context"))
-    branching = sources.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge")
+    branching = materialise(sources.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge"))
     asked = led.where("doc_id = source").join(branching, "edge", "left_semi").groupBy("doc_id", "body").agg(F.collect_set(F.struct("edge", "first", "run")).alias("asked"))
     windows = materialise(texts.join(asked, ["doc_id", "body"]).select("doc_id", "body", "packed", "asked").mapInArrow(_windows(window, key), "doc_id long, body long, edge long, context long, first int"))
     shared = windows.groupBy("edge", "context").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most")).where("source < most").drop("most")
