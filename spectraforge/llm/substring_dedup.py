@@ -91,7 +91,8 @@ class Joined:
 
     def __init__(self, words: list[bytes]):
         self.text = b" ".join(words)
-        self.at = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
+        spaces = np.flatnonzero(np.frombuffer(self.text, dtype=np.uint8) == 32)
+        self.at = [0, *(spaces + 1).tolist(), len(self.text) + 1]
 
     def span(self, first: int, n: int) -> bytes:
         return self.text[self.at[first] : self.at[first + n] - 1]
@@ -137,27 +138,25 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], names=["doc_id", "body", "packed"])
 
 
-def _unpacked(frames: pa.Array) -> Iterator[list[bytes]]:
-    """Words of each text, one text at a time."""
+def _unpacked(frames: pa.Array) -> Iterator[bytes]:
+    """Words of each text, joined by spaces; one text at a time."""
     unpack = zstandard.ZstdDecompressor().decompress
-    return (unpack(f.as_py()).split() for f in frames)
+    return (unpack(f.as_py()) for f in frames)
 
 
 def _windows(window: int, key: Callable[[bytes], int]):
-    """The windows of the sources of branching edges."""
+    """The windows of the sources of branching edges: each once a text, with the places of its copies in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, body, words, asked in zip(b.column(0), b.column(1), _unpacked(b.column(2)), b.column(3)):
-                joined = Joined(words)
-                asked = asked.values
-                first, n = asked.field("first").to_numpy().astype(np.int64), asked.field("run").to_numpy()
-                at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                keys = [key(joined.span(a, window)) for a in at.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), doc.as_py())), pa.array(np.full(len(at), body.as_py())), pa.array(np.repeat(asked.field("edge").to_numpy(), n)), pa.array(keys, pa.int64()), pa.array(at.astype(np.int32))],
-                    names=["doc_id", "body", "edge", "context", "first"],
-                )
+            for doc, body, text, asked in zip(b.column(0), b.column(1), _unpacked(b.column(2)), b.column(3)):
+                joined = Joined(text.split())
+                places: dict[tuple[int, int], list[int]] = defaultdict(list)
+                for edge, first, n in zip(*(asked.values.field(c).to_pylist() for c in ("edge", "first", "run"))):
+                    for at in range(first, first + n):
+                        places[edge, key(joined.span(at, window))].append(at)
+                numbers = [pa.array([doc.as_py()] * len(places), pa.int64()), pa.array([body.as_py()] * len(places), pa.int64()), *(pa.array([x[i] for x in places], pa.int64()) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array(map(sorted, places.values()), pa.list_(pa.int32()))], names=["doc_id", "body", "edge", "context", "places"])
 
     return run
 
@@ -167,8 +166,8 @@ def _blocks(block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, body, words, asked in zip(b.column(0), b.column(1), _unpacked(b.column(2)), b.column(3)):
-                numbers = asked.as_py()
+            for doc, body, text, asked in zip(b.column(0), b.column(1), _unpacked(b.column(2)), b.column(3)):
+                words, numbers = text.split(), asked.as_py()
                 texts = [b" ".join(words[n * block : (n + 1) * block]) for n in numbers]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc.as_py()] * len(numbers), pa.int64()), pa.array([body.as_py()] * len(numbers), pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.binary())],
@@ -178,24 +177,26 @@ def _blocks(block: int):
     return run
 
 
-def verified(words: list[bytes], pieces: list[dict], window: int, block: int) -> np.ndarray:
+_PIECE = ("source", "source_body", "shift", "block", "lo", "hi", "words")
+
+
+def verified(words: list[bytes], pieces: pa.StructArray, window: int, block: int) -> np.ndarray:
     """Which words are covered by windows that equal their source, word for word.
 
     A piece holds the number and the words of a source's block, the part [lo, hi) of the source that
     a path takes of it, the path's shift from the source to this text, and the source.
     """
-    paths: dict[tuple, list[dict]] = defaultdict(list)
-    for p in pieces:
-        paths[p["source"], p["source_body"], p["shift"]].append(p)
+    paths: dict[tuple, list[tuple]] = defaultdict(list)
+    for source, body, shift, number, lo, hi, theirs in zip(*(pieces.field(c).to_pylist() for c in _PIECE)):
+        theirs = theirs.split()[lo - number * block : hi - number * block]
+        own = words[lo + shift : hi + shift]
+        paths[source, body, shift].append((lo + shift, hi + shift, 1 if own == theirs else np.array([x == y for x, y in zip(own, theirs)], dtype=np.int8)))
     gone = np.zeros(len(words) + 1, dtype=np.int64)
-    for (_, _, shift), path in paths.items():
-        low = min(p["lo"] for p in path) + shift
-        equal = np.zeros(max(p["hi"] for p in path) + shift - low, dtype=np.int8)
-        for p in path:
-            theirs = p["words"].split()[p["lo"] - p["block"] * block : p["hi"] - p["block"] * block]
-            at = p["lo"] + shift
-            own = words[at : at + len(theirs)]
-            equal[at - low : at - low + len(theirs)] |= 1 if own == theirs else np.array([x == y for x, y in zip(own, theirs)], dtype=np.int8)
+    for path in paths.values():
+        low = min(p[0] for p in path)
+        equal = np.zeros(max(p[1] for p in path) - low, dtype=np.int8)
+        for a, z, same in path:
+            equal[a - low : z - low] |= same
         edge = np.flatnonzero(np.diff(equal, prepend=0, append=0))
         for a, z in zip((edge[::2] + low).tolist(), (edge[1::2] + low).tolist()):
             if z - a >= window:
@@ -208,17 +209,18 @@ def _removed(window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = defaultdict(list)
-            for words, pieces in zip(_unpacked(b.column(1)), b.column(2)):
-                found: list[dict] = []
-                keep = words
+            for kept, pieces in zip(_unpacked(b.column(1)), b.column(2)):
+                n, found, lost = kept.count(b" ") + 1 if kept else 0, [], 0
                 if pieces.is_valid:
-                    gone = verified(words, pieces.as_py(), window, block)
-                    keep = [w for w, g in zip(words, gone.tolist()) if not g]
-                    edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                    found = [{"first": int(a), "after": int(z)} for a, z in zip(edge[::2], edge[1::2])]
-                out["n_words"].append(len(words))
-                out["n_removed"].append(len(words) - len(keep))
-                out["kept_sha256"].append(hashlib.sha256(b" ".join(keep)).hexdigest())
+                    words = kept.split()
+                    gone = verified(words, pieces.values, window, block)
+                    edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
+                    found = [{"first": a, "after": z} for a, z in zip(edge[::2], edge[1::2])]
+                    lost = int(gone.sum())
+                    kept = b" ".join([w for a, z in zip([0, *edge[1::2]], [*edge[::2], n]) for w in words[a:z]])
+                out["n_words"].append(n)
+                out["n_removed"].append(lost)
+                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["removed"].append(found)
             kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "removed": pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))}
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[n], t) for n, t in kinds.items())], names=["doc_id", *kinds])
@@ -255,12 +257,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, block: in
     led = materialise(crossings.join(sources, ["edge", "context"]).drop("context"))
     branching = materialise(sources.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge"))
     asked = led.where("doc_id = source").join(branching, "edge", "left_semi").groupBy("doc_id", "body").agg(F.collect_set(F.struct("edge", "first", "run")).alias("asked"))
-    windows = materialise(texts.join(asked, ["doc_id", "body"]).select("doc_id", "body", "packed", "asked").mapInArrow(_windows(window, key), "doc_id long, body long, edge long, context long, first int"))
+    windows = materialise(texts.join(asked, ["doc_id", "body"]).select("doc_id", "body", "packed", "asked").mapInArrow(_windows(window, key), "doc_id long, body long, edge long, context long, places array<int>"))
     shared = windows.groupBy("edge", "context").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most")).where("source < most").drop("most")
     shared = materialise(windows.join(shared, ["edge", "context"]))
-    places = shared.where("doc_id = source").groupBy("edge", "context").agg(F.min(F.struct("body", "first")).alias("place"))
+    places = shared.where("doc_id = source").groupBy("edge", "context").agg(F.min(F.struct("body", F.element_at("places", 1).alias("first"))).alias("place"))
     places = places.select("edge", "context", F.col("place.body").alias("source_body"), F.col("place.first").alias("source_first"))
-    single = shared.where("doc_id > source").join(places, ["edge", "context"]).withColumn("run", F.lit(1))
+    single = shared.where("doc_id > source").join(places, ["edge", "context"]).withColumns({"first": F.explode("places"), "run": F.lit(1)})
 
     line = ["doc_id", "body", "source", "source_body", (F.col("first") - F.col("source_first")).alias("shift"), F.col("source_first").alias("lo"), (F.col("source_first") + F.col("run") + window - 1).alias("hi")]
     found_paths = paths(led.where("doc_id > source").select(*line).unionByName(single.select(*line)))
@@ -273,7 +275,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, block: in
     wanted = need.groupBy(F.col("source").alias("doc_id"), F.col("source_body").alias("body")).agg(F.collect_set("block").alias("blocks"))
     words = texts.join(wanted, ["doc_id", "body"]).select("doc_id", "body", "packed", "blocks").mapInArrow(_blocks(block), "source long, source_body long, block int, words binary")
     words = materialise(words).groupBy("source", "source_body", "block").agg(F.first("words").alias("words"))  # repeated rows have one text
-    pieces = need.join(words, ["source", "source_body", "block"]).groupBy("doc_id", "body").agg(F.collect_list(F.struct("source", "source_body", "shift", "block", "lo", "hi", "words")).alias("pieces"))
+    pieces = need.join(words, ["source", "source_body", "block"]).groupBy("doc_id", "body").agg(F.collect_list(F.struct(*_PIECE)).alias("pieces"))
     return texts.join(pieces, ["doc_id", "body"], "left").select("doc_id", "packed", "pieces").mapInArrow(
         _removed(window, block), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,after:int>>"
     )
