@@ -32,7 +32,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,31 +42,44 @@ WINDOW = 50
 K = 10
 #: Words of a source that are fetched together.
 BLOCK = 64
-#: Words a worker keeps hashes of.
-CACHE = 1 << 18
-_BASE = 0x9E3779B97F4A7C15
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """XXH64 of words, remembered for the last ``CACHE`` different ones."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _BASE
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def word_hashes(text: bytes, at: np.ndarray) -> np.ndarray:
+    """A hash of every word of a text joined by single spaces; ``at``: where each begins. Equal words have equal hashes."""
+    if not text:
+        return np.zeros(0, dtype=np.uint64)
+    data = np.frombuffer(text, dtype=np.uint8)
+    data = np.where(data == 32, 0, data)  # the last word has no space behind it
+    lengths = np.diff(at, append=len(text) + 1)
+    within = np.arange(len(data)) - np.repeat(at, lengths)[: len(data)]
+    if len(_POWERS[0]) <= (most := int(lengths.max())):
+        _POWERS[0] = np.cumprod(np.full(2 * most, _BASE), dtype=np.uint64)
+    return _mixed(np.add.reduceat(data * _POWERS[0][within], at))
+
+
+_POWERS = [np.cumprod(np.full(64, _BASE), dtype=np.uint64)]
 
 
 def kmer_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every ``k`` consecutive words, equal for equal words."""
-    n = len(hashes) - k + 1
-    found = np.zeros(max(n, 0), dtype=np.uint64)
-    for i in range(k):
-        found = (found ^ (found >> np.uint64(29))) * np.uint64(_BASE) + hashes[i : i + n]
-    return (found ^ (found >> np.uint64(32))) * np.uint64(_BASE)
+    """A hash of every ``k`` consecutive words, equal for equal words; made of runs of 1, 2, 4, ... words."""
+    n = max(len(hashes) - k + 1, 0)
+    found, done, run, power, width = np.zeros(n, dtype=np.uint64), 0, hashes, _BASE, 1
+    while n and width <= k:
+        if k & width:
+            found = found * power + run[done : done + n]
+            done += width
+        if 2 * width <= k:
+            run = run[:-width] * power + run[width:]
+        with np.errstate(over="ignore"):
+            power = power * power
+        width *= 2
+    return _mixed(found)
 
 
 def edges(hashes: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,10 +101,11 @@ def digest(words: bytes) -> int:
 class Joined:
     """Words of a text joined by single spaces, and where each begins."""
 
-    def __init__(self, words: list[bytes]):
-        self.text = b" ".join(words)
-        spaces = np.flatnonzero(np.frombuffer(self.text, dtype=np.uint8) == 32)
-        self.at = [0, *(spaces + 1).tolist(), len(self.text) + 1]
+    def __init__(self, text: bytes):
+        self.text = text
+        spaces = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
+        self.starts = np.concatenate([[0], spaces + 1])
+        self.at = [*self.starts.tolist(), len(text) + 1]
 
     def span(self, first: int, n: int) -> bytes:
         return self.text[self.at[first] : self.at[first + n] - 1]
@@ -107,15 +120,13 @@ _EDGES = "doc_id long, body long, edge long, context long, first int, run int"
 
 def _occurrences(window: int, k: int, key: Callable[[bytes], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
             parts: dict[str, list] = defaultdict(list)
             for row, text in enumerate(b.column(2)):
-                words = words_of(text)
-                edge, first, n = edges(known.of(words), window, k)
+                joined = Joined(b" ".join(words_of(text)))
+                edge, first, n = edges(word_hashes(joined.text, joined.starts), window, k)
                 if not len(edge):
                     continue
-                joined = Joined(words)
                 parts["row"].append(np.full(len(edge), row))
                 parts["edge"].append(edge)
                 parts["context"] += [key(joined.span(a, m + window - 1)) for a, m in zip(first.tolist(), n.tolist())]
@@ -150,7 +161,7 @@ def _windows(window: int, key: Callable[[bytes], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, body, text, asked in zip(b.column(0), b.column(1), _unpacked(b.column(2)), b.column(3)):
-                joined = Joined(text.split())
+                joined = Joined(text)
                 places: dict[tuple[int, int], list[int]] = defaultdict(list)
                 for edge, first, n in zip(*(asked.values.field(c).to_pylist() for c in ("edge", "first", "run"))):
                     for at in range(first, first + n):
@@ -237,6 +248,12 @@ def paths(steps: DataFrame) -> DataFrame:
     return marked.withColumn("path", F.sum("starts").over(upto)).groupBy(*line, "path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("path")
 
 
+def _asked(texts: DataFrame, asked: DataFrame, column: str) -> DataFrame:
+    """Texts with what is asked of them; repeated rows of one text are asked once."""
+    joined = texts.join(asked, ["doc_id", "body"])
+    return joined.groupBy("doc_id", "body").agg(F.first("packed").alias("packed"), F.first(column).alias(column))
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, block: int = BLOCK, key: Callable[[bytes], int] = digest) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, removed (word spans [first, after) of the original).
 
@@ -257,7 +274,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, block: in
     led = materialise(crossings.join(sources, ["edge", "context"]).drop("context"))
     branching = materialise(sources.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge"))
     asked = led.where("doc_id = source").join(branching, "edge", "left_semi").groupBy("doc_id", "body").agg(F.collect_set(F.struct("edge", "first", "run")).alias("asked"))
-    windows = materialise(texts.join(asked, ["doc_id", "body"]).select("doc_id", "body", "packed", "asked").mapInArrow(_windows(window, key), "doc_id long, body long, edge long, context long, places array<int>"))
+    windows = materialise(_asked(texts, asked, "asked").mapInArrow(_windows(window, key), "doc_id long, body long, edge long, context long, places array<int>"))
     shared = windows.groupBy("edge", "context").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most")).where("source < most").drop("most")
     shared = materialise(windows.join(shared, ["edge", "context"]))
     places = shared.where("doc_id = source").groupBy("edge", "context").agg(F.min(F.struct("body", F.element_at("places", 1).alias("first"))).alias("place"))
@@ -273,8 +290,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, block: in
         .withColumn("hi", F.least("hi", (F.col("block") + 1) * block))
     )
     wanted = need.groupBy(F.col("source").alias("doc_id"), F.col("source_body").alias("body")).agg(F.collect_set("block").alias("blocks"))
-    words = texts.join(wanted, ["doc_id", "body"]).select("doc_id", "body", "packed", "blocks").mapInArrow(_blocks(block), "source long, source_body long, block int, words binary")
-    words = materialise(words).groupBy("source", "source_body", "block").agg(F.first("words").alias("words"))  # repeated rows have one text
+    words = materialise(_asked(texts, wanted, "blocks").mapInArrow(_blocks(block), "source long, source_body long, block int, words binary"))
     pieces = need.join(words, ["source", "source_body", "block"]).groupBy("doc_id", "body").agg(F.collect_list(F.struct(*_PIECE)).alias("pieces"))
     return texts.join(pieces, ["doc_id", "body"], "left").select("doc_id", "packed", "pieces").mapInArrow(
         _removed(window, block), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,after:int>>"
