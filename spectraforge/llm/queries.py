@@ -68,8 +68,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    trees = token_counts.count(_table(spark, sf_dir, "documents"), path, pattern)
-    edited = token_counts.recount(trees.withColumn("edits", token_counts.edits_at("text", PERSONAL, "[removed]")), path, pattern)
+    docs = _table(spark, sf_dir, "documents").withColumn("edits", token_counts.edits_at("text", PERSONAL, "[removed]"))
+    edited = token_counts.count_edited(docs, path, pattern)
     return edited.select("doc_id", "n_tokens", "n_leaves", "n_edits", "n_tokens_after", "n_chars_encoded", F.sha2("new_text", 256).alias("new_text_sha256"))
 
 

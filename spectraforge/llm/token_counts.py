@@ -8,7 +8,8 @@ a region, which grows over a boundary only if the edited text makes that boundar
 region alone is encoded again, cut into new leaves, and the sums above it are updated. Counts stay
 equal to those of the edited text encoded as a whole.
 
-``count`` builds the trees, ``recount`` applies edits to documents with their trees.
+``count`` builds the trees, ``recount`` applies edits to documents with their trees; ``count_edited``
+does both in one task where the trees are not kept.
 
 Defined results
     Null text: as the empty text: no tokens, one empty leaf. Null ``doc_id``: counted; edits
@@ -22,7 +23,7 @@ Defined results
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -218,39 +219,55 @@ def count(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF) -> DataFra
     return rows.mapInArrow(lambda batches: _tree_columns(batches, path, pattern, leaf), TREES)
 
 
+_RECOUNTED = ["new_text", "n_tokens", "n_leaves", "n_edits", "n_skipped", "n_tokens_after", "n_chars_encoded"]
+RECOUNTS = "doc_id long, new_text string, n_tokens long, n_leaves long, n_edits long, n_skipped long, n_tokens_after long, n_chars_encoded long"
+
+
+def _recounted(batches: Iterator[pa.RecordBatch], c: Counter, tree_of: Callable[[pa.RecordBatch, int, str], Tree]) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id, text, edits and further columns, of which ``tree_of`` makes the tree of a row."""
+    kinds = [pa.string()] + [pa.int64()] * 6
+    for b in batches:
+        out: list[tuple] = []
+        held = begun = 0
+        for i in range(b.num_rows):
+            text, edits = b.column(1)[i].as_py() or "", b.column(2)[i].as_py()
+            tree = tree_of(b, i, text)
+            before, n_leaves = tree.total, len(tree.slots)
+            kept, skipped = settled_edits(edits, len(text))
+            new = tree.edit(text, kept, c)
+            out.append((new, before, n_leaves, len(kept), skipped, tree.total, tree.work))
+            held += len(new)
+            if held > OUTPUT or i == b.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([b.column(0)[begun : i + 1], *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], names=["doc_id", *_RECOUNTED])
+                out, held, begun = [], 0, i + 1
+
+
 def recount(trees: DataFrame, path: str, pattern: str) -> DataFrame:
     """Apply the column ``edits`` (start, stop, put; places in the old text) to rows of :func:`count`."""
 
-    names = ["new_text", "n_tokens", "n_leaves", "n_edits", "n_skipped", "n_tokens_after", "n_chars_encoded"]
-    kinds = [pa.string()] + [pa.int64()] * 6
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _recounted(batches, counter(path, pattern), lambda b, i, text: Tree(b.column(3)[i].as_py(), b.column(4)[i].as_py()))
+
+    return trees.select("doc_id", "text", "edits", "leaf_chars", "leaf_tokens").mapInArrow(run, RECOUNTS)
+
+
+def count_edited(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
+    """The rows of :func:`recount` for documents with a column ``edits`` whose trees are built here and not kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path, pattern)
-        for b in batches:
-            out: list[tuple] = []
-            held = begun = 0
-            for i in range(b.num_rows):
-                text, chars, tokens, edits = (b.column(k)[i].as_py() for k in range(1, 5))
-                text, tree = text or "", Tree(chars, tokens)
-                before = tree.total
-                kept, skipped = settled_edits(edits, len(text))
-                new = tree.edit(text, kept, c)
-                out.append((new, before, len(chars), len(kept), skipped, tree.total, tree.work))
-                held += len(new)
-                if held > OUTPUT or i == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([b.column(0)[begun : i + 1], *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], names=["doc_id", *names])
-                    out, held, begun = [], 0, i + 1
-
-    rows = trees.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits")
-    return rows.mapInArrow(run, "doc_id long, new_text string, n_tokens long, n_leaves long, n_edits long, n_skipped long, n_tokens_after long, n_chars_encoded long")
+        return _recounted(batches, c, lambda b, i, text: Tree.build(text, c, leaf))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "edits").mapInArrow(run, RECOUNTS)
 
 
 def edits_at(text: str, pattern: str, put: str) -> F.Column:
     """Edits that replace every match of ``pattern`` in the column ``text`` by ``put``."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("put", pa.string())]))
 
-    @F.pandas_udf(EDITS)
-    def find(texts):
+    @F.arrow_udf(EDITS)
+    def find(texts: pa.Array) -> pa.Array:
         compiled = regex.compile(pattern)
-        return texts.map(lambda t: [{"start": m.start(), "stop": m.end(), "put": put} for m in compiled.finditer(t or "")])
+        return pa.array([[{"start": m.start(), "stop": m.end(), "put": put} for m in compiled.finditer(t.as_py() or "")] for t in texts], kind)
 
     return find(F.col(text))

@@ -404,7 +404,9 @@ def recounted(spark, rows):
     df = spark.createDataFrame(rows, f"doc_id long, text string, edits {token_counts.EDITS}, n_tokens int, leaf int")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     trees = token_counts.count(df, path, public_tokenizers.PATTERN).join(df.select(F.col("doc_id").alias("d"), "edits"), F.expr("doc_id <=> d"))
-    return {r.doc_id: r for r in token_counts.recount(trees, path, public_tokenizers.PATTERN).collect()}
+    got = {r.doc_id: r for r in token_counts.recount(trees, path, public_tokenizers.PATTERN).collect()}
+    assert got == {r.doc_id: r for r in token_counts.count_edited(df, path, public_tokenizers.PATTERN).collect()}
+    return got
 
 
 def test_token_counts_of_overlapping_edits_and_odd_rows(spark, tokens):
