@@ -4,8 +4,9 @@ Fingerprints are made in Arrow batches. Different fingerprints are compared exac
 exclusive-or and bit counts inside tiles. A link has at most ``radius`` differing bits, so when
 the 64 bits are cut into ``radius + extra`` blocks, linked fingerprints agree in at least
 ``extra`` whole blocks: tiles only form among fingerprints that share such blocks, without losing
-a pair. A bucket larger than a tile is cut by population count, and tile pairs whose population
-counts differ by more than the radius are skipped. Each tile pair hands on a spanning forest of
+a pair. Inside a tile, rows are sorted by population count and partners beyond the radius skipped.
+A bucket larger than a tile is cut by population count, and tile pairs whose population counts
+differ by more than the radius are skipped; one of very many tiles is cut by further bits first. Each tile pair hands on a spanning forest of
 its links, never all pairs, and the forests are joined by distributed large-star/small-star steps.
 
 Defined results
@@ -32,6 +33,8 @@ SHINGLE = 3
 SEED = 42
 #: Rows of a tile; a bucket of at most this many is one tile.
 TILE = 2048
+#: Tiles of a bucket from which on it is first cut by further blocks of bits.
+HUGE = 64
 _WORDS_AT_ONCE = 1 << 16
 
 
@@ -141,12 +144,18 @@ def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held = None
 
     def links(bucket: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        """All pairs of equal bucket, one diagonal of all tiles at a time."""
+        """All pairs of equal bucket, one diagonal of all tiles at a time.
+
+        Rows of a bucket are sorted by population count, so a row leaves at the first partner beyond the radius.
+        """
         out_a, out_b = [], []
+        pops = np.bitwise_count(fps).astype(np.int64)
+        order = np.lexsort((pops, bucket))
+        bucket, fps, pops = bucket[order], fps[order], pops[order]
         same, d = np.arange(len(fps)), 1
         while len(same):
             same = same[same + d < len(fps)]
-            same = same[bucket[same] == bucket[same + d]]
+            same = same[(bucket[same] == bucket[same + d]) & (pops[same + d] - pops[same] <= RADIUS)]
             hit = same[np.bitwise_count(fps[same] ^ fps[same + d]) <= RADIUS]
             out_a.append(hit)
             out_b.append(hit + d)
@@ -181,14 +190,27 @@ def _tile_pair(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": fps[a].view(np.int64), "b": fps[b].view(np.int64)})
 
 
-def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) whose connected components are those of all links among the distinct ``fp``."""
-    sets = block_plan(distinct.count(), tile=tile)
-    keyed = distinct.select("fp", F.explode(F.array(*[_key(s, i) for i, s in enumerate(sets)])).alias("bucket"))
+def _sized(keyed: DataFrame) -> DataFrame:
+    """Rows (fp, bucket) of buckets that hold more than one, with their population count and the rows of the bucket."""
     keyed = keyed.withColumn("pop", F.bit_count("fp").cast("int"))
     counts = keyed.groupBy("bucket", "pop").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("bucket").agg(F.sum("n").alias("total")).where("total > 1")
-    sized = materialise(keyed.join(totals, "bucket"))
+    return materialise(keyed.join(totals, "bucket"))
+
+
+def _finer(huge: DataFrame) -> DataFrame:
+    """Rows of huge buckets dealt to smaller ones: partners of a bucket also agree in ``8 - radius`` whole bytes."""
+    sets = combinations([(8 * i, 8) for i in range(8)], 8 - RADIUS)
+    return huge.select("fp", F.explode(F.array(*[F.xxhash64("bucket", _key(list(s), i)) for i, s in enumerate(sets)])).alias("bucket"))
+
+
+def links(distinct: DataFrame, tile: int = TILE, huge: int = HUGE) -> DataFrame:
+    """Edges (a, b) whose connected components are those of all links among the distinct ``fp``."""
+    sets = block_plan(distinct.count(), tile=tile)
+    sized = _sized(distinct.select("fp", F.explode(F.array(*[_key(s, i) for i, s in enumerate(sets)])).alias("bucket")))
+    over = F.col("total") > huge * tile
+    if not sized.where(over).isEmpty():
+        sized = sized.where(~over).unionByName(_sized(_finer(sized.where(over))))
     small = (
         sized.where(F.col("total") <= tile)
         .select("bucket", "fp")

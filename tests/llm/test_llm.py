@@ -108,13 +108,13 @@ def test_simhash_against_brute_force(spark, sf_dir):
     assert got == {i: (format(f, "016x"), component[i]) for i, f in zip(ids, fps)}
 
 
-@pytest.mark.parametrize("tile", [4, 2048])
-def test_links_lose_no_pair_in_crowded_buckets(spark, tile):
+@pytest.mark.parametrize("tile,huge", [(4, 64), (4, 2), (2048, 64)])
+def test_links_lose_no_pair_in_crowded_buckets(spark, tile, huge):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 2**63, 6, dtype=np.uint64)
     near = [int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for c in centre for _ in range(25)]
     fps = sorted(set(near) | {int(x) for x in centre})
-    edges = simhash.links(spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long"), tile=tile)
+    edges = simhash.links(spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long"), tile=tile, huge=huge)
     roots = {r.node: r.root for r in simhash.components(edges).collect()}
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
     expected = brute_components(signed, fps)
