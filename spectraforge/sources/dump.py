@@ -1,7 +1,9 @@
 """Flat binary dumps of spectra as a Spark data source: ``spark.read.format("spectrumdump")``.
 
-A dump is a folder of ``.bin`` files (or one such file). Reading makes one task a file and streams it in
-batches of bounded size, so a dump should be written as many files; the sink writes one a partition.
+A dump is a folder of ``.bin`` files (or one such file); the sink writes one a partition. Records have no marks to
+start from, so a file may have an index beside it (``.idx``: places of records some ``SPLIT`` bytes apart). Reading
+makes one task a range of an indexed file, or one a file without an index, and streams it in batches of bounded
+size. The sink writes indexes; :func:`index_dump` makes them for other dumps. An index of another file size is not used.
 A row carries the ``part`` (file name) and ``position`` it came from; rows sort into written order by both,
 if the frame was range-partitioned and sorted before it was written once (``mode("overwrite")``).
 
@@ -46,6 +48,9 @@ PEAKS = "mz array<double>, intensity array<float>"
 #: A batch ends after so many spectra or so many bytes of peaks.
 BATCH_SPECTRA, BATCH_BYTES = 2048, 8 << 20
 _READ_AHEAD = 1 << 20
+#: Bytes between two entries of an index, at least.
+SPLIT = 64 << 20
+_INDEX = np.dtype([("offset", "<i8"), ("position", "<i8")])
 
 
 def _located(path: str) -> tuple[fs.FileSystem, str]:
@@ -56,13 +61,19 @@ def _located(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class _File(InputPartition):
+    """Records of a file from ``start`` to ``stop``; the first has number ``position``."""
+
     path: str
+    start: int
+    stop: int
+    position: int
 
 
 @dataclass
 class _Written(WriterCommitMessage):
     temporary: str | None
     final: str
+    index: bytes
 
 
 def _exactly(stream: io.BufferedReader, n: int, path: str) -> bytes:
@@ -81,6 +92,41 @@ def _headers(stream: io.BufferedReader, size: int, path: str) -> Iterator[np.voi
         yield header
 
 
+class _Index:
+    """Collects the entries of an index: a first record, the others at least ``split`` bytes apart, and the file's end."""
+
+    def __init__(self, split: int):
+        self.split, self.entries, self.offset, self.position = split, [(0, 0)], 0, 0
+
+    def add(self, length: int) -> None:
+        if self.offset - self.entries[-1][0] >= self.split:
+            self.entries.append((self.offset, self.position))
+        self.offset, self.position = self.offset + length, self.position + 1
+
+    def bytes(self) -> bytes:
+        return np.array([*self.entries, (self.offset, self.position)], _INDEX).tobytes()
+
+
+def _ranges(system: fs.FileSystem, path: str, size: int, indexed: bool) -> list[_File]:
+    if indexed:
+        with system.open_input_file(path + ".idx") as f:
+            entries = np.frombuffer(f.read(), _INDEX)
+        if len(entries) > 1 and entries["offset"][-1] == size:
+            offsets, positions = entries["offset"].tolist(), entries["position"].tolist()
+            return [_File(path, *r) for r in zip(offsets, offsets[1:], positions)]
+    return [_File(path, 0, size, 0)]
+
+
+def _files(path: str) -> tuple[fs.FileSystem, list[tuple[str, int, bool]]]:
+    """Path, size and whether there is an index, of each file of a dump."""
+    system, path = _located(path)
+    if (single := system.get_file_info(path)).type == fs.FileType.File:
+        return system, [(path, single.size, system.get_file_info(path + ".idx").type == fs.FileType.File)]
+    listed = [f for f in system.get_file_info(fs.FileSelector(path)) if f.is_file]
+    names = {f.path for f in listed}
+    return system, sorted((f.path, f.size, f.path + ".idx" in names) for f in listed if f.path.endswith(".bin"))
+
+
 class _DumpReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.path, self.peaks, self.level = options["path"], options.get("view", "spectra") != "headers", options.get("level")
@@ -88,25 +134,23 @@ class _DumpReader(DataSourceReader):
         self.wanted = pa.schema([(f.name, _arrow_type(f.dataType.simpleString())) for f in schema.fields])
 
     def partitions(self) -> list[InputPartition]:
-        system, path = _located(self.path)
-        if system.get_file_info(path).type == fs.FileType.File:
-            return [_File(path)]
-        listed = system.get_file_info(fs.FileSelector(path))
-        return [_File(f.path) for f in sorted(listed, key=lambda f: f.path) if f.is_file and f.path.endswith(".bin")]
+        system, files = _files(self.path)
+        return [r for f in files for r in _ranges(system, *f)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if not isinstance(partition, _File):  # a dump without files has one empty task
             return
         system, _ = _located(self.path)
-        part, size = posixpath.basename(partition.path), system.get_file_info(partition.path).size
+        part, stop = posixpath.basename(partition.path), partition.stop
         rows, held = [], 0
         with system.open_input_file(partition.path) as raw, io.BufferedReader(raw, _READ_AHEAD) as stream:
-            for position, h in enumerate(_headers(stream, size, partition.path)):
-                if position == self.limit:
+            stream.seek(partition.start)
+            for position, h in enumerate(_headers(stream, stop, partition.path), partition.position):
+                if self.limit is not None and position >= self.limit:
                     raise ValueError(f"more than {self.limit} spectra in {partition.path}")
                 n = int(h["n_peaks"])
                 length = n * (MZ.itemsize + INTENSITY.itemsize)
-                if stream.tell() + length > size:
+                if stream.tell() + length > stop:
                     raise ValueError(f"truncated record in {partition.path}")
                 skipped = self.level is not None and int(self.level) != h["ms_level"]
                 if skipped or not self.peaks:
@@ -142,12 +186,18 @@ def _column(values: tuple, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
+def _put(system: fs.FileSystem, path: str, data: bytes) -> None:
+    with system.open_output_stream(path) as sink:
+        sink.write(data)
+
+
 class _DumpWriter(DataSourceArrowWriter):
     """Tasks write below a temporary folder; only what the driver commits is moved into place, so retried and
     speculative attempts leave nothing, and a failed job leaves the old files as they were."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        self.split = int(options.get("split_bytes", SPLIT))
 
     def _temporary(self, path: str) -> str:
         return posixpath.join(path, f"_temporary-{self.job}")
@@ -156,7 +206,7 @@ class _DumpWriter(DataSourceArrowWriter):
         system, path = _located(self.path)
         folder = self._temporary(path)
         final = f"part-{TaskContext.get().partitionId():06d}-{self.job[:8]}.bin"
-        temporary, sink = posixpath.join(folder, uuid.uuid4().hex), None
+        temporary, sink, index = posixpath.join(folder, uuid.uuid4().hex), None, _Index(self.split)
         try:
             for batch in iterator:
                 if sink is None:
@@ -164,17 +214,19 @@ class _DumpWriter(DataSourceArrowWriter):
                     sink = system.open_output_stream(temporary)
                 for record in _records(batch):
                     sink.write(record)
+                    index.add(len(record))
         finally:
             if sink is not None:
                 sink.close()
-        return _Written(temporary if sink is not None else None, final)
+        return _Written(temporary if sink is not None else None, final, index.bytes())
 
     def commit(self, messages: list[_Written | None]) -> None:
         system, path = _located(self.path)
         system.create_dir(path, recursive=True)
-        old = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.is_file and f.path.endswith(".bin")]
+        old = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.is_file and f.path.endswith((".bin", ".bin.idx"))]
         for m in messages:
             if m is not None and m.temporary is not None:
+                _put(system, posixpath.join(path, m.final) + ".idx", m.index)
                 system.move(m.temporary, posixpath.join(path, m.final))
         if self.overwrite:
             for f in old:
@@ -246,9 +298,34 @@ def scan_headers(spark: SparkSession, path: str, max_spectra: int | None = None)
     return totals.select(checked.alias("spectra"), "peaks", "ms1", "ms2")
 
 
-def write_dump(df: DataFrame, path: str, order: str) -> None:
-    """Write spectra in the order of a column, one file a range of it; takes the place of an older dump."""
+def index_dump(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> None:
+    """Write an index beside each file of a dump, a task a file that reads headers only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _located(path)
+        for b in batches:
+            done = []
+            for name, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                index = _Index(split_bytes)
+                with system.open_input_file(name) as raw, io.BufferedReader(raw, _READ_AHEAD) as stream:
+                    for h in _headers(stream, size, name):
+                        length = int(h["n_peaks"]) * (MZ.itemsize + INTENSITY.itemsize)
+                        stream.seek(length, io.SEEK_CUR)
+                        index.add(HEADER.itemsize + length)
+                if index.offset != size:
+                    raise ValueError(f"truncated record in {name}")
+                _put(system, name + ".idx", index.bytes())
+                done.append(len(index.entries))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.int64())], names=["path", "ranges"])
+
+    _, files = _files(path)
+    rows = spark.createDataFrame([(name, size) for name, size, _ in files], "path string, size long")
+    rows.repartition(max(1, len(files))).mapInArrow(run, "path string, ranges long").write.format("noop").mode("overwrite").save()
+
+
+def write_dump(df: DataFrame, path: str, order: str, split_bytes: int = SPLIT) -> None:
+    """Write spectra in the order of a column, one file a range of it, with indexes; takes the place of an older dump."""
     df.sparkSession.dataSource.register(SpectrumDump)
     ordered = df.repartitionByRange(order).sortWithinPartitions(order)
     rows = ordered.select("scan_id", "rt_seconds", "ms_level", "precursor_mz", "mz", "intensity")
-    rows.write.format("spectrumdump").mode("overwrite").save(path)
+    rows.write.format("spectrumdump").option("split_bytes", str(split_bytes)).mode("overwrite").save(path)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectraforge.sources.dump import HEADER, read_dump, scan_headers, write_dump
+from spectraforge.sources.dump import HEADER, index_dump, read_dump, scan_headers, write_dump
 from spectraforge.sources.mzml import read_mzml
 
 SPECTRA = "ordinal long, scan_id long, rt_seconds float, ms_level int, precursor_mz double, mz array<double>, intensity array<float>"
@@ -66,6 +66,40 @@ def test_empty_dumps(spark, tmp_path):
     assert read_dump(spark, str(tmp_path / "d")).count() == 0
 
 
+def test_indexed_files_are_read_in_ranges(spark, tmp_path):
+    rows = [(i, i, float(i), 1 + i % 2, 0.0, [float(p) for p in range(i % 5)], [1.0] * (i % 5)) for i in range(60)]
+    one = spectra(spark, rows).coalesce(1)
+
+    def found(path, **options):
+        df = read_dump(spark, str(path), **options)
+        return df.rdd.getNumPartitions(), [tuple(r) for r in df.orderBy("part", "position").collect()]
+
+    write_dump(one, str(tmp_path / "d"), "ordinal", split_bytes=200)
+    ranges, indexed = found(tmp_path / "d")
+    indexes = {f: f.read_bytes() for f in (tmp_path / "d").glob("*.idx")}
+    for f in indexes:
+        f.unlink()
+    files, plain = found(tmp_path / "d")
+    assert ranges > 2 * files and indexed == plain and len(plain) == 60
+    index_dump(spark, str(tmp_path / "d"), split_bytes=200)  # the same indexes for files that have none
+    assert {f: f.read_bytes() for f in (tmp_path / "d").glob("*.idx")} == indexes
+    assert found(tmp_path / "d", level="2")[1] == [r for r in plain if r[4] == 2]
+    with pytest.raises(Exception, match="more than 3 spectra"):
+        found(tmp_path / "d", max_spectra="3")
+    longer = sorted((tmp_path / "d").glob("*.bin"))[0]
+    longer.write_bytes(longer.read_bytes() + record(99, 0.0, 1, 0.0, [1.0], [1.0]))  # its index is of another size
+    assert len(found(tmp_path / "d")[1]) == 61
+    single = tmp_path / "x.bin"
+    single.write_bytes(EXPECTED)
+    index_dump(spark, str(single), split_bytes=1)
+    assert found(single)[0] == 3 and [r[2] for r in found(single)[1]] == [5, 4294967295, 7]
+    single.write_bytes(EXPECTED[:-1])
+    with pytest.raises(Exception, match="truncated record"):
+        index_dump(spark, str(single))
+    write_dump(one, str(tmp_path / "d"), "ordinal")  # an older dump goes with its indexes
+    assert len(list((tmp_path / "d").glob("*.idx"))) == len(list((tmp_path / "d").glob("*.bin"))) and len(found(tmp_path / "d")[1]) == 60
+
+
 @pytest.mark.parametrize("view", ["spectra", "headers"])
 def test_every_proper_prefix_inside_a_record_fails(spark, tmp_path, view):
     whole = record(1, 0.0, 1, 0.0, [1.0, 2.0], [3.0, 4.0])
