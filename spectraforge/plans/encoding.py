@@ -147,12 +147,23 @@ def split_vs_raw_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of a block by section: fixed columns, packed masses, intensities."""
-    spectra = blocked(spark, sf_dir).groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("spectra"))
-    mz = lossy_mz_size_per_block(spark, sf_dir).select(*_BLOCK, F.col("body_bytes").alias("mz_bytes"))
-    i = _section_sizes(spark, sf_dir).select(*_BLOCK, "peaks", F.least("split_bytes", "raw_bytes").alias("intensity_bytes"))
-    joined = spectra.join(mz, _BLOCK, "left").join(i, _BLOCK, "left").na.fill(0)
-    return joined.select(*_BLOCK, (20 * F.col("spectra")).alias("fixed_bytes"), "mz_bytes", "intensity_bytes", N.block_bytes(F.col("spectra"), F.col("peaks")).alias("logical_bytes"))
+    """Bytes of a block by section: fixed columns, packed masses, intensities; all sums in one aggregate."""
+    w = Window.partitionBy("ordinal").orderBy("mz")
+    # a spectrum without peaks has one row, whose mz is null
+    rows = blocked(spark, sf_dir).select("ordinal", *_BLOCK).join(raw_peaks(spark, sf_dir), "ordinal", "left")
+    rows = rows.withColumns({"head": F.lag(F.lit(1)).over(w).isNull(), "q": N.quantise_mz(F.col("mz")), "top": F.shiftrightunsigned(bits.float_bits("intensity"), 24)})
+    rows = rows.withColumn("d", F.col("q") - F.lag("q").over(w))
+    sums = rows.groupBy(*_BLOCK).agg(
+        F.count_if("head").alias("spectra"), F.count("mz").alias("peaks"), F.count_if(F.col("mz").isNotNull() & F.col("d").isNull()).alias("firsts"), F.count("d").alias("deltas"),
+        F.coalesce(_width("d"), F.lit(0)).alias("mz_width"), F.coalesce(_width("top"), F.lit(0)).alias("top_width"),
+    )
+    mz = N.packed_bytes(F.col("deltas"), F.col("mz_width")) + 5 + 8 * F.col("firsts")
+    split = 13 + N.packed_bytes(F.col("peaks"), F.col("top_width")) + 3 * F.col("peaks")
+    with_peaks = F.col("peaks") > 0
+    return sums.select(
+        *_BLOCK, (20 * F.col("spectra")).alias("fixed_bytes"), F.when(with_peaks, mz).otherwise(0).alias("mz_bytes"), F.when(with_peaks, F.least(split, 4 * F.col("peaks"))).otherwise(0).alias("intensity_bytes"),
+        N.block_bytes(F.col("spectra"), F.col("peaks")).alias("logical_bytes"),
+    )
 
 
 def file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +253,7 @@ FROM (SELECT l_orderkey, l_extendedprice / (1 + l_tax) AS mz,
     "intensity_quantised": _LOGS + "SELECT ordinal, peak_idx, level FROM lv",
     "dequantised_intensity": _LOGS + "SELECT ordinal, peak_idx, round(CAST(CAST(CASE WHEN level = 0 THEN 0.0 ELSE exp(level / 16384.0::DOUBLE * CAST(log_max AS DOUBLE)) - 1 END AS FLOAT) AS DOUBLE), 3) AS value FROM lv",
     "intensity_top_byte": f"""
-SELECT vec_id, pos, b >> 24 AS top_byte, b & 16777215 AS low_bytes, true AS restored
+SELECT vec_id, pos, b >> 24 AS top_byte, b & 16777215 AS low_bytes, (b >> 24) * 16777216 + (b & 16777215) = b AS restored
 FROM (SELECT vec_id, pos, {_bits('v')} AS b FROM (SELECT vec_id, unnest(embedding) AS v, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos FROM embeddings))""",
     "entropy_estimate": _STREAM + """, e AS (SELECT stream, CAST(sum(c) AS BIGINT) AS n, -sum(c / total * log2(c / total)) AS h FROM t GROUP BY 1)
 SELECT stream, n, round(h, 6) AS entropy, CAST(528 + ceil(h * n / 8) AS BIGINT) AS coded_bytes FROM e""",
@@ -265,6 +276,6 @@ SELECT ordinal, decoded, decoded = rt_bits AS equal, (CASE WHEN decoded > 214748
     "block_bytes": _LOSSY + "SELECT * FROM bytes",
     "file_bytes": _LOSSY + """SELECT count(*) AS blocks, CAST(sum(mz_bytes) AS BIGINT) AS mz_bytes, CAST(sum(intensity_bytes) AS BIGINT) AS intensity_bytes, CAST(sum(logical_bytes) AS BIGINT) AS logical_bytes,
 CAST(32 + 40 * count(*) + sum(fixed_bytes) // 5 + sum(fixed_bytes) + sum(mz_bytes) + sum(intensity_bytes) AS BIGINT) AS stored_bytes FROM bytes""",
-    "log_scale_halves": f"SELECT event_id, b & 65535 AS low, b >> 16 AS high, true AS restored FROM (SELECT event_id, {_bits('CAST(value AS FLOAT)')} AS b FROM events)",
+    "log_scale_halves": f"SELECT event_id, b & 65535 AS low, b >> 16 AS high, (b >> 16) * 65536 + (b & 65535) = b AS restored FROM (SELECT event_id, {_bits('CAST(value AS FLOAT)')} AS b FROM events)",
     "bit_widths": f"SELECT *, CAST(floor((n * width + 7) / 8) AS BIGINT) AS packed_bytes FROM (SELECT event_type, count(*) AS n, {_wide('max(user_id) - min(user_id)')} AS width FROM events GROUP BY 1)",
 }
