@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from spectraforge.functions import bits
 from spectraforge.functions.numeric import BLOCK_PEAKS, BLOCK_SPECTRA, record_bytes, supported_level, valid_mz
-from spectraforge.operators.blocks import cut_blocks, greedy_blocks
+from spectraforge.operators.blocks import greedy_blocks
 from spectraforge.operators.compare import order_check
 from spectraforge.operators.ordering import rank, running_total, upper_median
+from spectraforge.sources.shared import materialise
 
 from .views import PREFIX, blocked, level_ranked, nested, peaks, raw_peaks, spectra, table
 from .views import counted as _with_counts
@@ -31,11 +32,9 @@ def dump_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spectra_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All level 1 blocks stand before all level 2 blocks in the file."""
-    df = level_ranked(spark, sf_dir)
-    firsts = df.groupBy().agg(F.count_if(F.col("ms_level") == 1).alias("ms1"))
-    return df.join(F.broadcast(firsts)).select(
-        "ordinal", "ms_level", "block_id", F.when(F.col("ms_level") == 1, F.col("level_index")).otherwise(F.col("level_index") + F.col("ms1")).alias("file_index"), "rt_seconds"
-    )
+    firsts = spectra(spark, sf_dir).agg(F.count_if(F.col("ms_level") == 1).alias("ms1"))  # one row
+    file_index = F.col("level_index") + F.when(F.col("ms_level") == 1, 0).otherwise(F.col("ms1"))
+    return level_ranked(spark, sf_dir).join(F.broadcast(firsts)).select("ordinal", "ms_level", "block_id", file_index.alias("file_index"), "rt_seconds")
 
 
 def record_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +47,7 @@ def level_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def level_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = cut_blocks(_with_counts(spark, sf_dir), BLOCK_SPECTRA, BLOCK_PEAKS)
-    return n.groupBy("ms_level").agg(F.count(F.lit(1)).alias("spectra"), F.sum("n_peaks").alias("peaks"), (F.max("block_id") + 1).alias("blocks"))
+    return level_ranked(spark, sf_dir).groupBy("ms_level").agg(F.count(F.lit(1)).alias("spectra"), F.sum("n_peaks").alias("peaks"), (F.max("block_id") + 1).alias("blocks"))
 
 
 def level_support(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,21 +96,21 @@ def peak_cut_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _with_counts(spark, sf_dir).join(blocked(spark, sf_dir).select("ordinal", "block_id"), "ordinal")
     n, p = F.count(F.lit(1)), F.sum("n_peaks")
-    return df.groupBy("ms_level", "block_id").agg(n.alias("spectra"), p.alias("peaks"), ((n >= 1) & (n <= BLOCK_SPECTRA) & (p <= BLOCK_PEAKS)).alias("valid"))
+    valid = (n >= 1) & (n <= BLOCK_SPECTRA) & (p <= BLOCK_PEAKS)
+    return level_ranked(spark, sf_dir).groupBy("ms_level", "block_id").agg(n.alias("spectra"), p.alias("peaks"), valid.alias("valid"))
 
 
 def delta_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _with_counts(spark, sf_dir).join(blocked(spark, sf_dir).select("ordinal", "block_id"), "ordinal")
-    return df.groupBy("ms_level", "block_id").agg(
-        F.count_if(F.col("n_peaks") > 0).alias("firsts"), F.sum(F.greatest(F.col("n_peaks") - 1, F.lit(0))).alias("deltas"), F.count_if(F.col("n_peaks") >= 2).alias("groups")
+    n = F.col("n_peaks")
+    return level_ranked(spark, sf_dir).groupBy("ms_level", "block_id").agg(
+        F.count_if(n > 0).alias("firsts"), F.sum(F.greatest(n - 1, F.lit(0))).alias("deltas"), F.count_if(n >= 2).alias("groups")
     )
 
 
 def restore_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Put file order back to the original order through the order table."""
-    layout = spectra_layout(spark, sf_dir)
+    layout = materialise(spectra_layout(spark, sf_dir))
     order = layout.select("file_index", F.col("ordinal").alias("original_index"))
     stored = layout.select("file_index", "ms_level", "block_id")
     return stored.join(order, "file_index").select("original_index", "file_index", "ms_level", "block_id")
@@ -120,9 +118,10 @@ def restore_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_table_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order tables that are a permutation of 0 .. n - 1, and not: with a place twice, with one out of range."""
-    dense = rank(spectra_layout(spark, sf_dir), "ordinal", [], "place").select("place")
-    tables = {"good": F.col("place"), "twice": F.when(F.col("place") == 7, 6).otherwise(F.col("place")), "outside": F.when(F.col("place") == 7, -1).otherwise(F.col("place"))}
-    rows = dense.select(F.inline(F.array(*[F.struct(F.lit(name).alias("order_table"), place.cast("long").alias("place")) for name, place in tables.items()])))
+    dense = rank(spectra_layout(spark, sf_dir), "ordinal", [], "place")
+    place = F.col("place")
+    tables = {"good": place, "twice": F.when(place == 7, 6).otherwise(place), "outside": F.when(place == 7, -1).otherwise(place)}
+    rows = dense.select(F.inline(F.array(*[F.struct(F.lit(name).alias("order_table"), at.cast("long").alias("place")) for name, at in tables.items()])))
     return order_check(rows, ["order_table"], "place")
 
 

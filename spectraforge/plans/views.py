@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from spectraforge.functions.numeric import BLOCK_PEAKS, BLOCK_SPECTRA
 from spectraforge.operators.blocks import cut_blocks
-from spectraforge.operators.ordering import rank
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +37,12 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocked(spark: SparkSession, sf_dir: str, size: int = BLOCK_SPECTRA) -> DataFrame:
     """Spectra with block_id: blocks of a level hold up to ``size`` spectra and BLOCK_PEAKS peaks."""
-    return cut_blocks(counted(spark, sf_dir), size, BLOCK_PEAKS).drop("n_peaks")
+    return level_ranked(spark, sf_dir, size).drop("n_peaks", "level_index")
 
 
-def level_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocked spectra with level_index, their rank in their level."""
-    return rank(blocked(spark, sf_dir), "ordinal", ["ms_level"], "level_index")
+def level_ranked(spark: SparkSession, sf_dir: str, size: int = BLOCK_SPECTRA) -> DataFrame:
+    """Blocked spectra with n_peaks and level_index, their rank in their level."""
+    return cut_blocks(counted(spark, sf_dir), size, BLOCK_PEAKS)
 
 
 def raw_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:

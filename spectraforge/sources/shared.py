@@ -1,11 +1,11 @@
-"""A fresh folder that the driver and all executors see."""
+"""Folders and tables that the driver and all executors see."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_folder(spark: SparkSession) -> str:
@@ -17,3 +17,10 @@ def fresh_folder(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: a lost executor costs no recomputation."""
+    path = fresh_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

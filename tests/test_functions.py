@@ -1,8 +1,9 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from spectraforge.functions import numeric as N
 from spectraforge.operators import codec, compare
 from spectraforge.operators.blocks import cut_blocks, greedy_blocks
 from spectraforge.operators.entropy import frequency_table
-from spectraforge.operators.ordering import rank, running_total
+from spectraforge.operators.ordering import nth_value, rank, running_total, upper_median
 
 
 @pytest.mark.parametrize(
@@ -90,6 +91,21 @@ def test_greedy_cut_against_a_loop(spark):
             assert got[i] == block
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=400), st.sampled_from([1, 3, 7]), st.sampled_from([12, 20, 60]), st.sampled_from([2, 3, 16]))
+def test_greedy_cut_through_trees_of_any_depth(spark, n, size, most, group):
+    """Ranges of eight rows and small groups, so that tables are composed several times."""
+    df = spark.createDataFrame([(i * i, 1, x) for i, x in enumerate(n)], "ordinal long, ms_level int, n_peaks long")
+    got = [r.block_id for r in greedy_blocks(df, size, most, width=8, group=group).orderBy("ordinal").collect()]
+    block, s, p, expected = 0, 0, 0, []
+    for x in n:
+        if s and (s == size or p + x > most):
+            block, s, p = block + 1, 0, 0
+        s, p = s + 1, p + x
+        expected.append(block)
+    assert got == expected
+
+
 def test_a_spectrum_over_the_limit_is_an_error(spark):
     df = spark.createDataFrame([(0, 1, 3), (1, 1, 21)], "ordinal long, ms_level int, n_peaks long")
     with pytest.raises(Exception, match="more than the 20 peaks"):
@@ -98,12 +114,56 @@ def test_a_spectrum_over_the_limit_is_an_error(spark):
 
 def test_rank_keeps_rows_without_order_and_breaks_ties(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), (5, 3), (5, 1), (4, 9), (10**9, 0), (-7, 0)], "o long, t int")
-    got = {(r.o, r.t): r.r for r in rank(df, "o", [], "r", width=3, ties=("t",)).collect()}
+    got = {(r.o, r.t): r.r for r in rank(df, "o", [], "r", ties=("t",), partitions=5).collect()}
     assert got == {(None, 1): 0, (None, 2): 1, (-7, 0): 2, (4, 9): 3, (5, 1): 4, (5, 3): 5, (10**9, 0): 6}
     parts = spark.createDataFrame([(1, None), (2, None), (3, 1)], "o long, k int")
     assert {r.o: r.r for r in rank(parts, "o", ["k"], "r").collect()} == {1: 0, 2: 1, 3: 0}
 
 
+@pytest.mark.parametrize("kind", ["hashed", "one value", "one row", "one part", "many parts"])
+def test_rank_of_any_keys_deals_rows_to_many_tasks(spark, kind):
+    """Hashed 64-bit keys, one value or one row held by half of the rows, all rows in one part, a part a few rows."""
+    n = F.col("id")
+    half = n % 2 == 0
+    order = {"hashed": F.xxhash64("id"), "one value": F.when(half, 7).otherwise(n), "one row": F.when(half, 7).otherwise(n)}.get(kind, n * 1000)
+    part = F.floor(n / 5) if kind == "many parts" else F.lit(3) if kind in ("one part", "one row") else n % 3
+    df = spark.range(20_000).select(order.cast("long").alias("o"), part.cast("long").alias("k"), (F.lit(0) if kind == "one row" else n).alias("t"))
+    rows = rank(df, "o", ["k"], "r", ties=("t",), partitions=16).toPandas().sort_values(["k", "o", "t"], kind="stable")
+    assert sorted(rows["r"][rows["k"] == 3]) == list(range((rows["k"] == 3).sum()))
+    assert (rows.groupby("k")["r"].apply(lambda r: sorted(r) == list(range(len(r))))).all() and len(rows) == 20_000
+    assert rows.sort_values(["k", "r"])[["k", "o", "t"]].equals(rows[["k", "o", "t"]].set_axis(rows.sort_values(["k", "r"]).index)) or kind == "one row"
+    written = max(Path(spark.conf.get("spark.checkpoint.dir")).glob("files-*"), key=lambda p: p.stat().st_mtime)
+    sizes = [r[0] for r in spark.read.parquet(str(written)).groupBy("__task").count().select("count").collect()]
+    assert len(sizes) > 8 and max(sizes) < 4_000
+
+
+def test_running_total_over_ranges_of_one_part(spark):
+    df = spark.range(3_000).select("id", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 11 - 5).alias("v"), F.when(F.col("id") > 5, F.lit("x")).alias("k"))
+    rows = running_total(df, F.col("v"), "id", ["k"], "s", partitions=9).toPandas().sort_values("id")
+    for _, part in rows.groupby("k", dropna=False):
+        v = part["v"].fillna(0)
+        assert (part["s"] == v.cumsum() - v).all()
+    with pytest.raises(Exception, match="64 bits"):
+        running_total(df, F.lit(2**62), "id", [], "s").collect()
+
+
+def test_order_statistics_equal_the_sort(spark):
+    values = F.xxhash64("id")
+    df = spark.range(200_000).select(values.alias("v"))
+    ordered = sorted(r[0] for r in df.collect())
+    for n in (0, 1, 99_999, 199_999):
+        assert nth_value(df, "v", n, ordered[0], ordered[-1]) == ordered[n]
+    assert nth_value(df, "v", 77, -(2**63), 2**63 - 1) == ordered[77]
+    assert tuple(upper_median(df, "v").first()) == (ordered[0], ordered[100_000], ordered[-1])
+    few = spark.createDataFrame([(3,), (None,), (3,), (-9,)], "v int")
+    assert tuple(upper_median(few, "v").first()) == (-9, 3, 3) and tuple(upper_median(few.where("v > 5"), "v").first()) == (0, 0, 0)
+
+
+def test_median_of_ten_million_distinct_values(spark):
+    df = spark.range(10_000_000).select(((F.col("id") * 7_368_787) % 10_000_019).alias("v"))
+    assert upper_median(df, "v").first().median_value == np.sort(np.arange(10_000_000) * 7_368_787 % 10_000_019)[5_000_000]
+
+
 def one_by_one(counts):
     """Frequencies by giving and taking single units."""
     total = sum(counts.values())
@@ -152,9 +212,9 @@ def test_lossy_comparison_names_each_failure(spark):
 
 def test_rank_and_running_total(spark):
     df = spark.range(100).select((F.col("id") * 3).alias("o"), (F.col("id") % 2).alias("k"))
-    got = rank(df, "o", ["k"], "r", width=10).orderBy("o").collect()
+    got = rank(df, "o", ["k"], "r", partitions=7).orderBy("o").collect()
     assert [r.r for r in got] == [i // 2 for i in range(100)]
-    sums = running_total(df, F.col("o"), "o", [], "s", width=10).orderBy("o").collect()
+    sums = running_total(df, F.col("o"), "o", [], "s", partitions=7).orderBy("o").collect()
     assert [r.s for r in sums] == list(np.cumsum([0, *range(0, 297, 3)]))
 
 
