@@ -1,4 +1,4 @@
-"""The ten operators applied to the given tables with production parameters."""
+"""The operators applied to the given tables with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_text, language_id, licenses, simhash, substring_dedup, token_counts, toxicity
+from . import bpe, decontaminate, exact_dedup, html_text, language_id, licenses, manifest, prefix_trie, quality, simhash, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +73,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("doc_id", "n_tokens", "n_leaves", "n_edits", "n_tokens_after", "n_chars_encoded", F.sha2("new_text", 256).alias("new_text_sha256"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.document_manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_exact_dedup, op2_html_extraction, op3_license_scan, op4_bpe, op5_language_id, op6_simhash, op7_decontamination, op8_substring_dedup, op9_toxicity, op10_token_counts)
+    ops = (
+        op1_exact_dedup, op2_html_extraction, op3_license_scan, op4_bpe, op5_language_id, op6_simhash, op7_decontamination, op8_substring_dedup, op9_toxicity, op10_token_counts,
+        op11_quality, op12_prefix_trie, op13_merkle_manifest,
+    )
     return {f.__name__: f for f in ops}
 
 
@@ -145,5 +161,62 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
 
+def _crc32(number: str) -> str:
+    """CRC-32 of a number's decimal digits, bit by bit: every digit is followed by seven zeros, a list entry a bit."""
+    bits = f"flatten([[ascii(c), 0, 0, 0, 0, 0, 0, 0] for c in string_split(CAST({number} AS VARCHAR), '')])"
+    step = "xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))"
+    return f"xor(list_reduce(list_transform(list_concat([4294967295], {bits}), lambda x: CAST(x AS BIGINT)), lambda a, x: {step}), 4294967295)"
+
+
+def _op12_sql() -> str:
+    return rf"""
+WITH o AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT *, {_crc32('c')} % 4 AS h FROM o),
+s AS (SELECT h.c, list_concat(coalesce(b.ts[1:h.h], []), h.ts[h.h + 1:]) AS q FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+p AS (SELECT c, q, d, q[1:d] AS k FROM (SELECT c, q, unnest(range(len(q) + 1)) AS d FROM s)),
+n AS (SELECT d AS depth, k, min(c) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(q) = d), '')) AS ends_sha256,
+             (count(*) - 1) * len(regexp_extract_all(coalesce(any_value(k[d].t), ''), '[^\x20\x09-\x0D]+')) AS own FROM p GROUP BY d, k),
+e AS (SELECT m.*, u.conv_id AS parent_conv_id FROM n m LEFT JOIN n u ON u.depth = m.depth - 1 AND u.k = m.k[1:m.depth - 1]),
+kids AS (SELECT depth - 1 AS depth, k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT e.*, coalesce(n_children, 0) AS n_children FROM e LEFT JOIN kids ON kids.depth = e.depth AND kids.k = e.k),
+below AS (SELECT a AS depth, k[1:a] AS k, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens
+          FROM (SELECT *, unnest(range(depth + 1)) AS a FROM f) GROUP BY 1, 2)
+SELECT conv_id, f.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM f JOIN below ON below.depth = f.depth AND below.k = f.k"""
+
+
+def _op13_sql() -> str:
+    framed = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+    hashed = lambda n: f"sha256({framed('doc_id')} || {framed('source')} || {framed('lang')} || {framed(n)} || {framed('text')})"
+
+    def climb(name: str, leaves: str) -> str:
+        """All levels of the trees of groups g, a row a node."""
+        return f"""{name} AS (SELECT * FROM ({leaves}) UNION ALL
+  SELECT l + 1, g, i // 2, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}) WHERE n > 1 GROUP BY l, g, i // 2)"""
+
+    def walk(name: str, starts: str, tree: str) -> str:
+        """Every leaf's way up: its node, the siblings met so far, and the digest folded from them."""
+        return f"""{name} AS (SELECT * FROM ({starts}) UNION ALL
+  SELECT w.doc_id, w.leaf, w.g, w.l + 1, w.i // 2, w.proof || coalesce(s.d, ''), sha256(CASE WHEN w.i % 2 = 0 THEN w.f || coalesce(s.d, '') ELSE s.d || w.f END)
+  FROM {name} w JOIN {tree} p ON p.l = w.l + 1 AND p.g = w.g AND p.i = w.i // 2 LEFT JOIN {tree} s ON s.l = w.l AND s.g = w.g AND s.i = xor(w.i, 1))"""
+
+    lower = "SELECT 0 AS l, g, i, leaf AS d FROM placed"
+    upper = "SELECT 0 AS l, 0 AS g, i, d FROM heads"
+    below = "SELECT doc_id, leaf, g, 0 AS l, i, '' AS proof, f FROM placed"
+    above = "SELECT doc_id, leaf, 0 AS g, 0 AS l, u.i, proof, f FROM (SELECT *, max(l) OVER (PARTITION BY g) AS top FROM a) a JOIN heads u ON u.g = a.g WHERE l = top"
+    return f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('x' || lang, '') AS g, {hashed('n_chars')} AS leaf, CASE WHEN {_crc32('doc_id')} % 7 = 0 THEN {hashed('(n_chars + 1)')} ELSE {hashed('n_chars')} END AS f FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+{climb('tree', lower)},
+heads AS (SELECT g, d, row_number() OVER (ORDER BY encode(g)) - 1 AS i FROM (SELECT g, max_by(d, l) AS d FROM tree GROUP BY g)),
+{climb('upper', upper)},
+{walk('a', below, 'tree')},
+{walk('b', above, 'upper')},
+root AS (SELECT max_by(d, l) AS root, max(l) AS l FROM upper)
+SELECT b.doc_id, b.leaf, h.d AS subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM b JOIN root ON root.l = b.l JOIN placed p ON p.doc_id IS NOT DISTINCT FROM b.doc_id AND p.leaf = b.leaf JOIN heads h ON h.g = p.g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _op1_sql(), "op3_license_scan": _op3_sql(), "op7_decontamination": _op7_sql(), "op8_substring_dedup": _op8_sql()}
+    return {"op1_exact_dedup": _op1_sql(), "op3_license_scan": _op3_sql(), "op7_decontamination": _op7_sql(), "op8_substring_dedup": _op8_sql(), "op12_prefix_trie": _op12_sql(), "op13_merkle_manifest": _op13_sql()}
