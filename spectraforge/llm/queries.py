@@ -214,7 +214,7 @@ heads AS (SELECT g, d, row_number() OVER (ORDER BY encode(g)) - 1 AS i FROM (SEL
 {walk('a', below, 'tree')},
 {walk('b', above, 'upper')},
 root AS (SELECT max_by(d, l) AS root, max(l) AS l FROM upper)
-SELECT b.doc_id, b.leaf, h.d AS subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+SELECT b.doc_id, b.leaf, h.d AS subroot, root, sha256(proof) AS proof_sha256, b.f AS folded_root, b.f = root AS verified
 FROM b JOIN root ON root.l = b.l JOIN placed p ON p.doc_id IS NOT DISTINCT FROM b.doc_id AND p.leaf = b.leaf JOIN heads h ON h.g = p.g"""
 
 
