@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType
 
 
 @F.arrow_udf(LongType())
@@ -31,6 +31,24 @@ def bits_float(bits: pa.Array) -> pa.Array:
     return pa.array(raw, pa.float32(), mask=np.asarray(bits.is_null()))
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def double_array_bits(values: pa.Array) -> pa.Array:
+    """The 64 bits of each double of an array as longs."""
+    return _viewed_lists(values, np.float64, np.int64)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def float_array_bits(values: pa.Array) -> pa.Array:
+    """The 32 bits of each float of an array as ints (those of negative floats are negative)."""
+    return _viewed_lists(values, np.float32, np.int32)
+
+
+def _viewed_lists(values: pa.Array, old: type, new: type) -> pa.Array:
+    ends = np.cumsum(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int32)
+    offsets = pa.array(np.concatenate([np.zeros(1, np.int32), ends]))
+    return pa.ListArray.from_arrays(offsets, _viewed(values.flatten(), old, new), mask=values.is_null())
+
+
 def _viewed(values: pa.Array, old: type, new: type) -> pa.Array:
     raw = values.fill_null(0).to_numpy(zero_copy_only=False).astype(old, copy=False)
     return pa.array(np.ascontiguousarray(raw).view(new), mask=np.asarray(values.is_null()))

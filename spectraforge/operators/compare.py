@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectraforge.functions import bits
 from spectraforge.functions import numeric as N
 
 _FIELDS = ("scan_id", "rt_seconds", "ms_level", "precursor_mz")
@@ -17,24 +18,48 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b) & ((a != 0) | (a.cast("string") == b.cast("string")) | a.isNull())
 
 
-def _same_arrays(a: Column, b: Column) -> Column:
-    return F.forall(F.zip_with(a, b, same), lambda x: x)
+def bit_view(df: DataFrame) -> DataFrame:
+    """ordinal, metadata, mz and intensity with every float as its bit pattern; tables of patterns stay as they are.
+
+    Floats become patterns in Arrow functions, which keep the bits of a NaN as Spark holds them; of what a dump holds, its
+    view ``bits`` is surer, as nothing that wrote the table in between can have changed them. Times and intensities are
+    32-bit floats; if a table has them as doubles, what rounding took from them stands beside the pattern.
+    """
+    no_rest, no_rests = F.lit(0.0), F.array().cast("array<double>")
+    if "mz_bits" in df.columns:
+        rt, intensity = F.struct(F.col("rt_bits").alias("bits"), no_rest.alias("rest")), F.struct(F.col("intensity_bits").alias("bits"), no_rests.alias("rest"))
+        return df.select("ordinal", "scan_id", rt.alias("rt_seconds"), "ms_level", F.col("precursor_bits").alias("precursor_mz"), F.col("mz_bits").alias("mz"), intensity.alias("intensity"))
+    kinds = dict(df.dtypes)
+    rounded = F.filter(F.transform("intensity", _rest), lambda x: x != 0)
+    rt = F.struct(bits.float_bits(F.col("rt_seconds").cast("float")).alias("bits"), (_rest(F.col("rt_seconds")) if kinds["rt_seconds"] == "double" else no_rest).alias("rest"))
+    intensity = F.struct(bits.float_array_bits(F.col("intensity").cast("array<float>")).alias("bits"), (rounded if kinds["intensity"] == "array<double>" else no_rests).alias("rest"))
+    return df.select(
+        "ordinal", "scan_id", rt.alias("rt_seconds"), "ms_level", bits.double_bits(F.col("precursor_mz").cast("double")).alias("precursor_mz"),
+        bits.double_array_bits(F.col("mz").cast("array<double>")).alias("mz"), intensity.alias("intensity"),
+    )
+
+
+def _rest(x: Column) -> Column:
+    """What rounding to 32 bits takes from a double; nothing from NaN and infinities."""
+    left = x - x.cast("float").cast("double")
+    return F.when(F.isnan(left) | F.isnull(left), 0.0).otherwise(left)
 
 
 def lossless(left: DataFrame, right: DataFrame) -> DataFrame:
-    """A row for each check: whether it passed, and the first ordinal that failed it.
+    """A row for each check: whether it passed, and the first ordinal that failed it; floats are compared by their bits.
 
-    Peaks are compared where the numbers of peaks agree; if the tables differ in the number of
+    Peaks are compared where all numbers of masses and intensities agree; if the tables differ in the number of
     spectra, only that check fails on its own, rows without partner fail no other.
     """
-    a, b = (df.select("ordinal", *[F.col(c).alias(f"{side}_{c}") for c in (*_FIELDS, "mz", "intensity")]) for df, side in ((left, "a"), (right, "b")))
+    a, b = (bit_view(df).select("ordinal", F.lit(True).alias(side), *[F.col(c).alias(f"{side}_{c}") for c in (*_FIELDS, "mz", "intensity")]) for df, side in ((left, "a"), (right, "b")))
     both = a.join(b, "ordinal", "full_outer")
-    paired = F.col("a_scan_id").isNotNull() & F.col("b_scan_id").isNotNull()
-    equal_size = (F.size("a_mz") == F.size("b_mz")) & (F.size("a_intensity") == F.size("b_intensity"))
-    failed = {c: paired & ~same(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in _FIELDS}
+    paired = F.col("a").isNotNull() & F.col("b").isNotNull()
+    sizes = [F.coalesce(F.size(f"{side}_{c}"), F.lit(-1)) for side in "ab" for c in ("mz", "intensity.bits")]
+    equal_size = (sizes[0] == sizes[1]) & (sizes[0] == sizes[2]) & (sizes[0] == sizes[3])
+    failed = {c: paired & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in _FIELDS}
     failed["peak_count"] = paired & ~equal_size
     for c in ("mz", "intensity"):
-        failed[c] = paired & equal_size & ~_same_arrays(F.col(f"a_{c}"), F.col(f"b_{c}"))
+        failed[c] = paired & equal_size & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
     failed["spectrum_count"] = ~paired
     firsts = both.agg(*[F.min(F.when(x, F.col("ordinal"))).alias(c) for c, x in failed.items()])
     rows = F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).isNull().alias("passed"), F.col(c).alias("first_mismatch")) for c in failed])

@@ -7,8 +7,12 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
+from pyspark.sql.types import StructType
 
-from spectraforge.sources.dump import HEADER, index_dump, read_dump, scan_headers, write_dump
+from spectraforge.operators import compare
+from spectraforge.sources import dump
+from spectraforge.sources.dump import HEADER, index_dump, read_dump, read_records, scan_headers, write_dump
 from spectraforge.sources.mzml import read_mzml
 
 SPECTRA = "ordinal long, scan_id long, rt_seconds float, ms_level int, precursor_mz double, mz array<double>, intensity array<float>"
@@ -144,6 +148,143 @@ def test_overwriting_replaces_the_old_dump(spark, tmp_path):
     assert content(path) == record(*ROWS[1][1:])
 
 
+class Counted:
+    """A file that counts the bytes it gives."""
+
+    read = 0
+
+    def __init__(self, file):
+        self.file = file
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+    def read_at(self, n, offset):
+        found = self.file.read_at(n, offset)
+        Counted.read += len(found)
+        return found
+
+
+@pytest.fixture
+def counted(monkeypatch):
+    plain = dump._opened
+    monkeypatch.setattr(dump, "_opened", lambda system, path: Counted(plain(system, path)))
+    Counted.read = 0
+    return Counted
+
+
+def large(folder, n=40, peaks=30_000):
+    folder.mkdir()
+    sizes = [peaks + i % 3 for i in range(n)]
+    (folder / "a.bin").write_bytes(b"".join(record(i, float(i), 1 + (i % 10 == 3), 0.0, np.arange(k, dtype=float) + i, np.full(k, i)) for i, k in enumerate(sizes)))
+    return str(folder), [28 + 12 * k for k in sizes]
+
+
+def read_in_process(path, filters, **options):
+    reader = dump._FilteringReader(StructType.fromDDL(dump.VIEWS[options.get("view", "spectra")]), {"path": path, **options})
+    assert list(reader.pushFilters(filters)) == filters
+    return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+
+def test_peaks_of_filtered_records_are_not_read(spark, tmp_path, counted):
+    path, lengths = large(tmp_path / "d")
+    assert [r["scan_id"] for r in read_in_process(path, [])] == list(range(40))
+    assert counted.read < 1.3 * sum(lengths)  # a record that a window cuts is read again
+    counted.read = 0
+    found = read_in_process(path, [EqualTo(("ms_level",), 2)])
+    assert [r["scan_id"] for r in found] == [3, 13, 23, 33] and found[1]["mz"][:2] == [13.0, 14.0] and set(found[1]["intensity"]) == {13.0}
+    assert counted.read < 0.15 * sum(lengths)
+    counted.read = 0
+    assert [r["scan_id"] for r in read_in_process(path, [In(("scan_id",), (5, 7, 900))])] == [5, 7] and counted.read < 0.1 * sum(lengths)
+    counted.read = 0
+    assert len(read_in_process(path, [], view="headers")) == 40 and counted.read < 0.02 * sum(lengths)
+    index = dump._Index(lengths[0])
+    index.add(np.array(lengths))
+    (tmp_path / "d" / "a.bin.idx").write_bytes(index.bytes())
+    counted.read = 0
+    assert [r["position"] for r in read_in_process(path, [GreaterThan(("position",), 36), LessThanOrEqual(("position",), 38)])] == [37, 38]
+    assert counted.read < 0.09 * sum(lengths)  # ranges of other positions are not opened
+    counted.read = 0
+    assert read_in_process(path, [EqualTo(("part",), "b.bin")]) == [] and counted.read == 0
+
+
+def test_conditions_give_the_rows_they_give_when_tested_later(spark, tmp_path):
+    rows = [(i, i * 3, float(i), 1 + i % 2, 0.0, [float(p) for p in range(i % 5)], [1.0] * (i % 5)) for i in range(60)]
+    write_dump(spectra(spark, rows), str(tmp_path / "d"), "ordinal", split_bytes=200, files=3)
+    every = [tuple(r) for r in read_dump(spark, str(tmp_path / "d"), ordinals="true").collect()]
+    plain = spark.createDataFrame(every, read_dump(spark, str(tmp_path / "d"), ordinals="true").schema)
+    some = sorted({r[1] for r in every})[1]
+    for condition in ("ms_level = 2", "position in (1, 3, 99)", "ordinal > 7 and ordinal <= 31", "part = '%s' and n_peaks >= 3" % some, "scan_id < 30 or ms_level = 1", "ms_level is null", "not (ms_level = 1)", "n_peaks <=> 2", "rt_seconds > 40", "ordinal = 59", "part in ('x')"):
+        pushed, expected = read_dump(spark, str(tmp_path / "d"), condition, ordinals="true"), plain.where(condition)
+        assert sorted(map(str, pushed.collect())) == sorted(map(str, expected.collect())), condition
+        assert pushed.where("n_peaks = 4").unionByName(pushed.where("ms_level = 1")).count() == expected.where("n_peaks = 4").unionByName(expected.where("ms_level = 1")).count()
+        assert pushed.count() == expected.count()
+    later = read_dump(spark, str(tmp_path / "d"))
+    assert later.where("scan_id = 3").unionByName(later).count() == 61 and later.where("scan_id = 6").count() == 1 and later.count() == 60
+
+
+def test_chosen_records_read_their_own_bytes_only(spark, tmp_path, counted):
+    path, lengths = large(tmp_path / "d", n=300, peaks=3_000)
+    headers = read_dump(spark, path, view="headers")
+    assert [r.offset for r in headers.orderBy("position").collect()] == list(np.cumsum(lengths) - lengths)
+    wanted = spark.createDataFrame([(7,), (200,), (299,)], "scan_id long")
+    chosen = headers.join(wanted, "scan_id", "left_semi")
+    found = read_records(spark, path, chosen.unionByName(chosen.where("scan_id = 7"))).orderBy("scan_id").collect()
+    assert [r.scan_id for r in found] == [7, 7, 200, 299] and [r.position for r in found] == [7, 7, 200, 299]
+    assert found[2].mz == [200.0 + k for k in range(3_000 + 200 % 3)] and set(found[2].intensity) == {200.0}
+    batch = chosen.select("part", "position", "offset", "n_peaks").orderBy("offset").toArrow().to_batches()
+    assert sum(b.num_rows for b in dump._read_chosen(path, batch)) == 3
+    assert counted.read == lengths[7] + lengths[200] + lengths[299]  # 1 % of the records, 1 % of the bytes
+    counted.read = 0
+    near = headers.where("position between 10 and 19").select("part", "position", "offset", "n_peaks").orderBy("offset").toArrow().to_batches()
+    assert [b.num_rows for b in dump._read_chosen(path, near)] == [10] and counted.read == sum(lengths[10:20])
+    for column, damage, message in (("n_peaks", -1, "differs"), ("offset", 10**9, "no record")):
+        with pytest.raises(Exception, match=message):
+            read_records(spark, path, chosen.withColumn(column, F.col(column) + damage)).collect()
+    assert read_records(spark, path, chosen.limit(0)).count() == 0
+
+
+def test_dumps_of_several_files_compare_by_ordinal(spark, tmp_path):
+    rows = [(i, 900 - i, float(i), 1 + i % 2, float(i % 2), [float(p) for p in range(i % 7)], [float(i)] * (i % 7)) for i in range(200)]
+    for name, files, split in (("a", 2, 10**6), ("b", 7, 100)):
+        write_dump(spectra(spark, rows), str(tmp_path / name), "ordinal", split_bytes=split, files=files)
+    a, b = (read_dump(spark, str(tmp_path / n), ordinals="true", view="bits") for n in "ab")
+    assert sorted((r.ordinal, r.scan_id) for r in b.collect()) == [(i, 900 - i) for i in range(200)]
+    assert a.select("part").distinct().count() == 2 < b.select("part").distinct().count()
+    assert compare.all_passed(compare.lossless(a, b))
+    assert compare.all_passed(compare.lossless(spectra(spark, rows), b))  # patterns against floats
+    changed = [(*r[:3], 2, *r[4:]) if r[0] == 150 else r for r in rows]
+    write_dump(spectra(spark, changed), str(tmp_path / "c"), "ordinal", files=5)
+    c = read_dump(spark, str(tmp_path / "c"), ordinals="true", view="bits")
+    assert {r["check"]: r.first_mismatch for r in compare.lossless(a, c).collect() if not r.passed} == {"ms_level": 150}
+    next((tmp_path / "c").glob("*.idx")).unlink()
+    with pytest.raises(Exception, match="ordinals need an index"):
+        read_dump(spark, str(tmp_path / "c"), ordinals="true").collect()
+
+
+def test_patterns_of_nan_are_told_apart(spark, tmp_path):
+    def view(name, pattern, mz=(1.0, 2.0)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.bin").write_bytes(record(1, 0.0, 1, 0.0, mz, np.array([pattern, 0x3F800000], "<u4").view("<f4")))
+        index_dump(spark, str(tmp_path / name))
+        return [read_dump(spark, str(tmp_path / name), ordinals="true", view=v) for v in ("bits", "spectra")]
+
+    a, b, c, zero, minus = view("a", 0x7FC01234), view("b", 0x7FC00000), view("c", 0x7FC01234), view("d", 0), view("e", 0x80000000)
+    assert a[0].first().intensity_bits == [0x7FC01234, 0x3F800000]
+    for x, y, failed in ((a, b, ["intensity"]), (a, c, []), (zero, minus, ["intensity"])):
+        for left in x:
+            for right in y:
+                assert [r["check"] for r in compare.lossless(left, right).collect() if not r.passed] == failed
+
+
+def test_arrays_of_unequal_length_in_one_row_fail_the_peak_count(spark):
+    df = spectra(spark, [(0, 1, 0.0, 1, 0.0, [1.0, 2.0], [1.0]), (1, 2, 0.0, 1, 0.0, [], [])])
+    assert {r["check"]: r.first_mismatch for r in compare.lossless(df, df).collect() if not r.passed} == {"peak_count": 0}
+
+
 DOCUMENT = """<?xml version="1.0" encoding="utf-8"?>
 <mzML xmlns="http://psi.hupo.org/ms/mzml"><run><spectrumList count="3">
 <spectrum index="0" id="controllerType=0 scan=19" defaultArrayLength="3">
