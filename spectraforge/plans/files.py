@@ -80,7 +80,14 @@ def mzml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(read_mzml(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (dump_round_trip, dump_headers, dump_filtered, dump_chosen_records, dump_comparison, mzml_round_trip)}
+def mzml_parameter_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra from documents whose levels and kinds of arrays stand in groups; one id means other groups in other documents."""
+    path = fresh_folder(spark)
+    write_mzml(nested(spark, sf_dir).repartition(4), path, shared=True)
+    return _digest(read_mzml(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (dump_round_trip, dump_headers, dump_filtered, dump_chosen_records, dump_comparison, mzml_round_trip, mzml_parameter_groups)}
 
 _DIGEST = PREFIX + """
 SELECT sp.ordinal AS scan_id, any_value(rt_seconds) AS rt_seconds, any_value(sp.ms_level) AS ms_level, any_value(precursor_mz) AS precursor_mz, count(mz) AS n_peaks,
@@ -90,6 +97,7 @@ FROM sp LEFT JOIN pk ON pk.ordinal = sp.ordinal GROUP BY 1"""
 ORACLE = {
     "dump_round_trip": _DIGEST,
     "mzml_round_trip": _DIGEST,
+    "mzml_parameter_groups": _DIGEST,
     "dump_filtered": _DIGEST + " HAVING any_value(sp.ms_level) = 2 AND count(mz) >= 3",
     "dump_chosen_records": _DIGEST.replace("GROUP BY 1", """
 WHERE rt_seconds > 86400 * 1000 AND sp.ordinal IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING') GROUP BY 1"""),

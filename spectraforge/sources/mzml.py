@@ -1,15 +1,23 @@
 """mzML documents as spectra, through Spark's XML reader.
 
-One row a ``spectrum`` element. Its fields are found by the accession numbers of the public controlled
-vocabulary. A spectrum without peaks has empty arrays; one without level gets level 0, without time 0 seconds.
+One row a ``spectrum`` element. Its fields are found by the accession numbers of the public controlled vocabulary, among
+its own parameters and then among those of the parameter groups it refers to. Groups belong to their document: a second
+scan collects them, and they are joined to the spectra by file path. A spectrum without peaks has empty arrays; one
+without level gets level 0, without time 0 seconds.
+
+Arrays are floats or integers of 32 or 64 bits, plain or deflated. Nothing is guessed: an array of masses or intensities
+without exactly one known type and one known compression, with a parameter that is neither, or of another length than the
+document declares is an error, and so is a reference to a group that the document does not have. Other arrays are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType
@@ -19,22 +27,31 @@ from spectraforge.functions import ingest
 # Accession numbers of the vocabulary.
 MS_LEVEL, START_TIME, SELECTED_MZ = "MS:1000511", "MS:1000016", "MS:1000744"
 MZ_ARRAY, INTENSITY_ARRAY = "MS:1000514", "MS:1000515"
-FLOAT_64, FLOAT_32, ZLIB, PLAIN = "MS:1000523", "MS:1000521", "MS:1000574", "MS:1000576"
+FLOAT_64, FLOAT_32, INTEGER_64, INTEGER_32, ZLIB, PLAIN = "MS:1000523", "MS:1000521", "MS:1000522", "MS:1000519", "MS:1000574", "MS:1000576"
 
-_PARAMS = "cvParam array<struct<_accession string, _name string, _value string, _unitName string>>"
-SCHEMA = f"""_id string, _index bigint, {_PARAMS},
-scanList struct<scan array<struct<{_PARAMS.replace(" ", ":", 1)}>>>,
-precursorList struct<precursor array<struct<selectedIonList struct<selectedIon array<struct<{_PARAMS.replace(" ", ":", 1)}>>>>>>,
-binaryDataArrayList struct<binaryDataArray array<struct<{_PARAMS.replace(" ", ":", 1)}, binary string>>>"""
+#: Numpy's names of the types of arrays.
+TYPES = {FLOAT_64: "<f8", FLOAT_32: "<f4", INTEGER_64: "<i8", INTEGER_32: "<i4"}
+COMPRESSIONS = (PLAIN, ZLIB)
+
+_PARAM = "array<struct<_accession:string,_name:string,_value:string,_unitName:string>>"
+_PARAMS = f"cvParam:{_PARAM},referenceableParamGroupRef:array<struct<_ref:string>>"
+SCHEMA = f"""_id string, _index bigint, _defaultArrayLength bigint, {_PARAMS.replace("cvParam:", "cvParam ").replace("Ref:", "Ref ")},
+scanList struct<scan:array<struct<{_PARAMS}>>>,
+precursorList struct<precursor:array<struct<selectedIonList:struct<selectedIon:array<struct<{_PARAMS}>>>>>>,
+binaryDataArrayList struct<binaryDataArray:array<struct<_arrayLength:bigint,{_PARAMS},binary:string>>>"""
+GROUP_SCHEMA = f"_id string, cvParam {_PARAM}"
 
 
 @F.arrow_udf(ArrayType(DoubleType()))
-def decoded(packed: pa.Array, wide: pa.Array, squeezed: pa.Array) -> pa.Array:
-    """Little-endian floats of 64 or 32 bits, inflated first if they are deflated; null counts as none."""
+def decoded(packed: pa.Array, kind: pa.Array, compression: pa.Array, declared: pa.Array) -> pa.Array:
+    """Little-endian numbers of the type and compression with these accessions; null counts as none. The declared length, if any, must be theirs."""
     found = []
-    for raw, is_wide, is_squeezed in zip(packed.to_pylist(), wide.to_pylist(), squeezed.to_pylist()):
-        raw = zlib.decompress(raw) if raw and is_squeezed else raw or b""
-        found.append(np.frombuffer(raw, "<f8" if is_wide else "<f4").astype(np.float64))
+    for raw, accession, squeezed, n in zip(packed.to_pylist(), kind.to_pylist(), compression.to_pylist(), declared.to_pylist()):
+        raw = zlib.decompress(raw) if raw and squeezed == ZLIB else raw or b""
+        numbers = np.frombuffer(raw, TYPES[accession]) if accession else np.zeros(0)
+        if n is not None and n != len(numbers):
+            raise ValueError(f"the values of an array and its declared length differ in number: {len(numbers)} and {n}")
+        found.append(numbers.astype(np.float64))
     offsets = np.cumsum([0] + [len(v) for v in found], dtype=np.int32)
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.zeros(0)])))
 
@@ -46,34 +63,71 @@ def encoded(values: pa.Array) -> pa.Array:
     return pa.array([zlib.compress(part.tobytes()) for part in np.split(flat, ends[:-1])] if len(values) else [], pa.binary())
 
 
-def _param(params: Column, accession: str) -> Column:
-    return F.try_element_at(F.filter(params, lambda p: p["_accession"] == accession), F.lit(1))
+class _Params:
+    """Parameters of an element: its own, then those of the groups it refers to."""
+
+    def __init__(self, element: Column | None, groups: Column):
+        cell = (lambda name: F.col(name)) if element is None else (lambda name: element[name])
+        lost = lambda r: F.raise_error(F.concat(F.lit("no parameter group "), F.coalesce(r["_ref"], F.lit("without id"))))
+        found = lambda r: F.coalesce(F.try_element_at(groups, r["_ref"]), lost(r))
+        nothing = F.array().cast(_PARAM)
+        self.own = F.coalesce(cell("cvParam"), nothing)
+        self.shared = F.coalesce(F.flatten(F.transform(cell("referenceableParamGroupRef"), found)), nothing)
+
+    def first(self, accession: str) -> Column:
+        return F.try_element_at(F.filter(F.concat(self.own, self.shared), lambda p: p["_accession"] == accession), F.lit(1))
+
+    def has(self, accession: str) -> Column:
+        return F.exists(F.concat(self.own, self.shared), lambda p: p["_accession"] == accession)
 
+    def one_of(self, known: tuple[str, ...], what: str) -> Column:
+        """The accession among these, of the own parameters if one is there; an error if there is not exactly one."""
+        own, shared = (F.array_distinct(F.filter(F.transform(p, lambda x: x["_accession"]), lambda a: a.isin(*known))) for p in (self.own, self.shared))
+        found = F.when(F.size(own) > 0, own).otherwise(shared)
+        return F.when(F.size(found) == 1, F.element_at(found, 1)).otherwise(F.raise_error(F.concat(F.lit(f"an array without exactly one known {what}: "), self.text())))
 
-def _has(params: Column, accession: str) -> Column:
-    return F.coalesce(F.exists(params, lambda p: p["_accession"] == accession), F.lit(False))
+    def text(self) -> Column:
+        return F.array_join(F.transform(F.concat(self.own, self.shared), lambda p: F.coalesce(p["_accession"], F.lit("?"))), ", ")
 
+    def beyond(self, known: tuple[str, ...]) -> Column:
+        """Accessions other than these, joined; empty if there are none."""
+        every = F.transform(F.concat(self.own, self.shared), lambda p: F.coalesce(p["_accession"], F.lit("?")))
+        return F.array_join(F.filter(every, lambda a: ~a.isin(*known)), ", ")
 
-def _array(arrays: Column, accession: str) -> Column:
-    one = F.try_element_at(F.filter(arrays, lambda a: _has(a["cvParam"], accession)), F.lit(1))
-    return decoded(F.unbase64(F.regexp_replace(one["binary"], r"\s", "")), _has(one["cvParam"], FLOAT_64), _has(one["cvParam"], ZLIB))
+
+def _array(arrays: Column, accession: str, groups: Column, declared: Column) -> Column:
+    one = F.try_element_at(F.filter(arrays, lambda a: _Params(a, groups).has(accession)), F.lit(1))
+    params = _Params(one, groups)
+    odd = params.beyond((*TYPES, *COMPRESSIONS, accession))
+    kind = F.when(odd != "", F.raise_error(F.concat(F.lit("an array with parameters that are not known: "), odd))).otherwise(params.one_of(tuple(TYPES), "type"))
+    packed = F.unbase64(F.regexp_replace(one["binary"], r"\s", ""))
+    length = F.coalesce(one["_arrayLength"], declared)
+    return decoded(packed, F.when(one.isNotNull(), kind), F.when(one.isNotNull(), params.one_of(COMPRESSIONS, "compression")), length)
+
+
+def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    rows = spark.read.format("xml").option("rowTag", tag).option("mode", "FAILFAST").schema(schema).load(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("file"))
 
 
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     """scan_id, rt_seconds, ms_level, precursor_mz, mz, intensity; peaks sorted by mass, equal masses in file order."""
-    raw = spark.read.format("xml").option("rowTag", "spectrum").option("mode", "FAILFAST").schema(SCHEMA).load(path)
-    time = _param(F.try_element_at(F.col("scanList.scan"), F.lit(1))["cvParam"], START_TIME)
-    level = F.coalesce(_param(F.col("cvParam"), MS_LEVEL)["_value"].cast("tinyint"), F.lit(0).cast("tinyint"))
-    first = F.try_element_at(F.col("precursorList.precursor"), F.lit(1))["selectedIonList"]["selectedIon"]
-    ion = F.try_element_at(first, F.lit(1))["cvParam"]
-    arrays = F.col("binaryDataArrayList.binaryDataArray")
+    group = F.struct("_id", F.coalesce("cvParam", F.array().cast(_PARAM)))
+    shared = _xml(spark, path, "referenceableParamGroup", GROUP_SCHEMA).groupBy("file").agg(F.map_from_entries(F.collect_list(group)).alias("groups"))
+    raw = _xml(spark, path, "spectrum", SCHEMA).join(shared, "file", "left")
+    groups = F.col("groups")
+    time = _Params(F.try_element_at(F.col("scanList.scan"), F.lit(1)), groups).first(START_TIME)
+    level = F.coalesce(_Params(None, groups).first(MS_LEVEL)["_value"].cast("tinyint"), F.lit(0).cast("tinyint"))
+    ions = F.try_element_at(F.col("precursorList.precursor"), F.lit(1))["selectedIonList"]["selectedIon"]
+    selected = _Params(F.try_element_at(ions, F.lit(1)), groups).first(SELECTED_MZ)["_value"]
+    arrays, declared = F.col("binaryDataArrayList.binaryDataArray"), F.col("_defaultArrayLength")
     flat = raw.select(
         ingest.scan_id(F.col("_id"), F.col("_index")).alias("scan_id"),
         ingest.rt_seconds(time["_value"].cast("double"), time["_unitName"]).cast("float").alias("rt_seconds"),
         level.alias("ms_level"),
-        ingest.precursor(level, F.array(_param(ion, SELECTED_MZ)["_value"].cast("double"))).alias("precursor_mz"),
-        _array(arrays, MZ_ARRAY).alias("m"),
-        _array(arrays, INTENSITY_ARRAY).alias("i"),
+        ingest.precursor(level, F.array(selected.cast("double"))).alias("precursor_mz"),
+        _array(arrays, MZ_ARRAY, groups, declared).alias("m"),
+        _array(arrays, INTENSITY_ARRAY, groups, declared).alias("i"),
     )
     peaks = flat.withColumn("p", ingest.sorted_peaks(F.col("m"), F.col("i")))
     return peaks.select("scan_id", "rt_seconds", "ms_level", "precursor_mz", F.col("p.mz").alias("mz"), F.col("p.intensity").cast("array<float>").alias("intensity"))
@@ -87,26 +141,72 @@ def _cv(accession: str, name: str, value: Column | None = None, unit: str | Colu
 
 def _data(values: str, accession: str, name: str) -> Column:
     params = F.array(_cv(FLOAT_64, "64-bit float"), _cv(ZLIB, "zlib compression"), _cv(accession, name))
-    packed = encoded(F.col(values).cast("array<double>"))
-    return F.struct(params.alias("cvParam"), F.regexp_replace(F.base64(packed), r"\s", "").alias("binary"))
+    return F.struct(params.alias("cvParam"), _packed(values).alias("binary"))
 
 
-def write_mzml(df: DataFrame, path: str) -> None:
-    """One ``spectrum`` element a row below a ``spectrumList``, one document a range of scan numbers, into a new folder.
+def _packed(values: str) -> Column:
+    return F.regexp_replace(F.base64(encoded(F.col(values).cast("array<double>"))), r"\s", "")
 
-    Level 1 gives its time in minutes, other levels in seconds. Peaks stay in the order they have.
-    """
+
+def _element(level: list[Column], arrays: list[Column]) -> list[Column]:
+    """The parts of a ``spectrum`` element; those of its level and its arrays are given."""
     rt, first_level = F.col("rt_seconds").cast("double"), F.col("ms_level") == 1
     time = _cv(START_TIME, "scan start time", F.when(first_level, rt / 60).otherwise(rt), F.when(first_level, "minute").otherwise("second"))
     ion = F.struct(F.array(_cv(SELECTED_MZ, "selected ion m/z", F.col("precursor_mz"))).alias("cvParam"))
     precursor = F.struct(F.struct(F.array(ion).alias("selectedIon")).alias("selectedIonList"))
-    arrays = F.array(_data("mz", MZ_ARRAY, "m/z array"), _data("intensity", INTENSITY_ARRAY, "intensity array"))
-    ordered = df.repartitionByRange("scan_id").sortWithinPartitions("scan_id")
-    elements = ordered.select(
+    return [
         F.concat(F.lit("scan="), F.col("scan_id")).alias("_id"),
-        F.array(_cv(MS_LEVEL, "ms level", F.col("ms_level"))).alias("cvParam"),
+        F.size("mz").alias("_defaultArrayLength"),
+        *level,
         F.struct(F.array(F.struct(F.array(time).alias("cvParam"))).alias("scan")).alias("scanList"),
         F.when(F.col("ms_level") > 1, F.struct(F.array(precursor).alias("precursor"))).alias("precursorList"),
-        F.struct(arrays.alias("binaryDataArray")).alias("binaryDataArrayList"),
-    )
-    elements.write.format("xml").option("rootTag", "spectrumList").option("rowTag", "spectrum").save(path)
+        F.struct(F.array(*arrays).alias("binaryDataArray")).alias("binaryDataArrayList"),
+    ]
+
+
+def write_mzml(df: DataFrame, path: str, shared: bool = False) -> None:
+    """One ``spectrum`` element a row, one document a range of scan numbers, into a new folder; arrays must be equally long.
+
+    Level 1 gives its time in minutes, other levels in seconds. Peaks stay in the order they have. With ``shared``, levels
+    and kinds of arrays stand in parameter groups of the document, whose ids mean other groups in the next document.
+    """
+    ordered = df.repartitionByRange("scan_id").sortWithinPartitions("scan_id")
+    if not shared:
+        level = F.array(_cv(MS_LEVEL, "ms level", F.col("ms_level"))).alias("cvParam")
+        elements = ordered.select(*_element([level], [_data("mz", MZ_ARRAY, "m/z array"), _data("intensity", INTENSITY_ARRAY, "intensity array")]))
+        elements.write.format("xml").option("rootTag", "spectrumList").option("rowTag", "spectrum").save(path)
+        return
+    ref = lambda number: F.array(F.struct(_group_id(number, F.spark_partition_id()).alias("_ref"))).alias("referenceableParamGroupRef")
+    grouped = F.col("ms_level").isin(1, 2)
+    level = [F.when(~grouped, F.array(_cv(MS_LEVEL, "ms level", F.col("ms_level")))).alias("cvParam"), F.when(grouped, ref(F.col("ms_level") - 1)).alias("referenceableParamGroupRef")]
+    arrays = [F.struct(ref(F.lit(n)), _packed(values).alias("binary")) for n, values in ((2, "mz"), (3, "intensity"))]
+    elements = ordered.select(F.to_xml(F.struct(*_element(level, arrays)), {"rowTag": "spectrum"}).alias("value"))
+    elements.mapInArrow(_documents, "value string").write.text(path)
+
+
+# The parameters of the groups that write_mzml makes.
+_GROUPS = (
+    ((MS_LEVEL, "ms level", "1"),),
+    ((MS_LEVEL, "ms level", "2"),),
+    ((FLOAT_64, "64-bit float", ""), (ZLIB, "zlib compression", ""), (MZ_ARRAY, "m/z array", "")),
+    ((FLOAT_64, "64-bit float", ""), (ZLIB, "zlib compression", ""), (INTENSITY_ARRAY, "intensity array", "")),
+)
+
+
+def _group_id(number: Column, document: Column) -> Column:
+    return F.concat(F.lit("group"), (number + document) % len(_GROUPS))
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements of a task between the head and the end of a document; no elements, no document."""
+    line = lambda text: pa.RecordBatch.from_arrays([pa.array([text])], names=["value"])
+    begun = False
+    for b in batches:
+        if b.num_rows and not begun:
+            begun, document = True, TaskContext.get().partitionId()
+            param = lambda p: f'<cvParam cvRef="MS" accession="{p[0]}" name="{p[1]}" value="{p[2]}"/>'
+            groups = "".join(f'<referenceableParamGroup id="group{(n + document) % len(_GROUPS)}">{"".join(map(param, g))}</referenceableParamGroup>' for n, g in enumerate(_GROUPS))
+            yield line(f'<?xml version="1.0" encoding="utf-8"?><mzML><referenceableParamGroupList count="{len(_GROUPS)}">{groups}</referenceableParamGroupList><run><spectrumList>')
+        yield b
+    if begun:
+        yield line("</spectrumList></run></mzML>")

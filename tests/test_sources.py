@@ -2,6 +2,7 @@
 
 import base64
 import struct
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql.types import StructType
 from spectraforge.operators import compare
 from spectraforge.sources import dump
 from spectraforge.sources.dump import HEADER, index_dump, read_dump, read_records, scan_headers, write_dump
-from spectraforge.sources.mzml import read_mzml
+from spectraforge.sources.mzml import read_mzml, write_mzml
 
 SPECTRA = "ordinal long, scan_id long, rt_seconds float, ms_level int, precursor_mz double, mz array<double>, intensity array<float>"
 ROWS = [(2, 7, 2.5, 2, 400.25, [100.0, 100.0, 250.5], [1.0, 0.0, -0.0]), (0, 5, 1.5, 1, 0.0, [], []), (1, 4294967295, -1.0, 1, 0.0, [0.0], [float("inf")])]
@@ -314,6 +315,99 @@ def test_mzml_arrays_of_unequal_length_fail(spark, tmp_path):
         read_mzml(spark, str(tmp_path / "a.mzML")).select(F.size("mz")).collect()
 
 
+def packed(values, kind, squeeze=False):
+    raw = np.array(values, kind).tobytes()
+    return base64.b64encode(zlib.compress(raw) if squeeze else raw).decode()
+
+
+def cv(*accessions):
+    return "".join(f'<cvParam cvRef="MS" accession="MS:{a}" name="x" value="{v}"/>' for a, v in ((x if isinstance(x, tuple) else (x, "")) for x in accessions))
+
+
+def refs(*names):
+    return "".join(f'<referenceableParamGroupRef ref="{n}"/>' for n in names)
+
+
+def data(params, binary, length=""):
+    return f"<binaryDataArray{length}>{params}<binary>{binary}</binary></binaryDataArray>"
+
+
+def document(folder, name, body, groups=None):
+    listed = "".join(f'<referenceableParamGroup id="{i}">{params}</referenceableParamGroup>' for i, params in (groups or {}).items())
+    head = f'<referenceableParamGroupList count="{len(groups)}">{listed}</referenceableParamGroupList>' if groups else ""
+    (folder / name).write_text(f'<?xml version="1.0"?>\n<mzML xmlns="http://psi.hupo.org/ms/mzml">{head}<run><spectrumList>{body}</spectrumList></run></mzML>')
+
+
+def element(scan, n, params, arrays, inner=""):
+    return f'<spectrum index="{scan}" id="scan={scan}" defaultArrayLength="{n}">{params}{inner}<binaryDataArrayList count="2">{"".join(arrays)}</binaryDataArrayList></spectrum>\n'
+
+
+def test_mzml_groups_belong_to_their_document_and_own_parameters_win(spark, tmp_path):
+    mz, intensity = packed([1.5, 2.5], "<f8"), packed([5.0, 6.0], "<f4")
+    plain = [data(refs("a"), mz), data(refs("b"), intensity)]
+    time = '<scanList><scan><cvParam accession="MS:1000016" value="2" unitName="minute"/></scan></scanList>'
+    in_group = "<scanList><scan>" + refs("t") + "</scan></scanList><precursorList><precursor><selectedIonList><selectedIon>" + refs("ion") + "</selectedIon></selectedIonList></precursor></precursorList>"
+    first = {"a": cv("1000523", "1000576", "1000514"), "b": cv("1000521", "1000576", "1000515"), "lv": cv(("1000511", 2)), "t": '<cvParam accession="MS:1000016" value="7" unitName="second"/>', "ion": cv(("1000744", 333.5)), "empty": '<userParam name="u"/>'}
+    document(tmp_path, "1.mzML", element(1, 2, refs("lv", "empty"), plain, in_group) + element(2, 2, cv(("1000511", 1)) + refs("lv"), plain, time), first)
+    # the same ids with other meanings: arrays change places, the level is 1
+    second = {"a": cv("1000521", "1000576", "1000515"), "b": cv("1000523", "1000576", "1000514"), "lv": cv(("1000511", 1))}
+    arrays = [data(refs("a"), intensity), data(refs("b"), mz)]
+    own = [data(cv("1000574") + refs("a"), packed([5.0, 6.0], "<f4", squeeze=True)), data(refs("b"), mz)]
+    document(tmp_path, "2.mzML", element(3, 2, refs("lv"), arrays) + element(4, 2, refs("lv"), own), second)
+    found = [tuple(r) for r in read_mzml(spark, str(tmp_path)).orderBy("scan_id").collect()]
+    assert found == [(1, 7.0, 2, 333.5, [1.5, 2.5], [5.0, 6.0]), (2, 120.0, 1, 0.0, [1.5, 2.5], [5.0, 6.0]), (3, 0.0, 1, 0.0, [1.5, 2.5], [5.0, 6.0]), (4, 0.0, 1, 0.0, [1.5, 2.5], [5.0, 6.0])]
+    document(tmp_path, "3.mzML", element(5, 2, refs("ion"), arrays), second)  # in the other document only
+    with pytest.raises(Exception, match="no parameter group ion"):
+        read_mzml(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize(("accession", "kind"), [("1000523", "<f8"), ("1000521", "<f4"), ("1000522", "<i8"), ("1000519", "<i4")])
+def test_mzml_every_known_kind_of_array(spark, tmp_path, accession, kind, squeeze):
+    params = cv(accession, "1000574" if squeeze else "1000576")
+    arrays = [data(params + cv("1000514"), packed([5, 6, 7], kind, squeeze)), data(params + cv("1000515"), packed([3, 2, 1], kind, squeeze))]
+    other = data(cv("1002312", "1000523", "1000516"), "!!", ' arrayLength="99"')  # a charge array, not read
+    document(tmp_path, "k.mzML", element(9, 3, cv(("1000511", 1)), [*arrays, other]) + element(10, 0, "", []))
+    assert [(r.scan_id, r.ms_level, r.mz, r.intensity) for r in read_mzml(spark, str(tmp_path)).orderBy("scan_id").collect()] == [(9, 1, [5.0, 6.0, 7.0], [3.0, 2.0, 1.0]), (10, 0, [], [])]
+
+
+@pytest.mark.parametrize(
+    ("params", "length", "message"),
+    [
+        (cv("1000523", "1002312"), 2, "not known: MS:1002312"),
+        (cv("1000523", "1000574", "1002314"), 2, "not known: MS:1002314"),
+        (cv("1000520", "1000576"), 2, "not known: MS:1000520"),
+        (cv("1000576"), 2, "exactly one known type: MS:1000576"),
+        (cv("1000523"), 2, "exactly one known compression: MS:1000523"),
+        (cv("1000523", "1000521", "1000576"), 2, "exactly one known type"),
+        (cv("1000523", "1000574", "1000576"), 2, "exactly one known compression"),
+        (cv("1000523", "1000576"), 3, "declared length differ in number: 2 and 3"),
+        (cv("1000521", "1000576"), 2, "declared length differ in number: 4 and 2"),
+    ],
+)
+def test_mzml_never_guesses(spark, tmp_path, params, length, message):
+    good = data(cv("1000523", "1000576", "1000515"), packed([1.0] * length, "<f8"))
+    document(tmp_path, "x.mzML", element(1, length, "", [data(params + cv("1000514"), packed([1.0, 2.0], "<f8")), good]))
+    with pytest.raises(Exception, match=message):
+        read_mzml(spark, str(tmp_path)).collect()
+
+
+def test_mzml_arrays_may_have_a_length_of_their_own_and_must_be_there(spark, tmp_path):
+    arrays = [data(cv("1000523", "1000576", a), packed([1.0, 2.0], "<f8"), ' arrayLength="2"') for a in ("1000514", "1000515")]
+    document(tmp_path, "x.mzML", element(1, 7, "", arrays))
+    assert read_mzml(spark, str(tmp_path)).first().mz == [1.0, 2.0]
+    document(tmp_path, "x.mzML", element(1, 2, "", arrays[:1]))
+    with pytest.raises(Exception, match="differ in number: 0 and 2"):
+        read_mzml(spark, str(tmp_path)).collect()
+
+
+def test_mzml_documents_with_groups_round_trip(spark, tmp_path):
+    rows = [(i, i, float(i), 1 + i % 4, float(i) if i % 4 else 0.0, [1.0 + k for k in range(i % 4)], [2.0] * (i % 4)) for i in range(40)]
+    write_mzml(spectra(spark, rows).repartition(3), str(tmp_path / "m"), shared=True)
+    found = [tuple(r) for r in read_mzml(spark, str(tmp_path / "m")).orderBy("scan_id").collect()]
+    assert [(r[0], r[2], r[3], r[4], r[5]) for r in found] == [(r[1], r[3], r[4] if r[3] > 1 else 0.0, r[5], r[6]) for r in rows]
+
+
 def test_header_scan_has_a_limit_and_names_unsupported_levels(spark, tmp_path):
     write_dump(spectra(spark), str(tmp_path / "d"), "ordinal")
     assert tuple(scan_headers(spark, str(tmp_path / "d"), 3).first()) == (3, 4, 2, 1)
