@@ -2,36 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from spectraforge.functions.numeric import entropy_bytes
 
 #: Sum of the scaled frequencies of a stream.
 SCALE = 4096
+#: Keys whose counters a task holds before it hands them on.
+HELD_KEYS = 1024
 
 
 def histogram(df: DataFrame, keys: list[str], symbol: str) -> DataFrame:
     return df.groupBy(*keys, F.col(symbol).cast("int").alias("symbol")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def byte_histogram(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, symbol and count of the bytes of a binary or text column; null and empty values have none.
+
+    A task counts whole batches into 256 counters a key; only counters that are not zero are shuffled, and summed.
+    """
+    slim = df.select(*keys, F.col(column).cast("binary").alias("__bytes"))
+    schema = StructType([*slim.select(*keys).schema, StructField("symbol", IntegerType()), StructField("__count", LongType())])
+    return slim.mapInArrow(_counted(keys, schema), schema).groupBy(*keys, "symbol").agg(F.sum("__count").alias("count"))
+
+
+def _counted(keys: list[str], schema: StructType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+        for b in batches:
+            values, kinds = b.column(len(keys)).drop_null(), [b.column(i).type for i in range(len(keys))]
+            kept = b.filter(b.column(len(keys)).is_valid())
+            code = np.zeros(kept.num_rows, np.int64)
+            for i in range(len(keys)):
+                encoded = kept.column(i).dictionary_encode(null_encoding="encode")
+                code = np.unique(code * len(encoded.dictionary) + encoded.indices.to_numpy(), return_inverse=True)[1]
+            lengths = np.diff(np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)) if len(values) else np.zeros(0, np.int32)
+            first = np.frombuffer(values.buffers()[1], np.int32, 1, 4 * values.offset)[0] if len(values) else 0
+            raw = np.frombuffer(values.buffers()[2] or b"", np.uint8)[first : first + lengths.sum()] if lengths.sum() else np.zeros(0, np.uint8)
+            tables = np.bincount(np.repeat(code, lengths) * 256 + raw, minlength=256 * (code.max() + 1 if len(code) else 0)).reshape(-1, 256)
+            rows = np.unique(code, return_index=True)[1]
+            for table, row in zip(tables, rows):
+                key = tuple(kept.column(i)[int(row)].as_py() for i in range(len(keys)))
+                held[key] = held[key] + table if key in held else table
+            if len(held) > HELD_KEYS:
+                yield _flat(held, kinds, schema.names)
+                held = {}
+        if held:
+            yield _flat(held, kinds, schema.names)
+
+    return run
+
+
+def _flat(held: dict[tuple, np.ndarray], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    """A row for each key and byte that occurs."""
+    tables = np.vstack(list(held.values()))
+    row, symbol = np.nonzero(tables)
+    keys = [pa.array([k[i] for k in held], kind).take(pa.array(row)) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(symbol.astype(np.int32)), pa.array(tables[row, symbol].astype(np.int64))], names=names)
+
+
 def entropy_estimate(df: DataFrame, keys: list[str], symbol: str) -> DataFrame:
     """n, entropy in bits a symbol, and the estimated bytes of the coded stream."""
-    counts = histogram(df, keys, symbol)
+    return entropy_of(histogram(df, keys, symbol), keys)
+
+
+def entropy_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`entropy_estimate` from a histogram."""
     share = F.col("count") / F.sum("count").over(Window.partitionBy(*keys))
     sums = counts.withColumn("__part", -share * F.log2(share)).groupBy(*keys).agg(F.sum("count").alias("n"), F.sum("__part").alias("entropy"))
     return sums.withColumn("coded_bytes", entropy_bytes(F.col("entropy"), F.col("n")))
 
 
 def frequency_table(df: DataFrame, keys: list[str], symbol: str) -> DataFrame:
-    """count, freq (at least 1, summing to SCALE) and start (sum of the freqs before) of each symbol.
+    """:func:`frequencies_of` a column of symbols."""
+    return frequencies_of(histogram(df, keys, symbol), keys)
+
+
+def frequencies_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """From a histogram: count, freq (at least 1, summing to SCALE) and start (sum of the freqs before) of each symbol.
 
     What is missing goes to the symbol of the largest remainder; what is too much is taken one by
     one, each time from the symbol of the smallest remainder, and among equal ones from the one
     that has most left, down to 1 each. A stream has at most 256 symbols and SCALE + 256 units.
     """
     w = Window.partitionBy(*keys)
-    f = histogram(df, keys, symbol).withColumn("__total", F.sum("count").over(w))
+    f = counts.withColumn("__total", F.sum("count").over(w))
     scaled = F.col("count") * SCALE
     f = f.withColumn("__f", F.greatest(F.lit(1), F.floor(scaled / F.col("__total"))).cast("long")).withColumn("__r", scaled % F.col("__total"))
     f = f.withColumn("__missing", SCALE - F.sum("__f").over(w))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spectraforge.functions import bits
 from spectraforge.functions import numeric as N
 from spectraforge.operators.entropy import entropy_estimate as estimate
-from spectraforge.operators.entropy import frequency_table
+from spectraforge.operators.entropy import byte_histogram, entropy_of, frequencies_of, frequency_table
 
 from .views import PREFIX, blocked, peaks, raw_peaks, table
 
@@ -97,6 +97,17 @@ def symbol_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency_table(stream, ["stream"], "symbol")
 
 
+def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy and coded size of the bytes of documents' texts, by source, and whether coding them would pay."""
+    e = entropy_of(byte_histogram(table(spark, sf_dir, "documents"), ["source"], "text"), ["source"])
+    return e.select("source", "n", F.round("entropy", 6).alias("entropy"), "coded_bytes", N.entropy_pays(F.col("coded_bytes"), F.col("n"), 12).alias("pays"))
+
+
+def byte_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled frequencies of the bytes of events' properties, by type."""
+    return frequencies_of(byte_histogram(table(spark, sf_dir, "events"), ["event_type"], "props"), ["event_type"])
+
+
 def rans_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether entropy coding of the top bytes would pay, by level."""
     p = peaks(spark, sf_dir).select("ms_level", F.shiftrightunsigned(bits.float_bits("intensity"), 24).alias("symbol"))
@@ -198,7 +209,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lossy_mz_size_per_block, lossless_f64_group_size, mz_bits_delta, mz_quantised, intensity_log_max, intensity_quantised, dequantised_intensity, intensity_top_byte, entropy_estimate,
-        symbol_frequencies, rans_gate, scan_delta, rt_bits_delta, prefix_decode, split_vs_raw_size, block_bytes, file_bytes, log_scale_halves, bit_widths, record_checksums,
+        symbol_frequencies, byte_entropy, byte_frequencies, rans_gate, scan_delta, rt_bits_delta, prefix_decode, split_vs_raw_size, block_bytes, file_bytes, log_scale_halves, bit_widths, record_checksums,
     )
 }
 
@@ -239,6 +250,16 @@ _STREAM = """
 WITH c AS (SELECT l_returnflag AS stream, CAST(l_quantity AS INTEGER) AS symbol, count(*) AS c FROM lineitem GROUP BY 1, 2),
 t AS (SELECT *, sum(c) OVER (PARTITION BY stream) AS total FROM c)"""
 
+_SCALED = """,
+f AS (SELECT stream, symbol, c AS count, greatest(1, c * 4096 // total) AS f, c * 4096 % total AS r FROM t),
+g AS (SELECT *, 4096 - sum(f) OVER (PARTITION BY stream) AS missing, row_number() OVER (PARTITION BY stream ORDER BY r DESC, count DESC, symbol) AS up FROM f),
+u AS (SELECT stream, symbol, row_number() OVER (PARTITION BY stream ORDER BY r, unit DESC, symbol) <= -missing AS gone FROM (SELECT *, unnest(range(2, CAST(f AS BIGINT) + 1)) AS unit FROM g)),
+h AS (SELECT g.stream, g.symbol, count, CAST(f - coalesce((SELECT count(*) FILTER (gone) FROM u WHERE u.stream = g.stream AND u.symbol = g.symbol), 0) + CASE WHEN missing > 0 AND up = 1 THEN missing ELSE 0 END AS BIGINT) AS freq FROM g)
+SELECT *, CAST(coalesce(sum(freq) OVER (PARTITION BY stream ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM h"""
+_BYTES = """
+WITH c AS (SELECT {stream} AS stream, CAST(('0x' || unnest(regexp_extract_all(hex({text}), '..'))) AS INTEGER) AS symbol, count(*) AS c FROM {table} GROUP BY 1, 2),
+t AS (SELECT *, sum(c) OVER (PARTITION BY stream) AS total FROM c)"""
+
 ORACLE = {
     "lossy_mz_size_per_block": _LOSSY + "SELECT ms_level, block_id, peaks, firsts, deltas, base, width, body_bytes FROM mzsize",
     "lossless_f64_group_size": PREFIX + f""", d AS (SELECT ordinal, (mz::BIT)::BIGINT - lag((mz::BIT)::BIGINT) OVER (PARTITION BY ordinal ORDER BY peak_idx) AS d FROM pk),
@@ -257,12 +278,11 @@ SELECT vec_id, pos, b >> 24 AS top_byte, b & 16777215 AS low_bytes, (b >> 24) *
 FROM (SELECT vec_id, pos, {_bits('v')} AS b FROM (SELECT vec_id, unnest(embedding) AS v, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos FROM embeddings))""",
     "entropy_estimate": _STREAM + """, e AS (SELECT stream, CAST(sum(c) AS BIGINT) AS n, -sum(c / total * log2(c / total)) AS h FROM t GROUP BY 1)
 SELECT stream, n, round(h, 6) AS entropy, CAST(528 + ceil(h * n / 8) AS BIGINT) AS coded_bytes FROM e""",
-    "symbol_frequencies": _STREAM + """,
-f AS (SELECT stream, symbol, c AS count, greatest(1, c * 4096 // total) AS f, c * 4096 % total AS r FROM t),
-g AS (SELECT *, 4096 - sum(f) OVER (PARTITION BY stream) AS missing, row_number() OVER (PARTITION BY stream ORDER BY r DESC, count DESC, symbol) AS up FROM f),
-u AS (SELECT stream, symbol, row_number() OVER (PARTITION BY stream ORDER BY r, unit DESC, symbol) <= -missing AS gone FROM (SELECT *, unnest(range(2, CAST(f AS BIGINT) + 1)) AS unit FROM g)),
-h AS (SELECT g.stream, g.symbol, count, CAST(f - coalesce((SELECT count(*) FILTER (gone) FROM u WHERE u.stream = g.stream AND u.symbol = g.symbol), 0) + CASE WHEN missing > 0 AND up = 1 THEN missing ELSE 0 END AS BIGINT) AS freq FROM g)
-SELECT *, CAST(coalesce(sum(freq) OVER (PARTITION BY stream ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM h""",
+    "symbol_frequencies": _STREAM + _SCALED,
+    "byte_frequencies": _BYTES.format(stream="event_type", text="props", table="events") + _SCALED.replace("SELECT *, CAST(coalesce", "SELECT stream AS event_type, symbol, count, freq, CAST(coalesce"),
+    "byte_entropy": _BYTES.format(stream="source", text="text", table="documents") + """, e AS (SELECT stream, CAST(sum(c) AS BIGINT) AS n, -sum(c / total * log2(c / total)) AS h FROM t GROUP BY 1),
+s AS (SELECT stream AS source, n, round(h, 6) AS entropy, CAST(528 + ceil(h * n / 8) AS BIGINT) AS coded_bytes FROM e)
+SELECT *, coded_bytes < n AND coded_bytes * 100 < n * 88 AS pays FROM s""",
     "rans_gate": PREFIX + f""",
 c AS (SELECT ms_level, {_bits('intensity')} >> 24 AS symbol, count(*) AS c FROM pk GROUP BY 1, 2), t AS (SELECT *, sum(c) OVER (PARTITION BY ms_level) AS total FROM c),
 e AS (SELECT ms_level, CAST(sum(c) AS BIGINT) AS n, CAST(528 + ceil(-sum(c / total * log2(c / total)) * sum(c) / 8) AS BIGINT) AS coded_bytes FROM t GROUP BY 1)

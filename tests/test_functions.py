@@ -11,7 +11,8 @@ from spectraforge.functions import bits, ingest
 from spectraforge.functions import numeric as N
 from spectraforge.operators import codec, compare
 from spectraforge.operators.blocks import cut_blocks, greedy_blocks
-from spectraforge.operators.entropy import frequency_table
+from spectraforge.operators import entropy
+from spectraforge.operators.entropy import byte_histogram, frequency_table
 from spectraforge.operators.ordering import nth_value, rank, running_total, upper_median
 
 
@@ -182,6 +183,29 @@ def test_frequencies_against_single_steps(spark, counts):
     assert {r.symbol: r.freq for r in frequency_table(rows, ["stream"], "s").collect()} == one_by_one(counts)
 
 
+def test_byte_histogram_equals_the_exploded_one(spark, monkeypatch):
+    monkeypatch.setattr(entropy, "HELD_KEYS", 7)
+    values = [b"", None, b"\x00\xff\xff", "wörd".encode(), bytes(range(256)) * 3]
+    rows = [(k, None if k == 5 else f"s{k % 3}", values[(k + i) % 5]) for k in range(40) for i in range(9)]
+    df = spark.createDataFrame(rows, "k int, s string, b binary").repartition(3)
+    got = {(r.k, r.s, r.symbol): r["count"] for r in byte_histogram(df, ["k", "s"], "b").collect()}
+    expected = {}
+    for k, s, b in rows:
+        for x in b or b"":
+            expected[k, s, x] = expected.get((k, s, x), 0) + 1
+    assert got == expected
+    assert {r.symbol: r["count"] for r in byte_histogram(df, [], "b").collect()} == {x: sum((b or b"").count(x) for _, _, b in rows) for x in range(256)}
+    assert byte_histogram(df.where("k < 0"), ["k"], "b").count() == 0
+    assert byte_histogram(df.where("b is null"), ["k"], "b").count() == 0
+
+
+def test_byte_histogram_shuffles_no_row_a_byte(spark):
+    df = spark.range(0, 50_000, 1, 4).select((F.col("id") % 2).alias("k"), F.repeat(F.lit("abcdefgh"), 20).alias("t"))
+    counters = entropy._counted(["k"], byte_histogram(df, ["k"], "t").schema)
+    slim = df.select("k", F.col("t").cast("binary"))
+    assert slim.mapInArrow(counters, "k long, symbol int, count long").count() == 4 * 2 * 8  # of 8,000,000 bytes
+
+
 def test_strict_quantisation(spark):
     with pytest.raises(Exception, match="a mass is not"):
         spark.range(1).select(N.quantise_mz_strict(F.lit(-1.0))).collect()
