@@ -31,6 +31,8 @@ LEAF = 32_768
 AGREE = 4
 _WINDOW = 128
 _CACHE = 400_000
+#: Parts of a text that are handed on together.
+_PARTS = 256
 
 #: Characters for which lower case and white space need no library call; all others take it.
 _PLAIN = regex.compile(r"[\x00-˿‐-‧‰-⁞€]*+")
@@ -179,12 +181,22 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF, keep: bool = Tru
         whole = e.tree(table.column("text").to_pylist(), ids)
         return pa.Table.from_batches([_rows(table.column("doc_id").combine_chunks()[:1], [whole], e, keep)])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The parts of long texts, in one pass over each and a few at a time."""
+        for b in batches:
+            for row, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                text = text.as_py()
+                starts = range(0, len(text), leaf)
+                for lo in range(0, len(starts), _PARTS):
+                    some = starts[lo : lo + _PARTS]
+                    columns = [pa.array([row] * len(some)), pa.array([doc_id] * len(some), pa.int64()), pa.array(range(lo, lo + len(some)), pa.int32()), pa.array([text[at : at + leaf] for at in some])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "part", "text"])
+
     encoded = rows.where(F.length("text") <= leaf).mapInArrow(short, _OUT)
     halves = (
         rows.where(F.length("text") > leaf)
-        .withColumn("row", F.monotonically_increasing_id())
-        .select("row", "doc_id", "text", F.posexplode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf).cast("int"))).alias("part", "n"))
-        .select("row", "doc_id", "part", F.substring("text", F.col("n") * leaf + 1, F.lit(leaf)).alias("text"))
+        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+        .mapInArrow(cut, "row long, doc_id long, part int, text string")
         .repartition("row", "part")
         .mapInArrow(leaves, "row long, doc_id long, part int, text string, ids binary")
     )

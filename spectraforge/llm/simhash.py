@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -66,9 +66,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, place: Column | None = None) -> DataFrame:
+    """doc_id and fp; with ``place``, a column of the rows, that too."""
+    text = F.col("text").cast("string").alias("text")
+    if place is None:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), place.alias("place")).alias("doc_id"), text)
+    return rows.mapInArrow(_fingerprints, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long").select("doc_id.doc_id", "doc_id.place", "fp")
 
 
 def block_plan(n: int, radius: int = RADIUS, tile: int = TILE) -> list[list[tuple[int, int]]]:
@@ -276,3 +280,11 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     named = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = materialise(classes.join(named, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_a_component(docs: DataFrame, place: Column) -> DataFrame:
+    """``place`` of one row of each component: the smallest doc_id (null last), of several with it the smallest place."""
+    prints = materialise(fingerprints(docs, place))
+    roots = components(links(materialise(prints.select("fp").distinct()))).withColumnRenamed("node", "fp")
+    rooted = prints.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), F.struct(F.col("doc_id").isNull(), "doc_id", "place").alias("row"))
+    return rooted.groupBy("root").agg(F.min("row").alias("row")).select("row.place")

@@ -2,13 +2,16 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spectraforge.llm import manifest, prefix_trie, quality, queries
+import public_tokenizers
+from spectraforge.llm import bpe, decontaminate, manifest, prefix_trie, quality, queries
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 CONVERSATION = "conv_id long, turn long, role string, text string"
@@ -223,3 +226,95 @@ def test_a_proof_shows_any_other_change(spark, sf_dir):
     assert {tuple(r) for r in rows.distinct().collect()} == {(True, False, False)}
     with pytest.raises(ValueError, match="two children"):
         manifest.manifest(docs, "lang", "doc_id", "leaf", 1)
+
+
+# decontamination
+
+
+def pairs(rng, n, vocabulary=50_000):
+    words = [b"w%d" % x for x in rng.integers(0, vocabulary, n + 9)]
+    return pa.table({"item": [str(i // 100) for i in range(n)], "key": pa.array([b" ".join(words[i : i + 10]) for i in range(n)], pa.binary())}), words
+
+
+def test_the_automaton_grows_with_the_benchmark_and_no_faster():
+    rng = np.random.default_rng(7)
+    took = {}
+    for n in (4_000, 64_000):
+        table, words = pairs(rng, n)
+        began = time.process_time()
+        automaton = decontaminate.WindowAutomaton(table)
+        built = time.process_time() - began
+        text = [b"w%d" % x for x in rng.integers(0, 50_000, 100_000)] + words[100:130]
+        began = time.process_time()
+        found = list(automaton.scan(text))
+        took[n] = built, time.process_time() - began
+        assert {(a - 100_000, z - 100_000) for a, z, _ in found} >= {(k, k + 10) for k in range(21)}
+    assert took[64_000][0] < 40 * took[4_000][0] + 1 and took[64_000][1] < 6 * took[4_000][1] + 0.5
+
+
+@pytest.mark.parametrize("block_words", [60, 10**6])
+def test_decontamination_against_brute_force(spark, block_words):
+    rng = np.random.default_rng(1)
+    draw = lambda n, v: " ".join(f"k{x}" for x in rng.integers(0, v, n))
+    items = [(f"i{i}", draw(int(rng.integers(0, 25)), 4)) for i in range(25)]
+    texts = [draw(int(n), 4) for n in rng.integers(0, 60, 40)] + [draw(30, 400) + " " + items[3][1] + " zz " + items[9][1]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCUMENT)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string"), block_words=block_words).collect()}
+    windows = [(i, w) for i, t in items for w in decontaminate.item_windows(t)]
+    for i, t in enumerate(texts):
+        words = decontaminate.words_of(t)
+        hit, named = set(), set()
+        for item, w in windows:
+            for at in range(len(words) - len(w) + 1):
+                if tuple(words[at : at + len(w)]) == w:
+                    hit.update(range(at, at + len(w)))
+                    named.add(item)
+        assert got[i] == (len(words), len(hit), sorted(named))
+    clean = decontaminate.clean_only(docs, spark.createDataFrame(items, "item_id string, text string"), block_words=block_words)
+    assert {r.doc_id for r in clean.collect()} == {i for i, (_, n, _) in got.items() if not n} and clean.columns == docs.columns
+
+
+# tokens
+
+
+def test_bpe_query_equals_the_library(spark, sf_dir):
+    tokenizer = bpe.encoder(public_tokenizers.path("word_bpe_49k.json")).tokenizer
+    got = {r.doc_id: r for r in queries.op4_bpe(spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for i, t in docs:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        text = tokenizer.decode(ids, skip_special_tokens=False)
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_bpe_of_a_text_of_millions_of_characters_and_an_empty_table(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "the tion of and " * 300_000
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, None, "en", "s", None)], DOCUMENT)
+    got = {r.doc_id: r for r in bpe.encode_decode(docs, path, keep=False).collect()}
+    once = bpe.encoder(path).tokenizer.encode("the tion of and ", add_special_tokens=False).ids
+    assert got[1].n_tokens == 300_000 * len(once) and got[1].ids_sha256 == hashlib.sha256(np.array(once * 300_000, "<u4").tobytes()).hexdigest()
+    assert got[2].n_tokens == 0 and bpe.encode_decode(docs.limit(0), path).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline_tells_rows_apart_by_place(spark, sf_dir):
+    import corpus_pipeline
+
+    near = "one two three four five six seven eight nine ten " * 30
+    rows = [(1, "a"), (1, "bb"), (2, "b b"), (3, "c"), (3, "c"), (None, "d"), (None, " d"), (None, "e"), (4, near), (4, near + "eleven"), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENT).withColumns({c: F.lit(c) for c in ("place", "fp", "keep_id", "file", "row")})
+    unique = corpus_pipeline.drop_copies(spark, docs, sf_dir)
+    assert unique.columns == docs.columns
+    got = sorted([(r.doc_id, r.text) for r in unique.collect()], key=str)
+    assert got == sorted([(1, "a"), (2, "b b"), (3, "c"), (None, " d"), (None, "e"), (4, near), (4, near + "eleven"), (5, got[[g[0] for g in got].index(5)][1])], key=str)
+    kept = corpus_pipeline.drop_near_copies(spark, unique, sf_dir).collect()
+    assert sorted([r.doc_id for r in kept if r.doc_id == 4]) == [4] and {(r.doc_id, r.text) for r in kept} <= set(got)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), sf_dir)
+        assert out.count() == 0, name
+        whole = stage(spark, docs, sf_dir)
+        assert whole.count() <= len(rows) and (name == "bpe_encoding" or whole.columns == docs.columns), name
