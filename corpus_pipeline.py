@@ -5,13 +5,14 @@ the model is less sure than ``MIN_SCORE``), exact deduplication, SimHash
 near-deduplication (the smallest doc_id of each component stays), benchmark decontamination
 (documents with a hit word go), and BPE encoding. All but the last return the columns they got.
 
-Rows with a null ``doc_id`` cannot be told apart: in the two deduplicating stages all of them stay if
-one of them stays.
+Rows are told apart by their place (file and row), not by ``doc_id``: of rows that share an id each is judged by its
+own text, and of equal or near-equal rows one stays, whatever their ids.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraforge.llm import bpe, decontaminate, exact_dedup, language_id, simhash
@@ -24,10 +25,24 @@ LANGUAGES = ("de", "en", "es", "fr")
 MIN_SCORE = 0.5
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a doc_id in ``ids``, whole and with their own columns only."""
-    stays = ids.select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["__stays"]), "left_semi")
+def _filed(docs: DataFrame) -> DataFrame:
+    """``docs`` as rows of files, so that each has a place."""
+    try:
+        docs.select(_place())
+        return docs
+    except AnalysisException:
+        return materialise(docs)
+
+
+def _place() -> Column:
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def _only(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of ``docs`` at these places, whole and with their own columns only."""
+    stays = places.select(F.col("place.file").alias("__stays_file"), F.col("place.row").alias("__stays_row"))
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return placed.join(stays, (F.col("__file") == F.col("__stays_file")) & (F.col("__row") == F.col("__stays_row")), "left_semi").select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +50,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    docs = _filed(docs)
+    return _only(docs, exact_dedup.exact_dedup(docs).select(F.col("keep_place").alias("place")).distinct())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, simhash.simhash_components(docs).where("doc_id <=> component_id"))
+    docs = _filed(docs)
+    return _only(docs, simhash.one_a_component(docs, _place()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
