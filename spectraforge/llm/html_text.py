@@ -10,9 +10,13 @@ without unions, the host's wrapper (:func:`expression` writes it out).
 The wrapper decides. Its slots are judged once, by where they stand, what they vary in and how
 much they hold: slots of the article are main text, those of menus, notices, adverts and the like
 are not. Every page is then matched with its host's wrapper, which gives each of its texts a slot;
-what is read are the texts in main slots that are not the slot's template. Of a repeated group
-the texts that all pages hold in it are template. A page that its wrapper does not match, or that
-has no text in any main slot of its host, is judged by its own wrapper.
+what is read are the texts in main slots, without the template that stands before the page's first
+or behind its last text of its own. Template between these, and headings, belong to the article. Of a
+repeated group the texts that all pages hold in it are template. A page that its wrapper does not match,
+or that has no text in any main slot of its host, is judged by its own wrapper.
+
+Judged wrappers go to the tasks once, as a broadcast of at most ``BROADCAST_BYTES``; where a corpus has more of
+them they are joined to the pages by host.
 
 A host has a wrapper for each of two layouts: pages with text in an article element, and pages
 without. Only the latter are judged by where their text varies.
@@ -51,6 +55,8 @@ from .common import materialise
 
 #: Groups of the rounds that put pages of one skeleton together, and of those that align the skeletons of a host.
 SUMS, ROUNDS = (512, 1), (64, 8, 1)
+#: Characters of all judged wrappers up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Different pages that must share a text before it counts as the host's template.
 TEMPLATE_PAGES = 3
 #: Blocks of one parent that a wrapper keeps apart; further ones fold by label, or by tag if the label is new.
@@ -64,6 +70,7 @@ MAX_DEPTH = 128
 _RAW = "script|style|noscript|template|iframe|svg|textarea|select|object|math"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt th caption figcaption legend summary".split())
 _NOT_MAIN = frozenset("head title nav footer aside form button fieldset dialog menu".split())
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
@@ -71,7 +78,7 @@ _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer for
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion banner menu menus nav navbar navigation breadcrumb breadcrumbs "
     "sidebar rail widget widgets footer masthead topbar cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login search share sharing social "
-    "comment comments replies disqus complementary contentinfo dialog".split()
+    "comment comments replies responses disqus complementary contentinfo dialog".split()
 )
 _LEADING = frozenset("ad ads advert advertisement sponsored promo cookie cookies gdpr newsletter comment comments sidebar footer nav navbar menu breadcrumb breadcrumbs widget disqus".split())
 _BESIDE = frozenset(
@@ -79,8 +86,11 @@ _BESIDE = frozenset(
     "post posts primary reader region right secondary section site slot text the thread top unit user users view wrap wrapper 0".split()
 )
 _OF_OTHERS = re.compile(r"(?:related|recommended|popular|more|read)[-_]?(?:articles|content|items|links|news|pages|posts|reading|stories)")
+_OF_READERS = re.compile(r"(?:user|reader|customer|visitor)s?[-_]?(?:reviews|opinions|posts|responses)")
+# Names of parts of an article although they hold a word of the above.
+_OF_ARTICLES = re.compile(r"(?:content|article|story|text)[-_](?:widget|block|section)s?")
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])[^>]*/>|<({_RAW})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
+    rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:svg|math)(?=[\s/])[^>]*/>|<({_RAW})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
     re.S | re.I,
 )
 _MARKED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -165,7 +175,7 @@ def parse(source: str | None) -> tuple[list[tuple[tuple[str, ...], str]], Block]
         if tag in _INLINE:
             continue
         if tag in _VOID:
-            held.append(" ")
+            held.append("" if tag == "wbr" else " ")
             continue
         flush()
         if m[2] or m[5]:
@@ -274,8 +284,10 @@ def merge(a: Block, b: Block, one_page: bool = False) -> Block:
 
 def _is_mark(name: str) -> bool:
     """Whether a name begins with a word that marks what is not main text, or is made of such words and words that may stand beside them."""
+    if _OF_ARTICLES.fullmatch(name):
+        return False
     words = [w for w in re.split(r"[\W_]+", name) if w]
-    return bool(words) and words[0] in _LEADING or bool(_OF_OTHERS.fullmatch(name)) or any(w in _MARKS for w in words) and all(w in _MARKS or w in _BESIDE for w in words)
+    return bool(words) and words[0] in _LEADING or bool(_OF_OTHERS.fullmatch(name)) or bool(_OF_READERS.fullmatch(name)) or any(w in _MARKS for w in words) and all(w in _MARKS or w in _BESIDE for w in words)
 
 
 @lru_cache(1 << 16)
@@ -283,6 +295,8 @@ def _marked_off(label: str, inside_article: bool) -> bool:
     tag, *names = re.split(r" (?:(?:class|id|role)=)?|=", label)
     if tag in _NOT_MAIN or tag == "header" and not inside_article:
         return True
+    if inside_article and "search" in names and "results" in names:
+        return False
     return tag not in ("html", "body", "article", "main") and any(map(_is_mark, names))
 
 
@@ -472,9 +486,11 @@ class Reader:
         slots = wrapper and match(page, wrapper)
         if not slots:
             return []
-        main = [(own, slot) for own, slot in slots if slot.main]
-        taken = sorted(i for own, slot in main for i, d in own.held if d not in slot.same)
-        return [texts[i][1] for i in taken]
+        main = sorted((i, d in slot.same) for own, slot in slots if slot.main for i, d in own.held)
+        own = [i for i, template in main if not template]
+        if not own:
+            return []
+        return [texts[i][1] for i, template in main if not template or own[0] < i < own[-1] or texts[i][0][-1].split(" ", 1)[0] in _HEADINGS]
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -504,13 +520,30 @@ def extract(pages: DataFrame) -> DataFrame:
             told = [_dump([w and judge(w) for w in _load(x.as_py())]) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(told, pa.string())], names=["host", "judged"])
 
+    told = materialise(found.select("host", "wrapper").mapInArrow(judged, "host string, judged string"))
+    size = told.agg(F.sum(F.length("judged"))).first()[0] or 0
+    rows = with_host(pages)
+    if size <= BROADCAST_BYTES:
+        known = pages.sparkSession.sparkContext.broadcast(dict(told.toLocalIterator()))  # bounded by the check above
+        return rows.select("page_id", "url", "html", "host").mapInArrow(_read(lambda host: known.value.get(host, _NONE)), _TEXTS)
+    # a join in which Spark splits the pages of a large host
+    return rows.join(told, "host", "left").select("page_id", "url", "html", F.coalesce("judged", F.lit(_NONE)).alias("judged")).mapInArrow(_read(lambda judged: judged), _TEXTS)
+
+
+_TEXTS = "page_id long, url string, text string, n_chars long, blocks array<string>"
+_NONE = "[null, null]"
+
+
+def _read(judged_of):
+    """Texts of pages whose last column leads to the judged wrappers of their host."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known: dict[str, Reader] = {}
             blocks = []
             for source, told in zip(b.column(2), b.column(3)):
                 if (told := told.as_py()) not in known:
-                    known[told] = Reader(told)
+                    known[told] = Reader(judged_of(told))
                 blocks.append(known[told].read(source.as_py()))
             texts = [" ".join(x) for x in blocks]
             yield pa.RecordBatch.from_arrays(
@@ -518,8 +551,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars", "blocks"],
             )
 
-    told = materialise(found.select("host", "wrapper").mapInArrow(judged, "host string, judged string"))
-    # a broadcast while the wrappers are small, else a join in which Spark splits the pages of a large host
-    return with_host(pages).join(told, "host", "left").select("page_id", "url", "html", F.coalesce("judged", F.lit("[null, null]")).alias("judged")).mapInArrow(
-        read, "page_id long, url string, text string, n_chars long, blocks array<string>"
-    )
+    return read

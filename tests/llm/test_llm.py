@@ -504,10 +504,42 @@ def test_html_template_inside_articles(spark):
     page = "<article><h1>News</h1>{}<p>Share this with your friends</p>{}</article><div>after</div>"
     lines = [page.format("".join(f"<p>line {i} {j}</p>" for j in range(i % 3 + 1)), "<div>Offer of the day</div>" * (i % 2)) for i in range(6)]
     got = extracted(spark, [(i, "http://a.org/x", p) for i, p in enumerate(lines)] + [(i, "http://b.org/x", lines[1]) for i in range(10, 14)])
-    assert all(got[i] == [f"line {i} {j}" for j in range(i % 3 + 1)] for i in range(6))
+    assert all(got[i] == ["News", *(f"line {i} {j}" for j in range(i % 3 + 1))] for i in range(6))  # a heading is the article's
     assert all(got[i] == ["News", "line 1 0", "line 1 1", "Share this with your friends", "Offer of the day"] for i in range(10, 14))
 
 
+def test_html_headings_and_inner_template_belong_to_the_article(spark):
+    page = "<article><p>Read us daily</p><h1>Title {0}</h1><p>By Ann Other</p><h2>Summary</h2><div>{0} in short</div><h2>Results</h2><table><caption>Values</caption><tr><th>Year</th><td>{0}</td></tr></table><h2>Conclusion</h2><div>so {0}</div><p>Share this page</p></article>"
+    pages = [(i, "http://a.org/x", page.format(i)) for i in range(5)]
+    expected = lambda i: [f"Title {i}", "By Ann Other", "Summary", f"{i} in short", "Results", "Values", "Year", str(i), "Conclusion", f"so {i}"]
+    got = extracted(spark, pages)
+    assert all(got[i] == expected(i) for i in range(5))
+    alone = extracted(spark, [*pages, (9, "http://a.org/x", page.format(9).replace("<h2>Summary</h2>", "").replace("<p>By Ann Other</p>", ""))])
+    assert all(alone[i] == expected(i) for i in range(5))  # whether a neighbour lacks them does not matter
+
+
+def test_html_template_among_many_kinds_of_blocks():
+    names = [a + b for a in "qwertyuiop" for b in "asdfghjklz"][:90]
+    pages = ["<article>" + "".join(f"<section id={n}>{n} {i}</section><section id={n}x>always {n}</section>" for n in names) + "</article>" for i in range(5)]
+    text, wrapper = read_page(pages[2], pages)
+    assert len(wrapper.kids[0].kids) <= html_text.MAX_BLOCKS + 2
+    assert [t for t in text if t.endswith(" 2")] == [f"{n} 2" for n in names]
+    assert set(text) >= {f"always {n}" for n in names[:-1]}
+
+
+def test_html_wrappers_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    pages = [(i, f"http://h{i % 3}.org/x", PAGE.format(i)) for i in range(12)] + [(20, None, None)]
+    plain = extracted(spark, pages)
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", 10)
+    assert extracted(spark, pages) == plain and plain[20] == []
+
+
+def test_html_comments_word_breaks_and_ambiguous_names():
+    assert read_page("<p>long<wbr>word</p><!-- no --!><p>after</p><!--> <p>x</p><!-- open <p>lost</p>")[0] == ["longword", "after", "x"]
+    page = "<article><p>a</p><div class='content-widget'><p>b</p></div><div class='search results'><p>c</p></div><div class='user-reviews'>no</div><div id=responses>no</div><div class=widget>no</div><div class=search>no</div></article>"
+    assert read_page(page)[0] == ["a", "b", "c"]
+
+
 def test_html_wrapper_not_tag_separates_text_and_template(spark):
     page = "<div><div>Hello reader</div><div>Story {0} begins</div><div>{1}</div><div>and ends {0}</div><div>Call us any time</div></div>"
     pages = [(i, "http://n.org/", page.format(i, "Sale today" if i % 2 else f"own line {i}")) for i in range(8)]
