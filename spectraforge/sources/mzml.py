@@ -80,29 +80,30 @@ class _Params:
     def has(self, accession: str) -> Column:
         return F.exists(F.concat(self.own, self.shared), lambda p: p["_accession"] == accession)
 
-    def one_of(self, known: tuple[str, ...], what: str) -> Column:
-        """The accession among these, of the own parameters if one is there; an error if there is not exactly one."""
-        own, shared = (F.array_distinct(F.filter(F.transform(p, lambda x: x["_accession"]), lambda a: a.isin(*known))) for p in (self.own, self.shared))
-        found = F.when(F.size(own) > 0, own).otherwise(shared)
-        return F.when(F.size(found) == 1, F.element_at(found, 1)).otherwise(F.raise_error(F.concat(F.lit(f"an array without exactly one known {what}: "), self.text())))
+    def accessions(self) -> tuple[Column, Column]:
+        """Those of the own parameters, and those of the groups."""
+        return tuple(F.transform(params, lambda p: F.coalesce(p["_accession"], F.lit("?"))) for params in (self.own, self.shared))
 
-    def text(self) -> Column:
-        return F.array_join(F.transform(F.concat(self.own, self.shared), lambda p: F.coalesce(p["_accession"], F.lit("?"))), ", ")
 
-    def beyond(self, known: tuple[str, ...]) -> Column:
-        """Accessions other than these, joined; empty if there are none."""
-        every = F.transform(F.concat(self.own, self.shared), lambda p: F.coalesce(p["_accession"], F.lit("?")))
-        return F.array_join(F.filter(every, lambda a: ~a.isin(*known)), ", ")
+def _one_of(own: Column, shared: Column, known: tuple[str, ...], what: str) -> Column:
+    """The accession among these, of the own ones if one is there; an error if there is not exactly one."""
+    among = lambda accessions: F.array_distinct(F.filter(accessions, lambda a: a.isin(*known)))
+    found = F.when(F.exists(own, lambda a: a.isin(*known)), among(own)).otherwise(among(shared))
+    odd = F.raise_error(F.concat(F.lit(f"an array without exactly one known {what}: "), F.array_join(F.concat(own, shared), ", ")))
+    return F.when(F.size(found) == 1, F.element_at(found, 1)).otherwise(odd)
 
 
-def _array(arrays: Column, accession: str, groups: Column, declared: Column) -> Column:
-    one = F.try_element_at(F.filter(arrays, lambda a: _Params(a, groups).has(accession)), F.lit(1))
-    params = _Params(one, groups)
-    odd = params.beyond((*TYPES, *COMPRESSIONS, accession))
-    kind = F.when(odd != "", F.raise_error(F.concat(F.lit("an array with parameters that are not known: "), odd))).otherwise(params.one_of(tuple(TYPES), "type"))
-    packed = F.unbase64(F.regexp_replace(one["binary"], r"\s", ""))
-    length = F.coalesce(one["_arrayLength"], declared)
-    return decoded(packed, F.when(one.isNotNull(), kind), F.when(one.isNotNull(), params.one_of(COMPRESSIONS, "compression")), length)
+def _with_array(rows: DataFrame, name: str, accession: str) -> DataFrame:
+    """Adds the numbers of the first array of a kind; step by step, so that nothing is looked up twice."""
+    groups, one, own, shared = F.col("groups"), F.col(f"{name}_one"), F.col(f"{name}_own"), F.col(f"{name}_shared")
+    arrays = F.col("binaryDataArrayList.binaryDataArray")
+    rows = rows.withColumn(f"{name}_one", F.try_element_at(F.filter(arrays, lambda a: _Params(a, groups).has(accession)), F.lit(1)))
+    rows = rows.withColumns(dict(zip((f"{name}_own", f"{name}_shared"), _Params(one, groups).accessions())))
+    odd = F.filter(F.concat(own, shared), lambda a: ~a.isin(*TYPES, *COMPRESSIONS, accession))
+    checked = F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("an array with parameters that are not known: "), F.array_join(odd, ", ")))).otherwise(_one_of(own, shared, tuple(TYPES), "type"))
+    kinds = {f"{name}_type": F.when(one.isNotNull(), checked), f"{name}_compression": F.when(one.isNotNull(), _one_of(own, shared, COMPRESSIONS, "compression"))}
+    packed, declared = F.unbase64(F.regexp_replace(one["binary"], r"\s", "")), F.coalesce(one["_arrayLength"], F.col("_defaultArrayLength"))
+    return rows.withColumns(kinds).withColumn(name, decoded(packed, F.col(f"{name}_type"), F.col(f"{name}_compression"), declared))
 
 
 def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
@@ -120,14 +121,13 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     level = F.coalesce(_Params(None, groups).first(MS_LEVEL)["_value"].cast("tinyint"), F.lit(0).cast("tinyint"))
     ions = F.try_element_at(F.col("precursorList.precursor"), F.lit(1))["selectedIonList"]["selectedIon"]
     selected = _Params(F.try_element_at(ions, F.lit(1)), groups).first(SELECTED_MZ)["_value"]
-    arrays, declared = F.col("binaryDataArrayList.binaryDataArray"), F.col("_defaultArrayLength")
-    flat = raw.select(
+    flat = _with_array(_with_array(raw, "m", MZ_ARRAY), "i", INTENSITY_ARRAY).select(
         ingest.scan_id(F.col("_id"), F.col("_index")).alias("scan_id"),
         ingest.rt_seconds(time["_value"].cast("double"), time["_unitName"]).cast("float").alias("rt_seconds"),
         level.alias("ms_level"),
         ingest.precursor(level, F.array(selected.cast("double"))).alias("precursor_mz"),
-        _array(arrays, MZ_ARRAY, groups, declared).alias("m"),
-        _array(arrays, INTENSITY_ARRAY, groups, declared).alias("i"),
+        "m",
+        "i",
     )
     peaks = flat.withColumn("p", ingest.sorted_peaks(F.col("m"), F.col("i")))
     return peaks.select("scan_id", "rt_seconds", "ms_level", "precursor_mz", F.col("p.mz").alias("mz"), F.col("p.intensity").cast("array<float>").alias("intensity"))
