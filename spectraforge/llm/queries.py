@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, exact_dedup, html_text, language_id, licenses, manifest, prefix_trie, quality, simhash, substring_dedup, token_counts, toxicity
+from .common import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,17 +60,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-#: Edits of op10: mail addresses and IPv4 addresses become placeholders.
-PERSONAL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
+#: Edits of op10: mail addresses and IPv4 addresses become placeholders. A name is tried at its first place only (or where the
+#: last match ended), which finds the same matches in time linear in the text.
+PERSONAL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens before and after personal data is replaced, the latter by updating the trees."""
+    """Tokens before and after personal data is replaced: the trees are written once, the edits update them."""
     import public_tokenizers
 
     path, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    docs = _table(spark, sf_dir, "documents").withColumn("edits", token_counts.edits_at("text", PERSONAL, "[removed]"))
-    edited = token_counts.count_edited(docs, path, pattern)
+    trees = materialise(token_counts.count(_table(spark, sf_dir, "documents"), path, pattern))
+    edited = token_counts.recount(trees.withColumn("edits", token_counts.edits_at("text", PERSONAL, "[removed]")), path, pattern)
     return edited.select("doc_id", "n_tokens", "n_leaves", "n_edits", "n_tokens_after", "n_chars_encoded", F.sha2("new_text", 256).alias("new_text_sha256"))
 
 

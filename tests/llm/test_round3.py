@@ -8,10 +8,13 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from spectraforge.llm import bpe, decontaminate, manifest, prefix_trie, quality, queries
+from spectraforge.llm import bpe, decontaminate, manifest, prefix_trie, quality, queries, token_counts
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 CONVERSATION = "conv_id long, turn long, role string, text string"
@@ -318,3 +321,75 @@ def test_pipeline_tells_rows_apart_by_place(spark, sf_dir):
         assert out.count() == 0, name
         whole = stage(spark, docs, sf_dir)
         assert whole.count() <= len(rows) and (name == "bpe_encoding" or whole.columns == docs.columns), name
+
+
+# token counts
+
+
+@pytest.fixture(scope="module")
+def tokens():
+    return token_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+LONG = {
+    "a list of lines": "word\n" * 60_000,
+    "a list with commas": ",".join(["word"] * 60_000),
+    "digits": "".join(np.random.default_rng(1).choice(list("0123456789"), 300_000)),
+    "one letter": "a" * 300_000,
+    "letters": "".join(np.random.default_rng(2).choice(list("abcdefghij"), 300_000)),
+    "white space": " " * 300_000,
+    "kinds in turn": "a1-" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_a_small_edit_of_a_long_text_without_spaces_encodes_little(tokens, name):
+    text = LONG[name]
+    tree = token_counts.Tree.build(text, tokens)
+    assert tree.total == tokens.count(text) and max(n for n, _ in tree.leaves) <= 2 * token_counts.LEAF
+    new = tree.edit(text, [(150_001, 150_003, "xyz")], tokens)
+    assert tree.total == tokens.count(new) and tree.work < 3 * 2 * token_counts.LEAF + 10
+
+
+def test_regions_that_must_grow_far_are_encoded_a_few_times_only(tokens):
+    text = "-" * 100_000
+    tree = token_counts.Tree.build(text, tokens)
+    new = tree.edit(text, [(i, i + 1, "x") for i in range(50_001, 60_000, 100)], tokens)
+    assert tree.total == tokens.count(new) and tree.work < 4 * len(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data(), st.sampled_from(["ab 's", "a1-'\n", "- ", "\n\t x", "12", "漢字ゴ a", "'re l!"]), st.integers(1, 40))
+def test_leaves_of_any_text_add_up(tokens, data, alphabet, leaf):
+    text = data.draw(st.text(alphabet=alphabet, max_size=200))
+    leaves = tokens.cut(text, leaf)
+    assert sum(x.chars for x in leaves) == len(text) and sum(x.tokens for x in leaves) == tokens.count(text)
+
+
+def test_kinds_of_characters_are_those_of_the_library(tokens):
+    newer = "࢏౜\U00011de0"  # letters and digits in later versions of Unicode than the library's
+    for text in (newer * 400, "-" + newer + "-" * 30, "a" + newer + "1"):
+        assert sum(x.tokens for x in tokens.cut(text, 8)) == tokens.count(text)
+
+
+def test_places_of_personal_data_are_found_in_linear_time():
+    plain = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("a1.@- _é"), rng.integers(0, 40)))
+        assert [m.span() for m in regex.finditer(queries.PERSONAL, text)] == [m.span() for m in regex.finditer(plain, text)], text
+    begun = time.perf_counter()
+    assert regex.findall(queries.PERSONAL, "a" * 1_000_000) == [] and time.perf_counter() - begun < 10
+
+
+def test_token_trees_are_kept_between_count_and_recount(spark, tmp_path):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = spark.createDataFrame([(1, "word " * 9000, 7), (2, None, 7), (None, "a b", 7), (1, "12" * 4000, 7)], "doc_id long, text string, leaf_chars int")
+    token_counts.count(docs, path, pattern).write.parquet(str(tmp_path / "trees"))
+    trees = spark.read.parquet(str(tmp_path / "trees")).withColumn("edits", F.expr("array(named_struct('start', 40, 'stop', 42, 'put', 'x@y'))").cast(token_counts.EDITS))
+    c = token_counts.counter(path, pattern)
+    rows = token_counts.recount(trees, path, pattern).collect()
+    assert sorted(len(r.new_text) for r in rows) == [3, 6, 8001, 45_001]
+    assert all(r.n_tokens_after == c.count(r.new_text) and r.n_chars_encoded <= 3 * 2 * token_counts.LEAF for r in rows)
+    none = spark.createDataFrame([], f"doc_id long, text string, edits {token_counts.EDITS}")
+    assert token_counts.count_edited(none, path, pattern).count() == 0
