@@ -3,8 +3,8 @@
 A text is cut into sentences twice: at sentence ends and line breaks, and at sentence ends only
 (licence texts are often wrapped). Lines without a letter or digit (blank ones, comment frames)
 and copyright statements end a sentence in both. Normalised sentences (a-z, 0-9 and single spaces) that are
-known become identifiers, as do those that a pattern with the holder's name matches; all others
-drop out. A rule is a sequence of identifiers; it matches
+known become identifiers, as do those that a pattern matches (a holder's name, the subject of a grant); all others
+drop out. A plus sign behind a version number is read as "or later". A rule is a sequence of identifiers; it matches
 where these stand in a row in one of the two sequences. The first matching rule names the licence.
 
 Defined results
@@ -15,6 +15,9 @@ Defined results
 from __future__ import annotations
 
 import re
+from functools import reduce
+from itertools import permutations
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,11 +90,39 @@ SENTENCES = {
     "cc-by-sa-line": "licensed under cc by sa 4 0",
     "cc0-line": "this work is dedicated to the public domain",
     "reserved": "all rights reserved",
+    "apache-title": "apache license",
+    "apache-version": "version 2 0 january 2004",
+    "gpl-title": "gnu general public license",
+    "lgpl-title": "gnu lesser general public license",
+    "agpl-title": "gnu affero general public license",
+    "gpl2-version": "version 2 june 1991",
+    "lgpl2.1-version": "version 2 1 february 1999",
+    "gpl3-version": "version 3 29 june 2007",
+    "agpl3-version": "version 3 19 november 2007",
+    "mpl2-title": "mozilla public license version 2 0",
 }
 
-# Sentences with a holder's name, normalised; the first words of each keep other sentences from the pattern.
+# What grants call the licences, normalised.
+CALLED = {
+    "MIT": "the mit license",
+    "Apache-2.0": "the apache (software )?license (version )?(v )?2 0",
+    "GPL-3.0-only": "the gnu general public license (version |v)3",
+    "GPL-2.0-only": "the gnu general public license (version |v)2",
+    "MPL-2.0": "the mozilla public license (version |v )2 0",
+    "BSD-3-Clause": "the (bsd 3 clause|3 clause bsd) license",
+    "BSD-2-Clause": "the (bsd 2 clause|2 clause bsd) license",
+    "ISC": "the isc license",
+    "CC-BY-4.0": "a creative commons attribution 4 0 international license",
+    "CC-BY-SA-4.0": "a creative commons attribution share ?alike 4 0 international license",
+    "CC-BY-NC-4.0": "a creative commons attribution non ?commercial 4 0 international license",
+}
+
+# Sentences with a holder's name or the subject of a grant, normalised; the words before each keep other sentences from the pattern.
 PATTERNS = {
     "bsd-no-name": ("neither the name", r"^neither the names? of [a-z0-9 ]{1,300} nor the names of [a-z0-9 ]{1,100} may be used to endorse or promote products derived from this software without specific prior written permission$"),
+} | {
+    f"grant-{name}": ("ed under", rf"^((this|the) (file|code|library|package|program|project|repository|software|source code|work) is )?(licensed|released|distributed) under (the terms of )?{called}( see (the )?license( file)? for details)?$")
+    for name, called in CALLED.items()
 }
 
 # Rules in order of precedence; longer sequences of a licence stand before shorter ones.
@@ -151,52 +182,94 @@ RULES = (
     ("CC0-1.0", ("cc0-line",)),
     ("proprietary", ("reserved",)),
 )
+# The titles of whole texts, and grants in one sentence, stand behind the rules above.
+RULES = (
+    *RULES[:-1],
+    ("Apache-2.0", ("apache-title", "apache-version")),
+    ("GPL-2.0-only", ("gpl-title", "gpl2-version")),
+    ("GPL-3.0-only", ("gpl-title", "gpl3-version")),
+    ("LGPL-2.1-only", ("lgpl-title", "lgpl2.1-version")),
+    ("LGPL-3.0-only", ("lgpl-title", "gpl3-version")),
+    ("AGPL-3.0-only", ("agpl-title", "agpl3-version")),
+    ("MPL-2.0", ("mpl2-title",)),
+    *((name, (f"grant-{name}",)) for name in CALLED),
+    RULES[-1],
+)
 
 # A tag names one of the licences above: the tag's words are a sentence, the licence's name behind the colon is the next.
 _NAMES = [name for name in dict.fromkeys(name for name, _ in RULES) if name != "proprietary"]
 SENTENCES |= {f"spdx-{name}": re.sub(r"[^a-z0-9]+", " ", name.lower()) for name in _NAMES}
-RULES = (*((name, ("spdx", f"spdx-{name}")) for name in _NAMES), *RULES)
+# Names without "only" are older ones of the same licences; two licences joined by a word are one sentence that names both.
+_OLD = [name for name in _NAMES if name.endswith("-only")]
+SENTENCES |= {f"spdx-old-{name}": SENTENCES[f"spdx-{name}"].removesuffix(" only") for name in _OLD}
+_DUAL = [(a, word, b) for a, b in permutations(("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later", "BSD-3-Clause"), 2) for word in ("or", "and")]
+SENTENCES |= {f"spdx-{a}-{word}-{b}": f"{SENTENCES[f'spdx-{a}']} {word} {SENTENCES[f'spdx-{b}']}" for a, word, b in _DUAL}
+RULES = (
+    *((name, ("spdx", f"spdx-{name}")) for name in _NAMES),
+    *((name, ("spdx", f"spdx-old-{name}")) for name in _OLD),
+    *((name, ("spdx", f"spdx-{a}-{word}-{b}")) for a, word, b in _DUAL for name in (a, b)),
+    *RULES,
+)
+
+
+def _cover() -> list[str]:
+    """Few words of which every known sentence holds one: a text without any of them has no known sentence."""
+    left = {*SENTENCES.values(), *(guard for guard, _ in PATTERNS.values())}
+    words: list[str] = []
+    while left:
+        # long words before short ones of the same reach: they are rarer
+        at = {w: sum(w in s for s in left) for s in left for w in s.split() if len(w) > 5 or len(max(s.split(), key=len)) == len(w)}
+        words.append(max(sorted(at), key=lambda w: (at[w], len(w))))
+        left = {s for s in left if words[-1] not in s}
+    return words
+
+
+COVER = _cover()
 
 _END = "\x01"
 #: What ends a sentence: its marks before white space, a copyright statement, a line without a letter or digit.
 ENDS = r"[.!?;:]+([ \t\n\r]|$)|copyright (\(c\)|©|[0-9])[^\n.!?;:]*|\n[^a-z0-9\n]*\n"
 
 
-def _ended(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), ENDS, _END)
+def _folded(lowered: Column) -> Column:
+    """Lower-cased text with ends of sentences marked; everything but letters, digits, marks and line breaks is a space."""
+    later = F.regexp_replace(lowered, r"([0-9])\+", "$1 or later")
+    return F.regexp_replace(F.regexp_replace(later, ENDS, _END), r"[^a-z0-9\x01\n]+", " ")
 
 
-def identifiers(text: Column, lines: bool) -> Column:
-    """Known sentence identifiers in order; with ``lines`` a line break ends a sentence too."""
-    keep, cut = (r"[^a-z0-9\x01\n]+", r"[\x01\n]") if lines else (r"[^a-z0-9\x01]+", r"\x01")
-    sentences = F.split(F.regexp_replace(_ended(text), keep, " "), cut)
+def _identifiers(sentences: Column) -> Column:
+    """Known sentence identifiers in order."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
 
     def identifier(sentence: Column) -> Column:
-        named = [F.when(F.startswith(sentence, F.lit(start)) & F.rlike(sentence, F.lit(pattern)), F.lit(i)) for i, (start, pattern) in PATTERNS.items()]
+        named = [F.when(F.contains(sentence, F.lit(guard)) & F.rlike(sentence, F.lit(pattern)), F.lit(i)) for i, (guard, pattern) in PATTERNS.items()]
         return F.coalesce(F.try_element_at(known, sentence), *named)
 
     return F.filter(F.transform(F.transform(sentences, lambda s: F.trim(s)), identifier), lambda i: i.isNotNull())
 
 
-def _has(sequence: Column, rule: tuple[str, ...]) -> Column:
-    return F.contains(sequence, F.lit("," + ",".join(rule) + ","))
-
-
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, licence (first matching rule), licences (all, in rule order), sentence_ids, n_sentences."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identifiers(text, True).alias("by_line"), identifiers(text, False).alias("by_end"))
+    """doc_id, licence (first matching rule), licences (all, in rule order), sentence_ids, n_sentences.
+
+    A text without a word of ``COVER`` has no known sentence and is not folded; rules are tested where there are identifiers, each once.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("lowered"))
+    known = reduce(or_, [F.contains("lowered", F.lit(w)) for w in COVER])
+    rows = rows.select("doc_id", F.when(known, _folded(F.col("lowered"))).otherwise("").alias("folded"))
+    by_end = F.regexp_replace("folded", r"[^a-z0-9\x01]+", " ")
+    rows = rows.select("doc_id", _identifiers(F.split("folded", r"[\x01\n]")).alias("by_line"), _identifiers(F.split(by_end, r"\x01")).alias("by_end"))
     rows = rows.select(
         "doc_id",
         F.when(F.size("by_end") > F.size("by_line"), F.col("by_end")).otherwise(F.col("by_line")).alias("ids"),
-        *[F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")).alias(f"{c}_text") for c in ("by_line", "by_end")],
+        F.concat(F.lit(","), F.array_join("by_line", ","), F.lit(",|,"), F.array_join("by_end", ","), F.lit(",")).alias("sequences"),
     )
-    found = [F.when(_has(F.col("by_line_text"), rule) | _has(F.col("by_end_text"), rule), F.lit(name)) for name, rule in RULES]
+    found = [F.when(F.contains("sequences", F.lit("," + ",".join(rule) + ",")), F.lit(name)) for name, rule in RULES]
+    matched = F.when(F.size("ids") > 0, F.array_distinct(F.array_compact(F.array(*found)))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("doc_id", "ids", matched.alias("matched"))
     return rows.select(
         "doc_id",
-        F.coalesce(*found, F.lit("none")).alias("licence"),
-        F.array_join(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())), ",").alias("licences"),
+        F.coalesce(F.get("matched", F.lit(0)), F.lit("none")).alias("licence"),
+        F.array_join("matched", ",").alias("licences"),
         F.array_join("ids", ",").alias("sentence_ids"),
         F.size("ids").cast("long").alias("n_sentences"),
     )

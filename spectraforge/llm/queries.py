@@ -113,21 +113,20 @@ FROM n"""
 
 def _op3_sql() -> str:
     ids = " ".join(f"WHEN '{s}' THEN '{i}'" for i, s in licenses.SENTENCES.items())
+    patterns = " ".join(f"WHEN contains(x, '{guard}') AND regexp_matches(x, '{pattern}') THEN '{i}'" for i, (guard, pattern) in licenses.PATTERNS.items())
     has = lambda rule: f"(contains(a, ',{','.join(rule)},') OR contains(b, ',{','.join(rule)},'))"
-    first = " ".join(f"WHEN {has(rule)} THEN '{name}'" for name, rule in licenses.RULES)
     every = ", ".join(f"CASE WHEN {has(rule)} THEN '{name}' END" for name, rule in licenses.RULES)
-    names = list(dict.fromkeys(name for name, _ in licenses.RULES))
-    kept = ", ".join(f"CASE WHEN list_contains(found, '{n}') THEN '{n}' END" for n in names)
-    sequence = lambda s, cut: f"list_filter(list_transform(string_split_regex({s}, '{cut}'), lambda x: CASE trim(x) {ids} END), lambda x: x IS NOT NULL)"
+    trimmed = lambda s, cut: f"list_transform(string_split_regex({s}, '{cut}'), lambda x: trim(x))"
+    sequence = lambda s, cut: f"list_filter(list_transform({trimmed(s, cut)}, lambda x: CASE x {ids} ELSE CASE {patterns} END END), lambda x: x IS NOT NULL)"
     return rf"""
-WITH t AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '{licenses.ENDS}', chr(1), 'g') AS s FROM documents),
+WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '([0-9])\+', '\1 or later', 'g'), '{licenses.ENDS}', chr(1), 'g') AS s FROM documents),
 n AS (SELECT doc_id, regexp_replace(s, '[^a-z0-9\x01\n]+', ' ', 'g') AS by_line, regexp_replace(s, '[^a-z0-9\x01]+', ' ', 'g') AS by_end FROM t),
 i AS (SELECT doc_id, {sequence('by_line', r'[\x01\n]')} AS x, {sequence('by_end', r'\x01')} AS y FROM n),
 j AS (SELECT doc_id, CASE WHEN len(y) > len(x) THEN y ELSE x END AS ids,
              ',' || coalesce(array_to_string(x, ','), '') || ',' AS a, ',' || coalesce(array_to_string(y, ','), '') || ',' AS b FROM i),
-k AS (SELECT *, [{every}] AS found FROM j)
-SELECT doc_id, CASE {first} ELSE 'none' END AS licence,
-       coalesce(array_to_string(list_filter([{kept}], lambda x: x IS NOT NULL), ','), '') AS licences,
+k AS (SELECT doc_id, ids, list_filter([{every}], lambda x: x IS NOT NULL) AS found FROM j)
+SELECT doc_id, coalesce(found[1], 'none') AS licence,
+       coalesce(array_to_string(list_filter(found, lambda x, p: list_position(found, x) = p), ','), '') AS licences,
        coalesce(array_to_string(ids, ','), '') AS sentence_ids, CAST(len(ids) AS BIGINT) AS n_sentences
 FROM k"""
 

@@ -5,6 +5,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from spectraforge.llm import bpe, decontaminate, manifest, prefix_trie, quality, queries, token_counts
+from spectraforge.llm import bpe, decontaminate, licenses, manifest, prefix_trie, quality, queries, token_counts
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 CONVERSATION = "conv_id long, turn long, role string, text string"
@@ -393,3 +394,46 @@ def test_token_trees_are_kept_between_count_and_recount(spark, tmp_path):
     assert all(r.n_tokens_after == c.count(r.new_text) and r.n_chars_encoded <= 3 * 2 * token_counts.LEAF for r in rows)
     none = spark.createDataFrame([], f"doc_id long, text string, edits {token_counts.EDITS}")
     assert token_counts.count_edited(none, path, pattern).count() == 0
+
+
+# licences
+
+
+LICENCES = {
+    "SPDX-License-Identifier: MIT OR Apache-2.0": ("MIT", "MIT,Apache-2.0"),
+    "// SPDX-License-Identifier: (GPL-2.0+ OR MIT)\nint x;": ("GPL-2.0-or-later", "GPL-2.0-or-later,MIT"),
+    "SPDX-License-Identifier: GPL-2.0+": ("GPL-2.0-or-later", "GPL-2.0-or-later"),
+    "SPDX-License-Identifier: LGPL-2.1+\n": ("LGPL-2.1-or-later", "LGPL-2.1-or-later"),
+    "SPDX-License-Identifier: GPL-2.0": ("GPL-2.0-only", "GPL-2.0-only"),
+    "This file is licensed under the MIT license.": ("MIT", "MIT"),
+    "Intro.\n\nThe software is released under the terms of the Apache License, Version 2.0. Enjoy": ("Apache-2.0", "Apache-2.0"),
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License.": ("CC-BY-SA-4.0", "CC-BY-SA-4.0"),
+    "licensed under a Creative Commons Attribution 4.0 International License": ("CC-BY-4.0", "CC-BY-4.0"),
+    "This program is distributed under the GNU General Public License v2.": ("GPL-2.0-only", "GPL-2.0-only"),
+    "                    GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991": ("LGPL-2.1-only", "LGPL-2.1-only"),
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007": ("GPL-3.0-only", "GPL-3.0-only"),
+    "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n": ("AGPL-3.0-only", "AGPL-3.0-only"),
+    "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n": ("Apache-2.0", "Apache-2.0"),
+    "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions": ("MPL-2.0", "MPL-2.0"),
+    "We looked at the MIT license and the GPL-2.0+ terms.": ("none", ""),
+    "Version 2, June 1991": ("none", ""),
+    "": ("none", ""),
+}
+
+
+def test_licence_expressions_titles_and_grants_equal_sql(spark):
+    texts = [*LICENCES, None, "x " * 200_000 + ". Released under the ISC license. Released under the MIT license.", *LICENCES]
+    docs = spark.createDataFrame([(i if i % 7 else None, t, 3) for i, t in enumerate(texts)], "doc_id long, text string, licence int")
+    rows = licenses.scan(docs).collect()
+    assert [(r.licence, r.licences) for r in rows] == [*LICENCES.values(), ("none", ""), ("MIT", "MIT,ISC"), *LICENCES.values()]
+    with duckdb.connect() as db:
+        db.register("documents", docs.toPandas()[["doc_id", "text"]])
+        found = db.sql(queries.oracle_sql()["op3_license_scan"]).fetchall()
+    assert sorted(str(f[1:]) for f in found) == sorted(str(tuple(r)[1:]) for r in rows)
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_every_known_sentence_holds_a_word_of_the_cover():
+    known = [*licenses.SENTENCES.values(), *(guard for guard, _ in licenses.PATTERNS.values())]
+    assert all(any(w in s for w in licenses.COVER) for s in known) and len(licenses.COVER) < 30
+    assert len(set(licenses.SENTENCES.values())) == len(licenses.SENTENCES)
