@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 from spectraforge.llm import bpe, decontaminate, licenses, manifest, prefix_trie, quality, queries, token_counts
 
@@ -306,8 +307,6 @@ def test_bpe_of_a_text_of_millions_of_characters_and_an_empty_table(spark):
 
 
 def test_pipeline_tells_rows_apart_by_place(spark, sf_dir):
-    import corpus_pipeline
-
     near = "one two three four five six seven eight nine ten " * 30
     rows = [(1, "a"), (1, "bb"), (2, "b b"), (3, "c"), (3, "c"), (None, "d"), (None, " d"), (None, "e"), (4, near), (4, near + "eleven"), (5, None), (5, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENT).withColumns({c: F.lit(c) for c in ("place", "fp", "keep_id", "file", "row")})
@@ -437,3 +436,29 @@ def test_every_known_sentence_holds_a_word_of_the_cover():
     known = [*licenses.SENTENCES.values(), *(guard for guard, _ in licenses.PATTERNS.values())]
     assert all(any(w in s for w in licenses.COVER) for s in known) and len(licenses.COVER) < 30
     assert len(set(licenses.SENTENCES.values())) == len(licenses.SENTENCES)
+
+
+# stages of the pipeline
+
+
+ENGLISH = "The committee will meet again on Thursday to discuss the results of the survey and to decide how the money is spent. "
+LONG_ENGLISH = "Our neighbours have planted apple trees behind the old house and they hope for a good harvest in autumn. " * 3000
+
+
+@pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
+def test_stages_take_odd_and_empty_tables(spark, sf_dir, stage):
+    """Nulls in every column, an empty and a very long text, repeated rows and ids, clashing names of further columns."""
+    name, run = corpus_pipeline.STAGES[stage]
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    extra = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(None, None, None, None, None), (10**9, "", "en", "s", 0), (10**9, ENGLISH, "en", "s", 9), (10**9, ENGLISH, "en", "s", 9), (10**9, ENGLISH + "A different end.", None, "s", 9), (10**9 + 1, LONG_ENGLISH, "en", None, None)]
+    docs = given.unionByName(spark.createDataFrame(odd, extra)).withColumns({c: F.lit(7) for c in ("place", "kept", "file", "row", "fingerprint", "words", "lang_pred", "n_hit", "ids")})
+    out = run(spark, docs, sf_dir)
+    rows = out.collect()
+    if name == "bpe_encoding":
+        assert len(rows) == docs.count() and sum(r.doc_id == 10**9 for r in rows) == 4
+    else:
+        assert out.columns == docs.columns
+        kept = [r.text for r in rows if r.doc_id in (10**9, 10**9 + 1)]
+        assert LONG_ENGLISH in kept and kept.count(ENGLISH) == (1 if "dedup" in name else 2)
+    assert run(spark, docs.limit(0), sf_dir).count() == 0
