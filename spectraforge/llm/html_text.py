@@ -22,13 +22,15 @@ A host has a wrapper for each of two layouts: pages with text in an article elem
 without. Only the latter are judged by where their text varies.
 
 Pages of one skeleton (labels, groups and slots without texts) are put together first: that is a
-sum, whatever the order. The skeletons of a host are then aligned in rounds of groups, in sorted
-order, so the result does not depend on how the pages were dealt to tasks, and no group gathers
-the pages of a host.
+sum, whatever the order. The skeletons of a host are then aligned in rounds of groups of about
+``GROUP`` skeletons, as many rounds as the host needs, in sorted order, so the result does not
+depend on how the pages were dealt to tasks, and no group gathers the pages or skeletons of a host.
 
 A wrapper is bounded whatever the pages hold: nesting below ``MAX_DEPTH`` belongs to the block at
 that depth, and of the blocks of one parent ``MAX_BLOCKS`` are kept apart, all others go to the
-block of their label or else to a general one of their tag.
+block of their label or else to a general one of their tag. A wrapper of more than ``MAX_WRAPPER``
+blocks (each page has names of its own) shows nothing in common: that host has none, and its pages
+are judged by themselves.
 
 Defined results
     Null html: empty text. Null url: pages without a host share a wrapper. Null ``page_id``: a
@@ -53,8 +55,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Groups of the rounds that put pages of one skeleton together, and of those that align the skeletons of a host.
-SUMS, ROUNDS = (512, 1), (64, 8, 1)
+#: Groups of the rounds that put pages of one skeleton together.
+SUMS = (512, 1)
+#: Skeletons of a host that one group aligns, on average at most.
+GROUP = 128
 #: Characters of all judged wrappers up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Different pages that must share a text before it counts as the host's template.
@@ -63,6 +67,8 @@ TEMPLATE_PAGES = 3
 MAX_BLOCKS = 64
 #: Characters of a label; a digest with what it marks stands for a longer one.
 MAX_LABEL = 200
+#: Blocks of a wrapper, all levels together.
+MAX_WRAPPER = 8192
 #: Nesting that is kept apart; below it only what is marked as no main text gets a block of its own.
 MAX_DEPTH = 128
 
@@ -413,8 +419,28 @@ def match(page: Block, wrapper: Block) -> Iterator[tuple[Block, Block]] | None:
 Layouts = list[Block | None]
 
 
+#: Label of the wrapper that stands for one of too many blocks; it accepts no page with text.
+_BEYOND = "beyond"
+
+
+def n_blocks(block: Block) -> int:
+    found, stack = 0, [block]
+    while stack:
+        found += 1
+        stack += stack.pop().kids
+    return found
+
+
+def _bounded(wrapper: Block | None) -> Block | None:
+    return Block(_BEYOND) if wrapper and n_blocks(wrapper) > MAX_WRAPPER else wrapper
+
+
 def _joined(a: Layouts, b: Layouts) -> Layouts:
-    return [merge(x, y) if x and y else x or y for x, y in zip(a, b)]
+    return [_joined_layout(x, y) if x and y else x or y for x, y in zip(a, b)]
+
+
+def _joined_layout(a: Block, b: Block) -> Block:
+    return Block(_BEYOND) if _BEYOND in (a.label, b.label) else _bounded(merge(a, b))
 
 
 def _dump(layouts: Layouts) -> str:
@@ -445,7 +471,7 @@ def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found: dict[tuple[str, str], Layouts] = {}
         for host, source in zip(b.column(0).to_pylist(), b.column(1)):
-            layouts = page_layouts(parse(source.as_py())[1])
+            layouts = [_bounded(w) for w in page_layouts(parse(source.as_py())[1])]
             key = host, skeleton(layouts)
             found[key] = _joined(found[key], layouts) if key in found else layouts
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], pa.string()) for i in (0, 1)] + [pa.array(map(_dump, found.values()), pa.string())], names=["host", "skeleton", "wrapper"])
@@ -506,14 +532,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
     found = with_host(pages).select("host", "html").mapInArrow(_wrappers, _WRAPPERS)
     for groups in SUMS:
         found = found.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(groups))).groupBy("host", "skeleton", "salt").applyInArrow(_merge_wrappers, _WRAPPERS)
-    for groups in ROUNDS:
-        found = found.withColumn("salt", F.pmod(F.xxhash64("skeleton"), F.lit(groups))).groupBy("host", "salt").applyInArrow(_align_wrappers, _WRAPPERS)
-    return found
+    while True:
+        found = materialise(found)
+        sizes = found.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= 1:
+            return found
+        # few hosts have more skeletons than one group takes; each round leaves a host one row a group
+        large = sizes.where(F.col("n") > GROUP).select(F.col("host").alias("h"), F.ceil(F.col("n") / GROUP).alias("groups"))
+        salt = F.pmod(F.xxhash64("skeleton"), F.coalesce("groups", F.lit(1)))
+        found = found.join(large, F.col("host") == F.col("h"), "left").select("host", "skeleton", "wrapper", salt.alias("salt")).groupBy("host", "salt").applyInArrow(_align_wrappers, _WRAPPERS)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and the blocks of main text of every page."""
-    found = materialise(wrappers(pages))
+    found = wrappers(pages)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

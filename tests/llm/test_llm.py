@@ -527,6 +527,34 @@ def test_html_template_among_many_kinds_of_blocks():
     assert set(text) >= {f"always {n}" for n in names[:-1]}
 
 
+def test_html_skeletons_of_a_host_are_aligned_in_as_many_rounds_as_it_needs(spark, monkeypatch):
+    page = "<article><h1>Title {0}</h1>{1}<div>own {0}</div><p>Share this page</p></article>"
+    inner = lambda i: "".join(f"<section id={'qwerty'[j]}>part {i} {j}</section>" for j in range(6) if i >> j & 1)
+    pages = [(i, "http://big.org/x", page.format(i, inner(i))) for i in range(64)] + [(100 + i, f"http://h{i % 3}.org/x", page.format(i, "")) for i in range(12)]
+    expected = {i: [f"Title {i}", *(f"part {i} {j}" for j in range(6) if i >> j & 1), f"own {i}"] for i in range(64)} | {100 + i: [f"Title {i}", f"own {i}"] for i in range(12)}
+    assert extracted(spark, pages) == expected
+    monkeypatch.setattr(html_text, "GROUP", 3)
+    taken, write = [], html_text.materialise
+    monkeypatch.setattr(html_text, "materialise", lambda df: taken.append(write(df)) or taken[-1])
+    assert extracted(spark, pages) == expected
+    rows = [t.where("host = 'big.org'").count() for t in taken if "wrapper" in t.columns]
+    assert rows[0] == 64 and rows[-1] == 1 and len(rows) >= 4 and rows == sorted(rows, reverse=True)
+
+
+def test_html_pages_whose_names_are_all_their_own_have_no_wrapper(spark):
+    names = lambda i, d: [f"{chr(97 + i)}{'xyz'[d - 1]}{c}" for c in "abcdefgh"]  # noqa: E731  # (digits do not tell names apart)
+    page = lambda i: "<article><h1>T</h1>" + "".join(f"<div id={a}>" + "".join(f"<div id={b}>" + "".join(f"<div id={c}>{i} {a} {b} {c}</div>" for c in names(i, 3)) + "</div>" for b in names(i, 2)) + "</div>" for a in names(i, 1)) + "</article>"
+    pages = [(i, "http://hashed.org/x", page(i)) for i in range(24)]
+    whole = [None, None]
+    for _, _, source in pages:
+        whole = html_text._joined(whole, html_text.page_layouts(html_text.parse(source)[1]))
+    assert whole[1].label == html_text._BEYOND and not whole[1].kids
+    assert html_text._joined(whole, html_text.page_layouts(html_text.parse("<article>x</article>")[1]))[1].label == html_text._BEYOND
+    got = extracted(spark, [*pages, (99, "http://hashed.org/y", "<article>plain</article>")])
+    assert got[99] == ["plain"]
+    assert all(got[i] == ["T", *(f"{i} {a} {b} {c}" for a in names(i, 1) for b in names(i, 2) for c in names(i, 3))] for i in range(24))
+
+
 def test_html_wrappers_beyond_the_broadcast_are_joined(spark, monkeypatch):
     pages = [(i, f"http://h{i % 3}.org/x", PAGE.format(i)) for i in range(12)] + [(20, None, None)]
     plain = extracted(spark, pages)
