@@ -4,19 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folder of the :func:`scratch` block that this thread runs.
+_SCRATCH: ContextVar[str] = ContextVar("scratch", default="")
 
-def fresh_folder(spark: SparkSession) -> str:
+
+@cache
+def _temporary(application: str) -> str:
+    """A folder of an application on this machine (Spark lets no session set ``spark.checkpoint.dir`` once it runs)."""
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
+def fresh_folder(spark: SparkSession, prefix: str = "files") -> str:
     """A new path below ``spark.checkpoint.dir``; where that is unset one is made on a single machine, on a cluster it is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    context = spark.sparkContext
+    root = _SCRATCH.get() or spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+        root = _temporary(context.applicationId)
+    return f"{root.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -24,3 +37,20 @@ def materialise(df: DataFrame) -> DataFrame:
     path = fresh_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables of all that this thread runs inside lie in one folder, which is deleted behind it, after an error too.
+
+    The folder is a new one below ``spark.checkpoint.dir``, or below that of a block around it. Lazy results read these
+    tables: write or collect them inside.
+    """
+    folder = fresh_folder(spark, "scratch")
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # any file system that Spark writes to
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,7 @@ import base64
 import struct
 import zlib
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -12,9 +13,11 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from spectraforge.operators import compare
+from spectraforge.operators.ordering import rank
 from spectraforge.sources import dump
 from spectraforge.sources.dump import HEADER, index_dump, read_dump, read_records, scan_headers, write_dump
 from spectraforge.sources.mzml import read_mzml, write_mzml
+from spectraforge.sources.shared import fresh_folder, scratch
 
 SPECTRA = "ordinal long, scan_id long, rt_seconds float, ms_level int, precursor_mz double, mz array<double>, intensity array<float>"
 ROWS = [(2, 7, 2.5, 2, 400.25, [100.0, 100.0, 250.5], [1.0, 0.0, -0.0]), (0, 5, 1.5, 1, 0.0, [], []), (1, 4294967295, -1.0, 1, 0.0, [0.0], [float("inf")])]
@@ -417,3 +420,38 @@ def test_header_scan_has_a_limit_and_names_unsupported_levels(spark, tmp_path):
     write_dump(spectra(spark, [(0, 1, 0.0, 3, 0.0, [], [])]), str(tmp_path / "e"), "ordinal")
     with pytest.raises(Exception, match="unsupported level"):
         scan_headers(spark, str(tmp_path / "e")).collect()
+
+
+def test_intermediate_tables_of_a_finished_run_are_deleted(spark, tmp_path):
+    other = fresh_folder(spark)
+    spark.range(3).write.parquet(other)
+    with scratch(spark) as folder:
+        ranked = rank(spark.range(1000).selectExpr("id % 7 as v", "id"), "v", [], "place")
+        assert list(Path(folder).glob("files-*"))
+        ranked.write.parquet(str(tmp_path / "out"))
+        with scratch(spark) as inner:
+            rank(spark.range(10), "id", [], "place")
+            assert Path(inner).parent == Path(folder) and Path(inner).exists()
+        assert not Path(inner).exists() and Path(fresh_folder(spark)).parent == Path(folder)
+    assert not Path(folder).exists() and Path(fresh_folder(spark)).parent == Path(other).parent
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.max("place")).first()[0] == 999
+    assert spark.read.parquet(other).count() == 3  # what others wrote stays
+
+
+def test_intermediate_tables_of_a_failed_run_are_deleted(spark):
+    with pytest.raises(OverflowError, match="a test"), scratch(spark) as folder:
+        rank(spark.range(10), "id", [], "place")
+        raise OverflowError("a test")
+    assert not Path(folder).exists() and Path(fresh_folder(spark)).parent == Path(folder).parent
+    with scratch(spark) as unused:
+        pass
+    assert not Path(unused).exists()
+
+
+def test_without_a_setting_a_single_machine_has_a_folder_and_a_cluster_an_error():
+    conf = SimpleNamespace(get=lambda name, default: default)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master=master, applicationId="app-1"))
+    one, two = Path(fresh_folder(session("local[2]"))), Path(fresh_folder(session("local[2]")))
+    assert one != two and one.parent == two.parent and one.parent.is_dir()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        fresh_folder(session("spark://host:7077"))
