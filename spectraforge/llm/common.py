@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectraforge.sources.shared import fresh_folder
+
 #: The six ASCII white-space characters that the word-based operators split at.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
-
-    The setting is read from the session. Where it is unset, a temporary folder is made and set if
-    the session runs on this machine alone; on a cluster that would lose rows, so it is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A fresh folder below ``spark.checkpoint.dir``, or of the scratch block that runs; see :func:`fresh_folder`."""
+    return fresh_folder(spark, "llm")
 
 
 def materialise(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import re
 import time
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from spectraforge.llm import bpe, decontaminate, licenses, manifest, prefix_trie, quality, queries, token_counts
+from spectraforge.llm import bpe, decontaminate, exact_dedup, licenses, manifest, prefix_trie, quality, queries, substring_dedup, token_counts
+from spectraforge.sources.shared import scratch
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 CONVERSATION = "conv_id long, turn long, role string, text string"
@@ -462,3 +464,13 @@ def test_stages_take_odd_and_empty_tables(spark, sf_dir, stage):
         kept = [r.text for r in rows if r.doc_id in (10**9, 10**9 + 1)]
         assert LONG_ENGLISH in kept and kept.count(ENGLISH) == (1 if "dedup" in name else 2)
     assert run(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_operators_leave_nothing_behind_a_scratch_folder(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with scratch(spark) as folder:
+        substring_dedup.substring_dedup(docs).write.parquet(str(tmp_path / "passages"))
+        exact_dedup.exact_dedup(docs).write.parquet(str(tmp_path / "copies"))
+        assert len(list(Path(folder).glob("llm-*"))) > 5
+    assert not Path(folder).exists()
+    assert {spark.read.parquet(str(tmp_path / n)).count() for n in ("passages", "copies")} == {docs.count()}
