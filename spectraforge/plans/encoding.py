@@ -16,7 +16,8 @@ _BLOCK = ["ms_level", "block_id"]
 
 
 def _ordered_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("ordinal").orderBy("mz", "line")
+    """Peaks with their place in the spectrum; those of one mass and line follow by intensity, as in :func:`.views.nested`, so places never depend on the run."""
+    w = Window.partitionBy("ordinal").orderBy("mz", "line", "intensity")
     return peaks(spark, sf_dir).withColumn("peak_idx", (F.row_number().over(w) - 1).cast("long"))
 
 

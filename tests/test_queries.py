@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from spectraforge import catalogue
 from spectraforge.operators import codec, compare
@@ -48,3 +49,18 @@ def test_every_query_without_sql_has_a_test_of_its_own():
 
 def test_statistics_of_the_smallest_tables(spark, sf_dir):
     assert tuple(catalogue.queries()["dump_inspect"](spark, sf_dir).first()) == (1500, 6000, 493, 1007, 290, 0, 4, 12)
+
+
+def test_places_of_tied_peaks_do_not_depend_on_the_rows_order(spark, sf_dir, tmp_path):
+    """Peaks of one mass and line follow by intensity, whatever order their rows have and however they are dealt."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 40")
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(1).drop("l_orderkey", "l_discount", "l_linenumber", "l_extendedprice")
+    ties = spark.createDataFrame([(k, 1 + i % 2, 5000.0, d / 100) for k in range(40) for i, d in enumerate((7, 3, 0, 9, 5, 1, 8, 2))], "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double").join(line)
+    found = []
+    for name, order in (("up", F.asc("l_discount")), ("down", F.desc("l_discount"))):
+        orders.write.parquet(str(tmp_path / name / "orders.parquet"))
+        ties.coalesce(1).sortWithinPartitions(order).write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        found.append({(r.ordinal, r.peak_idx): r.level for r in catalogue.queries()["intensity_quantised"](spark, str(tmp_path / name)).collect()})
+        levels = [found[-1][7, i] for i in range(8)]
+        assert levels[:4] == sorted(levels[:4]) and levels[4:] == sorted(levels[4:])
+    assert found[0] == found[1]
