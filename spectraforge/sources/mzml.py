@@ -23,6 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 from spectraforge.functions import ingest
+from spectraforge.operators.ordering import running_total
+from spectraforge.sources.shared import materialise
+
+#: Bytes of a document that :func:`write_mzml` makes, about, and of a spectrum and a peak in it (deflated peaks take less).
+DOCUMENT, SPECTRUM_BYTES, PEAK_BYTES = 32 << 20, 1300, 22
+#: Bytes of the parameter groups of all documents up to which they are broadcast, else joined.
+BROADCAST = 32 << 20
 
 # Accession numbers of the vocabulary.
 MS_LEVEL, START_TIME, SELECTED_MZ = "MS:1000511", "MS:1000016", "MS:1000744"
@@ -114,8 +121,9 @@ def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     """scan_id, rt_seconds, ms_level, precursor_mz, mz, intensity; peaks sorted by mass, equal masses in file order."""
     group = F.struct("_id", F.coalesce("cvParam", F.array().cast(_PARAM)))
-    shared = _xml(spark, path, "referenceableParamGroup", GROUP_SCHEMA).groupBy("file").agg(F.map_from_entries(F.collect_list(group)).alias("groups"))
-    raw = _xml(spark, path, "spectrum", SCHEMA).join(shared, "file", "left")
+    shared = materialise(_xml(spark, path, "referenceableParamGroup", GROUP_SCHEMA).groupBy("file").agg(F.map_from_entries(F.collect_list(group)).alias("groups")))
+    size = shared.agg(F.sum(F.length("file") + F.length(F.to_json("groups")))).first()[0] or 0
+    raw = _xml(spark, path, "spectrum", SCHEMA).join(F.broadcast(shared) if size <= BROADCAST else shared, "file", "left")
     groups = F.col("groups")
     time = _Params(F.try_element_at(F.col("scanList.scan"), F.lit(1)), groups).first(START_TIME)
     level = F.coalesce(_Params(None, groups).first(MS_LEVEL)["_value"].cast("tinyint"), F.lit(0).cast("tinyint"))
@@ -164,13 +172,15 @@ def _element(level: list[Column], arrays: list[Column]) -> list[Column]:
     ]
 
 
-def write_mzml(df: DataFrame, path: str, shared: bool = False) -> None:
+def write_mzml(df: DataFrame, path: str, shared: bool = False, least: int = 1) -> None:
     """One ``spectrum`` element a row, one document a range of scan numbers, into a new folder; arrays must be equally long.
 
-    Level 1 gives its time in minutes, other levels in seconds. Peaks stay in the order they have. With ``shared``, levels
-    and kinds of arrays stand in parameter groups of the document, whose ids mean other groups in the next document.
+    A document takes about ``DOCUMENT`` bytes whatever the number and sizes of spectra, as Spark reads one in one task;
+    small tables give about ``least`` documents. Level 1 gives its time in minutes, other levels in seconds. Peaks stay in
+    the order they have. With ``shared``, levels and kinds of arrays stand in parameter groups of the document, whose ids mean
+    other groups in the next document.
     """
-    ordered = df.repartitionByRange("scan_id").sortWithinPartitions("scan_id")
+    ordered = _documented(df, least)
     if not shared:
         level = F.array(_cv(MS_LEVEL, "ms level", F.col("ms_level"))).alias("cvParam")
         elements = ordered.select(*_element([level], [_data("mz", MZ_ARRAY, "m/z array"), _data("intensity", INTENSITY_ARRAY, "intensity array")]))
@@ -184,6 +194,16 @@ def write_mzml(df: DataFrame, path: str, shared: bool = False) -> None:
     elements.mapInArrow(_documents, "value string").write.text(path)
 
 
+def _documented(df: DataFrame, least: int) -> DataFrame:
+    """Rows in the order of their scan numbers, a partition a document: cut by the running sum of their bytes, so that no region of large spectra makes a larger one."""
+    weight = F.lit(SPECTRUM_BYTES).cast("long") + F.lit(PEAK_BYTES) * F.coalesce(F.size("mz"), F.lit(0))
+    placed = running_total(df, weight, "scan_id", [], "__before")
+    last = placed.agg(F.max("__before")).first()[0] or 0
+    size = max(1, min(DOCUMENT, -(-(last + 1) // least)))
+    document = F.floor(F.col("__before") / size).cast("int")
+    return placed.repartitionById(last // size + 1, document).sortWithinPartitions("scan_id").drop("__before")
+
+
 # The parameters of the groups that write_mzml makes.
 _GROUPS = (
     ((MS_LEVEL, "ms level", "1"),),

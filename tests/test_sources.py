@@ -14,7 +14,8 @@ from pyspark.sql.types import StructType
 
 from spectraforge.operators import compare
 from spectraforge.operators.ordering import rank
-from spectraforge.sources import dump
+from spectraforge.plans import files
+from spectraforge.sources import dump, mzml
 from spectraforge.sources.dump import HEADER, index_dump, read_dump, read_records, scan_headers, write_dump
 from spectraforge.sources.mzml import read_mzml, write_mzml
 from spectraforge.sources.shared import fresh_folder, scratch
@@ -455,3 +456,20 @@ def test_without_a_setting_a_single_machine_has_a_folder_and_a_cluster_an_error(
     assert one != two and one.parent == two.parent and one.parent.is_dir()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         fresh_folder(session("spark://host:7077"))
+
+
+def _skewed(spark):
+    """Spectra of which some have a hundred times the peaks of others, and some one scan number."""
+    rows = [(i, i // 2, float(i), 1 + i % 2, 5.0 * (i % 2), [1.0 + k for k in range(n)], [2.0] * n) for i in range(120) for n in [300 if 40 <= i < 60 else 3]]
+    return spectra(spark, rows)
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_mzml_documents_are_bounded_in_bytes(spark, tmp_path, monkeypatch, shared):
+    """A document is read by one task, so it must not grow with the table, nor where spectra are large."""
+    monkeypatch.setattr(mzml, "DOCUMENT", 20_000)
+    write_mzml(_skewed(spark), str(tmp_path / "m"), shared)
+    sizes = [f.stat().st_size for f in (tmp_path / "m").glob("part-*")]
+    assert len(sizes) > 10 and max(sizes) <= 20_000 + 1300 + 22 * 300 + 2000  # a spectrum and a document's head more
+    found = [(r.scan_id, r.rt_seconds, len(r.mz)) for r in read_mzml(spark, str(tmp_path / "m")).collect()]
+    assert sorted(found) == sorted((r.scan_id, r.rt_seconds, len(r.mz)) for r in _skewed(spark).collect())
