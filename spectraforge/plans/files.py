@@ -83,7 +83,7 @@ def mzml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mzml_parameter_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra from documents whose levels and kinds of arrays stand in groups; one id means other groups in other documents."""
     path = fresh_folder(spark)
-    write_mzml(nested(spark, sf_dir).repartition(4), path, shared=True)
+    write_mzml(nested(spark, sf_dir), path, shared=True, least=4)
     return _digest(read_mzml(spark, path))
 
 

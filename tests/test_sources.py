@@ -473,3 +473,14 @@ def test_mzml_documents_are_bounded_in_bytes(spark, tmp_path, monkeypatch, share
     assert len(sizes) > 10 and max(sizes) <= 20_000 + 1300 + 22 * 300 + 2000  # a spectrum and a document's head more
     found = [(r.scan_id, r.rt_seconds, len(r.mz)) for r in read_mzml(spark, str(tmp_path / "m")).collect()]
     assert sorted(found) == sorted((r.scan_id, r.rt_seconds, len(r.mz)) for r in _skewed(spark).collect())
+
+
+def test_mzml_groups_are_broadcast_or_joined(spark, tmp_path, monkeypatch):
+    """Spectra are not shuffled to meet the few rows of groups; beyond a size both are joined, with the same rows."""
+    write_mzml(_skewed(spark), str(tmp_path / "m"), shared=True, least=4)
+    assert 4 <= len(list((tmp_path / "m").glob("part-*"))) <= 6
+    broadcast = read_mzml(spark, str(tmp_path / "m"))
+    assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(mzml, "BROADCAST", 0)
+    joined = read_mzml(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, broadcast.collect()), key=str)
