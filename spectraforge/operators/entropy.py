@@ -16,6 +16,8 @@ from spectraforge.functions.numeric import entropy_bytes
 SCALE = 4096
 #: Keys whose counters a task holds before it hands them on.
 HELD_KEYS = 1024
+#: Bytes that are counted at once: each takes some 24 bytes of memory meanwhile.
+SLICE = 1 << 20
 
 
 def histogram(df: DataFrame, keys: list[str], symbol: str) -> DataFrame:
@@ -38,19 +40,18 @@ def _counted(keys: list[str], schema: StructType):
         kinds: list[pa.DataType] = []
         for b in batches:
             values, kinds = b.column(len(keys)).drop_null(), [b.column(i).type for i in range(len(keys))]
-            kept = b.filter(b.column(len(keys)).is_valid())
-            code = np.zeros(kept.num_rows, np.int64)
-            for i in range(len(keys)):
-                encoded = kept.column(i).dictionary_encode(null_encoding="encode")
+            valid = b.column(len(keys)).is_valid()
+            kept = [b.column(i).filter(valid) for i in range(len(keys))]
+            code = np.zeros(len(values), np.int64)
+            for column in kept:
+                encoded = column.dictionary_encode(null_encoding="encode")
                 code = np.unique(code * len(encoded.dictionary) + encoded.indices.to_numpy(), return_inverse=True)[1]
-            lengths = np.diff(np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)) if len(values) else np.zeros(0, np.int32)
-            first = np.frombuffer(values.buffers()[1], np.int32, 1, 4 * values.offset)[0] if len(values) else 0
-            raw = np.frombuffer(values.buffers()[2] or b"", np.uint8)[first : first + lengths.sum()] if lengths.sum() else np.zeros(0, np.uint8)
-            tables = np.bincount(np.repeat(code, lengths) * 256 + raw, minlength=256 * (code.max() + 1 if len(code) else 0)).reshape(-1, 256)
-            rows = np.unique(code, return_index=True)[1]
-            for table, row in zip(tables, rows):
-                key = tuple(kept.column(i)[int(row)].as_py() for i in range(len(keys)))
-                held[key] = held[key] + table if key in held else table
+            for row, table in zip(np.unique(code, return_index=True)[1], _tables(values, code)):
+                key = tuple(column[int(row)].as_py() for column in kept)
+                if key in held:
+                    held[key] += table
+                else:
+                    held[key] = table.copy()  # a view would keep the batch's whole table
             if len(held) > HELD_KEYS:
                 yield _flat(held, kinds, schema.names)
                 held = {}
@@ -60,6 +61,24 @@ def _counted(keys: list[str], schema: StructType):
     return run
 
 
+def _tables(values: pa.Array, code: np.ndarray) -> np.ndarray:
+    """256 counters for each code, of the bytes of the values that have it; a slice of the bytes at a time, which may begin and end inside a value."""
+    tables = np.zeros((code.max() + 1 if len(code) else 0, 256), np.int64)
+    if not len(values):
+        return tables
+    offsets = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).astype(np.int64)
+    raw = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    for begin in range(offsets[0], offsets[-1], SLICE):
+        end = min(begin + SLICE, offsets[-1])
+        first, last = np.searchsorted(offsets, begin, "right") - 1, np.searchsorted(offsets, end, "left")
+        lengths = np.diff(np.clip(offsets[first : last + 1], begin, end))
+        used, own = np.unique(code[first:last], return_inverse=True)  # only the slice's own codes have counters meanwhile
+        found = np.repeat(own * 256, lengths)
+        found += raw[begin:end]
+        tables[used] += np.bincount(found, minlength=256 * len(used)).reshape(-1, 256)
+    return tables
+
+
 def _flat(held: dict[tuple, np.ndarray], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     """A row for each key and byte that occurs."""
     tables = np.vstack(list(held.values()))

@@ -1,11 +1,14 @@
+import tracemalloc
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from spectraforge.functions import bits, ingest
 from spectraforge.functions import numeric as N
@@ -280,3 +283,26 @@ def test_ingest_errors(spark):
     with pytest.raises(Exception, match="scan number"):
         spark.range(1).select(ingest.scan_id(F.lit("x"), F.lit(None).cast("long"))).collect()
     assert spark.range(1).select(ingest.scan_id(F.lit("a scan=17"), F.lit(3))).first()[0] == 17
+
+
+def test_byte_histogram_takes_no_memory_a_byte(monkeypatch):
+    """Counting a batch of 32 MB needs a few MB besides, also within one value; slices that end inside values count every byte once."""
+    schema = StructType([StructField("k", LongType()), StructField("symbol", IntegerType()), StructField("count", LongType())])
+    values = [b"abcdefgh" * (1 << 20), None, b"", b"xyz" * (1 << 20), *[bytes(range(256)) * 40] * 2000]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 3 for i in range(len(values))]), pa.array(values, pa.binary())], names=["k", "b"])
+    tracemalloc.start()
+    (got,) = entropy._counted(["k"], schema)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    expected = {}
+    for i, v in enumerate(values):
+        for s, n in enumerate(np.bincount(np.frombuffer(v or b"", np.uint8), minlength=256)):
+            if n:
+                expected[i % 3, s] = expected.get((i % 3, s), 0) + int(n)
+    assert {(r["k"], r["symbol"]): r["count"] for r in got.to_pylist()} == expected
+    small = batch.slice(5, 90)
+    monkeypatch.setattr(entropy, "SLICE", 997)
+    (cut,) = entropy._counted(["k"], schema)(iter([small]))
+    assert sum(r["count"] for r in cut.to_pylist()) == sum(len(v) for v in small.column(1).to_pylist())
+    assert {r["count"] for r in cut.to_pylist()} == {30 * 40}
