@@ -45,13 +45,17 @@ def _rest(x: Column) -> Column:
     return F.when(F.isnan(left) | F.isnull(left), 0.0).otherwise(left)
 
 
-def lossless(left: DataFrame, right: DataFrame) -> DataFrame:
+def lossless(left: DataFrame, right: DataFrame, partitions: int | None = None) -> DataFrame:
     """A row for each check: whether it passed, and the first ordinal that failed it; floats are compared by their bits.
 
+    ``partitions`` sets into how many parts the tables are dealt to meet, which else is Spark's number of shuffle partitions.
+
     Peaks are compared where all numbers of masses and intensities agree; if the tables differ in the number of
     spectra, only that check fails on its own, rows without partner fail no other.
     """
     a, b = (bit_view(df).select("ordinal", F.lit(True).alias(side), *[F.col(c).alias(f"{side}_{c}") for c in (*_FIELDS, "mz", "intensity")]) for df, side in ((left, "a"), (right, "b")))
+    if partitions:
+        a, b = (df.repartition(partitions, "ordinal") for df in (a, b))
     both = a.join(b, "ordinal", "full_outer")
     paired = F.col("a").isNotNull() & F.col("b").isNotNull()
     sizes = [F.coalesce(F.size(f"{side}_{c}"), F.lit(-1)) for side in "ab" for c in ("mz", "intensity.bits")]

@@ -9,10 +9,13 @@ from spectraforge.functions.numeric import record_bytes
 from spectraforge.operators import compare
 from spectraforge.sources.dump import read_dump, read_records, write_dump
 from spectraforge.sources.mzml import read_mzml, write_mzml
-from spectraforge.sources.shared import fresh_folder
+from spectraforge.sources.shared import fresh_folder, materialise
 
 from .views import PREFIX, nested, table
 
+#: Bytes of a file of the dumps that are compared, about.
+FILE = 32 << 20
+
 
 def _sum(values: str, factor: int) -> Column:
     scaled = F.transform(values, lambda x: F.round(x.cast("double") * factor).cast("long"))
@@ -59,16 +62,21 @@ def dump_chosen_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dump_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two dumps, split differently into files, compared bit for bit by their ordinals; one time and one mass of the second are changed."""
+    """Two dumps, split differently into files, compared bit for bit by their ordinals; one time and one mass of the second are changed.
+
+    One has three files and the other seven, or as many times so many as keep a file at about ``FILE`` bytes, since a task writes one.
+    """
     paths = [fresh_folder(spark), fresh_folder(spark)]
-    left = nested(spark, sf_dir)
+    left = materialise(nested(spark, sf_dir))
+    size = left.agg(F.sum(record_bytes(F.size("mz").cast("long")))).first()[0] or 0
+    times = max(1, -(-size // (3 * FILE)))
     right = left.withColumn("rt_seconds", F.when(F.col("scan_id") == 77, F.col("rt_seconds") + 86400).otherwise(F.col("rt_seconds"))).withColumn(
         "mz", F.when(F.col("scan_id") == 101, F.transform("mz", lambda x: x + 0.01)).otherwise(F.col("mz"))
     )
     for path, df, files in zip(paths, (left, right), (3, 7)):
-        write_dump(df, path, "ordinal", files=files)
+        write_dump(df, path, "ordinal", files=files * times)
     a, b = (read_dump(spark, path, ordinals="true", view="bits") for path in paths)
-    return compare.lossless(a, b).na.fill(-1, ["first_mismatch"])
+    return compare.lossless(a, b, 7 * times).na.fill(-1, ["first_mismatch"])
 
 
 def mzml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

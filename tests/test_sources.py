@@ -484,3 +484,15 @@ def test_mzml_groups_are_broadcast_or_joined(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mzml, "BROADCAST", 0)
     joined = read_mzml(spark, str(tmp_path / "m"))
     assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, broadcast.collect()), key=str)
+
+
+def test_files_of_compared_dumps_do_not_grow_with_the_table(spark, sf_dir, tmp_path, monkeypatch):
+    """A task writes a file: there are more of them, not larger ones; the checks stay the same."""
+    usual = [tuple(r) for r in files.dump_comparison(spark, sf_dir).orderBy("check").collect()]
+    monkeypatch.setattr(files, "FILE", 10_000)
+    with scratch(spark) as folder:
+        found = [tuple(r) for r in files.dump_comparison(spark, sf_dir).orderBy("check").collect()]
+        dumps = [sizes for d in Path(folder).glob("files-*") if (sizes := [f.stat().st_size for f in d.glob("*.bin")])]
+    counts = sorted(map(len, dumps))
+    assert found == usual and len(counts) == 2 and counts[0] >= 9 and counts[1] > counts[0]
+    assert max(map(max, dumps)) < 2 * 10_000
