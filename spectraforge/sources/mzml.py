@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType
 
 from spectraforge.functions import ingest
 from spectraforge.operators.ordering import running_total
-from spectraforge.sources.shared import materialise
+from spectraforge.sources.shared import materialise, scratch, shuffles_dropped
 
-#: Bytes of a document that :func:`write_mzml` makes, about, and of a spectrum and a peak in it (deflated peaks take less).
+#: Bytes of text of a document that :func:`write_mzml` makes, about, and of a spectrum and a peak in it (deflated peaks take less).
 DOCUMENT, SPECTRUM_BYTES, PEAK_BYTES = 32 << 20, 1300, 22
 #: Bytes of the parameter groups of all documents up to which they are broadcast, else joined.
 BROADCAST = 32 << 20
@@ -172,36 +172,62 @@ def _element(level: list[Column], arrays: list[Column]) -> list[Column]:
     ]
 
 
-def write_mzml(df: DataFrame, path: str, shared: bool = False, least: int = 1) -> None:
+def write_mzml(df: DataFrame, path: str, shared: bool = False, least: int = 1, compression: str = "gzip") -> None:
     """One ``spectrum`` element a row, one document a range of scan numbers, into a new folder; arrays must be equally long.
 
-    A document takes about ``DOCUMENT`` bytes whatever the number and sizes of spectra, as Spark reads one in one task;
-    small tables give about ``least`` documents. Level 1 gives its time in minutes, other levels in seconds. Peaks stay in
+    A document takes about ``DOCUMENT`` bytes of text whatever the number and sizes of spectra, as Spark reads one in one task;
+    small tables give about ``least`` documents. The text repeats itself, so documents are compressed (``none``: they are not).
+    Level 1 gives its time in minutes, other levels in seconds. Peaks stay in
     the order they have. With ``shared``, levels and kinds of arrays stand in parameter groups of the document, whose ids mean
     other groups in the next document.
     """
-    ordered = _documented(df, least)
-    if not shared:
-        level = F.array(_cv(MS_LEVEL, "ms level", F.col("ms_level"))).alias("cvParam")
-        elements = ordered.select(*_element([level], [_data("mz", MZ_ARRAY, "m/z array"), _data("intensity", INTENSITY_ARRAY, "intensity array")]))
-        elements.write.format("xml").option("rootTag", "spectrumList").option("rowTag", "spectrum").save(path)
-        return
-    ref = lambda number: F.array(F.struct(_group_id(number, F.spark_partition_id()).alias("_ref"))).alias("referenceableParamGroupRef")
-    grouped = F.col("ms_level").isin(1, 2)
-    level = [F.when(~grouped, F.array(_cv(MS_LEVEL, "ms level", F.col("ms_level")))).alias("cvParam"), F.when(grouped, ref(F.col("ms_level") - 1)).alias("referenceableParamGroupRef")]
-    arrays = [F.struct(ref(F.lit(n)), _packed(values).alias("binary")) for n, values in ((2, "mz"), (3, "intensity"))]
-    elements = ordered.select(F.to_xml(F.struct(*_element(level, arrays)), {"rowTag": "spectrum"}).alias("value"))
-    elements.mapInArrow(_documents, "value string").write.text(path)
+    with scratch(df.sparkSession), shuffles_dropped(df.sparkSession):
+        ordered = _documented(df, least)
+        if not shared:
+            level = F.array(_cv(MS_LEVEL, "ms level", F.col("ms_level"))).alias("cvParam")
+            elements = ordered.select(*_element([level], [_data("mz", MZ_ARRAY, "m/z array"), _data("intensity", INTENSITY_ARRAY, "intensity array")]))
+            elements.write.format("xml").option("rootTag", "spectrumList").option("rowTag", "spectrum").option("compression", compression).save(path)
+            return
+        ref = lambda number: F.array(F.struct(_group_id(number, F.spark_partition_id()).alias("_ref"))).alias("referenceableParamGroupRef")
+        grouped = F.col("ms_level").isin(1, 2)
+        level = [F.when(~grouped, F.array(_cv(MS_LEVEL, "ms level", F.col("ms_level")))).alias("cvParam"), F.when(grouped, ref(F.col("ms_level") - 1)).alias("referenceableParamGroupRef")]
+        arrays = [F.struct(ref(F.lit(n)), _packed(values).alias("binary")) for n, values in ((2, "mz"), (3, "intensity"))]
+        elements = ordered.select(F.to_xml(F.struct(*_element(level, arrays)), {"rowTag": "spectrum"}).alias("value"))
+        elements.mapInArrow(_documents, "value string").write.option("compression", compression).text(path)
 
 
 def _documented(df: DataFrame, least: int) -> DataFrame:
-    """Rows in the order of their scan numbers, a partition a document: cut by the running sum of their bytes, so that no region of large spectra makes a larger one."""
-    weight = F.lit(SPECTRUM_BYTES).cast("long") + F.lit(PEAK_BYTES) * F.coalesce(F.size("mz"), F.lit(0))
-    placed = running_total(df, weight, "scan_id", [], "__before")
-    last = placed.agg(F.max("__before")).first()[0] or 0
-    size = max(1, min(DOCUMENT, -(-(last + 1) // least)))
-    document = F.floor(F.col("__before") / size).cast("int")
-    return placed.repartitionById(last // size + 1, document).sortWithinPartitions("scan_id").drop("__before")
+    """Rows in the order of their scan numbers, a partition a document: cut by the running sum of their bytes, so that no region of large spectra makes a larger one.
+
+    Whole rows are written once and shuffled once; the running sum takes their numbers only, and the driver the first row of each document.
+    """
+    rows = materialise(df.withColumn("__id", F.monotonically_increasing_id()))
+    scan = F.coalesce(F.col("scan_id").cast("long"), F.lit(np.iinfo(np.int64).min))
+    numbers = rows.select(scan.alias("__scan"), "__id", F.coalesce(F.size("mz"), F.lit(0)).alias("__peaks"))
+    with scratch(df.sparkSession):
+        placed = running_total(numbers, F.lit(SPECTRUM_BYTES).cast("long") + F.lit(PEAK_BYTES) * F.col("__peaks"), "__scan", [], "__before", ("__id",))
+        last = placed.agg(F.max("__before")).first()[0] or 0
+        size = max(1, min(DOCUMENT, -(-(last + 1) // least)))
+        firsts = placed.groupBy(F.floor(F.col("__before") / size)).agg(F.min(F.struct("__scan", "__id")).alias("first"))
+        starts = sorted(tuple(r.first) for r in firsts.collect()) or [(0, 0)]
+    document = _document(starts)(scan, F.col("__id"))
+    return rows.withColumn("__document", document).drop("__id").repartitionById(len(starts), F.col("__document")).sortWithinPartitions("scan_id")
+
+
+def _document(starts: list[tuple[int, int]]):
+    """Number of the document that holds a row, by its scan number and id and those of the documents' first rows."""
+    scans, ids = np.array(starts, np.int64).T
+
+    @F.arrow_udf(IntegerType())
+    def place(scan: pa.Array, row: pa.Array) -> pa.Array:
+        scan, row = scan.to_numpy(), row.to_numpy()
+        begun, upto = (np.searchsorted(scans, scan, side) for side in ("left", "right"))
+        for k in np.unique(begun[upto > begun]):  # documents begin among the rows of this scan number: the id decides
+            here = (begun == k) & (upto > begun)
+            begun[here] += np.searchsorted(ids[k : upto[here][0]], row[here], "right")
+        return pa.array(begun - 1, pa.int32())
+
+    return place
 
 
 # The parameters of the groups that write_mzml makes.

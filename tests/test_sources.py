@@ -2,6 +2,7 @@
 
 import base64
 import struct
+import time
 import zlib
 from pathlib import Path
 from types import SimpleNamespace
@@ -18,7 +19,7 @@ from spectraforge.plans import files
 from spectraforge.sources import dump, mzml
 from spectraforge.sources.dump import HEADER, index_dump, read_dump, read_records, scan_headers, write_dump
 from spectraforge.sources.mzml import read_mzml, write_mzml
-from spectraforge.sources.shared import fresh_folder, scratch
+from spectraforge.sources.shared import fresh_folder, scratch, shuffles_dropped
 
 SPECTRA = "ordinal long, scan_id long, rt_seconds float, ms_level int, precursor_mz double, mz array<double>, intensity array<float>"
 ROWS = [(2, 7, 2.5, 2, 400.25, [100.0, 100.0, 250.5], [1.0, 0.0, -0.0]), (0, 5, 1.5, 1, 0.0, [], []), (1, 4294967295, -1.0, 1, 0.0, [0.0], [float("inf")])]
@@ -496,3 +497,47 @@ def test_files_of_compared_dumps_do_not_grow_with_the_table(spark, sf_dir, tmp_p
     counts = sorted(map(len, dumps))
     assert found == usual and len(counts) == 2 and counts[0] >= 9 and counts[1] > counts[0]
     assert max(map(max, dumps)) < 2 * 10_000
+
+
+def _shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {name for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if (name := f.getName()).startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_writing_mzml_leaves_little_more_than_compressed_documents(spark, sf_dir, tmp_path, shared):
+    """The text of an element takes some 1,300 bytes, hundreds of times its spectrum's; neither it nor what leads to it may fill the disk."""
+    rows = files.nested(spark, sf_dir)
+    with scratch(spark) as folder:
+        Path(folder).mkdir()
+        shuffles = _shuffle_files(spark)
+        write_mzml(rows, str(tmp_path / "m"), shared)
+        assert not list(Path(folder).iterdir())
+        for _ in range(100):  # they are deleted behind the write, by another thread
+            if not (left := _shuffle_files(spark) - shuffles):
+                break
+            time.sleep(0.1)
+        assert not left
+    assert sum(f.stat().st_size for f in (tmp_path / "m").glob("part-*")) < 200 * rows.count()
+
+
+def test_documents_begin_among_spectra_of_one_scan_number(spark, tmp_path, monkeypatch):
+    """Their texts stay bounded too, and every spectrum stands in one document."""
+    monkeypatch.setattr(mzml, "DOCUMENT", 20_000)
+    rows = [(i, 7 if 10 <= i < 110 else i, float(i), 1, 0.0, [1.0] * n, [2.0] * n) for i in range(120) for n in [i % 3]]
+    write_mzml(spectra(spark, rows).repartition(5), str(tmp_path / "m"), compression="none")
+    sizes = [f.stat().st_size for f in (tmp_path / "m").glob("part-*")]
+    assert 7 <= len(sizes) <= 9 and max(sizes) <= 20_000 + 2 * 1300
+    assert sorted((r.scan_id, r.rt_seconds, len(r.mz)) for r in read_mzml(spark, str(tmp_path / "m")).collect()) == sorted((r[1], r[2], len(r[5])) for r in rows)
+    write_mzml(_skewed(spark), str(tmp_path / "s"), compression="none")
+    assert max(f.stat().st_size for f in (tmp_path / "s").glob("part-*")) <= 20_000 + 1300 + 22 * 300 + 2000
+
+
+def test_a_plan_runs_again_after_its_shuffles_are_dropped(spark):
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    with shuffles_dropped(spark):
+        first = sorted(counts.collect())
+        time.sleep(2)
+        assert sorted(counts.collect()) == first
+    assert sorted(counts.collect()) == first
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # as it was
